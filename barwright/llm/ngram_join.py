@@ -65,7 +65,7 @@ def _signed(x: int) -> int:
 
 
 def _classes(words: int):
-    """Rows kind 0: doc_id, n, s1, s2 of each document; kind 1: a locally frequent hash in s1 and its count in n."""
+    """Rows kind 0: doc_id, n, s1, s2, bits of each document; kind 1: a locally frequent hash in s1, its count in n."""
 
     def run(batches):
         heavy, seen = Heavy(HOT_SHARE, 8), set()
@@ -73,9 +73,9 @@ def _classes(words: int):
         def frequent(found):
             if found is not None and len(found[0]):
                 zero = np.zeros(len(found[0]), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(zero + 1, pa.int32()), pa.array(zero), long_array(found[1]), long_array(found[0]), pa.array(zero)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(zero + 1, pa.int32()), pa.array(zero), long_array(found[1]), long_array(found[0]), pa.array(zero), pa.nulls(len(zero), pa.binary())], names)
 
-        names = ["kind", "doc_id", "n", "s1", "s2"]
+        names = ["kind", "doc_id", "n", "s1", "s2", "bits"]
         for rows, sets in shingle_sets(batches, words):
             keys = [set_keys(u) for u in sets]
             for k, u in zip(keys, sets, strict=True):
@@ -85,7 +85,7 @@ def _classes(words: int):
             if len(seen) > 1 << 20:
                 seen.clear()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * len(sets), pa.int32()), rows.column(0).cast(pa.int64()), pa.array([len(u) for u in sets], pa.int64()), pa.array([_signed(k[0]) for k in keys], pa.int64()), pa.array([_signed(k[1]) for k in keys], pa.int64())], names
+                [pa.array([0] * len(sets), pa.int32()), rows.column(0).cast(pa.int64()), pa.array([len(u) for u in sets], pa.int64()), pa.array([_signed(k[0]) for k in keys], pa.int64()), pa.array([_signed(k[1]) for k in keys], pa.int64()), pa.array([bitmap(u) if len(u) else None for u in sets], pa.binary())], names
             )
         yield from frequent(heavy.rest())
 
@@ -127,17 +127,33 @@ def _tokens(words: int):
 # ------------------------------------------------------------------ signature trees
 
 
+def width_of(n: int) -> int:
+    """Bits of the bitmap of a set of n tokens: 4 to 8 a token, a power of two."""
+    return max(64, 1 << (4 * n - 1).bit_length())
+
+
+def bitmap(u: np.ndarray) -> bytes:
+    """The token bitmap of a set; a token's bit is its hash modulo the width, so halves joined by OR give the bitmap
+    of half the width."""
+    width = width_of(len(u))
+    bits = np.zeros(width, bool)
+    bits[(u & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _folded(raw: bytes, width: int) -> np.ndarray:
+    bits = np.frombuffer(raw, np.uint64)
+    while len(bits) * 64 > width:
+        half = len(bits) // 2
+        bits = bits[:half] | bits[half:]
+    return bits
+
+
 class SignatureTree:
     """Levels of nodes over sets: OR-joined bitmaps, smallest and largest size, largest slack (tokens that share a
-    bit with another token of their set). Level 0 holds the sets themselves, ordered by size."""
-
-    def __init__(self, sets: list[np.ndarray], fanout: int = FANOUT):
-        sizes = np.array([len(u) for u in sets], np.int64)
-        width = max(64, 1 << int(4 * sizes.max() - 1).bit_length())
-        bits = np.zeros((len(sets), width // 64), np.uint64)
-        for i, u in enumerate(sets):
-            at = u & np.uint64(width - 1)
-            np.bitwise_or.at(bits[i], (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    bit with another token of their set). Level 0 holds the sets themselves; they should be ordered by size."""
+
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray, fanout: int = FANOUT):
         self.fanout, self.levels = fanout, [(bits, sizes, sizes, sizes - np.bitwise_count(bits).sum(1, dtype=np.int64))]
         while len(self.levels[-1][1]) > fanout:
             bits, low, high, slack = self.levels[-1]
@@ -175,68 +191,123 @@ class SignatureTree:
                 stack.append((level - 1, a[keep], b[keep]))
 
 
-def forest(nodes: list[int], sets: list[np.ndarray], known: list[int] | None = None, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the sets; sets with equal `known` count as connected before."""
-    order = sorted(range(len(sets)), key=lambda k: (len(sets[k]), nodes[k]))
-    sets, ids = [sets[k] for k in order], [nodes[k] for k in order]
-    up = list(range(len(ids)))
-
-    def root(x: int) -> int:
+def possible_pairs(sizes: list[int], bitmaps: list[bytes], percent: int = PERCENT) -> Iterator[tuple[int, int]]:
+    """Pairs of sets that their bitmaps don't rule out: a tree for each width, with the sets of the next width (sizes
+    more than two widths apart can't be linked) folded into it."""
+    order = sorted(range(len(sizes)), key=sizes.__getitem__)
+    by: dict[int, list[int]] = {}
+    for k in order:
+        by.setdefault(width_of(sizes[k]), []).append(k)
+    for width, own in by.items():
+        both = own + by.get(2 * width, [])
+        tree = SignatureTree(np.stack([_folded(bitmaps[k], width) for k in both]), np.array([sizes[k] for k in both], np.int64))
+        for i, j in tree.pairs(percent):
+            first = i < len(own)
+            for a, b in zip(i[first].tolist(), j[first].tolist(), strict=True):
+                yield both[a], both[b]
+
+
+class Sets:
+    """Union-find."""
+
+    def __init__(self, n: int, known: list | None = None):
+        self.up, by = list(range(n)), {}
+        for k, x in enumerate(known or ()):
+            self.join(k, by.setdefault(x, k))
+
+    def root(self, x: int) -> int:
+        up = self.up
         while up[x] != x:
             up[x] = x = up[up[x]]
         return x
 
-    if known:
-        by: dict[int, int] = {}
-        for k, x in enumerate(order):
-            up[root(k)] = root(by.setdefault(known[x], k))
-    links, left = [], len({root(k) for k in range(len(ids))}) - 1
-    for i, j in SignatureTree(sets).pairs(percent) if left else ():
-        for a, b in zip(i.tolist(), j.tolist(), strict=True):
-            if (x := root(a)) == (y := root(b)):
-                continue
-            common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-            if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
-                up[x] = y
-                links.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def forest(nodes: list[int], sets: list[np.ndarray], known: list | None = None, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the sets; sets of equal `known` count as connected before."""
+    found, links = Sets(len(sets), known), []
+    for a, b in possible_pairs([len(u) for u in sets], [bitmap(u) for u in sets], percent):
+        if found.root(a) == found.root(b):
+            continue
+        common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+        if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+            found.join(a, b)
+            links.append((min(nodes[a], nodes[b]), max(nodes[a], nodes[b])))
     return links
 
 
-def _walk(percent: int):
-    """Walks the tree of each (block, part); rows are sorted by these, so that one part is held at a time."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """Runs of rows with equal first columns; rows are sorted by these, so that one run is held at a time."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and held[0][:keys] != row[:keys]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _rows(rows: Iterator[tuple], names: list[str], types: list, most: int = 4096) -> Iterator[pa.RecordBatch]:
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == most:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), types, strict=True)], names)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), types, strict=True)], names)
+
+
+def _possible(percent: int):
+    """(leader, part, sub, s1, comp): the sets of each part that can be linked to another one; `sub` names the ones
+    that can be connected."""
+
+    def found(batches):
+        for rows in _groups(batches, 2):
+            known = [r[3] for r in rows]
+            groups, some = Sets(len(rows)), set()
+            for a, b in possible_pairs([r[4] for r in rows], [r[5] for r in rows], percent):
+                if known[a] is None or known[a] != known[b]:
+                    groups.join(a, b)
+                    some |= {a, b}
+            for k in sorted(some):
+                yield rows[k][0], rows[k][1], rows[groups.root(k)][2], rows[k][2], known[k]
 
     def run(batches):
-        at, nodes, sets, known, out = None, [], [], [], []
-
-        def flush():
-            if len(nodes) > 1:
-                out.extend(forest(nodes, sets, known, percent))
-
-        def batch(links):
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
-
-        for rows in batches:
-            for block, part, node, comp, tokens in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-                if (block, part) != at:
-                    flush()
-                    at, nodes, sets, known = (block, part), [], [], []
-                nodes.append(node)
-                sets.append(np.frombuffer(tokens, np.uint64))
-                known.append(comp)
-            if out:
-                yield batch(out)
-                out = []
-        flush()
-        if out:
-            yield batch(out)
+        yield from _rows(found(batches), ["leader", "part", "sub", "s1", "comp"], [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()])
 
     return run
 
 
-def walk_parts(parts: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """parts(leader, part, s1, comp): links (a, b) found by the trees of all (leader, part)."""
-    rows = parts.join(tokens, "s1").select("leader", "part", "node", F.coalesce("comp", "node").alias("comp"), "tokens").repartition("leader", "part").sortWithinPartitions("leader", "part", "node")
-    return rows.mapInArrow(_walk(percent), "a long, b long")
+def _exact(percent: int):
+    """(a, b): links of each (leader, part, sub)."""
+
+    def found(batches):
+        for rows in _groups(batches, 3):
+            known = [r[3] if r[4] is None else r[4] for r in rows]
+            yield from forest([r[3] for r in rows], [np.frombuffer(r[5], np.uint64) for r in rows], known, percent)
+
+    def run(batches):
+        yield from _rows(found(batches), ["a", "b"], [pa.int64(), pa.int64()])
+
+    return run
+
+
+def walk_parts(parts: DataFrame, signatures: DataFrame, text: DataFrame, percent: int, words: int) -> DataFrame:
+    """parts(leader, part, s1, comp): links (a, b) of nodes, found by the trees of all (leader, part). The whole sets
+    of those that bitmaps leave are read again; texts are shuffled once, the small side is hashed."""
+    rows = parts.join(signatures.select("s1", "n", "bits"), "s1").select("leader", "part", "s1", "comp", "n", "bits").repartition("leader", "part").sortWithinPartitions("leader", "part", "s1")
+    left = written(rows.mapInArrow(_possible(percent), "leader long, part string, sub long, s1 long, comp long"))
+    need = signatures.join(left.select("s1").distinct(), "s1", "left_semi").select(F.col("node").alias("doc_id"), "s1")
+    tokens = text.join(need.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "s1").mapInArrow(_tokens(words), "s1 long, node long, tokens binary")
+    rows = left.join(tokens, "s1").select("leader", "part", "sub", "node", "comp", "tokens").repartition("leader", "part", "sub").sortWithinPartitions("leader", "part", "sub", "node")
+    return written(rows.mapInArrow(_exact(percent), "a long, b long").distinct())
 
 
 # ------------------------------------------------------------------ the join
@@ -250,42 +321,39 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     as one row each. Other columns of docs aren't read.
     """
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = written(text.mapInArrow(_classes(words), "kind int, doc_id long, n long, s1 long, s2 long"))
+    found = written(text.mapInArrow(_classes(words), "kind int, doc_id long, n long, s1 long, s2 long, bits binary"))
     hot = heavy_keys(found.where("kind = 1").select(F.col("s1").alias("key"), "n"), HOT_LIST)
-    sets = found.where("kind = 0").drop("kind")
-    full = sets.where("n > 0")
-    classes = written(full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node")))
+    sets = found.where("kind = 0").drop("kind", "bits")
+    classes = written(sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node")))
 
     # Blocks: sets that share a first hash; each block is named by its smallest key.
     firsts = text.mapInArrow(_firsts(hot, words, percent), "token long, s long")
     shared = firsts.groupBy("token").agg(F.min("s").alias("leader"), F.max("s").alias("last")).where("leader < last").select("token", "leader")
     members = written(firsts.join(shared, "token").select("leader", F.col("s").alias("s1")).distinct())
     sized = members.groupBy("leader").agg(F.count("*").alias("size"))
-
-    # The whole sets of the sets in blocks; texts are shuffled once, the small side is hashed.
-    need = classes.join(members.select("s1").distinct(), "s1", "left_semi").select(F.col("node").alias("doc_id"), "s1")
-    tokens = written(text.join(need.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "s1").mapInArrow(_tokens(words), "s1 long, node long, tokens binary").dropDuplicates(["s1", "node"]))
+    own = classes.join(members.select("s1").distinct(), "s1", "left_semi").withColumnRenamed("node", "doc_id")
+    signatures = written(found.where("kind = 0").select("doc_id", "s1", "s2", "n", "bits").join(own, ["doc_id", "s1", "s2", "n"]).withColumnRenamed("doc_id", "node").select("s1", "node", "n", "bits"))
 
     parts = F.ceil(F.col("size") / block_docs)
-    own = members.where("s1 <> leader").join(sized, "leader").select("leader", F.pmod(F.xxhash64("s1"), parts).alias("part"), "s1")
-    heads = sized.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("leader").alias("s1"))
-    links = written(walk_parts(own.unionByName(heads).withColumn("comp", F.lit(None).cast("long")), tokens, percent))
+    rest = members.where("s1 <> leader").join(sized, "leader").select("leader", F.pmod(F.xxhash64("s1"), parts).cast("string").alias("part"), "s1")
+    heads = sized.select("leader", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda x: x.cast("string"))).alias("part"), F.col("leader").alias("s1"))
+    links = walk_parts(rest.unionByName(heads).withColumn("comp", F.lit(None).cast("long")), signatures, text, percent, words)
 
     # Blocks walked in parts: sets of different components meet, until all parts have met.
     large = sized.where(F.col("size") > block_docs)
     if not large.isEmpty():
-        comps = connected_components(links)
-        links = links.unionByName(walk_parts(_across(members, large, tokens, comps, block_docs), tokens, percent))
+        across = _across(members, large, signatures, connected_components(links), block_docs)
+        links = links.unionByName(walk_parts(across, signatures, text, percent, words))
 
     linked = connected_components(links).withColumnRenamed("node", "class_id")
     rows = sets.join(classes, ["s1", "s2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("node", "doc_id").alias("class_id"))
     return rows.join(linked, "class_id", "left").select("doc_id", "n_shingles", F.coalesce("comp", "class_id").alias("component_id"), "class_id")
 
 
-def _across(members: DataFrame, large: DataFrame, tokens: DataFrame, comps: DataFrame, block_docs: int) -> DataFrame:
+def _across(members: DataFrame, large: DataFrame, signatures: DataFrame, comps: DataFrame, block_docs: int) -> DataFrame:
     """Parts for what the first walk of large blocks hasn't compared. In a block with several components, the sets
     outside its largest component meet one another and those of the largest; a block of one component is done."""
-    known = tokens.select("s1", "node").join(comps, "node", "left").select("s1", F.coalesce("comp", "node").alias("comp"))
+    known = signatures.select("s1", "node").join(comps, "node", "left").select("s1", F.coalesce("comp", "node").alias("comp"))
     rows = written(members.join(large.select("leader"), "leader").join(known, "s1"))
     sizes = rows.groupBy("leader", "comp").agg(F.count("*").alias("k"))
     main = sizes.groupBy("leader").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.max("k").alias("k_main"), F.sum("k").alias("k_all")).where("k_all > k_main")

@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import decontaminate
 from .common import table
 from .ngram_join import ngram_join
+from .substring_dedup import substring_dedup
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +18,18 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents that 50-word windows of earlier documents repeat."""
+    return substring_dedup(table(spark, sf_dir, "documents")).withColumn("removed", F.to_json("removed"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents that 10-word windows of benchmark items cover."""
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join,)}
+    return {f.__name__: f for f in (op1_ngram_join, op7_substring_dedup, op9_decontaminate)}
 
 
 ORACLES: dict[str, str] = {}
