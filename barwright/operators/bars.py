@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
 
-BY_DATE = Window.partitionBy("ticker").orderBy("date")
 FEATURES = ("ret_1d", "ret_5d", "ret_21d", "vol_avg_20", "dollar_vol_avg_20", "range_pct")
 
 
 def features(bar: DataFrame) -> DataFrame:
     """bar with returns over 1, 5 and 21 rows, 20-row averages of volume and dollar volume, and the day's range.
     One exchange by ticker; all windows share its order."""
-    last20 = BY_DATE.rowsBetween(-19, 0)
-    back = {k: ratio("close", F.lag("close", k).over(BY_DATE)) - 1 for k in (1, 5, 21)}
+    line = Window.partitionBy("ticker").orderBy("date")
+    last20 = line.rowsBetween(-19, 0)
+    back = {k: ratio("close", F.lag("close", k).over(line)) - 1 for k in (1, 5, 21)}
     return bar.select("*", *(v.alias(f"ret_{k}d") for k, v in back.items()), F.avg("volume").over(last20).alias("vol_avg_20"), F.avg(F.col("close") * F.col("volume")).over(last20).alias("dollar_vol_avg_20"), ratio(F.col("high") - F.col("low"), "close").alias("range_pct"))
 
 

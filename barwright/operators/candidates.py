@@ -17,7 +17,10 @@ GAPS, VOLUMES, GAP_LENGTHS = (0.02, 0.04, 0.06), (2.0, 3.0, 5.0), (8, 16, 32, 64
 Z_WINDOWS, Z_LEVELS, Z_LENGTHS = (20, 50), (1.5, 2.0, 3.0), (16, 32, 64)
 PULLBACKS, PIVOT_LENGTHS = (1, 2, 3, 4), (8, 16, 24, 32)
 FLAG_LENGTHS, IMPULSE = (10, 20, 30, 40, 60), 5
-BY_T = Window.partitionBy("ticker").orderBy("t")
+
+
+def by_t():
+    return Window.partitionBy("ticker").orderBy("t")
 
 
 def indicators(last: DataFrame, size: int = 100) -> DataFrame:
@@ -28,8 +31,8 @@ def indicators(last: DataFrame, size: int = 100) -> DataFrame:
     a = rows.groupBy("ticker").agg(bars, F.max("date").alias("asof_date"))
     a = a.select("ticker", "asof_date", "b", ema_array(F.col("b.close"), 10).alias("e10"), ema_array(F.col("b.close"), 20).alias("e20"))
     z = a.select("ticker", "asof_date", F.explode(F.arrays_zip("b", "e10", "e20")).alias("z")).select("ticker", "asof_date", "z.b.*", F.when(F.col("z.b.t") >= 9, F.col("z.e10")).alias("ma10"), F.when(F.col("z.b.t") >= 19, F.col("z.e20")).alias("ma20"))
-    z = z.withColumn("prev", F.lag("close").over(BY_T)).withColumn("tr", true_range("high", "low", "prev"))
-    z = z.withColumns({"atr5": full_mean("tr", BY_T, 5), "atr14": full_mean("tr", BY_T, 14), "atr20": full_mean("tr", BY_T, 20), "vol20": full_mean("volume", BY_T, 20), "sd20": full_std("close", BY_T, 20), "sd50": full_std("close", BY_T, 50)})
+    z = z.withColumn("prev", F.lag("close").over(by_t())).withColumn("tr", true_range("high", "low", "prev"))
+    z = z.withColumns({"atr5": full_mean("tr", by_t(), 5), "atr14": full_mean("tr", by_t(), 14), "atr20": full_mean("tr", by_t(), 20), "vol20": full_mean("volume", by_t(), 20), "sd20": full_std("close", by_t(), 20), "sd50": full_std("close", by_t(), 50)})
     return z.withColumns({"vol_ratio": ratio("volume", "vol20"), "atr_ratio": ratio("atr5", "atr20"), "end_offset": F.lit(size - 1) - F.col("t")})
 
 
@@ -68,8 +71,8 @@ def meanrev(ind: DataFrame) -> DataFrame:
 
 def pivot(ind: DataFrame) -> DataFrame:
     """A pullback of 1 to 4 bars from above the 20-bar mean, and a close back above the 10-bar mean and the last close."""
-    lag = lambda c, k: F.lag(c, k).over(BY_T)
-    per = [F.struct(F.lit(k).alias("pb"), lag("close", k + 1).alias("ctx"), lag("ma20", k + 1).alias("ctx_ma"), F.min("low").over(BY_T.rowsBetween(-k, -1)).alias("pull_low")) for k in PULLBACKS]
+    lag = lambda c, k: F.lag(c, k).over(by_t())
+    per = [F.struct(F.lit(k).alias("pb"), lag("close", k + 1).alias("ctx"), lag("ma20", k + 1).alias("ctx_ma"), F.min("low").over(by_t().rowsBetween(-k, -1)).alias("pull_low")) for k in PULLBACKS]
     rows = ind.withColumn("_pb", F.array(*per)).withColumn("pull_ma", lag("ma10", 1)).withColumn("pull_atr", lag("atr14", 1))
     rows = rows.where(F.col("end_offset") < LOOK).where("t >= 5").withColumn("_x", F.explode("_pb")).select("*", "_x.*").where("t - pb >= 1")
     rows = rows.where("ctx > ctx_ma and close > ma10 and close > prev")

@@ -137,14 +137,17 @@ def regimes(bar: DataFrame, *, iterations: int = 5, least: int = 50, smoothed: b
         x = df.sort_values("date").r.to_numpy(float)
         return np.stack([x, np.abs(x)], 1)
 
-    for _ in range(iterations):
-        def stats(df: pd.DataFrame, par=par) -> pd.DataFrame:
+    def stats_of(par):
+        def stats(df: pd.DataFrame) -> pd.DataFrame:
             x = features(df)
             _, g, xi, _ = _passes(x, **par)
             row = [*g[0], *xi.ravel(), *(g.T @ x).ravel(), *(g.T @ x**2).ravel(), *g.sum(0)]
             return pd.DataFrame([row], columns=cols)
 
-        s = np.array(r.groupBy("ticker").applyInPandas(stats, ", ".join(f"{c} double" for c in cols)).agg(*(F.sum(c) for c in cols)).first(), float)
+        return stats
+
+    for _ in range(iterations):
+        s = np.array(r.groupBy("ticker").applyInPandas(stats_of(par), ", ".join(f"{c} double" for c in cols)).agg(*(F.sum(c) for c in cols)).first(), float)
         g = s[14:16][:, None]
         mean = s[6:10].reshape(2, 2) / g
         trans = s[2:6].reshape(2, 2)

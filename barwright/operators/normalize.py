@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from ..functions.scalars import ratio
 
 COLUMNS = ("open", "high", "low", "close", "volume")
-OF_SAMPLE = Window.partitionBy("sample_id")
+
+
+def of_sample():
+    return Window.partitionBy("sample_id")
 
 
 def zscore(rows: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
     """Each value less the mean of its window, in population standard deviations (0 counts as 1)."""
     def z(c):
-        sd = F.stddev_pop(c).over(OF_SAMPLE)
-        return (F.col(c) - F.avg(c).over(OF_SAMPLE)) / F.when(F.coalesce(sd, F.lit(0.0)) == 0, F.lit(1.0)).otherwise(sd)
+        sd = F.stddev_pop(c).over(of_sample())
+        return (F.col(c) - F.avg(c).over(of_sample())) / F.when(F.coalesce(sd, F.lit(0.0)) == 0, F.lit(1.0)).otherwise(sd)
     return rows.withColumns({c: z(c) for c in columns})
 
 
@@ -31,7 +34,7 @@ def robust(rows: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
 
 def returns_relative(rows: DataFrame, order: str = "t") -> DataFrame:
     """Prices over the previous close less 1, and ln(1 + volume)."""
-    prev = F.lag("close").over(OF_SAMPLE.orderBy(order))
+    prev = F.lag("close").over(of_sample().orderBy(order))
     return rows.withColumns({**{c: ratio(F.col(c), prev) - 1 for c in ("open", "high", "low", "close")}, "volume": F.log1p(F.col("volume").cast("double"))})
 
 

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from ..functions.rolling import drawdown, ema_array, true_range
 from ..functions.scalars import log_ratio, no_nan, ratio
 
-BY_T = Window.partitionBy("sample_id").orderBy("t")
+def by_t():
+    return Window.partitionBy("sample_id").orderBy("t")
+
 
 
 @dataclass(frozen=True)
@@ -35,7 +37,7 @@ def tabular(rows: DataFrame, spec: TabularSpec | None = None, *, folds: bool = T
     """One row of features for each sample. `folds` adds the ones that need folds (exponential means, drawdowns)."""
     s = spec or TabularSpec()
     last = s.size - 2
-    rows = rows.withColumn("tr", true_range("high", "low", F.lag("close").over(BY_T))).withColumn("top", F.greatest("open", "close")).withColumn("bottom", F.least("open", "close"))
+    rows = rows.withColumn("tr", true_range("high", "low", F.lag("close").over(by_t()))).withColumn("top", F.greatest("open", "close")).withColumn("bottom", F.least("open", "close"))
     whole = F.col("open").isNotNull() & F.col("high").isNotNull() & F.col("low").isNotNull() & F.col("close").isNotNull()
     back = lambda c, k, upto=last: F.when(F.col("t").between(s.size - 1 - k, upto), c if isinstance(c, Column) else F.col(c))
     at = lambda c, t: F.max(F.when(F.col("t") == t, F.col(c)))
@@ -90,7 +92,7 @@ def shape(rows: DataFrame, *, pos: bool = True, span: int = 20) -> DataFrame:
     range (both carry over missing values)."""
     top = F.when(F.col("open").isNotNull() & F.col("close").isNotNull(), F.greatest("open", "close"))
     low = F.when(F.col("open").isNotNull() & F.col("close").isNotNull(), F.least("open", "close"))
-    prev = F.lag("close").over(BY_T)
+    prev = F.lag("close").over(by_t())
     out = rows.select("sample_id", "t", "close", log_ratio(F.col("close"), prev).alias("r"), log_ratio("high", "low").alias("rr"), log_ratio(F.col("high"), top).alias("u"), log_ratio(low, F.col("low")).alias("l"), log_ratio(top, low).alias("body"), F.when(F.col("volume") >= 0, F.log1p(F.col("volume").cast("double"))).alias("logv"), F.when(F.col("high") >= F.col("low"), true_range("high", "low", prev, first=True)).alias("tr"))
     if not pos:
         return out.drop("close", "tr")
