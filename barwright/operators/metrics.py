@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,11 +36,26 @@ def auroc(preds: DataFrame, by: str | None = None) -> DataFrame:
     return g.select(*_keys(by), ratio("u", (F.col("p") * F.col("q")).cast("double")).alias("auroc"))
 
 
+def _running(preds: DataFrame, by: str | None) -> DataFrame:
+    """preds with rank and hits (positives so far) in the order of score, highest first. In two steps, so that no task
+    holds all rows: ranges of scores are ordered apart, and shifted by the sums of the ranges above (a small table)."""
+    n = int(preds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(preds.agg(F.percentile_approx("score", [i / n for i in range(1, n)] or [0.5])).first()[0] or []))
+    part = reduce(lambda acc, c: acc + (F.col("score") < F.lit(c)).cast("int"), cuts, F.lit(0))
+    keys, pos = _keys(by), (F.col("y_true") == 1).cast("int")
+    rows = preds.withColumn("_p", F.coalesce(part, F.lit(0)))
+    sums = rows.groupBy(*keys, "_p").agg(F.count("*").alias("_n"), F.sum(pos).alias("_h"))
+    above = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, "_p", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"_above{c}") for c in ("_n", "_h")))
+    line = Window.partitionBy(*keys, "_p").orderBy(F.desc("score"), "sample_id")
+    rows = rows.withColumn("rank", F.row_number().over(line)).withColumn("hits", F.sum(pos).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.join(F.broadcast(sums), [*keys, "_p"])
+    return rows.withColumn("rank", F.col("rank") + F.col("_above_n")).withColumn("hits", F.col("hits") + F.col("_above_h"))
+
+
 def auprc(preds: DataFrame, by: str | None = None) -> DataFrame:
     """Average precision in the order of score (highest first), ties in order of sample_id; NULL without positives."""
-    w = Window.partitionBy(*_keys(by)).orderBy(F.desc("score"), "sample_id")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = preds.withColumn("hits", F.sum((F.col("y_true") == 1).cast("int")).over(upto)).withColumn("rank", F.row_number().over(w))
+    rows = _running(preds, by)
     g = rows.groupBy(*_keys(by)).agg(F.sum(F.when(F.col("y_true") == 1, F.col("hits") / F.col("rank"))).alias("s"), F.count_if(F.col("y_true") == 1).alias("p"))
     return g.select(*_keys(by), ratio("s", "p").alias("auprc"))
 
@@ -48,6 +65,8 @@ def at_k(preds: DataFrame, ks: tuple[int, ...] = (25, 50, 100), by: str | None =
     w = Window.partitionBy(*_keys(by)).orderBy(F.desc("score"), "sample_id")
     most = max(ks)
     totals = preds.groupBy(*_keys(by)).agg(F.count("*").alias("n"), F.count_if(F.col("y_true") == 1).alias("p"))
+    if not by:
+        preds = preds.orderBy(F.desc("score"), "sample_id").limit(most)
     top = preds.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
     rows = top.withColumn("k", F.explode(F.array(*(F.lit(k) for k in ks)))).where("rank <= k").groupBy(*_keys(by), "k").agg(F.count_if(F.col("y_true") == 1).alias("tp"))
     out = rows.join(F.broadcast(totals), by) if by else rows.crossJoin(F.broadcast(totals))
