@@ -12,14 +12,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, mix
+from .common import LOWER, blocks, mix, small_batches
 
 BINS = 1 << 13
 GRAMS = (1, 2, 3, 4)
-SAMPLE = 4000  # labelled documents that are fitted on, at most
+SAMPLE = 2000  # labelled documents that are fitted on, at most
 SAMPLE_BYTES = 1 << 14  # of a fitted text so many bytes at most; longer texts aren't fitted on (they are predicted whole)
 AMBIGUOUS = 0.6
 LETTER = regex.compile(r"\p{L}")
@@ -77,10 +77,11 @@ def _fit(x: np.ndarray, y: np.ndarray, names: list[str], ridge: float = 3e-3) ->
     target = code[y]
     # Ridge regression on margins: classes weigh alike, so that a frequent language doesn't take the others' texts.
     w = 1 / np.bincount(y, minlength=len(names))[y]
-    w = (w / w.sum()).astype(np.float64)
-    one = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
-    k = (one * np.sqrt(w)[:, None]) @ (one * np.sqrt(w)[:, None]).T + ridge / len(x) * np.eye(len(x))
-    weights = one.T @ (np.sqrt(w)[:, None] * np.linalg.solve(k, np.sqrt(w)[:, None] * target))
+    w = w / w.sum()
+    root = np.sqrt(w)[:, None]
+    one = np.hstack([x, np.ones((len(x), 1), np.float32)]) * root.astype(np.float32)
+    k = (one @ one.T).astype(np.float64) + ridge / len(x) * np.eye(len(x))
+    weights = one.T @ np.linalg.solve(k, root * target).astype(np.float32)
     hit = (np.sign(one @ weights) == target).T @ w
     trust = np.log(np.clip(hit, 0.5 + 1e-3, 1 - 1e-3) / np.clip(1 - hit, 1e-3, 0.5 - 1e-3))
     return LanguageModel(names, code, weights, trust / trust.sum() * len(trust))
@@ -93,16 +94,19 @@ def fit_language(docs: DataFrame, *, sample: int = SAMPLE, sample_bytes: int = S
     names = sorted(r.lang for r in known.select("lang").distinct().limit(1 + sample // 8).collect())
     if len(names) > sample // 8:
         raise ValueError(f"more than {sample // 8} languages")
-    picked = None
-    for lang in names:
-        own = known.where(F.col("lang") == lang).select("doc_id", "lang").orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id").limit(sample // len(names))
-        picked = own if picked is None else picked.unionByName(own)
     if not names:
         return LanguageModel([], np.zeros((0, 1)), np.zeros((BINS + 1, 1)), np.ones(1))
-    rows = sorted(known.select("doc_id", "text", "lang").join(F.broadcast(picked.distinct()), ["doc_id", "lang"]).collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.lang, r.text))
+    # Salted: of each language 64 parts are cut to the limit before the rest meets, so a frequent one is no hot group.
+    own = known.select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("long")).alias("h")).withColumn("salt", F.pmod("h", F.lit(64)))
+    first = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id")) <= sample // len(names)
+    own = own.withColumn("ok", first("lang", "salt")).where("ok").withColumn("ok", first("lang")).where("ok")
+    picked = own.select("doc_id", "lang").distinct()
+    rows = sorted(known.select("doc_id", "text", "lang").join(F.broadcast(picked), ["doc_id", "lang"]).collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.lang, r.text))
     raw = [r.text.encode() for r in rows]
     off = np.concatenate([[0], np.cumsum([len(t) for t in raw])]).astype(np.int64)
-    x = np.concatenate([features(np.frombuffer(b"".join(raw[i : i + 256]), np.uint8), off[i : i + 257] - off[i]) for i in range(0, len(raw), 256)])
+    x = np.empty((len(raw), BINS), np.float32)
+    for i in range(0, len(raw), 64):
+        x[i : i + 64] = features(np.frombuffer(b"".join(raw[i : i + 64]), np.uint8), off[i : i + 65] - off[i])
     at = {lang: k for k, lang in enumerate(names)}
     return _fit(x, np.array([at[r.lang] for r in rows]), names)
 
@@ -110,15 +114,16 @@ def fit_language(docs: DataFrame, *, sample: int = SAMPLE, sample_bytes: int = S
 def identify_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """(doc_id, lang_pred, score, ambiguous) of docs(doc_id, text): `und` with score 0 for a null text or one without
     a letter. Ambiguous: the best codeword has less than 0.6 of the likelihood."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
         for rows, data, off in blocks(batches, most=1 << 20):
-            for a in range(0, rows.num_rows, 512):
-                part = rows.slice(a, 512)
+            for a in range(0, rows.num_rows, 256):
+                part = rows.slice(a, 256)
                 known = np.array([bool(m.names and x and LETTER.search(x)) for x in part.column(1).to_pylist()])
-                cut = off[a : a + 513]
+                cut = off[a : a + 257]
                 best, score = m.predict(features(data[cut[0] : cut[-1]], cut - cut[0])) if m.names else (np.zeros(part.num_rows, int), np.zeros(part.num_rows))
                 names = [m.names[k] if ok else "und" for k, ok in zip(best, known, strict=True)]
                 score = np.where(known, np.nan_to_num(score), 0.0)
