@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small_side, written
+
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
@@ -52,14 +54,15 @@ def mix(docs: DataFrame, *, seed: str = "mix", weights: tuple[float, ...] = WEIG
 
     A null text has 0 words, a null source is a source of its own, a source without words has target 0 and is taken
     not at all. Rows that repeat an id share its number, so they are taken alike. The sums are aggregated before the
-    shuffle, and the joined table has one row a source: a source with a third of all rows is no hot group.
+    shuffle, and the joined table has one row a source, broadcast after a count: a source with a third of all rows is no
+    hot group.
     """
     own = {"size", "source_size", "target", "copies"}
     sized = docs.drop(*own).withColumn("size", n_words(F.col("text")))
-    targets = source_targets(sized.select("source", "size"), weights=weights, share=share, most=most).withColumnRenamed("source", "_source")
+    targets = written(source_targets(sized.select("source", "size"), weights=weights, share=share, most=most).withColumnRenamed("source", "_source"))
     rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     extra = (uniform(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
-    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    joined = sized.join(small_side(targets), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     return joined.withColumn("copies", F.least(F.floor(rate) + extra, F.lit(most).cast("long")))
 
 
