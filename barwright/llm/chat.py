@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .common import small_batches
+
 #: The markers of the template: before a role, between role and text, after a text.
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 SEGMENT = 1 << 20  # characters after which a long conversation goes on in a further row, between two turns
@@ -112,6 +114,7 @@ def format_conversations(conversations: DataFrame, tokenizer_path: str, *, loss_
     very long one goes on in further segments, so no task holds more than about 1 MB of its text at once beyond its
     longest turn. Extra columns aren't read.
     """
+    small_batches(conversations.sparkSession)
     rows = conversations.select(F.col("conv_id").cast("long"), "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return rows.select("conv_id", "role", "text").mapInArrow(_format(tokenizer_path, loss_role), FORMATTED)
 

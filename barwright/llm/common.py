@@ -38,6 +38,21 @@ def written(df: DataFrame, *, partitions: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_ROWS = 1 << 18  # narrow rows (ids) that are broadcast at most: some MB
+
+
+def small_side(ids: DataFrame) -> DataFrame:
+    """A written table of ids to join texts with: broadcast if it is counted to be small, so that texts stay where they
+    are; else texts are shuffled and the ids are the hashed side, so that texts aren't sorted."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids.hint("shuffle_hash")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session hold at most 1,000 rows and 8 MB, so that long texts fit into a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 # ------------------------------------------------------------------ blocks of text
 
 BLOCK_BYTES = 2 << 20  # text bytes worked on at once; a longer document is a block of its own
@@ -152,7 +167,7 @@ class Heavy:
     """Keys that are frequent within pieces of a task's rows: a key on a share of all documents of `share` or more
     reaches it in some piece, so it is always found. add() and rest() give (keys, counts in the piece)."""
 
-    def __init__(self, share: float, least: int, piece: int = 1 << 22):
+    def __init__(self, share: float, least: int, piece: int = 1 << 20):
         self.share, self.least, self.piece = share, least, piece
         self.held, self.n, self.docs = [], 0, 0
 

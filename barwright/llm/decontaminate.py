@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, blocks, buffer_of, contains, word_hashes, word_spans, written
+from .common import ALNUM, LOWER, blocks, buffer_of, contains, small_batches, word_hashes, word_spans, written
 
 WINDOW = 10
 BENCHMARK_BYTES = 32 << 20  # benchmark text in one automaton; a larger benchmark takes several passes
@@ -189,6 +189,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, benc
     worked through in parts, one pass over docs each.
     """
     spark, kind = docs.sparkSession, "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<long>, bytes array<struct<start:long,end:long>>"
+    small_batches(spark)
     text = docs.select(F.col("doc_id").cast("long"), "text")
     bench = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), "text")
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -258,6 +259,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDO
     """docs (columns as they are) with hit spans cut out of text; documents with a span of more than `most_words` words
     or with more than `most_share` of their words hit are dropped. Documents without hits stay byte for byte."""
     spark = docs.sparkSession
+    small_batches(spark)
     bench = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), "text")
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     out, groups = docs, [None] if size <= BENCHMARK_BYTES else _parts(bench, BENCHMARK_BYTES)

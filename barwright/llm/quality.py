@@ -16,6 +16,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 PIECE = 1024
 DICTIONARY_BYTES = 112_640
 LEVEL = 3
@@ -107,6 +109,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, sam
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with score_col, the probability of class 1 for every whole text; null scores as the empty text. All other
     columns pass as they are; a column of that name is replaced."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.drop(score_col)
     at = kept.columns.index(text_col)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprints, language, mixing, quality, sharding, token_files
+from . import chat, decontaminate, fingerprints, language, mixing, oracles, quality, sharding, token_files
 from .common import table
 from .ngram_join import ngram_join
 from .substring_dedup import substring_dedup
@@ -30,7 +30,7 @@ def bucket_of_id(n: int) -> F.Column:
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of documents: 5-word shingles, Jaccard of 0.8 or more."""
-    return ngram_join(table(spark, sf_dir, "documents"))
+    return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents that 50-word windows of earlier documents repeat."""
-    return substring_dedup(table(spark, sf_dir, "documents")).withColumn("removed", F.to_json("removed"))
+    return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +101,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in every}
 
 
-ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE}
-
-
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return dict(oracles.ORACLES)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import LOWER, SPACED, blocks, shared_dir, word_spans
+from .common import LOWER, SPACED, blocks, shared_dir, small_batches, word_spans
 
 LENGTH = 2048  # tokens in a sequence
 BATCH_ROWS = 64  # sequences in a record batch
@@ -169,6 +169,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
     first. `wide`: ids of 32 bits instead of 16. `by_word`: the tokenizer never joins words across ASCII white space.
     `folder` must be a place that executors share (default: a new folder under spark.checkpoint.dir).
     """
+    small_batches(docs.sparkSession)
     folder = folder or shared_dir(docs.sparkSession)
 
     def run(batches):
