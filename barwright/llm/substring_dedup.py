@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACED, Heavy, blocks, contains, heavy_keys, long_array, mix, run_hash, word_hashes, word_spans, written
+from .common import SPACED, Heavy, blocks, contains, heavy_keys, long_array, mix, run_hash, small_batches, word_hashes, word_spans, written
 
 WINDOW = 50
 PERIOD = 31
@@ -65,7 +65,7 @@ def _scan(window: int, period: int):
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(np.zeros(n, np.int64)), long_array(found[1]), pa.nulls(n, pa.string()), long_array(found[0])], names)
 
     def run(batches):
-        heavy, seen = Heavy(HOT_SHARE, 8, 1 << 21), set()
+        heavy, seen = Heavy(HOT_SHARE, 8), set()
         for rows, data, off, first, words in _documents(batches):
             runs, whole, keys, raw = run_hash(words, length), [], [], data.tobytes()
             for d in range(rows.num_rows):
@@ -172,6 +172,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if not 0 < period < window:
         raise ValueError("period must be less than window")
+    small_batches(docs.sparkSession)
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = written(text.mapInArrow(_scan(window, period), "kind int, doc_id long, n_words long, whole string, c long"))
     hot = heavy_keys(found.where("kind = 1").select(F.col("c").alias("key"), F.col("n_words").alias("n")), HOT_LIST)
@@ -187,7 +188,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = written(text.join(need.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "marks"))
 
     windows = texts.mapInArrow(_windows(window, period), "w1 long, w2 int, doc_id long, pos int")
-    least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
+    # Written, so that the join below is a stage of its own, whose hot windows Spark can split.
+    least = written(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi"))
     repeats = windows.join(least, ["w1", "w2"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("pos").alias("pos"))
     cut = texts.select("doc_id", "text").distinct().join(repeats, "doc_id").select("doc_id", "text", "pos").mapInArrow(_cut(window), "doc_id long, n_removed long, kept_sha256 string, removed array<struct<start:int,end:int>>")
     cut = cut.withColumnRenamed("doc_id", "cut_id")
