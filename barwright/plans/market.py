@@ -150,7 +150,7 @@ IND = """, tr AS (SELECT *, lag(close) OVER w AS pc, greatest(high - low, abs(hi
 tr1 AS (SELECT *, CASE WHEN pc IS NOT NULL THEN tr0 END AS tr FROM tr)"""
 
 
-@query(with_("bars") + IND + f" SELECT ticker, date, {r('tr')} AS true_range FROM tr1")
+@query(with_("bars") + IND + f" SELECT ticker, date, {r('tr')} AS true_range FROM tr1", name="true_range")
 def true_range_bars(spark, sf):
     w = by("ticker", order="date")
     df = S.bars(spark, sf).withColumn("pc", F.lag("close").over(w))
@@ -228,7 +228,7 @@ def universe_dedupe(spark, sf):
     return U.prefer_source(two).select("ticker", "name", "source_rank")
 
 
-@query("SELECT DISTINCT p_brand AS ticker, replace(lower(replace(p_brand, '#', '-')), '-', '.') || '.us' AS us_lower, upper(replace(replace(p_brand, '#', '.'), '.', '-')) AS dashed FROM part")
+@query("SELECT DISTINCT p_brand AS ticker, replace(lower(replace(p_brand, '#', '-')), '-', '.') || '.us' AS us_lower, upper(replace(replace(p_brand, '#', '.'), '.', '-')) AS dashed FROM part", name="vendor_symbol")
 def vendor_symbols(spark, sf):
     t = S.table(spark, sf, "part").select(F.col("p_brand").alias("ticker")).distinct()
     return t.select("ticker", vendor_symbol(F.replace("ticker", F.lit("#"), F.lit("-")), "us_lower").alias("us_lower"), vendor_symbol(F.replace("ticker", F.lit("#"), F.lit(".")), "dashed").alias("dashed"))
