@@ -106,7 +106,7 @@ def flag(ind: DataFrame) -> DataFrame:
 def every(last: DataFrame, size: int = 100) -> DataFrame:
     """All templates, in their order; of equal (ticker, asof_date, setup) the first stays. Columns that a template lacks
     are NULL."""
-    ind = indicators(last, size)
+    ind = indicators(last, size).persist()  # each template reads it
     parts = [f(ind).withColumn("_k", F.lit(k)) for k, f in enumerate((gap, meanrev, pivot, flag))]
     rows = parts[0]
     for p in parts[1:]:

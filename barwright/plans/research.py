@@ -241,7 +241,7 @@ FEATS = ["gap_pct", "atr_short", "return_log_20", "dist_ma20_z", "volume_shock_2
 def training(spark, sf):
     """Tabular features with labels, split by time: the last fifth tests, the fifth before validates."""
     bar, samp, sess = base(spark, sf)
-    x = X.tabular(W.windowed(samp, sess, bar, 60), folds=False)
+    x = X.tabular(W.windowed(samp, sess, bar, 60), folds=False).persist()  # medians, fit and scores read it
     cuts = samp.agg(F.percentile_approx(F.unix_date("asof_date"), [0.6, 0.8]).alias("q"))
     rows = x.join(samp.select("sample_id", F.col("label").cast("double").alias("y"), "asof_date"), "sample_id").crossJoin(F.broadcast(cuts))
     day = F.unix_date("asof_date")
@@ -293,7 +293,7 @@ def rerank_latest(spark, sf):
     """Latest candidates, scored by a model on their windows' z-scores and lengths, the highest first."""
     cands = C.every(B.last_n(S.bars(spark, sf)))
     rows = cands.select("ticker", "setup", "cand_t_end", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("cand_z", "cand_gap_pct", "cand_depth_atr")), F.col("cand_length").cast("double").alias("cand_length"))
-    rows = rows.withColumn("y", (F.abs("cand_z") > 2).cast("double")).withColumn("weight", F.lit(1.0))
+    rows = rows.withColumn("y", (F.abs("cand_z") > 2).cast("double")).withColumn("weight", F.lit(1.0)).persist()
     vec = M.prepared(rows, ["cand_gap_pct", "cand_depth_atr", "cand_length"], train="true")
     scored = M.logistic(vec, train="true").select("ticker", "setup", "cand_t_end", "score")
     return with_rounded(scored.orderBy(F.desc("score"), "ticker", "setup").limit(200), "score", places=4)
