@@ -19,14 +19,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACED, Heavy, blocks, contains, heavy_keys, long_array, mix, run_hash, word_hashes, word_spans, written
+from .common import LOWER, SPACED, Heavy, blocks, contains, heavy_keys, long_array, mix, run_hash, small_batches, small_side, word_hashes, word_spans, written
 from .graph import connected_components
 
 WORDS = 5
 PERCENT = 80
 HOT_LIST = 1 << 16  # at most so many frequent hashes are put last (512 KB sent to tasks); any list gives the same links
 HOT_SHARE = 1 / 1024  # a hash on this share of all documents is always a candidate for that list
-BLOCK_DOCS = 256  # a larger block is walked in parts
+BLOCK_DOCS = 2048  # a larger block is walked in parts
 FANOUT = 8
 
 
@@ -49,8 +49,9 @@ def shingle_sets(batches: Iterator[pa.RecordBatch], words: int = WORDS) -> Itera
 
 
 def set_keys(u: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit hashes of a set."""
-    return int(mix(np.array([u.sum(dtype=np.uint64)]))[0]), int(mix(u ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
+    """A 48-bit and a 64-bit hash of a set. The first goes with every first hash; sets that share it by chance are only
+    compared once more."""
+    return int(mix(np.array([u.sum(dtype=np.uint64)]))[0]) >> 16, int(mix(u ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
 
 
 def first_hashes(u: np.ndarray, hot: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -102,7 +103,8 @@ def _firsts(hot: np.ndarray, words: int, percent: int):
             for u in sets:
                 if len(u) and (s := set_keys(u)[0]) not in seen:
                     seen.add(s)
-                    tokens.append(t := first_hashes(u, hot, percent))
+                    # 48 bits deal the blocks: two hashes that agree in them by chance only make a block larger.
+                    tokens.append(t := first_hashes(u, hot, percent) & np.uint64(0xFFFFFFFFFFFF0000))
                     owners.append(np.full(len(t), s, np.uint64))
             if len(seen) > 1 << 20:
                 seen.clear()
@@ -128,8 +130,8 @@ def _tokens(words: int):
 
 
 def width_of(n: int) -> int:
-    """Bits of the bitmap of a set of n tokens: 4 to 8 a token, a power of two."""
-    return max(64, 1 << (4 * n - 1).bit_length())
+    """Bits of the bitmap of a set of n tokens: 2 to 4 a token, a power of two."""
+    return max(64, 1 << (2 * n - 1).bit_length())
 
 
 def bitmap(u: np.ndarray) -> bytes:
@@ -304,8 +306,8 @@ def walk_parts(parts: DataFrame, signatures: DataFrame, text: DataFrame, percent
     of those that bitmaps leave are read again; texts are shuffled once, the small side is hashed."""
     rows = parts.join(signatures.select("s1", "n", "bits"), "s1").select("leader", "part", "s1", "comp", "n", "bits").repartition("leader", "part").sortWithinPartitions("leader", "part", "s1")
     left = written(rows.mapInArrow(_possible(percent), "leader long, part string, sub long, s1 long, comp long"))
-    need = signatures.join(left.select("s1").distinct(), "s1", "left_semi").select(F.col("node").alias("doc_id"), "s1")
-    tokens = text.join(need.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "s1").mapInArrow(_tokens(words), "s1 long, node long, tokens binary")
+    need = written(signatures.join(left.select("s1").distinct(), "s1", "left_semi").select(F.col("node").alias("doc_id"), "s1"))
+    tokens = text.join(small_side(need), "doc_id").select("doc_id", "text", "s1").mapInArrow(_tokens(words), "s1 long, node long, tokens binary")
     rows = left.join(tokens, "s1").select("leader", "part", "sub", "node", "comp", "tokens").repartition("leader", "part", "sub").sortWithinPartitions("leader", "part", "sub", "node")
     return written(rows.mapInArrow(_exact(percent), "a long, b long").distinct())
 
@@ -320,6 +322,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words are one shingle. Equal sets share a class_id (its smallest id) and are linked. Rows that repeat an id count
     as one row each. Other columns of docs aren't read.
     """
+    small_batches(docs.sparkSession)
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = written(text.mapInArrow(_classes(words), "kind int, doc_id long, n long, s1 long, s2 long, bits binary"))
     hot = heavy_keys(found.where("kind = 1").select(F.col("s1").alias("key"), "n"), HOT_LIST)
@@ -328,14 +331,17 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # Blocks: sets that share a first hash; each block is named by its smallest key.
     firsts = text.mapInArrow(_firsts(hot, words, percent), "token long, s long")
-    shared = firsts.groupBy("token").agg(F.min("s").alias("leader"), F.max("s").alias("last")).where("leader < last").select("token", "leader")
+    # Written, so that the join below is a stage of its own, whose hot hashes Spark can split.
+    # Counts are small numbers and shuffle well; a hash that only copies of one set share makes a block of one, which goes.
+    shared = written(firsts.groupBy("token").agg(F.min("s").alias("leader"), F.count("*").alias("k")).where("k > 1").select("token", "leader"))
     members = written(firsts.join(shared, "token").select("leader", F.col("s").alias("s1")).distinct())
-    sized = members.groupBy("leader").agg(F.count("*").alias("size"))
-    own = classes.join(members.select("s1").distinct(), "s1", "left_semi").withColumnRenamed("node", "doc_id")
+    sized = written(members.groupBy("leader").agg(F.count("*").alias("size")).where("size > 1"))
+    inner = members.join(sized, "leader")
+    own = classes.join(inner.select("s1").distinct(), "s1", "left_semi").withColumnRenamed("node", "doc_id")
     signatures = written(found.where("kind = 0").select("doc_id", "s1", "s2", "n", "bits").join(own, ["doc_id", "s1", "s2", "n"]).withColumnRenamed("doc_id", "node").select("s1", "node", "n", "bits"))
 
     parts = F.ceil(F.col("size") / block_docs)
-    rest = members.where("s1 <> leader").join(sized, "leader").select("leader", F.pmod(F.xxhash64("s1"), parts).cast("string").alias("part"), "s1")
+    rest = inner.where("s1 <> leader").select("leader", F.pmod(F.xxhash64("s1"), parts).cast("string").alias("part"), "s1")
     heads = sized.select("leader", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda x: x.cast("string"))).alias("part"), F.col("leader").alias("s1"))
     links = walk_parts(rest.unionByName(heads).withColumn("comp", F.lit(None).cast("long")), signatures, text, percent, words)
 
