@@ -309,8 +309,17 @@ def regime_hmm(spark, sf):
 
 @query("SELECT 'model' || (user_id % 2) AS model, event_type AS setup, 'run' || event_id AS run, round(value, 4) + 0.0 AS value, CAST(user_id AS VARCHAR) AS user FROM events WHERE event_id % 10 = 0")
 def run_index(spark, sf):
-    """Run folders derived from events: a metrics file each, flattened again."""
-    e = S.table(spark, sf, "events").where("event_id % 10 = 0")
+    """Run folders derived from every tenth event: a metrics file each, flattened again."""
+    return runs_of(S.table(spark, sf, "events").where("event_id % 10 = 0"))
+
+
+@query("SELECT 'model' || (user_id % 2) AS model, event_type AS setup, 'run' || event_id AS run, round(value, 4) + 0.0 AS value, CAST(user_id AS VARCHAR) AS user FROM events")
+def run_index_all(spark, sf):
+    """Every event is a run folder."""
+    return runs_of(S.table(spark, sf, "events"))
+
+
+def runs_of(e):
     path = F.concat_ws("/", F.lit("runs"), F.concat(F.lit("model"), (F.col("user_id") % 2).cast("string")), "event_type", F.concat(F.lit("run"), F.col("event_id").cast("string")), F.lit("metrics.json"))
     text = F.to_json(F.struct(F.struct(F.col("value").alias("value"), F.struct(F.col("user_id").alias("id")).alias("user")).alias("test"), F.array(F.lit(1), F.lit(2)).alias("ks")))
     idx = R.run_index(e.select(path.alias("path"), text.alias("value")))

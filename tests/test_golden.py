@@ -193,3 +193,11 @@ def test_flatten_json(spark):
     df = spark.createDataFrame([("f", '{"a":1,"b":{"c":[1,2],"d":{"e":{"f":3}}}}')], "file string, value string")
     got = {r.key: r.val for r in runs.flatten_json(df).collect()}
     assert got == {"a": "1", "b.c": "[1,2]", "b.d.e": '{"f":3}'}
+
+
+def test_every_event_is_a_run(spark, sf_dir):
+    from barwright.plans import research
+
+    ids = {f"run{r.event_id}" for r in spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id").collect()}
+    got = [r.run for r in research.run_index_all(spark, sf_dir).collect()]
+    assert len(got) == len(ids) and set(got) == ids
