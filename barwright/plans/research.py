@@ -348,13 +348,23 @@ def _folder(spark):
 
 @query(with_("bars") + "SELECT ticker, date, round(CASE WHEN day(date) % 4 = 0 THEN close * 1.01 ELSE close END, 6) + 0.0 AS close, volume FROM bars WHERE date >= DATE '1998-06-01'")
 def bars_upsert_stream(spark, sf):
-    """Two drops of bars, the later with corrections, streamed into a table by date."""
+    """Two drops of bars from June 1998 on, the later with corrections, streamed into a table by date."""
+    return streamed(spark, S.bars(spark, sf).where("date >= date '1998-06-01'"))
+
+
+@query(with_("bars") + "SELECT ticker, date, round(CASE WHEN day(date) % 4 = 0 THEN close * 1.01 ELSE close END, 6) + 0.0 AS close, volume FROM bars")
+def bars_upsert_stream_all(spark, sf):
+    """The same for all bars."""
+    return streamed(spark, S.bars(spark, sf))
+
+
+def streamed(spark, bar):
     base_dir = _folder(spark)
-    bar = S.bars(spark, sf).where("date >= date '1998-06-01'").select("ticker", "date", "close", "volume", F.lit("2000-01-01").cast("timestamp").alias("asof_ts"))
-    bar.coalesce(1).write.parquet(f"{base_dir}/drops")
+    bar = bar.select("ticker", "date", "close", "volume", F.lit("2000-01-01").cast("timestamp").alias("asof_ts"))
+    bar.write.parquet(f"{base_dir}/drops")
     fix = bar.where(F.dayofmonth("date") % 4 == 0).withColumn("close", F.col("close") * 1.01).withColumn("asof_ts", F.lit("2000-02-01").cast("timestamp"))
-    for k, rows in enumerate((None, fix)):
+    for rows in (None, fix):
         if rows is not None:
-            rows.coalesce(1).write.mode("append").parquet(f"{base_dir}/drops")
+            rows.write.mode("append").parquet(f"{base_dir}/drops")
         start_stream(spark, f"{base_dir}/drops", bar.schema, f"{base_dir}/table", f"{base_dir}/state").awaitTermination()
     return with_rounded(spark.read.schema(bar.schema).parquet(f"{base_dir}/table").select("ticker", "date", "close", "volume"), "close")

@@ -201,3 +201,12 @@ def test_every_event_is_a_run(spark, sf_dir):
     ids = {f"run{r.event_id}" for r in spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id").collect()}
     got = [r.run for r in research.run_index_all(spark, sf_dir).collect()]
     assert len(got) == len(ids) and set(got) == ids
+
+
+def test_early_bars_are_streamed(spark, sf_dir):
+    from barwright.plans import research
+    from barwright.sources import tables
+
+    early = tables.bars(spark, sf_dir).where("date < date '1998-06-01' and day(date) = 1").repartition(3)
+    got = research.streamed(spark, early)
+    assert got.count() == got.select("ticker", "date").distinct().count() == early.count() > 0
