@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import ticker_bucket
 
 EPS = 1e-12
-QUERY_ROWS = 10_000  # queries that are broadcast at most
+QUERY_ROWS = 10_000  # queries that are broadcast at once
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -25,22 +27,27 @@ def unit(a: str | Column) -> Column:
     return F.transform(a, lambda x: x.cast("double") / n)
 
 
-def cosine_pairs(items: DataFrame, queries: DataFrame, key: str, vector: str) -> DataFrame:
-    """(query, key, cosine) of a stated, bounded query set against all items: the queries are broadcast after a count,
-    so items stay where they are; more queries than that go in several calls."""
-    n = queries.count()
-    if n > QUERY_ROWS:
-        raise ValueError(f"{n} queries; at most {QUERY_ROWS} in one call")
+def cosine_pairs(items: DataFrame, queries: DataFrame, key: str, vector: str, *, block: int = QUERY_ROWS) -> DataFrame:
+    """(query, key, cosine) of a stated query set against all items: the queries are broadcast after a count, so items
+    stay where they are; more than `block` go in blocks of about so many, one pass over the items each."""
+    return reduce(DataFrame.unionByName, _by_block(items, queries, key, vector, block))
+
+
+def _by_block(items: DataFrame, queries: DataFrame, key: str, vector: str, block: int) -> list[DataFrame]:
+    """The pairs of each block of queries; all rows of a query are in one block."""
+    n = max(1, math.ceil(queries.count() / block))
     q = queries.select(F.col(key).alias("query"), unit(vector).alias("_q"))
-    return items.select(key, unit(vector).alias("_v")).crossJoin(F.broadcast(q)).select("query", key, dot("_q", "_v").alias("cosine"))
+    own = [q] if n == 1 else [q.where(F.pmod(F.xxhash64("query"), F.lit(n)) == k) for k in range(n)]
+    v = items.select(key, unit(vector).alias("_v"))
+    return [v.crossJoin(F.broadcast(x)).select("query", key, dot("_q", "_v").alias("cosine")) for x in own]
 
 
-def nearest(items: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+def nearest(items: DataFrame, queries: DataFrame, key: str, vector: str, k: int, *, block: int = QUERY_ROWS) -> DataFrame:
     """The k nearest items of each query, itself left out, ties in order of key. Exact; the limit by group is applied
-    before the exchange."""
-    pairs = cosine_pairs(items, queries, key, vector).where(F.col("query") != F.col(key))
+    before the exchange, in each block of queries."""
     w = Window.partitionBy("query").orderBy(F.desc("cosine"), key)
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    best = [p.where(F.col("query") != F.col(key)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) for p in _by_block(items, queries, key, vector, block)]
+    return reduce(DataFrame.unionByName, best)
 
 
 def _projection(d_in: int, d_out: int, seed: int) -> np.ndarray:

@@ -213,6 +213,22 @@ def knn_cosine(spark, sf):
     return E.nearest(e, e.where("vec_id < 10"), "vec_id", "embedding", 10).select("query", "vec_id", "rank")
 
 
+STATED = VEC.replace("q.vec_id < 10", "q.vec_id % 100 = 0")
+
+
+@query("WITH " + STATED + " SELECT query, vec_id, round(cosine, 5) + 0.0 AS cosine FROM cp")
+def cosine_pairs_stated(spark, sf):
+    """Every hundredth id as a query, so that queries grow with the table."""
+    e = S.table(spark, sf, "embeddings")
+    return with_rounded(E.cosine_pairs(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding"), "cosine", places=5)
+
+
+@query("WITH " + STATED + " SELECT query, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, vec_id) AS rank FROM cp WHERE query <> vec_id) WHERE rank <= 10")
+def knn_cosine_stated(spark, sf):
+    e = S.table(spark, sf, "embeddings")
+    return E.nearest(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 10).select("query", "vec_id", "rank")
+
+
 def index_rows(spark, sf):
     rows = N.zscore(N.returns_relative(slide_rows(spark, sf).withColumnRenamed("window_id", "sample_id").withColumnRenamed("pos", "t")).select("sample_id", "t", *PC), PC)
     wins = W.sliding(S.bars(spark, sf), (16,), 50)

@@ -210,3 +210,21 @@ def test_early_bars_are_streamed(spark, sf_dir):
     early = tables.bars(spark, sf_dir).where("date < date '1998-06-01' and day(date) = 1").repartition(3)
     got = research.streamed(spark, early)
     assert got.count() == got.select("ticker", "date").distinct().count() == early.count() > 0
+
+
+def test_queries_in_blocks(spark):
+    import numpy as np
+
+    from barwright.operators import embed
+
+    rng = np.random.default_rng(0)
+    v = rng.standard_normal((60, 4))
+    items = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    cos = u @ u.T
+    asked = items.where("id % 3 = 0")
+    pairs = {(r.query, r.id): r.cosine for r in embed.cosine_pairs(items, asked, "id", "v", block=7).collect()}
+    assert len(pairs) == 20 * 60 and all(abs(cos[k] - x) < 1e-9 for k, x in pairs.items())
+    got = {(r.query, r["rank"]): r.id for r in embed.nearest(items, asked, "id", "v", 3, block=7).collect()}
+    want = {(q, k + 1): i for q in range(0, 60, 3) for k, i in enumerate([i for i in np.argsort(-cos[q]) if i != q][:3])}
+    assert got == want
