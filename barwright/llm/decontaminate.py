@@ -18,6 +18,7 @@ from .common import ALNUM, LOWER, blocks, buffer_of, contains, small_batches, wo
 
 WINDOW = 10
 BENCHMARK_BYTES = 32 << 20  # benchmark text in one automaton; a larger benchmark takes several passes
+SHAPE = "n_words long, spans array<struct<start:long,end:long>>, items array<long>, bytes array<struct<start:long,end:long>>"
 
 
 class SuffixAutomaton:
@@ -179,6 +180,23 @@ def _parts(benchmark: DataFrame, most: int) -> list[list[int]]:
     return parts
 
 
+def _merged_hits(text: DataFrame, bench: DataFrame, window: int, most: int) -> DataFrame:
+    """(doc_id, n_words, spans, items, bytes) for each doc_id of text with hits, found part by part on the same text.
+    doc_id must be a key of text's rows, and fixed."""
+    spark, kind = text.sparkSession, f"doc_id {text.schema['doc_id'].dataType.simpleString()}, {SHAPE}"
+    found = None
+    for part in _parts(bench, most):
+        own = bench.where(F.col("item_id").between(part[0], part[-1]))
+        shared = spark.sparkContext.broadcast(build([(r.item_id, r.text) for r in own.orderBy("item_id").collect()], window))
+        hits = written(text.mapInArrow(_scan(shared, window, False), kind))
+        shared.unpersist()
+        found = hits if found is None else found.unionByName(hits)
+    both = F.transform(F.arrays_zip("spans", "bytes"), lambda x: F.struct(x["spans"]["start"].alias("start"), x["spans"]["end"].alias("end"), x["bytes"]["start"].alias("a"), x["bytes"]["end"].alias("b")))
+    joined = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list(both))).alias("both"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    pick = lambda a, b: F.transform("both", lambda x: F.struct(x[a].alias("start"), x[b].alias("end")))
+    return joined.withColumn("both", _merged("both")).select("doc_id", "n_words", pick("start", "end").alias("spans"), "items", pick("a", "b").alias("bytes"))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, benchmark_bytes: int = BENCHMARK_BYTES) -> DataFrame:
     """(doc_id, n_words, spans, items, bytes) for each row of docs(doc_id, text): merged spans of hit words (word and
     byte positions) and the items with a window in it.
@@ -186,37 +204,30 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, benc
     Null, empty and wordless texts have no words and no hits, items without words no windows. Words are lower-cased
     (A-Z) runs of letters and digits, all bytes from 0x80 counting as letters. Item ids must be integers; items with
     a null id are left out, rows that repeat an id are items of one id. A benchmark of more than `benchmark_bytes` is
-    worked through in parts, one pass over docs each.
+    worked through in parts, one pass over the texts each; their hits meet by row, so that repeated ids stay apart.
     """
-    spark, kind = docs.sparkSession, "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<long>, bytes array<struct<start:long,end:long>>"
+    spark = docs.sparkSession
     small_batches(spark)
     text = docs.select(F.col("doc_id").cast("long"), "text")
     bench = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), "text")
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size <= benchmark_bytes:
         shared = spark.sparkContext.broadcast(build([(r.item_id, r.text) for r in bench.orderBy("item_id").collect()], window))
-        return text.mapInArrow(_scan(shared, window, True), kind)
-    parts = _parts(bench, benchmark_bytes)
-    found = None
-    for part in parts:
-        own = bench.where(F.col("item_id").between(part[0], part[-1]))
-        shared = spark.sparkContext.broadcast(build([(r.item_id, r.text) for r in own.orderBy("item_id").collect()], window))
-        hits = written(text.mapInArrow(_scan(shared, window, False), kind))
-        shared.unpersist()
-        found = hits if found is None else found.unionByName(hits)
+        return text.mapInArrow(_scan(shared, window, True), f"doc_id long, {SHAPE}")
+    rows = written(text.withColumn("_row", F.monotonically_increasing_id()))
+    found = _merged_hits(rows.select(F.col("_row").alias("doc_id"), "text"), bench, window, benchmark_bytes)
     none = spark.sparkContext.broadcast(build([], window))
-    every = text.mapInArrow(_scan(none, window, True), kind).select("doc_id", "n_words")
-    joined = found.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("bytes"))).alias("bytes"))
-    empty = F.array()
-    return every.join(joined.withColumns({c: _merged(c) for c in ("spans", "bytes")}), "doc_id", "left").select("doc_id", "n_words", *(F.coalesce(c, empty.cast(f"array<{'long' if c == 'items' else 'struct<start:long,end:long>'}>")).alias(c) for c in ("spans", "items", "bytes")))
+    every = rows.select(F.struct("_row", F.col("doc_id").alias("id")).alias("doc_id"), "text").mapInArrow(_scan(none, window, True), f"doc_id struct<_row:long,id:long>, {SHAPE}").select("doc_id.*", "n_words")
+    joined = every.join(found.drop("n_words").withColumnRenamed("doc_id", "_row"), "_row", "left")
+    return joined.select(F.col("id").alias("doc_id"), "n_words", *(F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c) for c in ("spans", "items", "bytes")))
 
 
 def _merged(c: str):
-    """Sorted spans joined where they meet."""
+    """Sorted spans (words start to end, bytes a to b) joined where their words meet."""
     last = "element_at(acc, -1)"
     return F.expr(
-        f"aggregate({c}, cast(array() as array<struct<start:bigint,end:bigint>>), (acc, x) -> case when size(acc) > 0 and {last}.end >= x.start"
-        f" then concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', {last}.start, 'end', greatest({last}.end, x.end)))) else concat(acc, array(x)) end)"
+        f"aggregate({c}, cast(array() as array<struct<start:bigint,end:bigint,a:bigint,b:bigint>>), (acc, x) -> case when size(acc) > 0 and {last}.end >= x.start"
+        f" then concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', {last}.start, 'end', greatest({last}.end, x.end), 'a', {last}.a, 'b', greatest({last}.b, x.b)))) else concat(acc, array(x)) end)"
     )
 
 
@@ -227,6 +238,18 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     return matches(docs, benchmark, **options).select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+def _cut(text: str | None, n: int, spans: list, where: list, most_words: int, most_share: float) -> tuple[str | None, bool]:
+    """text without the byte spans `where`, and whether its hit words go beyond the limits."""
+    if not spans:
+        return text, False
+    raw, parts, last = text.encode(), [], 0
+    for x in where:
+        parts.append(raw[last : x["start"]])
+        last = x["end"]
+    sizes = [x["end"] - x["start"] for x in spans]
+    return b"".join([*parts, raw[last:]]).decode(), sum(sizes) > most_share * n or max(sizes) > most_words
+
+
 def _without(shared, window: int, most_words: int, most_share: float):
     """Rows without the byte spans that _scan finds; `gone` marks documents beyond the limits. All columns pass."""
     scan = _scan(shared, window, True)
@@ -236,38 +259,49 @@ def _without(shared, window: int, most_words: int, most_share: float):
             names = batch.schema.names
             at = names.index("text")
             rows = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(at)], ["doc_id", "text"])
-            texts, gone = [], []
+            cut = []
             for found in scan(iter([rows])):
                 for k, n, spans, where in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), found.column(2).to_pylist(), found.column(4).to_pylist(), strict=True):
-                    hit = sum(x["end"] - x["start"] for x in spans)
-                    gone.append(bool(spans) and (hit > most_share * n or max(x["end"] - x["start"] for x in spans) > most_words))
-                    if where:
-                        raw, parts, last = batch.column(at)[k].as_py().encode(), [], 0
-                        for x in where:
-                            parts.append(raw[last : x["start"]])
-                            last = x["end"]
-                        texts.append(b"".join([*parts, raw[last:]]).decode())
-                    else:
-                        texts.append(batch.column(at)[k].as_py())
-            columns = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.bool_())], [*names, "_gone"])
+                    cut.append(_cut(batch.column(at)[k].as_py(), n, spans, where, most_words, most_share))
+            yield _replaced(batch, names, cut)
+
+    return run
+
+
+def _without_found(most_words: int, most_share: float):
+    """The same with hits found before, in the last columns n_words, spans and bytes."""
+
+    def run(batches):
+        for batch in batches:
+            names = batch.schema.names[:-3]
+            texts, *hits = (batch.column(k).to_pylist() for k in (names.index("text"), -3, -2, -1))
+            yield _replaced(batch, names, [_cut(t, n, spans or [], where or [], most_words, most_share) for t, n, spans, where in zip(texts, *hits, strict=True)])
 
     return run
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, most_words: int = 1000, most_share: float = 0.5) -> DataFrame:
+def _replaced(batch: pa.RecordBatch, names: list[str], cut: list[tuple[str | None, bool]]) -> pa.RecordBatch:
+    columns = [pa.array([t for t, _ in cut], pa.string()) if name == "text" else batch.column(k) for k, name in enumerate(names)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array([gone for _, gone in cut], pa.bool_())], [*names, "_gone"])
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, most_words: int = 1000, most_share: float = 0.5, benchmark_bytes: int = BENCHMARK_BYTES) -> DataFrame:
     """docs (columns as they are) with hit spans cut out of text; documents with a span of more than `most_words` words
-    or with more than `most_share` of their words hit are dropped. Documents without hits stay byte for byte."""
+    or with more than `most_share` of their words hit are dropped. Documents without hits stay byte for byte. A benchmark
+    of more than `benchmark_bytes` is worked through in parts on the unchanged texts; limits are judged and spans cut once."""
     spark = docs.sparkSession
     small_batches(spark)
     bench = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), "text")
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    out, groups = docs, [None] if size <= BENCHMARK_BYTES else _parts(bench, BENCHMARK_BYTES)
-    for part in groups:
-        own = bench if part is None else bench.where(F.col("item_id").between(part[0], part[-1]))
-        shared = spark.sparkContext.broadcast(build([(r.item_id, r.text) for r in own.orderBy("item_id").collect()], window))
-        out = out.mapInArrow(_without(shared, window, most_words, most_share), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema) + ", _gone boolean").where("not _gone").drop("_gone")
-    return out
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _gone boolean"
+    if size <= benchmark_bytes:
+        shared = spark.sparkContext.broadcast(build([(r.item_id, r.text) for r in bench.orderBy("item_id").collect()], window))
+        return docs.mapInArrow(_without(shared, window, most_words, most_share), kind).where("not _gone").drop("_gone")
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    hits = written(_merged_hits(rows.select(F.col("_row").alias("doc_id"), "text"), bench, window, benchmark_bytes))
+    hits = hits.select(F.col("doc_id").alias("_row"), F.col("n_words").alias("_n_words"), F.col("spans").alias("_spans"), F.col("bytes").alias("_bytes"))
+    joined = rows.join(hits.hint("shuffle_hash"), "_row", "left").select(*docs.columns, "_n_words", "_spans", "_bytes")
+    return joined.mapInArrow(_without_found(most_words, most_share), kind).where("not _gone").drop("_gone")
 
 
 def hits_sha256(items: list[int]) -> str:

@@ -232,3 +232,20 @@ def test_decontamination_cuts_only_hits(spark, docs_of):
     assert got[20] == texts[20].replace(item, "")
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.report(docs_of(texts), none).where("contaminated").count() == 0
+
+
+@pytest.mark.parametrize("short", [False, True])
+def test_decontamination_in_parts_is_that_of_one(spark, docs_of, short):
+    texts, items = benchmark_case(3, short)
+    a, b = (" ".join(f"{c}{i}" for i in range(10)) for c in "ab")
+    meet = " ".join(f"{c}{i}" for c in "ab" for i in range(5, 15))[: -len("b10 b11 b12 b13 b14") - 1]
+    items += [(70, a), (71, b), (72, " ".join([*a.split()[5:], "b0", "b1", "b2", "b3", "b4"])), (73, meet)]
+    rest = lambda n: " ".join(f"r{i}" for i in range(n))
+    rows = [*texts.items(), (300, f"{a} {rest(12)} {b}"), (301, f"x {a} {b} {rest(40)}"), (302, f"{rest(30)} {a}, {b}; {rest(9)}"), (303, f"{a} {rest(30)}"), (303, f"{rest(30)} {b}"), (None, f"{rest(25)} {b}"), (None, rest(7))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = docs_of(rows)
+    key = lambda r: str(tuple(r))
+    one, many = (sorted(map(key, decontaminate.decontaminated(docs, bench, benchmark_bytes=most).collect())) for most in (1 << 20, 60))
+    assert one == many and 300 not in {r.doc_id for r in decontaminate.decontaminated(docs, bench, benchmark_bytes=60).collect()}
+    one, many = (sorted(map(key, decontaminate.matches(docs, bench, benchmark_bytes=most).collect())) for most in (1 << 20, 60))
+    assert one == many
