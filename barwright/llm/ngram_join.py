@@ -376,6 +376,13 @@ def _across(members: DataFrame, large: DataFrame, signatures: DataFrame, comps:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose id is the smallest of its component; all columns stay."""
-    keep = ngram_join(docs).where("doc_id = component_id").select(F.col("doc_id")).distinct()
-    return docs.join(keep.hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
+    """One row of each component, that of the smallest id (rows without an id last, ties by the text's hash); all columns
+    stay. Rows are linked by their texts, also those that repeat an id or have none. Of rows without shingles those stay
+    that don't repeat the id and text of another, and all without an id."""
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = ngram_join(rows, "_row").select(F.col("doc_id").alias("_row"), "n_shingles", "component_id")
+    key = rows.select("_row", "doc_id", F.xxhash64("text").alias("h"))
+    alone = F.col("n_shingles") == 0
+    group = [F.when(~alone | F.col("doc_id").isNull(), F.col("component_id")).alias("c"), F.when(alone, F.col("doc_id")).alias("d"), F.when(alone, F.col("h")).alias("t")]
+    keep = found.join(key, "_row").groupBy(*group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h", "_row")).alias("best")).select("best._row")
+    return rows.join(keep.hint("shuffle_hash"), "_row", "left_semi").select(docs.columns)

@@ -13,6 +13,7 @@ from itertools import combinations, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,14 +118,21 @@ def _anchors(hot: np.ndarray, window: int, period: int):
     return run
 
 
+def _of_class(batches):
+    """The rows whose words have the key c; another text of the same id has other words."""
+    for rows, _, _, first, words in _documents(batches):
+        keys = long_array(np.array([_key(words[first[d] : first[d + 1]]) for d in range(rows.num_rows)], np.uint64))
+        yield rows.filter(pc.equal(keys, rows.column(rows.schema.get_field_index("c"))))
+
+
 def _windows(window: int, period: int):
-    """(w1, w2, doc_id, pos): every window around a shared anchor."""
+    """(w1, w2, doc_id, part, pos): every window around a shared anchor."""
     back = period - 1
 
     def run(batches):
         for rows, _, _, first, words in _documents(batches):
             one, two, out = run_hash(words, window), run_hash(words, window, seed=1), []
-            for d, (doc, marks) in enumerate(zip(rows.column(0).to_pylist(), rows.column(2), strict=True)):
+            for d, (doc, marks, part) in enumerate(zip(rows.column(0).to_pylist(), rows.column(2), rows.column(4).to_pylist(), strict=True)):
                 n = int(first[d + 1] - first[d])
                 if n < window:
                     continue
@@ -133,21 +141,21 @@ def _windows(window: int, period: int):
                 np.add.at(step, np.maximum(q - back, 0), 1)
                 np.add.at(step, np.minimum(q, n - window) + 1, -1)
                 at = np.flatnonzero(np.cumsum(step[: n - window + 1]) > 0)
-                out.append((one[first[d] + at], two[first[d] + at], np.full(len(at), doc, np.int64), at))
+                out.append((one[first[d] + at], two[first[d] + at], np.full(len(at), doc, np.int64), np.full(len(at), part, np.int64), at))
             if out:
-                w1, w2, doc, at = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([long_array(w1), pa.array((w2 >> np.uint64(33)).astype(np.int32)), pa.array(doc), pa.array(at.astype(np.int32))], ["w1", "w2", "doc_id", "pos"])
+                w1, w2, doc, part, at = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([long_array(w1), pa.array((w2 >> np.uint64(33)).astype(np.int32)), pa.array(doc), pa.array(part), pa.array(at.astype(np.int32))], ["w1", "w2", "doc_id", "part", "pos"])
 
     return run
 
 
 def _cut(window: int):
-    """(doc_id, n_removed, kept_sha256, removed): what stays of documents with repeated windows at pos."""
+    """(doc_id, c, n_removed, kept_sha256, removed): what stays of documents with repeated windows at pos."""
 
     def run(batches):
         for batch in batches:
             ids, removed, kept, spans = batch.column(0), [], [], []
-            for text, pos in zip(batch.column(1), batch.column(2), strict=True):
+            for text, pos in zip(batch.column(2), batch.column(3), strict=True):
                 words = (text.as_py() or "").encode().split()
                 step = np.zeros(len(words) + 1, np.int64)
                 at = pos.values.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -158,7 +166,7 @@ def _cut(window: int):
                 removed.append(int(gone.sum()))
                 kept.append(hashlib.sha256(b" ".join(compress(words, ~gone))).hexdigest())
                 spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)])
-            yield pa.RecordBatch.from_arrays([ids, pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["doc_id", "n_removed", "kept_sha256", "removed"])
+            yield pa.RecordBatch.from_arrays([ids, batch.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["cut_id", "cut_c", "n_removed", "kept_sha256", "removed"])
 
     return run
 
@@ -184,19 +192,22 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = Window.partitionBy("h")
     shared = anchors.withColumn("lo", F.min("c").over(same)).withColumn("hi", F.max("c").over(same)).where("known or lo < hi")
     marks = shared.groupBy("c").agg(F.collect_set("pos").alias("marks"))
-    need = marks.join(firsts.where("first_id is not null"), "c").groupBy(F.col("first_id").alias("doc_id")).agg(F.flatten(F.collect_list("marks")).alias("marks"))
-    texts = written(text.join(need.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "marks"))
+    # An id can have several texts: c tells them apart, and part does in windows, where it is 0 for ids with one.
+    own = marks.join(firsts.where("first_id is not null"), "c").groupBy(F.col("first_id").alias("doc_id")).agg(F.collect_list(F.struct("c", "marks")).alias("own"))
+    need = own.select("doc_id", (F.size("own") > 1).alias("several"), F.explode("own").alias("o")).select("doc_id", "o.marks", "o.c", F.when(F.col("several"), F.col("o.c")).otherwise(F.lit(0).cast("long")).alias("part"))
+    texts = text.join(need.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "marks", "c", "part")
+    texts = written(texts.mapInArrow(_of_class, "doc_id long, text string, marks array<int>, c long, part long"))
 
-    windows = texts.mapInArrow(_windows(window, period), "w1 long, w2 int, doc_id long, pos int")
+    windows = texts.mapInArrow(_windows(window, period), "w1 long, w2 int, doc_id long, part long, pos int")
     # Written, so that the join below is a stage of its own, whose hot windows Spark can split.
     least = written(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi"))
-    repeats = windows.join(least, ["w1", "w2"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("pos").alias("pos"))
-    cut = texts.select("doc_id", "text").distinct().join(repeats, "doc_id").select("doc_id", "text", "pos").mapInArrow(_cut(window), "doc_id long, n_removed long, kept_sha256 string, removed array<struct<start:int,end:int>>")
-    cut = cut.withColumnRenamed("doc_id", "cut_id")
+    repeats = windows.join(least, ["w1", "w2"]).where("doc_id > lo").groupBy("doc_id", "part").agg(F.collect_set("pos").alias("pos"))
+    cut = texts.select("doc_id", "text", "c", "part").distinct().join(repeats, ["doc_id", "part"]).select("doc_id", "c", "text", "pos").mapInArrow(_cut(window), "cut_id long, cut_c long, n_removed long, kept_sha256 string, removed array<struct<start:int,end:int>>")
+    cut = cut.dropDuplicates(["cut_id", "cut_c"])  # texts of one id that differ in blanks only
 
     spans = "array<struct<start:int,end:int>>"
     copy = F.col("first_id") < F.col("doc_id")
-    out = rows.join(firsts, ["whole", "c"], "left").join(cut, F.col("doc_id") == F.col("cut_id"), "left")
+    out = rows.join(firsts, ["whole", "c"], "left").join(cut, (F.col("doc_id") == F.col("cut_id")) & (F.col("c") == F.col("cut_c")), "left")
     everything = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"))).cast(spans)
     return out.select(
         "doc_id",

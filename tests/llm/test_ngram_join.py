@@ -109,6 +109,15 @@ def test_one_of_each(docs_of):
     assert kept.columns == docs_of(t).columns
 
 
+def test_one_of_each_without_ids_and_of_repeated_ids(docs_of):
+    w = [f"w{i}" for i in range(60)]
+    whole, near, other = " ".join(w), " ".join([*w[:-1], "x"]), " ".join(f"o{i}" for i in range(20))
+    clean = " ".join(f"n{i}" for i in range(9))
+    rows = [(3, whole), (3, whole), (3, other), (5, near), (5, "a clean text of an id that repeats"), (None, clean), (None, near), (None, None), (9, None), (9, None), (9, ""), (2, near + " y")]
+    got = sorted(((r.doc_id, r.text) for r in N.one_of_each(docs_of(rows)).collect()), key=str)
+    assert got == sorted([(2, near + " y"), (3, other), (5, "a clean text of an id that repeats"), (None, clean), (None, None), (9, None), (9, "")], key=str)
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(5, 5), (200, 201), (201, 200)]
     got = {r.node: r.comp for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -166,6 +166,14 @@ def test_dedup_windows_of_50(docs_of):
     assert substring_dedup.substring_dedup(docs_of({})).count() == 0
 
 
+def test_dedup_of_several_texts_of_one_id(docs_of):
+    rows = [(100 + i % 13, t) for i, (_, t) in enumerate(passages(2))]
+    rows += [(7, " ".join(f"p{i}" for i in range(30))), (7, "q " * 12), (7, " ".join(f"p{i}" for i in range(5, 17)) + " s"), (7, "  ".join(f"p{i}" for i in range(30)))]
+    rows += [(8, "t " + " ".join(f"p{i}" for i in range(3, 20))), (8, "t  " + " ".join(f"p{i}" for i in range(3, 20)))]
+    got = sorted(tuple(r) for r in substring_dedup.substring_dedup(docs_of(rows), window=10, period=7).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
+    assert got == brute_dedup(rows, 10)
+
+
 def test_difference_cover():
     for v in (1, 2, 7, 10, 31):
         c = substring_dedup.difference_cover(v)
