@@ -23,14 +23,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; set here only where it is unset."""
+    """A new folder under spark.checkpoint.dir, which driver and executors share. Where it is unset: a temporary folder of a
+    local session, whose executors are the driver itself; on a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_barwright_shared", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="barwright-")
         spark._barwright_shared = base
     return f"{base.rstrip('/')}/barwright-{uuid.uuid4().hex}"
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind as it takes to clash with none of `columns` (in any case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def written(df: DataFrame, *, partitions: int | None = None) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession) + "/table"
@@ -165,30 +179,40 @@ def run_hash(words: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
 
 class Heavy:
     """Keys that are frequent within pieces of a task's rows: a key on a share of all documents of `share` or more
-    reaches it in some piece, so it is always found. add() and rest() give (keys, counts in the piece)."""
+    reaches it in some piece, so it is always found. add() and rest() give (keys, counts in the piece, and the smallest
+    owner of each in it)."""
 
     def __init__(self, share: float, least: int, piece: int = 1 << 20):
         self.share, self.least, self.piece = share, least, piece
-        self.held, self.n, self.docs = [], 0, 0
+        self.held, self.owners, self.n = [], [], 0
 
-    def add(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    def add(self, keys: np.ndarray, owner: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         self.held.append(keys)
-        self.n, self.docs = self.n + len(keys), self.docs + 1
+        self.owners.append(owner)
+        self.n += len(keys)
         return self.rest() if self.n >= self.piece else None
 
-    def rest(self) -> tuple[np.ndarray, np.ndarray] | None:
+    def rest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         if not self.n:
             return None
-        keys, counts = np.unique(np.concatenate(self.held), return_counts=True)
-        keep = counts >= max(self.least, self.share * self.docs)
-        self.held, self.n, self.docs = [], 0, 0
-        return keys[keep], counts[keep]
-
-
-def heavy_keys(found: DataFrame, most: int) -> np.ndarray:
-    """The `most` keys (columns key, n) of the largest summed count, sorted: a bounded list, at most 8 * most bytes."""
-    top = found.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(most)
-    return np.sort(np.array([r.key for r in top.collect()], np.int64).view(np.uint64))
+        every, of = np.concatenate(self.held), np.repeat(np.array(self.owners, np.int64), [len(x) for x in self.held])
+        keys, counts = np.unique(every, return_counts=True)
+        keep = counts >= max(self.least, self.share * len(self.held))
+        keys, counts = keys[keep], counts[keep]
+        least = np.full(len(keys), np.iinfo(np.int64).max)
+        mine = contains(keys, every)
+        np.minimum.at(least, np.searchsorted(keys, every[mine]), of[mine])
+        self.held, self.owners, self.n = [], [], 0
+        return keys, counts, least
+
+
+def heavy_keys(found: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `most` keys (columns key, n, owner) of the largest summed count, sorted, and their smallest owners: a bounded
+    list, at most 16 * most bytes."""
+    top = found.groupBy("key").agg(F.sum("n").alias("n"), F.min("owner").alias("owner")).orderBy(F.desc("n"), "key").limit(most).collect()
+    keys, owners = np.array([r.key for r in top], np.int64).view(np.uint64), np.array([r.owner for r in top], np.int64)
+    order = np.argsort(keys)
+    return keys[order], owners[order]
 
 
 def contains(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:

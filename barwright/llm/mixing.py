@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_side, written
+from .common import free_names, small_side, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -49,27 +49,39 @@ def source_targets(sizes: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, sh
     return s.select("source", "source_size", F.least("limit", F.coalesce(F.col("level") * F.col("w"), "limit")).alias("target"))
 
 
-def mix(docs: DataFrame, *, seed: str = "mix", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """docs (all columns) with size, source_size, target and copies: how often the mix takes each row.
+def _rated(docs: DataFrame, size: str, source_size: str, target: str, copies: str, *, seed: str = "mix", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """docs with four more columns under the given names, which clash with none of docs."""
+    sized = docs.withColumn(size, n_words(F.col("text")))
+    of, total, goal = free_names(sized.columns, "_source", "_total", "_goal")
+    targets = source_targets(sized.select("source", F.col(size).alias("size")), weights=weights, share=share, most=most)
+    targets = written(targets.select(F.col("source").alias(of), F.col("source_size").alias(total), F.col("target").alias(goal)))
+    rate = F.coalesce(F.try_divide(goal, total), F.lit(0.0))
+    extra = (uniform(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
+    joined = sized.join(small_side(targets), F.col("source").eqNullSafe(F.col(of)))
+    taken = F.least(F.floor(rate) + extra, F.lit(most).cast("long"))
+    return joined.select(*docs.columns, size, F.col(total).alias(source_size), F.col(goal).alias(target), taken.alias(copies))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """docs with size, source_size, target and copies: how often the mix takes each row. Columns of docs that have one of
+    these names are replaced; all others stay.
 
     A null text has 0 words, a null source is a source of its own, a source without words has target 0 and is taken
-    not at all. Rows that repeat an id share its number, so they are taken alike. The sums are aggregated before the
-    shuffle, and the joined table has one row a source, broadcast after a count: a source with a third of all rows is no
-    hot group.
+    not at all. Rows that repeat an id share its number, so they are taken alike; so are rows without an id. No rows give
+    no rows. The sums are aggregated before the shuffle, and the joined table has one row a source, broadcast after a
+    count: a source with a third of all rows is no hot group.
     """
-    own = {"size", "source_size", "target", "copies"}
-    sized = docs.drop(*own).withColumn("size", n_words(F.col("text")))
-    targets = written(source_targets(sized.select("source", "size"), weights=weights, share=share, most=most).withColumnRenamed("source", "_source"))
-    rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
-    extra = (uniform(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
-    joined = sized.join(small_side(targets), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    return joined.withColumn("copies", F.least(F.floor(rate) + extra, F.lit(most).cast("long")))
+    own = ("size", "source_size", "target", "copies")
+    return _rated(docs.drop(*own), *own, **options)
 
 
 def emit(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of docs, each row as often as it is taken."""
-    mixed = mix(docs, **options)
-    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    """The mix itself: the columns of docs as they are, whatever their names, each row as often as it is taken. Nulls and
+    repeated rows as in mix()."""
+    own = free_names(docs.columns, "_size", "_source_size", "_target", "_copies")
+    mixed = _rated(docs, *own, **options)
+    copy = free_names(mixed.columns, "_copy")[0]
+    return mixed.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(own[3]).cast("int")))).select(docs.columns)
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
