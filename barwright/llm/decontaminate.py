@@ -8,119 +8,188 @@ if a whole window of an item (10 words, or a shorter item as a whole) covers it.
 from __future__ import annotations
 
 import hashlib
+from array import array
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, blocks, buffer_of, contains, small_batches, word_hashes, word_spans, written
+from .common import ALNUM, LOWER, blocks, buffer_of, contains, free_names, small_batches, word_hashes, word_spans, written
 
 WINDOW = 10
-BENCHMARK_BYTES = 32 << 20  # benchmark text in one automaton; a larger benchmark takes several passes
+BENCHMARK_BYTES = 4 << 20  # benchmark text in one automaton (45 MB in a task, 10 s and 330 MB to build); a larger benchmark takes several passes with the same results
 SHAPE = "n_words long, spans array<struct<start:long,end:long>>, items array<long>, bytes array<struct<start:long,end:long>>"
 
 
-class SuffixAutomaton:
-    """States of all substrings of the items, words as integers. next: transitions; link: suffix links; length: longest
-    string of a state; ends: for a state that a whole short item reaches, its length; items(state, n): the items that
-    contain the suffix of length n of the state's strings."""
-
-    def __init__(self, items: list[tuple[int, list[int]]], window: int):
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length, self.own = [-1], [0], [set()]
-        self.window, self.short = window, {}
-        for item, words in items:
-            last = 0
-            for w in words:
-                last = self._extend(last, w)
-                self.own[last].add(item)
-        # An item contains every string of the states on the suffix path of its prefixes.
-        order = sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True)
-        for s in order:
-            if self.link[s] > 0:
-                self.own[self.link[s]] |= self.own[s]
-        for item, words in items:
-            if 0 < len(words) < window:
-                s = 0
-                for w in words:
-                    s = self.next[s][w]
-                self.short.setdefault(s, {}).setdefault(len(words), set()).add(item)
-        # The nearest state on the suffix path that a whole short item reaches.
-        self.out = [-1] * len(self.link)
-        for s in reversed(order):
-            up = self.link[s]
-            self.out[s] = s if s in self.short else (self.out[up] if up >= 0 else -1)
-
-    def _extend(self, last: int, w: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        if w in nxt[last]:
-            q = nxt[last][w]
-            return q if length[q] == length[last] + 1 else self._clone(last, w, q)
-        cur = self._new(length[last] + 1)
-        p = last
-        while p != -1 and w not in nxt[p]:
-            nxt[p][w] = cur
-            p = link[p]
-        if p == -1:
-            link[cur] = 0
-        else:
-            q = nxt[p][w]
-            link[cur] = q if length[q] == length[p] + 1 else self._clone(p, w, q)
-        return cur
-
-    def _new(self, length: int) -> int:
-        self.next.append({})
-        self.link.append(0)
-        self.length.append(length)
-        self.own.append(set())
+class _Builder:
+    """An automaton that grows word by word. Most states have one way on, which lies in arrays; further ones are in a
+    table of (state, word), and listed for each state."""
+
+    def __init__(self, n_words: int):
+        self.n_words = max(1, n_words)
+        self.length, self.link, self.word, self.to, self.head = (array("i", [x]) for x in (0, -1, -1, -1, -1))
+        self.more: dict[int, int] = {}
+        self.more_word, self.more_next = array("i"), array("i")
+
+    def new(self, length: int, word: int = -1, to: int = -1) -> int:
+        for column, x in ((self.length, length), (self.link, 0), (self.word, word), (self.to, to), (self.head, -1)):
+            column.append(x)
         return len(self.link) - 1
 
-    def _clone(self, p: int, w: int, q: int) -> int:
-        c = self._new(self.length[p] + 1)
-        self.next[c] = dict(self.next[q])
+    def step(self, s: int, w: int) -> int:
+        return self.to[s] if self.word[s] == w else self.more.get(s * self.n_words + w, -1)
+
+    def set(self, s: int, w: int, t: int) -> None:
+        if self.word[s] in (-1, w):
+            self.word[s], self.to[s] = w, t
+            return
+        key = s * self.n_words + w
+        if key not in self.more:
+            self.more_word.append(w)
+            self.more_next.append(self.head[s])
+            self.head[s] = len(self.more_word) - 1
+        self.more[key] = t
+
+    def extend(self, last: int, w: int) -> int:
+        q = self.step(last, w)
+        if q >= 0:
+            return q if self.length[q] == self.length[last] + 1 else self.clone(last, w, q)
+        new, p = self.new(self.length[last] + 1), last
+        while p != -1 and self.step(p, w) < 0:
+            self.set(p, w, new)
+            p = self.link[p]
+        if p != -1:
+            q = self.step(p, w)
+            self.link[new] = q if self.length[q] == self.length[p] + 1 else self.clone(p, w, q)
+        return new
+
+    def clone(self, p: int, w: int, q: int) -> int:
+        c, e = self.new(self.length[p] + 1, self.word[q], self.to[q]), self.head[q]
+        while e != -1:
+            other = self.more_word[e]
+            self.set(c, other, self.more[q * self.n_words + other])
+            e = self.more_next[e]
         self.link[c], self.link[q] = self.link[q], c
-        while p != -1 and self.next[p].get(w) == q:
-            self.next[p][w] = c
+        while p != -1 and self.step(p, w) == q:
+            self.set(p, w, c)
             p = self.link[p]
         return c
 
-    def scan(self, words: list[int]) -> tuple[list[tuple[int, int]], set[int]]:
-        """Hit spans (start, end), merged, and the items with occurring windows."""
-        nxt, link, length, window = self.next, self.link, self.length, self.window
-        spans: list[tuple[int, int]] = []
-        items: set[int] = set()
-        s, n = 0, 0
-        for i, w in enumerate(words):
-            while s and w not in nxt[s]:
-                s = link[s]
-                n = length[s]
-            if w in nxt[s]:
-                s = nxt[s][w]
-                n += 1
-            else:
-                s, n = 0, 0
-                continue
-            reach = 0
-            t = s
-            if n >= window:
-                while length[link[t]] >= window:
-                    t = link[t]
-                items |= self.own[t]
-                reach = window
-            u = self.out[s]
-            while u > 0:
-                for m, of in self.short[u].items():
-                    if m <= n:
-                        items |= of
-                        reach = max(reach, m)
-                u = self.out[link[u]] if link[u] > 0 else -1
-            if reach:
-                a, b = i + 1 - reach, i + 1
-                while spans and spans[-1][1] >= a:
-                    a = min(a, spans.pop()[0])
-                spans.append((a, b))
-        return spans, items
+
+def _nearest(link: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """For each state the first one on its suffix path (itself included) that is wanted; the root where none is."""
+    at = np.where(wanted, np.arange(len(link), dtype=np.int32), np.maximum(link, 0))
+    while True:
+        further = at[at]
+        if np.array_equal(further, at):
+            return at
+        at = further
+
+
+class SuffixAutomaton:
+    """All substrings of the items, whose words are integers below n_words, as flat arrays: about 50 bytes a word of the items.
+
+    word, to: the first way on from a state; more, more_to: further ones, sorted by (state, word); link: suffix links;
+    length: longest string of a state; windows: the state on the suffix path that holds the last `window` words; short: the
+    first of the whole short items that end in a state, a chain by `then` with lengths `size`. Windows (by state) and
+    short items (by number, behind all states) have their item ids in items[first[k] : first[k + 1]].
+    """
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], n_words: int, window: int):
+        b = _Builder(n_words)
+        for _, words in items:
+            last = 0
+            for w in words.tolist():
+                last = b.extend(last, w)
+        self.window, self.n_words = window, b.n_words
+        self.length, self.link, self.word, self.to = (np.array(x, np.int32) for x in (b.length, b.link, b.word, b.to))
+        n = len(self.link)
+        more = np.fromiter(b.more.keys(), np.int64, len(b.more))
+        order = np.argsort(more)
+        self.more, self.more_to = more[order], np.fromiter(b.more.values(), np.int32, len(b.more))[order]
+        parent = np.maximum(self.link, 0)
+        self.windows = _nearest(self.link, (self.length >= window) & (self.length[parent] < window))
+        # Every item is read again by the finished automaton: windows that end at its words, or the whole short item.
+        where, of, shorts = array("q"), array("q"), {}
+        for item, words in items:
+            s = 0
+            for i, w in enumerate(words.tolist()):
+                s = b.step(s, w)
+                if i + 1 >= window:
+                    where.append(int(self.windows[s]))
+                    of.append(item)
+            if 0 < len(words) < window:
+                where.append(n + shorts.setdefault((s, len(words)), len(shorts)))
+                of.append(item)
+        pairs = np.unique(np.stack([np.array(where, np.int64), np.array(of, np.int64)], 1), axis=0) if len(where) else np.zeros((0, 2), np.int64)
+        self.items, self.first = pairs[:, 1].copy(), np.searchsorted(pairs[:, 0], np.arange(n + len(shorts) + 1)).astype(np.int32)
+        # Short items of a state follow one another, the longest first, and then those of its suffix path.
+        own: dict[int, list[tuple[int, int]]] = {}
+        for (s, m), k in shorts.items():
+            own.setdefault(s, []).append((m, k))
+        self.size, self.then = np.zeros(len(shorts), np.int32), np.full(len(shorts), -1, np.int32)
+        head = np.full(n, -1, np.int32)
+        for s, chain in own.items():
+            chain.sort(reverse=True)
+            head[s] = chain[0][1]
+            for (m, k), after in zip(chain, [*chain[1:], (0, -1)], strict=True):
+                self.size[k], self.then[k] = m, after[1]
+        up = _nearest(self.link, head >= 0)
+        self.short = head[up]
+        for s, chain in own.items():
+            self.then[chain[-1][1]] = self.short[parent[s]]
+        self.least = min([window, *self.size.tolist()])
+
+    def scanner(self):
+        """A function of the words of a run: hit spans (start, end), merged, and the numbers of what occurs."""
+        length, link, word, to, more, more_to, windows, short, size, then = (memoryview(np.ascontiguousarray(x)) for x in (self.length, self.link, self.word, self.to, self.more, self.more_to, self.windows, self.short, self.size, self.then))
+        window, n_words, n_states, n_more = self.window, self.n_words, len(self.link), len(self.more)
+
+        def step(s, w):
+            if word[s] == w:
+                return to[s]
+            key = s * n_words + w
+            k = bisect_left(more, key)
+            return more_to[k] if k < n_more and more[k] == key else -1
+
+        def scan(words):
+            spans, seen = [], set()
+            s, n = 0, 0
+            for i, w in enumerate(words):
+                t = step(s, w)
+                while t < 0 and s:
+                    s = link[s]
+                    n = length[s]
+                    t = step(s, w)
+                if t < 0:
+                    n = 0
+                    continue
+                s, n, reach = t, n + 1, 0
+                if n >= window:
+                    seen.add(windows[s])
+                    reach = window
+                k = short[s]
+                while k >= 0:
+                    if size[k] <= n:
+                        seen.add(n_states + k)
+                        reach = max(reach, size[k])
+                    k = then[k]
+                if reach:
+                    a = i + 1 - reach
+                    while spans and spans[-1][1] >= a:
+                        a = min(a, spans.pop()[0])
+                    spans.append((a, i + 1))
+            return spans, seen
+
+        return scan
+
+    def items_of(self, seen: set[int]) -> list[int]:
+        """The items that hold what a scan has seen, in order."""
+        if not seen:
+            return []
+        return np.unique(np.concatenate([self.items[self.first[k] : self.first[k + 1]] for k in seen])).tolist()
 
 
 def build(items: list[tuple[int, str | None]], window: int = WINDOW) -> tuple[SuffixAutomaton, np.ndarray]:
@@ -129,17 +198,17 @@ def build(items: list[tuple[int, str | None]], window: int = WINDOW) -> tuple[Su
     starts, ends, first = word_spans(data, off, ALNUM)
     hashes = word_hashes(data, starts, ends, LOWER)
     vocabulary = np.unique(hashes)
-    ids = np.searchsorted(vocabulary, hashes).tolist()
-    return SuffixAutomaton([(x[0], ids[first[k] : first[k + 1]]) for k, x in enumerate(items)], window), vocabulary
+    ids = np.searchsorted(vocabulary, hashes).astype(np.int32)
+    return SuffixAutomaton([(x[0], ids[first[k] : first[k + 1]]) for k, x in enumerate(items)], len(vocabulary), window), vocabulary
 
 
-def _scan(shared, window: int, every: bool):
+def _scan(shared, every: bool):
     """(doc_id, n_words, spans, items, bytes): rows with hits, or every row. bytes: the spans as byte positions."""
     shape = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
         automaton, vocabulary = shared.value
-        least = min([window, *(m for x in automaton.short.values() for m in x)])
+        scan, least = automaton.scanner(), automaton.least
         for rows, data, off in blocks(batches):
             starts, ends, first = word_spans(data, off, ALNUM)
             hashes = word_hashes(data, starts, ends, LOWER)
@@ -156,12 +225,12 @@ def _scan(shared, window: int, every: bool):
             items: list[set] = [set() for _ in range(rows.num_rows)]
             owner = np.searchsorted(first, lo, side="right") - 1
             for a, b, d in zip(lo[keep].tolist(), hi[keep].tolist(), owner[keep].tolist(), strict=True):
-                hit, of = automaton.scan(np.searchsorted(vocabulary, hashes[a:b]).tolist())
+                hit, seen = scan(np.searchsorted(vocabulary, hashes[a:b]).tolist())
                 base, at = int(first[d]), int(off[d])
                 spans[d] += [{"start": a + x - base, "end": a + y - base} for x, y in hit]
                 where[d] += [{"start": int(starts[a + x]) - at, "end": int(ends[a + y - 1]) - at} for x, y in hit]
-                items[d] |= of
-            out = pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(first)), pa.array(spans, shape), pa.array([sorted(x) for x in items], pa.list_(pa.int64())), pa.array(where, shape)], ["doc_id", "n_words", "spans", "items", "bytes"])
+                items[d] |= seen
+            out = pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(first)), pa.array(spans, shape), pa.array([automaton.items_of(x) for x in items], pa.list_(pa.int64())), pa.array(where, shape)], ["doc_id", "n_words", "spans", "items", "bytes"])
             yield out if every else out.filter(pa.array([bool(x) for x in spans], pa.bool_()))
 
     return run
@@ -188,7 +257,7 @@ def _merged_hits(text: DataFrame, bench: DataFrame, window: int, most: int) -> D
     for part in _parts(bench, most):
         own = bench.where(F.col("item_id").between(part[0], part[-1]))
         shared = spark.sparkContext.broadcast(build([(r.item_id, r.text) for r in own.orderBy("item_id").collect()], window))
-        hits = written(text.mapInArrow(_scan(shared, window, False), kind))
+        hits = written(text.mapInArrow(_scan(shared, False), kind))
         shared.unpersist()
         found = hits if found is None else found.unionByName(hits)
     both = F.transform(F.arrays_zip("spans", "bytes"), lambda x: F.struct(x["spans"]["start"].alias("start"), x["spans"]["end"].alias("end"), x["bytes"]["start"].alias("a"), x["bytes"]["end"].alias("b")))
@@ -203,7 +272,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, benc
 
     Null, empty and wordless texts have no words and no hits, items without words no windows. Words are lower-cased
     (A-Z) runs of letters and digits, all bytes from 0x80 counting as letters. Item ids must be integers; items with
-    a null id are left out, rows that repeat an id are items of one id. A benchmark of more than `benchmark_bytes` is
+    a null id are left out, rows that repeat an id are items of one id. Documents without an id or with one that repeats
+    are rows like others; extra columns of either table aren't read, and no rows give no rows. A benchmark of more than `benchmark_bytes` is
     worked through in parts, one pass over the texts each; their hits meet by row, so that repeated ids stay apart.
     """
     spark = docs.sparkSession
@@ -213,11 +283,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, benc
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size <= benchmark_bytes:
         shared = spark.sparkContext.broadcast(build([(r.item_id, r.text) for r in bench.orderBy("item_id").collect()], window))
-        return text.mapInArrow(_scan(shared, window, True), f"doc_id long, {SHAPE}")
+        return text.mapInArrow(_scan(shared, True), f"doc_id long, {SHAPE}")
     rows = written(text.withColumn("_row", F.monotonically_increasing_id()))
     found = _merged_hits(rows.select(F.col("_row").alias("doc_id"), "text"), bench, window, benchmark_bytes)
     none = spark.sparkContext.broadcast(build([], window))
-    every = rows.select(F.struct("_row", F.col("doc_id").alias("id")).alias("doc_id"), "text").mapInArrow(_scan(none, window, True), f"doc_id struct<_row:long,id:long>, {SHAPE}").select("doc_id.*", "n_words")
+    every = rows.select(F.struct("_row", F.col("doc_id").alias("id")).alias("doc_id"), "text").mapInArrow(_scan(none, True), f"doc_id struct<_row:long,id:long>, {SHAPE}").select("doc_id.*", "n_words")
     joined = every.join(found.drop("n_words").withColumnRenamed("doc_id", "_row"), "_row", "left")
     return joined.select(F.col("id").alias("doc_id"), "n_words", *(F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c) for c in ("spans", "items", "bytes")))
 
@@ -250,9 +320,9 @@ def _cut(text: str | None, n: int, spans: list, where: list, most_words: int, mo
     return b"".join([*parts, raw[last:]]).decode(), sum(sizes) > most_share * n or max(sizes) > most_words
 
 
-def _without(shared, window: int, most_words: int, most_share: float):
+def _without(shared, gone: str, most_words: int, most_share: float):
     """Rows without the byte spans that _scan finds; `gone` marks documents beyond the limits. All columns pass."""
-    scan = _scan(shared, window, True)
+    scan = _scan(shared, True)
 
     def run(batches):
         for batch in batches:
@@ -263,45 +333,48 @@ def _without(shared, window: int, most_words: int, most_share: float):
             for found in scan(iter([rows])):
                 for k, n, spans, where in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), found.column(2).to_pylist(), found.column(4).to_pylist(), strict=True):
                     cut.append(_cut(batch.column(at)[k].as_py(), n, spans, where, most_words, most_share))
-            yield _replaced(batch, names, cut)
+            yield _replaced(batch, names, gone, cut)
 
     return run
 
 
-def _without_found(most_words: int, most_share: float):
-    """The same with hits found before, in the last columns n_words, spans and bytes."""
+def _without_found(gone: str, most_words: int, most_share: float):
+    """The same with hits found before, in the last three columns: number of words, spans and bytes."""
 
     def run(batches):
         for batch in batches:
             names = batch.schema.names[:-3]
             texts, *hits = (batch.column(k).to_pylist() for k in (names.index("text"), -3, -2, -1))
-            yield _replaced(batch, names, [_cut(t, n, spans or [], where or [], most_words, most_share) for t, n, spans, where in zip(texts, *hits, strict=True)])
+            yield _replaced(batch, names, gone, [_cut(t, n, spans or [], where or [], most_words, most_share) for t, n, spans, where in zip(texts, *hits, strict=True)])
 
     return run
 
 
-def _replaced(batch: pa.RecordBatch, names: list[str], cut: list[tuple[str | None, bool]]) -> pa.RecordBatch:
+def _replaced(batch: pa.RecordBatch, names: list[str], gone: str, cut: list[tuple[str | None, bool]]) -> pa.RecordBatch:
     columns = [pa.array([t for t, _ in cut], pa.string()) if name == "text" else batch.column(k) for k, name in enumerate(names)]
-    return pa.RecordBatch.from_arrays([*columns, pa.array([gone for _, gone in cut], pa.bool_())], [*names, "_gone"])
+    return pa.RecordBatch.from_arrays([*columns, pa.array([x for _, x in cut], pa.bool_())], [*names, gone])
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, most_words: int = 1000, most_share: float = 0.5, benchmark_bytes: int = BENCHMARK_BYTES) -> DataFrame:
-    """docs (columns as they are) with hit spans cut out of text; documents with a span of more than `most_words` words
-    or with more than `most_share` of their words hit are dropped. Documents without hits stay byte for byte. A benchmark
-    of more than `benchmark_bytes` is worked through in parts on the unchanged texts; limits are judged and spans cut once."""
+    """docs (columns as they are, whatever their names) with hit spans cut out of text; documents with a span of more than
+    `most_words` words or with more than `most_share` of their words hit are dropped. Documents without hits stay byte for
+    byte; so do null, empty and wordless texts. Every row is judged by its own text: ids may be null or repeat. No rows give
+    no rows, no items change nothing. A benchmark of more than `benchmark_bytes` is worked through in parts on the unchanged
+    texts; limits are judged and spans cut once."""
     spark = docs.sparkSession
     small_batches(spark)
     bench = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), "text")
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _gone boolean"
+    gone, row, words, spans, where = free_names(docs.columns, "_gone", "_row", "_n_words", "_spans", "_bytes")
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{gone}` boolean"
     if size <= benchmark_bytes:
         shared = spark.sparkContext.broadcast(build([(r.item_id, r.text) for r in bench.orderBy("item_id").collect()], window))
-        return docs.mapInArrow(_without(shared, window, most_words, most_share), kind).where("not _gone").drop("_gone")
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    hits = written(_merged_hits(rows.select(F.col("_row").alias("doc_id"), "text"), bench, window, benchmark_bytes))
-    hits = hits.select(F.col("doc_id").alias("_row"), F.col("n_words").alias("_n_words"), F.col("spans").alias("_spans"), F.col("bytes").alias("_bytes"))
-    joined = rows.join(hits.hint("shuffle_hash"), "_row", "left").select(*docs.columns, "_n_words", "_spans", "_bytes")
-    return joined.mapInArrow(_without_found(most_words, most_share), kind).where("not _gone").drop("_gone")
+        return docs.mapInArrow(_without(shared, gone, most_words, most_share), kind).where(~F.col(gone)).drop(gone)
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    hits = written(_merged_hits(rows.select(F.col(row).alias("doc_id"), "text"), bench, window, benchmark_bytes))
+    hits = hits.select(F.col("doc_id").alias(row), F.col("n_words").alias(words), F.col("spans").alias(spans), F.col("bytes").alias(where))
+    joined = rows.join(hits.hint("shuffle_hash"), row, "left").select(*docs.columns, words, spans, where)
+    return joined.mapInArrow(_without_found(gone, most_words, most_share), kind).where(~F.col(gone)).drop(gone)
 
 
 def hits_sha256(items: list[int]) -> str:
