@@ -10,23 +10,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import free_names
+
 ANCHORS = 64
 _SPACE = " \t\n\x0b\f\r"
 
 
+def _closed(df: DataFrame, text: str, words: str, runs: str) -> tuple[DataFrame, Column]:
+    """df with the words of a text and the hashes of its runs of 2, and an array of the anchor at each word or null."""
+    trimmed = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(_SPACE))
+    df = df.withColumn(words, F.split(trimmed, r"[\x20\x09-\x0D]+"))
+    df = df.withColumn(runs, F.transform(words, lambda w, i: F.xxhash64(w, F.get(F.col(words), i + 1))))
+    run = lambda i: F.get(F.col(runs), i)
+    last = F.size(words) - 4
+    return df, F.transform(runs, lambda x, i: F.when((i <= last) & (F.least(x, run(i + 2)) <= run(i + 1)), F.xxhash64(x, run(i + 2))))
+
+
 def with_anchors(df: DataFrame, text: str, out: str, anchors: int = ANCHORS) -> DataFrame:
     """df with `out`: the sorted smallest anchor hashes of the column `text`.
 
     A null, empty or wordless text has none; one without a closed syncmer (always if it has fewer than 4 words) has
     the hash of its words as its only anchor. Every step is a column of its own, so that none is computed twice.
     """
-    words, runs, found = f"_{out}_w", f"_{out}_r", f"_{out}_s"
-    trimmed = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(_SPACE))
-    df = df.withColumn(words, F.split(trimmed, r"[\x20\x09-\x0D]+"))
-    df = df.withColumn(runs, F.transform(words, lambda w, i: F.xxhash64(w, F.get(F.col(words), i + 1))))
-    run = lambda i: F.get(F.col(runs), i)
-    last = F.size(words) - 4
-    closed = F.transform(runs, lambda x, i: F.when((i <= last) & (F.least(x, run(i + 2)) <= run(i + 1)), F.xxhash64(x, run(i + 2))))
+    words, runs, found = free_names(df.columns, f"_{out}_w", f"_{out}_r", f"_{out}_s")
+    df, closed = _closed(df, text, words, runs)
     df = df.withColumn(found, F.sort_array(F.array_distinct(F.array_compact(closed))))
     alone = F.when(F.get(F.col(words), F.lit(0)) == "", F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(F.array_join(words, " "))))
     return df.withColumn(out, F.when(F.size(found) > 0, F.slice(found, 1, anchors)).otherwise(alone)).drop(words, runs, found)
@@ -45,38 +52,59 @@ def likeness(a: str, b: str, anchors: int = ANCHORS) -> Column:
     return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(2.0 * common / (common + F.size(both)))
 
 
-def _bucket(key: Column, cuts: list[int], low: int = 0) -> Column:
-    """Number of cuts that aren't above key, as a balanced tree of comparisons."""
+RANGE_BYTES = 16 << 20  # of text in a range of documents, about; a longer text is a range of its own
+
+
+def _place_in(cuts: list[int], key: Column) -> Column:
+    """Number of cuts (ascending) that aren't above key: first among every m-th one, then among the m behind it."""
     if not cuts:
-        return F.lit(low)
-    m = len(cuts) // 2
-    return F.when(key < cuts[m], _bucket(key, cuts[:m], low)).otherwise(_bucket(key, cuts[m + 1 :], low + m + 1))
+        return F.lit(0)
+    m = max(1, round(len(cuts) ** 0.5))
+    below = lambda xs: F.size(F.filter(xs, lambda x: x <= key))
+    array = lambda xs: F.lit(xs).cast("array<bigint>")
+    coarse = below(array(cuts[::m]))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * m + below(F.slice(array(cuts), (coarse - 1) * m + 1, F.lit(m))))
 
 
-def with_next(df: DataFrame, key: str, columns: list[str], buckets: int | None = None) -> DataFrame:
+def with_next(df: DataFrame, key: str, columns: list[str], range_bytes: int = RANGE_BYTES) -> DataFrame:
     """df with next_<column> of the row after each in ascending order of key; after the last comes the first.
 
-    Rows are dealt to ranges of the key, whose number follows the shuffle partitions; the first row of each range also
-    goes to the end of the range before. Null keys come first, rows of equal key follow the order of `columns`.
+    Rows are dealt to ranges of the key that hold about `range_bytes` of `columns[0]`: fine ranges of equal row counts are
+    weighed, and joined until they reach it. The first row of each range also goes to the end of the range before. Null
+    keys come first, rows of equal key follow the order of `columns`; a key with many rows is one range. Ranges are at most
+    65,536, so that their list stays small; beyond 1 TB of text they hold more.
     """
-    n = buckets or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     place = F.coalesce(F.col(key), F.lit(-(1 << 63)))
-    cuts = df.agg(F.percentile_approx(place, [i / n for i in range(1, n)] or [0.5], F.lit(100 * n))).first()[0] or []
-    own = _bucket(place, sorted(set(cuts)))
-    firsts = sorted((r.b, r.k) for r in df.groupBy(own.alias("b")).agg(F.min(place).alias("k")).collect())
-    if not firsts:
+    size = F.octet_length(columns[0]) + 8
+    total = df.agg(F.sum(size)).first()[0] or 0
+    range_bytes = max(range_bytes, total >> 16)
+    fine = min(1 << 18, 4 * (1 + total // range_bytes))
+    cuts = sorted(set(df.agg(F.percentile_approx(place, [i / fine for i in range(1, fine)] or [0.5], F.lit(max(10_000, 10 * fine)))).first()[0] or [])) if fine > 1 else []
+    weighed = sorted((r.b, r.k, r.n) for r in df.groupBy(_place_in(cuts, place).alias("b")).agg(F.min(place).alias("k"), F.sum(size).alias("n")).collect())
+    if not weighed:
         return df.select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
-    size = firsts[-1][0] + 1
-    low, before = [None] * size, [0] * size
-    for i, (b, k) in enumerate(firsts):
-        low[b], before[b] = k, firsts[i - 1][0]
-    pick = lambda values: F.get(F.array(*(F.lit(x).cast("long") for x in values)), F.col("_own"))
-    to = lambda b, ghost: F.struct(b.cast("long").alias("b"), F.lit(ghost).alias("ghost"))
-    df = df.withColumn("_own", own).withColumn("_k", place)
-    df = df.withColumn("_to", F.explode(F.when(F.col("_k") == pick(low), F.array(to(F.col("_own"), False), to(pick(before), True))).otherwise(F.array(to(F.col("_own"), False)))))
-    line = Window.partitionBy(F.col("_to.b")).orderBy(F.col("_to.ghost"), F.col("_k"), *columns)
-    df = df.select("*", *(F.lead(c).over(line).alias(f"next_{c}") for c in columns))
-    return df.where("not _to.ghost").drop("_own", "_k", "_to")
+    firsts, held = [weighed[0][1]], 0
+    for _, k, n in weighed:
+        if held and held + n > range_bytes:
+            firsts.append(k)
+            held = 0
+        held += n
+    own, at, to = free_names(df.columns, "_own", "_k", "_to")
+    first = F.get(F.lit(firsts).cast("array<bigint>"), F.col(own))
+    goes = lambda b, ghost: F.struct(b.cast("long").alias("b"), F.lit(ghost).alias("ghost"))
+    before = F.pmod(F.col(own) - 1, F.lit(len(firsts)))
+    rows = df.withColumn(at, place).withColumn(own, _place_in(firsts[1:], F.col(at)))
+    rows = rows.withColumn(to, F.explode(F.when(F.col(at) == first, F.array(goes(F.col(own), False), goes(before, True))).otherwise(F.array(goes(F.col(own), False)))))
+    line = Window.partitionBy(F.col(f"{to}.b")).orderBy(F.col(f"{to}.ghost"), at, *columns)
+    rows = rows.select("*", *(F.lead(c).over(line).alias(f"next_{c}") for c in columns))
+    return rows.where(~F.col(f"{to}.ghost")).drop(own, at, to)
+
+
+def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, word, anchor): every closed syncmer of each row's text and the number of its first word, from 0. Texts of
+    fewer than 4 words have none; rows that repeat an id give theirs each."""
+    df, closed = _closed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")), "t", "w", "r")
+    return df.select("doc_id", F.posexplode(closed).alias("word", "anchor")).where("anchor is not null")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, anchors: int = ANCHORS) -> DataFrame:
@@ -87,7 +115,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def edit_report(docs: DataFrame, *, anchors: int = ANCHORS) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of docs(doc_id, text).
 
-    The edited text has its last floor(n_chars / 2) characters replaced by as many first ones of the next document.
+    The edited text has its last floor(n_chars / 2) characters replaced by as many first ones of the next document. Null
+    texts are empty, null ids come first, rows that repeat an id follow one another in the order of their texts; a row alone
+    is its own next one. Other columns aren't read; no rows give no rows.
     """
     df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     df = with_next(with_anchors(df, "text", "mark", anchors), "doc_id", ["text", "mark"])

@@ -82,10 +82,12 @@ def test_syncmers_against_brute_force(spark, docs_of):
     want = {x.h for x in spark.createDataFrame(keep, "a long, b long").select(F.xxhash64("a", "b").alias("h")).collect()}
     got = fingerprints.with_anchors(docs_of({1: " ".join(words)}), "text", "m").first().m
     assert got == sorted(want)[:64]
+    places = sorted((x.word, x.anchor) for x in fingerprints.anchors(docs_of({1: "  " + " ".join(words), 2: None, 3: "a b c"})).collect())
+    assert [w for w, _ in places] == [i for i in range(37) if min(r[i], r[i + 2]) <= r[i + 1]] and {x for _, x in places} == want
 
 
 def test_next_across_buckets(docs_of):
-    df = fingerprints.with_next(docs_of({i * 3: f"t{i}" for i in range(50)}), "doc_id", ["text"], buckets=7)
+    df = fingerprints.with_next(docs_of({i * 3: f"t{i}" for i in range(50)}), "doc_id", ["text"], range_bytes=60)
     got = {r.doc_id: r.next_text for r in df.collect()}
     assert got == {i * 3: f"t{(i + 1) % 50}" for i in range(50)}
 
