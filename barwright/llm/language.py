@@ -89,11 +89,13 @@ def _fit(x: np.ndarray, y: np.ndarray, names: list[str], ridge: float = 3e-3) ->
 
 def fit_language(docs: DataFrame, *, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> LanguageModel:
     """A model from docs(doc_id, text, lang): at most `sample` documents, as many of each language, chosen by a hash of
-    the id. Rows with a null or empty text or a null lang aren't fitted on. Without any row every text is `und`."""
+    the id. Rows with a null or empty text or a null lang aren't fitted on; rows that repeat an id are taken together.
+    Other columns aren't read. Without any row every text is `und`. A sample must have 8 documents a language: more
+    languages than that (250 by default) are an error that says so."""
     known = docs.where(f"lang is not null and text is not null and octet_length(text) between 1 and {int(sample_bytes)}")
     names = sorted(r.lang for r in known.select("lang").distinct().limit(1 + sample // 8).collect())
     if len(names) > sample // 8:
-        raise ValueError(f"more than {sample // 8} languages")
+        raise ValueError(f"more than {sample // 8} languages: they need a larger `sample`, of 8 documents each")
     if not names:
         return LanguageModel([], np.zeros((0, 1)), np.zeros((BINS + 1, 1)), np.ones(1))
     # Salted: of each language 64 parts are cut to the limit before the rest meets, so a frequent one is no hot group.
@@ -113,7 +115,8 @@ def fit_language(docs: DataFrame, *, sample: int = SAMPLE, sample_bytes: int = S
 
 def identify_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """(doc_id, lang_pred, score, ambiguous) of docs(doc_id, text): `und` with score 0 for a null text or one without
-    a letter. Ambiguous: the best codeword has less than 0.6 of the likelihood."""
+    a letter. Ambiguous: the best codeword has less than 0.6 of the likelihood. Every row gives a row, whether its id is
+    null or repeated; equal texts are predicted alike; other columns aren't read."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -84,7 +84,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, sam
 
     Fits on at most `sample` documents of each class, chosen by a hash of the id: every other one builds the
     dictionary, the rest calibrates, weighted to the share that each class has among all labels. Null labels, ids and
-    texts aren't fitted on. With a class missing every score is the share of class 1 (0.5 without labels).
+    texts aren't fitted on; a label that repeats counts once, one that contradicts itself in both classes. With a class missing every score is the share of class 1 (0.5 without labels).
     """
     known = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("y")).distinct()
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -108,7 +108,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, sam
 
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with score_col, the probability of class 1 for every whole text; null scores as the empty text. All other
-    columns pass as they are; a column of that name is replaced."""
+    columns pass as they are; a column of that name is replaced. Every row gives a row, whether its id is null or
+    repeated; equal texts have equal scores; no rows give no rows."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.drop(score_col)

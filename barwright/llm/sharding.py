@@ -17,7 +17,7 @@ from .common import written
 SHARDS = 24
 RANGES = 64  # to a shard
 SAMPLE = 64 * 1024  # keys in the sample, about
-GROUP = 0.02  # a group of equal texts of at most this share of a shard stays whole
+GROUP = 0.02  # a group of equal texts of at most this share of a shard (or of the longest text's size) stays whole
 
 
 def splitters(keys: DataFrame, n: int, sample: int = SAMPLE) -> np.ndarray:
@@ -54,17 +54,18 @@ def shard(docs: DataFrame, *, shards: int = SHARDS, ranges: int = RANGES, group_
 
     dealt = keys.withColumn("range", range_of("h"))
     # A range holds whole hashes; one hash with more than a range's share of rows is subdivided by id.
-    total = dealt.agg(F.sum("size").alias("b")).first()["b"] or 1
+    sums = dealt.agg(F.sum("size").alias("b"), F.max("size").alias("most")).first()
+    total = sums.b or 1
     whole = total / (shards * ranges)
     heavy = dealt.groupBy("range", "h").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > 4 * whole).select("h")
     hot = [r.h for r in heavy.limit(shards * ranges).collect()]  # at most shards * ranges / 4 hashes can be that heavy
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(64)).cast("int")
     dealt = dealt.withColumn("part", F.when(F.col("h").isin(hot), part).otherwise(F.lit(-1)))
-    return _placed(dealt, total, shards, group_share)
+    return _placed(dealt, total, shards, max(group_share * total / shards, sums.most or 0))
 
 
-def _placed(dealt: DataFrame, total: int, shards: int, group_share: float) -> DataFrame:
-    """Places rows(doc_id, size, text_crc32, h, range, part) on the line. Cells (range, hash if it is hot, part) are
+def _placed(dealt: DataFrame, total: int, shards: int, group_bytes: float) -> DataFrame:
+    """Places rows(doc_id, size, text_crc32, h, range, part) on the line; groups of at most `group_bytes` stay whole. Cells (range, hash if it is hot, part) are
     ordered; a bounded table has each cell's first byte and row."""
     dealt = dealt.withColumn("hot", F.when(F.col("part") >= 0, F.col("h")))
     cell = ["range", "hot", "part"]
@@ -79,7 +80,7 @@ def _placed(dealt: DataFrame, total: int, shards: int, group_share: float) -> Da
     rows = rows.withColumn("end", F.col("byte0") + F.sum("size").over(upto)).withColumn("row", F.col("row0") + F.row_number().over(order) - 1)
     same = Window.partitionBy(*cell, "h")
     first, last = F.min(F.col("end") - F.col("size")).over(same), F.max("end").over(same)
-    small = (last - first <= group_share * length) & (F.col("part") < 0)
+    small = (last - first <= group_bytes) & (F.col("part") < 0)
     middle = F.when(small, (first + last) / 2).otherwise(F.col("end") - F.col("size") / 2)
     rows = written(rows.select("doc_id", "size", "text_crc32", "row", F.least(F.floor(middle / F.lit(length)), F.lit(shards - 1)).cast("int").alias("shard")))
     begins = rows.groupBy("shard").agg(F.min("row").alias("row0s"))

@@ -162,15 +162,20 @@ def _put(fs: pafs.FileSystem, path: str, attempt: int, write) -> None:
     fs.move(own, path)
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None, *, end_id: int | None = None, length: int = LENGTH, batch_rows: int = BATCH_ROWS, wide: bool = False, by_word: bool = False) -> list[dict]:
+def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None, *, end_id: int | None = None, length: int = LENGTH, batch_rows: int = BATCH_ROWS, wide: bool | None = None, by_word: bool = False) -> list[dict]:
     """Writes docs(doc_id, text) and returns the parts in order: path, first sequence-file row count, documents, tokens.
 
     Null texts are empty (the end id alone). Rows that repeat an id follow one another ordered by text; null ids come
-    first. `wide`: ids of 32 bits instead of 16. `by_word`: the tokenizer never joins words across ASCII white space.
+    first. `wide`: ids of 32 bits instead of 16; by default where the vocabulary or the end id needs them. `by_word`: the tokenizer never joins words across ASCII white space.
     `folder` must be a place that executors share (default: a new folder under spark.checkpoint.dir).
     """
     small_batches(docs.sparkSession)
     folder = folder or shared_dir(docs.sparkSession)
+    vocabulary = Tokenizer.from_file(tokenizer_path).get_vocab(with_added_tokens=True)
+    needed = max([*vocabulary.values(), end_id or 0]) > np.iinfo(np.uint16).max
+    if needed and wide is False:
+        raise ValueError("the vocabulary has ids above 65,535: they need wide=True")
+    wide = needed if wide is None else wide
 
     def run(batches):
         task = TaskContext.get()
