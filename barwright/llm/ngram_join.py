@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, SPACED, Heavy, blocks, contains, heavy_keys, long_array, mix, run_hash, small_batches, small_side, word_hashes, word_spans, written
@@ -26,7 +26,8 @@ WORDS = 5
 PERCENT = 80
 HOT_LIST = 1 << 16  # at most so many frequent hashes are put last (512 KB sent to tasks); any list gives the same links
 HOT_SHARE = 1 / 1024  # a hash on this share of all documents is always a candidate for that list
-BLOCK_DOCS = 2048  # a larger block is walked in parts
+BLOCK_DOCS = 2048  # a block of more sets is walked in parts
+BLOCK_TOKENS = 1 << 22  # so is one whose sets hold more tokens (32 MB of hashes)
 FANOUT = 8
 
 
@@ -49,8 +50,8 @@ def shingle_sets(batches: Iterator[pa.RecordBatch], words: int = WORDS) -> Itera
 
 
 def set_keys(u: np.ndarray) -> tuple[int, int]:
-    """A 48-bit and a 64-bit hash of a set. The first goes with every first hash; sets that share it by chance are only
-    compared once more."""
+    """A 48-bit and a 64-bit hash of a set, which tell it apart together. Only the first goes with every first hash; sets
+    that share it by chance are compared once more."""
     return int(mix(np.array([u.sum(dtype=np.uint64)]))[0]) >> 16, int(mix(u ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
 
 
@@ -66,7 +67,8 @@ def _signed(x: int) -> int:
 
 
 def _classes(words: int):
-    """Rows kind 0: doc_id, n, s1, s2, bits of each document; kind 1: a locally frequent hash in s1, its count in n."""
+    """Rows kind 0: doc_id, th, n, s1, s2 of each document, and bits of the first one of each set in a task; kind 1: a
+    locally frequent hash in s1, its count in n, the smallest key of a set with it in s2."""
 
     def run(batches):
         heavy, seen = Heavy(HOT_SHARE, 8), set()
@@ -74,38 +76,52 @@ def _classes(words: int):
         def frequent(found):
             if found is not None and len(found[0]):
                 zero = np.zeros(len(found[0]), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(zero + 1, pa.int32()), pa.array(zero), long_array(found[1]), long_array(found[0]), pa.array(zero), pa.nulls(len(zero), pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(zero + 1, pa.int32()), pa.array(zero), pa.array(zero), long_array(found[1]), long_array(found[0]), long_array(found[2]), pa.nulls(len(zero), pa.binary())], names)
 
-        names = ["kind", "doc_id", "n", "s1", "s2", "bits"]
+        names = ["kind", "doc_id", "th", "n", "s1", "s2", "bits"]
         for rows, sets in shingle_sets(batches, words):
-            keys = [set_keys(u) for u in sets]
+            keys, bits = [set_keys(u) for u in sets], []
             for k, u in zip(keys, sets, strict=True):
+                bits.append(bitmap(u) if len(u) and k not in seen else None)
                 if k not in seen:
                     seen.add(k)
-                    yield from frequent(heavy.add(u))
+                    yield from frequent(heavy.add(u, k[0]))
             if len(seen) > 1 << 20:
                 seen.clear()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * len(sets), pa.int32()), rows.column(0).cast(pa.int64()), pa.array([len(u) for u in sets], pa.int64()), pa.array([_signed(k[0]) for k in keys], pa.int64()), pa.array([_signed(k[1]) for k in keys], pa.int64()), pa.array([bitmap(u) if len(u) else None for u in sets], pa.binary())], names
+                [pa.array([0] * len(sets), pa.int32()), rows.column(0), rows.column(2), pa.array([len(u) for u in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([_signed(k[1]) for k in keys], pa.int64()), pa.array(bits, pa.binary())], names
             )
         yield from frequent(heavy.rest())
 
     return run
 
 
-def _firsts(hot: np.ndarray, words: int, percent: int):
-    """(token, s): the first hashes of each set; equal sets of a task once."""
+def _firsts(hot: np.ndarray, leaders: np.ndarray, words: int, percent: int):
+    """(token, s): the first hashes of each set; equal sets of a task once.
+
+    Tokens are hashes cut to 48 bits (two that agree in them by chance only make a block larger) with zeros behind. The
+    frequent ones don't meet by hash: their blocks have leaders known beforehand, and the token of such a row is the
+    leader's 48 bits, 15 bits that spread the rows, and a one.
+    """
 
     def run(batches):
         seen = set()
         for _, sets in shingle_sets(batches, words):
             tokens, owners = [], []
             for u in sets:
-                if len(u) and (s := set_keys(u)[0]) not in seen:
-                    seen.add(s)
-                    # 48 bits deal the blocks: two hashes that agree in them by chance only make a block larger.
-                    tokens.append(t := first_hashes(u, hot, percent) & np.uint64(0xFFFFFFFFFFFF0000))
-                    owners.append(np.full(len(t), s, np.uint64))
+                if not len(u) or (k := set_keys(u)) in seen:
+                    continue
+                seen.add(k)
+                t = first_hashes(u, hot, percent)
+                known = contains(hot, t)
+                if known.any():
+                    lead = np.unique(leaders[np.searchsorted(hot, t[known])]).astype(np.uint64)
+                    lead = lead[lead != k[0]] << np.uint64(16) | np.uint64((k[1] & 0x7FFF) << 1 | 1)
+                    t = np.concatenate([t[~known] & np.uint64(0xFFFFFFFFFFFF0000), lead])
+                else:
+                    t = t & np.uint64(0xFFFFFFFFFFFF0000)
+                tokens.append(t)
+                owners.append(np.full(len(t), k[0], np.uint64))
             if len(seen) > 1 << 20:
                 seen.clear()
             if tokens:
@@ -115,13 +131,15 @@ def _firsts(hot: np.ndarray, words: int, percent: int):
 
 
 def _tokens(words: int):
-    """(s1, node, tokens) of each document: the whole set as bytes."""
+    """(s1, node, tokens) of each node's text: the whole set as bytes; rows that repeat id and text once in a task."""
 
     def run(batches):
+        seen = set()
         for rows, sets in shingle_sets(batches, words):
-            keys = pa.array([_signed(set_keys(u)[0]) for u in sets], pa.int64())
-            mine = pc.equal(keys, rows.column(2))  # of rows that repeat an id, those of another text go
-            yield pa.RecordBatch.from_arrays([keys, rows.column(0), pa.array([u.tobytes() for u in sets], pa.binary())], ["s1", "node", "tokens"]).filter(mine)
+            nodes = rows.column(3).to_pylist()
+            new = [k for k, x in enumerate(nodes) if x not in seen and not seen.add(x)]
+            picked = rows.take(pa.array(new, pa.int64()))
+            yield pa.RecordBatch.from_arrays([picked.column(2), picked.column(3), pa.array([sets[k].tobytes() for k in new], pa.binary())], ["s1", "node", "tokens"])
 
     return run
 
@@ -301,13 +319,15 @@ def _exact(percent: int):
     return run
 
 
-def walk_parts(parts: DataFrame, signatures: DataFrame, text: DataFrame, percent: int, words: int) -> DataFrame:
+def walk_parts(parts: DataFrame, classes: DataFrame, signatures: DataFrame, text: DataFrame, percent: int, words: int) -> DataFrame:
     """parts(leader, part, s1, comp): links (a, b) of nodes, found by the trees of all (leader, part). The whole sets
-    of those that bitmaps leave are read again; texts are shuffled once, the small side is hashed."""
-    rows = parts.join(signatures.select("s1", "n", "bits"), "s1").select("leader", "part", "s1", "comp", "n", "bits").repartition("leader", "part").sortWithinPartitions("leader", "part", "s1")
+    of those that bitmaps leave are read again, by id and text hash; texts are shuffled once, the small side is hashed."""
+    rows = parts.join(signatures.select("s1", "node", "n", "bits"), "s1").select("leader", "part", "s1", "comp", "n", "bits").repartition("leader", "part").sortWithinPartitions("leader", "part", "s1")
     left = written(rows.mapInArrow(_possible(percent), "leader long, part string, sub long, s1 long, comp long"))
-    need = written(signatures.join(left.select("s1").distinct(), "s1", "left_semi").select(F.col("node").alias("doc_id"), "s1"))
-    tokens = text.join(small_side(need), "doc_id").select("doc_id", "text", "s1").mapInArrow(_tokens(words), "s1 long, node long, tokens binary")
+    need = written(classes.join(left.select("s1").distinct(), "s1", "left_semi").select(F.col("best.doc_id").alias("of"), F.col("best.th").alias("th"), "s1", "node"))
+    found = text.withColumn("_th", F.xxhash64("text")).join(small_side(need), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("_th") == F.col("th")))
+    tokens = found.select("doc_id", "text", "s1", "node").mapInArrow(_tokens(words), "s1 long, node long, tokens binary")
+    # Two tasks can both have had the same row; a link of a node to itself is none.
     rows = left.join(tokens, "s1").select("leader", "part", "sub", "node", "comp", "tokens").repartition("leader", "part", "sub").sortWithinPartitions("leader", "part", "sub", "node")
     return written(rows.mapInArrow(_exact(percent), "a long, b long").distinct())
 
@@ -315,56 +335,68 @@ def walk_parts(parts: DataFrame, signatures: DataFrame, text: DataFrame, percent
 # ------------------------------------------------------------------ the join
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, percent: int = PERCENT, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, percent: int = PERCENT, block_docs: int = BLOCK_DOCS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) for each row of docs.
 
     Null, empty and wordless texts have no shingles, no links and themselves as component; texts of fewer than five
     words are one shingle. Equal sets share a class_id (its smallest id) and are linked. Rows that repeat an id count
-    as one row each. Other columns of docs aren't read.
+    as one row each. Rows without an id are linked like others; class_id and component_id are null where no row of the
+    class or component has an id. Other columns of docs aren't read. No rows give no rows.
     """
     small_batches(docs.sparkSession)
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = written(text.mapInArrow(_classes(words), "kind int, doc_id long, n long, s1 long, s2 long, bits binary"))
-    hot = heavy_keys(found.where("kind = 1").select(F.col("s1").alias("key"), "n"), HOT_LIST)
-    sets = found.where("kind = 0").drop("kind", "bits")
-    classes = written(sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node")))
-
-    # Blocks: sets that share a first hash; each block is named by its smallest key.
-    firsts = text.mapInArrow(_firsts(hot, words, percent), "token long, s long")
-    # Written, so that the join below is a stage of its own, whose hot hashes Spark can split.
-    # Counts are small numbers and shuffle well; a hash that only copies of one set share makes a block of one, which goes.
-    shared = written(firsts.groupBy("token").agg(F.min("s").alias("leader"), F.count("*").alias("k")).where("k > 1").select("token", "leader"))
-    members = written(firsts.join(shared, "token").select("leader", F.col("s").alias("s1")).distinct())
-    sized = written(members.groupBy("leader").agg(F.count("*").alias("size")).where("size > 1"))
-    inner = members.join(sized, "leader")
-    own = classes.join(inner.select("s1").distinct(), "s1", "left_semi").withColumnRenamed("node", "doc_id")
-    signatures = written(found.where("kind = 0").select("doc_id", "s1", "s2", "n", "bits").join(own, ["doc_id", "s1", "s2", "n"]).withColumnRenamed("doc_id", "node").select("s1", "node", "n", "bits"))
-
-    parts = F.ceil(F.col("size") / block_docs)
-    rest = inner.where("s1 <> leader").select("leader", F.pmod(F.xxhash64("s1"), parts).cast("string").alias("part"), "s1")
+    found = written(text.withColumn("th", F.xxhash64("text")).mapInArrow(_classes(words), "kind int, doc_id long, th long, n long, s1 long, s2 long, bits binary"))
+    hot, leaders = heavy_keys(found.where("kind = 1").select(F.col("s1").alias("key"), "n", F.col("s2").alias("owner")), HOT_LIST)
+    sets = found.where("kind = 0")
+    # Equal sets are a class: a number (the row's place in the written table), its smallest id, and one row to read it from.
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("best")
+    classes = written(sets.where("n > 0").groupBy("s1", "s2", "n").agg(best, F.min("doc_id").alias("class_id")).withColumn("node", F.monotonically_increasing_id()))
+
+    # Blocks: the sets that share a first hash, named by their leader, the smallest key. One exchange by token and an
+    # order in it give each row its leader; a token that isn't known as frequent has a small share of all rows.
+    firsts = text.mapInArrow(_firsts(hot, leaders, words, percent), "token long, s long")
+    line = Window.partitionBy("token").orderBy("s")
+    firsts = firsts.select("token", "s", F.first("s").over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("low"), F.lag("s").over(line).alias("before"))
+    known = F.col("token").bitwiseAND(1) == 1
+    firsts = firsts.where(known | (F.col("s") != F.col("before")) & (F.col("s") != F.col("low"))).select(F.when(known, F.shiftrightunsigned("token", 16)).otherwise(F.col("low")).alias("leader"), F.col("s").alias("s1"))
+    members = written(firsts.distinct().join(classes.groupBy("s1").agg(F.max("n").alias("n")), "s1"))
+    sized = written(members.groupBy("leader").agg((F.count("*") + 1).alias("size"), F.sum("n").alias("tokens")))
+    named = members.select("s1").unionByName(sized.select(F.col("leader").alias("s1"))).distinct()
+    own = classes.join(named, "s1", "left_semi").select("s1", "s2", "n", "node")
+    signatures = written(sets.where("bits is not null").select("s1", "s2", "n", "bits").join(own, ["s1", "s2", "n"]).groupBy("s1", "node", "n").agg(F.first("bits").alias("bits")))
+
+    parts = F.greatest(F.ceil(F.col("size") / block_docs), F.ceil(F.col("tokens") / block_tokens))
+    rest = members.join(sized, "leader").select("leader", F.pmod(F.xxhash64("s1"), parts).cast("string").alias("part"), "s1")
     heads = sized.select("leader", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda x: x.cast("string"))).alias("part"), F.col("leader").alias("s1"))
-    links = walk_parts(rest.unionByName(heads).withColumn("comp", F.lit(None).cast("long")), signatures, text, percent, words)
+    links = walk_parts(rest.unionByName(heads).withColumn("comp", F.lit(None).cast("long")), classes, signatures, text, percent, words)
 
     # Blocks walked in parts: sets of different components meet, until all parts have met.
-    large = sized.where(F.col("size") > block_docs)
+    large = sized.withColumn("parts", parts).where("parts > 1")
     if not large.isEmpty():
-        across = _across(members, large, signatures, connected_components(links), block_docs)
-        links = links.unionByName(walk_parts(across, signatures, text, percent, words))
-
-    linked = connected_components(links).withColumnRenamed("node", "class_id")
-    rows = sets.join(classes, ["s1", "s2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("node", "doc_id").alias("class_id"))
-    return rows.join(linked, "class_id", "left").select("doc_id", "n_shingles", F.coalesce("comp", "class_id").alias("component_id"), "class_id")
-
-
-def _across(members: DataFrame, large: DataFrame, signatures: DataFrame, comps: DataFrame, block_docs: int) -> DataFrame:
-    """Parts for what the first walk of large blocks hasn't compared. In a block with several components, the sets
-    outside its largest component meet one another and those of the largest; a block of one component is done."""
-    known = signatures.select("s1", "node").join(comps, "node", "left").select("s1", F.coalesce("comp", "node").alias("comp"))
-    rows = written(members.join(large.select("leader"), "leader").join(known, "s1"))
-    sizes = rows.groupBy("leader", "comp").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("leader").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.max("k").alias("k_main"), F.sum("k").alias("k_all")).where("k_all > k_main")
-    half = max(1, block_docs // 2)
-    rows = rows.join(main, "leader").withColumn("n_rest", F.ceil((F.col("k_all") - F.col("k_main")) / half)).withColumn("n_main", F.ceil(F.col("k_main") / half))
+        block = members.select("leader", "s1").unionByName(large.select("leader", F.col("leader").alias("s1")))
+        across = _across(block, large, signatures, connected_components(links))
+        links = links.unionByName(walk_parts(across, classes, signatures, text, percent, words))
+
+    # A component is named by the smallest id of its rows; null if none of them has an id.
+    linked = classes.select("s1", "s2", "n", "node", "class_id").join(connected_components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    names = linked.groupBy("comp").agg(F.min("class_id").alias("component_id"))
+    linked = linked.join(names, "comp").select("s1", "s2", "n", "class_id", "component_id")
+    rows = sets.select("doc_id", "n", "s1", "s2").join(linked, ["s1", "s2", "n"], "left")
+    alone = F.col("n") == 0
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+
+
+def _across(members: DataFrame, large: DataFrame, signatures: DataFrame, comps: DataFrame) -> DataFrame:
+    """Parts for what the first walk of large blocks (leader, size, tokens, parts) hasn't compared. In a block with several
+    components, the sets outside its largest component meet one another and those of the largest; a block of one
+    component is done. A set is copied to as many parts as there are chunks of half a part's sets or tokens."""
+    known = signatures.select("s1", "node", "n").join(comps, "node", "left").select("s1", "n", F.coalesce("comp", "node").alias("comp"))
+    rows = written(members.join(large.select("leader", "parts", "size", "tokens"), "leader").join(known, "s1"))
+    sizes = rows.groupBy("leader", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("t"))
+    main = sizes.groupBy("leader").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.max(F.struct("k", "comp", "t")).alias("top"), F.sum("k").alias("k_all"), F.sum("t").alias("t_all")).where("k_all > top.k")
+    # Halves: of two chunks that meet, each holds half of what a part may hold.
+    chunks = lambda k, t: F.greatest(F.lit(1).cast("long"), F.ceil(2 * F.col("parts") * F.greatest(k / F.col("size"), t / F.col("tokens"))))
+    rows = rows.join(main, "leader").withColumn("n_rest", chunks(F.col("k_all") - F.col("top.k"), F.col("t_all") - F.col("top.t"))).withColumn("n_main", chunks(F.col("top.k"), F.col("top.t")))
     chunk = F.xxhash64("s1")
     rest = rows.where("comp <> main").withColumn("c", F.pmod(chunk, "n_rest"))
     every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
