@@ -13,8 +13,7 @@ from itertools import combinations, compress
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACED, Heavy, blocks, contains, heavy_keys, long_array, mix, run_hash, small_batches, word_hashes, word_spans, written
@@ -56,14 +55,15 @@ def _key(words: np.ndarray) -> int:
 
 
 def _scan(window: int, period: int):
-    """kind 0: doc_id, n_words, whole (sha256 of the words joined by one space), c; kind 1: a locally frequent anchor
+    """kind 0: doc_id, th, n_words, whole (sha256 of the words joined by one space), c; kind 1: a locally frequent anchor
     in c and its count in n_words."""
-    length, names = window - period + 1, ["kind", "doc_id", "n_words", "whole", "c"]
+    length, names = window - period + 1, ["kind", "doc_id", "th", "n_words", "whole", "c"]
 
     def frequent(found):
         if found is not None and len(found[0]):
             n = len(found[0])
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(np.zeros(n, np.int64)), long_array(found[1]), pa.nulls(n, pa.string()), long_array(found[0])], names)
+            zero = pa.array(np.zeros(n, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), zero, zero, long_array(found[1]), pa.nulls(n, pa.string()), long_array(found[0])], names)
 
     def run(batches):
         heavy, seen = Heavy(HOT_SHARE, 8), set()
@@ -80,7 +80,7 @@ def _scan(window: int, period: int):
             if len(seen) > 1 << 18:
                 seen.clear()
             n = rows.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), rows.column(0), pa.array(np.diff(first)), pa.array(whole), long_array(np.array(keys, np.uint64))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), rows.column(0), rows.column(2), pa.array(np.diff(first)), pa.array(whole), long_array(np.array(keys, np.uint64))], names)
         yield from frequent(heavy.rest())
 
     return run
@@ -118,11 +118,12 @@ def _anchors(hot: np.ndarray, window: int, period: int):
     return run
 
 
-def _of_class(batches):
-    """The rows whose words have the key c; another text of the same id has other words."""
-    for rows, _, _, first, words in _documents(batches):
-        keys = long_array(np.array([_key(words[first[d] : first[d + 1]]) for d in range(rows.num_rows)], np.uint64))
-        yield rows.filter(pc.equal(keys, rows.column(rows.schema.get_field_index("c"))))
+def _once(batches):
+    """Rows that repeat id and class once in a task."""
+    seen = set()
+    for batch in batches:
+        keys = list(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True))
+        yield batch.filter(pa.array([k not in seen and not seen.add(k) for k in keys], pa.bool_()))
 
 
 def _windows(window: int, period: int):
@@ -176,34 +177,38 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whose word sequence also starts in a document of smaller id; removed has them as spans of word positions.
 
     Null and wordless texts have no words; documents shorter than a window keep all. Rows that repeat an id aren't
-    smaller than one another and keep what only they share. Rows without an id keep all. Other columns aren't read.
+    smaller than one another and keep what only they share, whatever their texts. Rows without an id keep all and take
+    nothing from others. Other columns aren't read. No rows give no rows.
     """
     if not 0 < period < window:
         raise ValueError("period must be less than window")
     small_batches(docs.sparkSession)
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = written(text.mapInArrow(_scan(window, period), "kind int, doc_id long, n_words long, whole string, c long"))
-    hot = heavy_keys(found.where("kind = 1").select(F.col("c").alias("key"), F.col("n_words").alias("n")), HOT_LIST)
+    found = written(text.withColumn("th", F.xxhash64("text")).mapInArrow(_scan(window, period), "kind int, doc_id long, th long, n_words long, whole string, c long"))
+    hot, _ = heavy_keys(found.where("kind = 1").select(F.col("c").alias("key"), F.col("n_words").alias("n"), F.lit(0).cast("long").alias("owner")), HOT_LIST)
     rows = found.where("kind = 0").drop("kind")
-    # Equal word sequences: all but the smallest id are repeats as a whole.
-    firsts = written(rows.where(F.col("n_words") >= window).groupBy("whole", "c").agg(F.min("doc_id").alias("first_id")))
+    # Equal word sequences: all but the smallest id are repeats as a whole; th names the text to read it from.
+    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "th")))
+    firsts = written(rows.where(F.col("n_words") >= window).groupBy("whole", "c").agg(least.alias("f")).select("whole", "c", F.col("f.doc_id").alias("first_id"), F.col("f.th").alias("th")))
 
+    # Anchors that two sequences have: aggregated before the exchange, and joined back as a stage of its own, whose
+    # frequent anchors Spark can split. Those known beforehand have spread keys and meet nothing.
     anchors = text.mapInArrow(_anchors(hot, window, period), "h long, c long, pos int, known boolean")
-    same = Window.partitionBy("h")
-    shared = anchors.withColumn("lo", F.min("c").over(same)).withColumn("hi", F.max("c").over(same)).where("known or lo < hi")
-    marks = shared.groupBy("c").agg(F.collect_set("pos").alias("marks"))
+    shared = written(anchors.where("not known").groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h", F.lit(True).alias("shared")))
+    marks = anchors.join(shared, "h", "left").where("known or shared").groupBy("c").agg(F.collect_set("pos").alias("marks"))
     # An id can have several texts: c tells them apart, and part does in windows, where it is 0 for ids with one.
-    own = marks.join(firsts.where("first_id is not null"), "c").groupBy(F.col("first_id").alias("doc_id")).agg(F.collect_list(F.struct("c", "marks")).alias("own"))
-    need = own.select("doc_id", (F.size("own") > 1).alias("several"), F.explode("own").alias("o")).select("doc_id", "o.marks", "o.c", F.when(F.col("several"), F.col("o.c")).otherwise(F.lit(0).cast("long")).alias("part"))
-    texts = text.join(need.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "marks", "c", "part")
-    texts = written(texts.mapInArrow(_of_class, "doc_id long, text string, marks array<int>, c long, part long"))
+    several = firsts.groupBy("first_id").agg(F.count("*").alias("k")).where("k > 1").select("first_id", F.lit(True).alias("several"))
+    need = marks.join(firsts.where("first_id is not null"), "c").join(several, "first_id", "left")
+    need = need.select(F.col("first_id").alias("doc_id"), F.col("th").alias("_th"), "marks", "c", F.when(F.col("several"), F.col("c")).otherwise(F.lit(0).cast("long")).alias("part"))
+    texts = text.withColumn("_th", F.xxhash64("text")).join(need.hint("shuffle_hash"), ["doc_id", "_th"]).select("doc_id", "text", "marks", "c", "part")
+    texts = written(texts.mapInArrow(_once, "doc_id long, text string, marks array<int>, c long, part long"))
 
     windows = texts.mapInArrow(_windows(window, period), "w1 long, w2 int, doc_id long, part long, pos int")
     # Written, so that the join below is a stage of its own, whose hot windows Spark can split.
     least = written(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi"))
     repeats = windows.join(least, ["w1", "w2"]).where("doc_id > lo").groupBy("doc_id", "part").agg(F.collect_set("pos").alias("pos"))
-    cut = texts.select("doc_id", "text", "c", "part").distinct().join(repeats, ["doc_id", "part"]).select("doc_id", "c", "text", "pos").mapInArrow(_cut(window), "cut_id long, cut_c long, n_removed long, kept_sha256 string, removed array<struct<start:int,end:int>>")
-    cut = cut.dropDuplicates(["cut_id", "cut_c"])  # texts of one id that differ in blanks only
+    cut = texts.select("doc_id", "text", "c", "part").join(repeats, ["doc_id", "part"]).select("doc_id", "c", "text", "pos").mapInArrow(_cut(window), "cut_id long, cut_c long, n_removed long, kept_sha256 string, removed array<struct<start:int,end:int>>")
+    cut = cut.dropDuplicates(["cut_id", "cut_c"])  # rows that repeat id and text, and two sequences that collide in c
 
     spans = "array<struct<start:int,end:int>>"
     copy = F.col("first_id") < F.col("doc_id")
