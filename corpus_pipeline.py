@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwright.llm import decontaminate, mixing, ngram_join, quality, sharding
-from barwright.llm.common import table, written
+from barwright.llm.common import free_names, table, written
 from barwright.llm.queries import bucket_of_id
 
 KEEP_SCORE = 0.3
@@ -20,7 +20,8 @@ KEEP_SCORE = 0.3
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: documents with a quality score of at least 0.3."""
     model = quality.fit_quality(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").where(bucket_of_id(5) != 0))
-    return quality.score_quality(docs, model, score_col="_score").where(F.col("_score") >= KEEP_SCORE).drop("_score")
+    score = free_names(docs.columns, "_score")[0]
+    return quality.score_quality(docs, model, score_col=score).where(F.col(score) >= KEEP_SCORE).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
