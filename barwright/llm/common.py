@@ -6,8 +6,6 @@ table of word bytes, and 64-bit word hashes by differences of a running polynomi
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir, written  # noqa: F401  (operators take them from here)
+
 # ------------------------------------------------------------------ tables
 
 
@@ -22,18 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share. Where it is unset: a temporary folder of a
-    local session, whose executors are the driver itself; on a cluster an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_barwright_shared", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="barwright-")
-        spark._barwright_shared = base
-    return f"{base.rstrip('/')}/barwright-{uuid.uuid4().hex}"
-
-
 def free_names(columns: list[str], *names: str) -> list[str]:
     """The names, each with as many underscores behind as it takes to clash with none of `columns` (in any case)."""
     taken = {c.lower() for c in columns}
@@ -45,13 +33,6 @@ def free_names(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-def written(df: DataFrame, *, partitions: int | None = None) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession) + "/table"
-    (df.coalesce(partitions) if partitions else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 BROADCAST_ROWS = 1 << 18  # narrow rows (ids) that are broadcast at most: some MB
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranges import place_in
 from .common import free_names
 
 ANCHORS = 64
@@ -55,17 +56,6 @@ def likeness(a: str, b: str, anchors: int = ANCHORS) -> Column:
 RANGE_BYTES = 16 << 20  # of text in a range of documents, about; a longer text is a range of its own
 
 
-def _place_in(cuts: list[int], key: Column) -> Column:
-    """Number of cuts (ascending) that aren't above key: first among every m-th one, then among the m behind it."""
-    if not cuts:
-        return F.lit(0)
-    m = max(1, round(len(cuts) ** 0.5))
-    below = lambda xs: F.size(F.filter(xs, lambda x: x <= key))
-    array = lambda xs: F.lit(xs).cast("array<bigint>")
-    coarse = below(array(cuts[::m]))
-    return F.when(coarse == 0, 0).otherwise((coarse - 1) * m + below(F.slice(array(cuts), (coarse - 1) * m + 1, F.lit(m))))
-
-
 def with_next(df: DataFrame, key: str, columns: list[str], range_bytes: int = RANGE_BYTES) -> DataFrame:
     """df with next_<column> of the row after each in ascending order of key; after the last comes the first.
 
@@ -80,7 +70,7 @@ def with_next(df: DataFrame, key: str, columns: list[str], range_bytes: int = RA
     range_bytes = max(range_bytes, total >> 16)
     fine = min(1 << 18, 4 * (1 + total // range_bytes))
     cuts = sorted(set(df.agg(F.percentile_approx(place, [i / fine for i in range(1, fine)] or [0.5], F.lit(max(10_000, 10 * fine)))).first()[0] or [])) if fine > 1 else []
-    weighed = sorted((r.b, r.k, r.n) for r in df.groupBy(_place_in(cuts, place).alias("b")).agg(F.min(place).alias("k"), F.sum(size).alias("n")).collect())
+    weighed = sorted((r.b, r.k, r.n) for r in df.groupBy(place_in(cuts, place).alias("b")).agg(F.min(place).alias("k"), F.sum(size).alias("n")).collect())
     if not weighed:
         return df.select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
     firsts, held = [weighed[0][1]], 0
@@ -93,7 +83,7 @@ def with_next(df: DataFrame, key: str, columns: list[str], range_bytes: int = RA
     first = F.get(F.lit(firsts).cast("array<bigint>"), F.col(own))
     goes = lambda b, ghost: F.struct(b.cast("long").alias("b"), F.lit(ghost).alias("ghost"))
     before = F.pmod(F.col(own) - 1, F.lit(len(firsts)))
-    rows = df.withColumn(at, place).withColumn(own, _place_in(firsts[1:], F.col(at)))
+    rows = df.withColumn(at, place).withColumn(own, place_in(firsts[1:], F.col(at)))
     rows = rows.withColumn(to, F.explode(F.when(F.col(at) == first, F.array(goes(F.col(own), False), goes(before, True))).otherwise(F.array(goes(F.col(own), False)))))
     line = Window.partitionBy(F.col(f"{to}.b")).orderBy(F.col(f"{to}.ghost"), at, *columns)
     rows = rows.select("*", *(F.lead(c).over(line).alias(f"next_{c}") for c in columns))
