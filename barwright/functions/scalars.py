@@ -50,8 +50,8 @@ def log_ratio(a: str | Column, b: str | Column) -> Column:
 
 
 def clean_token(c: str | Column) -> Column:
-    """Letters, digits, `_`, `.` and `-`; runs of anything else are `_`, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(col(c), r"[^\p{L}\p{N}_.\-]+", "_"), "^_+|_+$", "")
+    """Letters, digits, `_`, `.` and `-`; each other character becomes `_`, none stays at the ends."""
+    return F.regexp_replace(F.regexp_replace(col(c), r"[^\p{L}\p{N}_.\-]", "_"), "^_+|_+$", "")
 
 
 def ticker_bucket(c: str | Column) -> Column:

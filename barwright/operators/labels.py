@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranges import range_of
 from ..functions.scalars import clean_key, sample_key, to_bool
 
 
@@ -21,6 +20,29 @@ def normalized(raw: DataFrame) -> DataFrame:
     return df.withColumn("sample_id", sample_key("ticker", "asof_date", "setup"))
 
 
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV of labels or listings with a header: all columns as text, so that a ticker `NA` stays one."""
+    return spark.read.option("header", True).option("inferSchema", False).option("nullValue", "").csv(path)
+
+
+def write_store(df: DataFrame, path: str, source: str | None = None) -> None:
+    """Labels as Parquet, and a sidecar of one JSON row beside it: source, rows, columns and keys."""
+    df.write.mode("overwrite").parquet(path)
+    n = df.sparkSession.read.parquet(path).agg(F.count("*").alias("rows"))
+    names = F.array(*(F.lit(c) for c in df.columns))
+    keys = F.array(*(F.lit(c) for c in ("ticker", "asof_date", "setup")))
+    n.select(F.lit(source).alias("source"), "rows", names.alias("columns"), keys.alias("key_columns")).coalesce(1).write.mode("overwrite").json(f"{path}.meta.json")
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """Labels of a store; an error if a column that they need is missing."""
+    df = spark.read.parquet(path)
+    need = {"ticker", "asof_date", "setup", "label"} - set(df.columns)
+    if need:
+        raise ValueError(f"columns are missing: {sorted(need)}")
+    return df
+
+
 def boolean_columns(df: DataFrame, columns: list[str], sample: int = 50) -> list[str]:
     """Columns whose first `sample` non-null values all are booleans: one bounded job for each column."""
     found = []
@@ -64,11 +86,8 @@ def _split(rank: Column, n: Column, train: float, val: float) -> Column:
 def ranked(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame:
     """df with its global rank by `order`, in two steps so that no task holds all rows: ranges of the order are dealt to
     partitions, ranked there, and shifted by the rows of the ranges before (one small row a range)."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = F.unix_date(order[0]) if df.select(order[0].alias("k")).dtypes[0][1] == "date" else order[0]
-    cuts = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5])).first()[0] or []
-    part = reduce(lambda acc, c: acc + (key >= F.lit(c)).cast("int"), sorted(set(cuts)), F.lit(0))
-    df = df.withColumn("_p", F.coalesce(part, F.lit(0)))
+    dated = df.select(order[0].alias("k")).dtypes[0][1] == "date"
+    df = df.withColumn("_p", range_of(df, F.unix_date(order[0]) if dated else order[0], "bigint"))
     before = df.groupBy("_p").agg(F.count("*").alias("_n"))
     before = before.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     local = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
