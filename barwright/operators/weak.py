@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rolling import true_range
-from ..functions.scalars import ratio
+from ..functions.scalars import ratio, sample_key
+from .windows import context
 
 # ------------------------------------------------------------------ features
 
 
-def context_features(ctx: DataFrame, cons: int = 10, impulse: int = 10, atr: int = 14) -> DataFrame:
+def context_features(ctx: DataFrame, cons: int = 8, impulse: int = 10, atr: int = 14) -> DataFrame:
     """One row for each sample from its context rows (t_rel <= 0 past, > 0 future): one exchange, the window for true
     ranges and all conditional aggregates share it.
 
-    Consolidation: the `cons` bars before the as-of bar; impulse: the return of the `impulse` bars before these.
+    Consolidation: the last `cons` bars before the as-of bar; its range is also given over their median close, and its
+    slope is of ln(1 + volume). Impulse: the return from the first to the last of the `impulse` bars before the as-of bar.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy("sample_id").orderBy("t_rel")
     rows = ctx.withColumn("tr", true_range("high", "low", F.lag("close").over(w), first=True))
     at = lambda t, c: F.max(F.when(F.col("t_rel") == t, F.col(c)))
@@ -30,14 +32,15 @@ def context_features(ctx: DataFrame, cons: int = 10, impulse: int = 10, atr: int
     g = rows.groupBy("sample_id").agg(
         at(-1, "close").alias("prev_close"), *(at(0, c).alias(f"asof_{c}") for c in ("open", "high", "low", "close", "volume")),
         F.avg(inside("volume", -20, -1)).alias("past_vol_avg20"), F.max(inside("high", -cons, -1)).alias("cons_high"), F.min(inside("low", -cons, -1)).alias("cons_low"),
-        F.regr_slope(inside("volume", -cons, -1).cast("double"), F.when(F.col("t_rel").between(-cons, -1), F.col("t_rel")).cast("double")).alias("cons_vol_slope"),
-        F.avg(inside("tr", -atr, -1)).alias("atr"), at(-cons - 1, "close").alias("_c1"), at(-cons - impulse + 1, "close").alias("_c0"),
+        F.regr_slope(F.log1p(inside("volume", -cons, -1).cast("double")), inside("t_rel", -cons, -1).cast("double")).alias("cons_vol_slope"),
+        F.avg(inside("tr", -atr, -1)).alias("atr"), F.percentile(inside("close", -cons, -1), 0.5).alias("_mid"), F.min_by("close", inside("t_rel", -impulse, -1)).alias("_from"),
         F.max(inside("close", 1, 1 << 20)).alias("future_max_close"), F.min(inside("close", 1, 1 << 20)).alias("future_min_close"),
     )
+    span = F.col("cons_high") - F.col("cons_low")
     return g.select(
-        "*", ratio("asof_volume", "past_vol_avg20").alias("volume_shock"), (ratio("asof_open", "prev_close") - 1).alias("gap_pct"), ratio(F.col("cons_high") - F.col("cons_low"), "cons_low").alias("cons_range_pct"),
-        ratio(F.col("cons_high") - F.col("cons_low"), "atr").alias("cons_range_atr"), (ratio("_c1", "_c0") - 1).alias("impulse_return"),
-    ).drop("_c0", "_c1")
+        "*", ratio("asof_volume", "past_vol_avg20").alias("volume_shock"), (ratio("asof_open", "prev_close") - 1).alias("gap_pct"), ratio(span, "_mid").alias("cons_range_pct"),
+        ratio(span, "atr").alias("cons_range_atr"), (ratio("prev_close", "_from") - 1).alias("impulse_return"),
+    ).drop("_mid", "_from")
 
 
 # ------------------------------------------------------------------ labelling functions
@@ -128,38 +131,70 @@ def summary(matrix: DataFrame, names: list[str]) -> DataFrame:
 
 
 def label_model(matrix: DataFrame, names: list[str], *, iterations: int = 50, tolerance: float = 1e-6, prior: float = 0.2) -> tuple[DataFrame, dict]:
-    """Posteriors of a model with independent functions, fitted by EM, and its parameters.
+    """matrix with p_label, label_hard, weight (the larger of p and 1 - p; 0 without votes) and emitted, by a model with
+    independent functions, fitted by EM, and its parameters: prior, accuracy and coverage.
 
     Rows with the same votes have the same posterior, so EM runs on the counts of distinct vote rows (3^m at most),
     which one aggregation gives; the posteriors are joined back by the votes.
     """
     counts = matrix.groupBy(*names).agg(F.count("*").alias("n")).collect()
-    v, n = np.array([[r[c] for c in names] for r in counts], float), np.array([r.n for r in counts], float)
-    pi, acc, last = prior, np.full(len(names), 0.7), None
+    v, n = np.array([[r[c] for c in names] for r in counts], float).reshape(-1, len(names)), np.array([r.n for r in counts], float)
+    pi, acc, last = float(np.clip(prior, 1e-3, 1 - 1e-3)), np.full(len(names), 0.7), None
     emitted, ever = v != 0, (v != 0).any(0)
-    acc[~ever] = 0.5
     post = np.full(len(n), pi)
-    for _ in range(iterations):
+    for _ in range(iterations if len(n) else 0):
         hit = np.where(v == 1, np.log(acc), np.where(v == -1, np.log(1 - acc), 0.0)).sum(1) + np.log(pi)
         miss = np.where(v == 1, np.log(1 - acc), np.where(v == -1, np.log(acc), 0.0)).sum(1) + np.log(1 - pi)
         top = np.maximum(hit, miss)
         total = top + np.log(np.exp(hit - top) + np.exp(miss - top))
         post = np.exp(hit - total)
         loss = float((n * total).sum())
-        if last is not None and abs(loss - last) <= tolerance * max(1.0, abs(last)):
+        if last is not None and abs(loss - last) < tolerance:
             break
         last = loss
-        pi = float(np.clip((n * post).sum() / n.sum(), 1e-4, 1 - 1e-4))
+        pi = float(np.clip((n * post).sum() / n.sum(), 1e-3, 1 - 1e-3))
         right = (n[:, None] * np.where(v == 1, post[:, None], np.where(v == -1, 1 - post[:, None], 0.0))).sum(0)
-        acc = np.where(ever, np.clip(right / np.maximum((n[:, None] * emitted).sum(0), 1e-12), 0.55, 0.95), 0.5)
+        acc = np.where(ever, np.clip(right / np.maximum((n[:, None] * emitted).sum(0), 1.0), 0.55, 0.95), 0.5)
     kind = ", ".join(f"`{c}` int" for c in names) + ", p_label double"
     table = matrix.sparkSession.createDataFrame([(*map(int, r), float(p)) for r, p in zip(v, post, strict=True)], kind)
-    return matrix.join(F.broadcast(table), names), {"prior": pi, "accuracy": dict(zip(names, acc.tolist(), strict=True))}
+    cover = (n[:, None] * emitted).sum(0) / max(n.sum(), 1.0)
+    out = matrix.join(F.broadcast(table), names).withColumn("label_hard", F.col("p_label") >= 0.5).withColumn("emitted", _sum([(F.col(c) != 0).cast("int") for c in names]))
+    out = out.withColumn("weight", F.when(F.col("emitted") > 0, F.greatest(F.col("p_label"), 1 - F.col("p_label"))).otherwise(0.0))
+    return out, {"prior": pi, "accuracy": dict(zip(names, acc.tolist(), strict=True)), "coverage": dict(zip(names, cover.tolist(), strict=True))}
+
 
+def pseudo_labels(pool: DataFrame, sessions: DataFrame, bar: DataFrame, *, setup: str = "flag", past: int = 48, future: int = 32, combine: str = "label_model", head: int = 0, version: str = "v1") -> DataFrame:
+    """Weak labels of a candidate pool(ticker, asof_date, setup, ...): its rows of `setup` (the first `head` of the newest and
+    most traded ones if given), their contexts and features, votes, and votes combined by `majority` or `label_model`.
 
-def candidate_pool(bar: DataFrame, setups: tuple[str, ...], start: str, end: str, min_close: float, min_dollar_vol: float = 0.0, top: int | None = None) -> DataFrame:
-    """Bars of a span that pass the thresholds, newest and most traded first, times setups."""
-    df = bar.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).where("close is not null and volume is not null").where(F.col("close") >= min_close)
+    The pool's columns stay; sample_id, p_label, weight, label, label_def_version and lf_config_hash (of all options) are
+    new. Rows without a whole context in the calendar go.
+    """
+    if setup not in RULES:
+        raise ValueError(f"setup must be one of {sorted(RULES)}")
+    if combine not in ("majority", "label_model"):
+        raise ValueError("combine must be majority or label_model")
+    rows = pool.withColumn("ticker", F.upper("ticker")).where(F.col("setup") == setup)
+    if head:
+        rows = rows.orderBy(F.desc("asof_date"), F.desc("dollar_vol"), "ticker").limit(head)
+    rows = rows.withColumn("sample_id", sample_key("ticker", "asof_date", "setup"))
+    keys = rows.select("sample_id", "ticker", "asof_date", "setup", F.lit(None).cast("boolean").alias("label"))
+    matrix = votes(context_features(context(keys, sessions, bar, past, future)), rules(setup))
+    names = list(RULES[setup])
+    post = majority(matrix, names) if combine == "majority" else label_model(matrix, names)[0]
+    options = {"setup": setup, "past_window": past, "future_window": future, "combine": combine, "label_def_version": version}
+    name = hashlib.sha1(json.dumps(options, sort_keys=True).encode()).hexdigest()
+    found = post.select("sample_id", "p_label", "weight", F.col("label_hard").alias("label"))
+    return rows.join(found, "sample_id").withColumn("label_def_version", F.lit(version)).withColumn("lf_config_hash", F.lit(name))
+
+
+def candidate_pool(bar: DataFrame, setups: tuple[str, ...], start: str | None, end: str | None, min_close: float, min_dollar_vol: float = 0.0, top: int | None = None) -> DataFrame:
+    """Bars of a span (open where an end is None) that pass the thresholds, newest and most traded first, times setups."""
+    df = bar.where("close is not null and volume is not null").where(F.col("close") >= min_close)
+    if start:
+        df = df.where(F.col("date") >= F.lit(start).cast("date"))
+    if end:
+        df = df.where(F.col("date") <= F.lit(end).cast("date"))
     df = df.select("ticker", F.col("date").alias("asof_date"), "close", "volume", (F.col("close") * F.col("volume")).alias("dollar_vol"))
     if min_dollar_vol > 0:
         df = df.where(F.col("dollar_vol") >= min_dollar_vol)

@@ -35,8 +35,9 @@ CTES = {
 }
 
 
-def with_(*names: str, more: str = "") -> str:
-    """WITH clause of the named tables and what they need; `more` are further ones, as text."""
+def with_(*names: str, more: str = "", **own: str) -> str:
+    """WITH clause of the named tables and what they need; `more` are further ones, as text, and `own` takes the place of
+    tables of these names."""
     order: list[str] = []
 
     def add(n: str) -> None:
@@ -47,7 +48,7 @@ def with_(*names: str, more: str = "") -> str:
 
     for n in names:
         add(n)
-    return "WITH " + ",\n".join([*(f"{n} AS ({CTES[n][1]})" for n in order), *([more] if more else [])]) + "\n"
+    return "WITH " + ",\n".join([*(f"{n} AS ({own.get(n, CTES[n][1])})" for n in order), *([more] if more else [])]) + "\n"
 
 
 def r(expr: str, places: int = 6) -> str:

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio, rounded
+from ..operators import labels as L
 from ..operators import metrics as M
 from ..operators import weak as K
 from ..operators import windows as W
+from ..sources import runs as R
 from ..sources import tables as S
+from ..sources.shared import shared_dir
 from .market import with_rounded
 from .registry import query
 from .samples import base
@@ -17,10 +23,10 @@ from .sql import r, rs, with_
 CF = ("prev_close", "asof_open", "asof_high", "asof_low", "asof_close", "asof_volume", "past_vol_avg20", "cons_high", "cons_low", "cons_vol_slope", "atr", "future_max_close", "future_min_close", "volume_shock", "gap_pct", "cons_range_pct", "cons_range_atr", "impulse_return")
 AT = ", ".join(f"max({c}) FILTER (t_rel = 0) AS asof_{c}" for c in ("open", "high", "low", "close", "volume"))
 CTXF = f"""ctr AS (SELECT *, lag(close) OVER w AS pc FROM ctx WINDOW w AS (PARTITION BY sample_id ORDER BY t_rel)),
-cf0 AS (SELECT sample_id, max(close) FILTER (t_rel = -1) AS prev_close, {AT}, avg(volume) FILTER (t_rel BETWEEN -20 AND -1) AS past_vol_avg20, max(high) FILTER (t_rel BETWEEN -10 AND -1) AS cons_high, min(low) FILTER (t_rel BETWEEN -10 AND -1) AS cons_low,
-  regr_slope(volume::DOUBLE, t_rel::DOUBLE) FILTER (t_rel BETWEEN -10 AND -1) AS cons_vol_slope, avg(greatest(high - low, abs(high - pc), abs(low - pc))) FILTER (t_rel BETWEEN -14 AND -1) AS atr,
-  max(close) FILTER (t_rel = -11) AS c1, max(close) FILTER (t_rel = -19) AS c0, max(close) FILTER (t_rel > 0) AS future_max_close, min(close) FILTER (t_rel > 0) AS future_min_close FROM ctr GROUP BY 1),
-cf AS (SELECT *, asof_volume / nullif(past_vol_avg20, 0) AS volume_shock, asof_open / nullif(prev_close, 0) - 1 AS gap_pct, (cons_high - cons_low) / nullif(cons_low, 0) AS cons_range_pct, (cons_high - cons_low) / nullif(atr, 0) AS cons_range_atr, c1 / nullif(c0, 0) - 1 AS impulse_return FROM cf0)"""
+cf0 AS (SELECT sample_id, max(close) FILTER (t_rel = -1) AS prev_close, {AT}, avg(volume) FILTER (t_rel BETWEEN -20 AND -1) AS past_vol_avg20, max(high) FILTER (t_rel BETWEEN -8 AND -1) AS cons_high, min(low) FILTER (t_rel BETWEEN -8 AND -1) AS cons_low,
+  regr_slope(ln(1 + volume::DOUBLE), t_rel::DOUBLE) FILTER (t_rel BETWEEN -8 AND -1) AS cons_vol_slope, avg(greatest(high - low, abs(high - pc), abs(low - pc))) FILTER (t_rel BETWEEN -14 AND -1) AS atr,
+  quantile_cont(close, 0.5) FILTER (t_rel BETWEEN -8 AND -1) AS mid, max(close) FILTER (t_rel = -10) AS c0, max(close) FILTER (t_rel > 0) AS future_max_close, min(close) FILTER (t_rel > 0) AS future_min_close FROM ctr GROUP BY 1),
+cf AS (SELECT *, asof_volume / nullif(past_vol_avg20, 0) AS volume_shock, asof_open / nullif(prev_close, 0) - 1 AS gap_pct, (cons_high - cons_low) / nullif(mid, 0) AS cons_range_pct, (cons_high - cons_low) / nullif(atr, 0) AS cons_range_atr, prev_close / nullif(c0, 0) - 1 AS impulse_return FROM cf0)"""
 
 
 def feats(spark, sf):
@@ -98,7 +104,7 @@ def lf_summary(spark, sf):
 def label_model(spark, sf):
     """Posteriors of the generative label model."""
     post, _ = K.label_model(matrix(spark, sf), FLAGS)
-    return post.select("sample_id", rounded("p_label").alias("p_label"))
+    return with_rounded(post.select("sample_id", "p_label", "label_hard", "weight", "emitted"), "p_label", "weight")
 
 
 POOL = "date BETWEEN DATE '1996-01-01' AND DATE '1996-03-31' AND close >= 2 AND close * volume >= 20000"
@@ -110,11 +116,25 @@ def candidate_pool(spark, sf):
     return with_rounded(with_rounded(df, "close"), "dollar_vol", places=4)
 
 
-@query(with_("ctx", more=LFV + ", " + MAJ) + f"SELECT s.ticker, s.asof_date, s.setup, {rs('p_label', 'weight')}, p_label >= 0.5 AS label FROM samp s JOIN maj ON maj.sample_id = s.sample_id")
+ALL_POOL = "SELECT substr(sha1(upper(ticker) || '|' || CAST(date AS VARCHAR) || '|flag'), 1, 16) AS sample_id, upper(ticker) AS ticker, date AS asof_date, 'flag' AS setup, NULL AS label FROM bars WHERE close >= 2 AND close * volume >= 20000"
+PSEUDO = {"combine": "majority", "future_window": 5, "label_def_version": "v1", "past_window": 20, "setup": "flag"}
+PSEUDO_HASH = hashlib.sha1(json.dumps(PSEUDO, sort_keys=True).encode()).hexdigest()
+
+
+@query(with_("ctx", more=LFV + ", " + MAJ, samp=ALL_POOL.replace("upper(ticker) AS ticker", "ticker")) + f"SELECT upper(s.ticker) AS ticker, s.asof_date, s.setup, {rs('p_label', 'weight')}, p_label >= 0.5 AS label, 'v1' AS label_def_version, '{PSEUDO_HASH}' AS lf_config_hash FROM samp s JOIN maj ON maj.sample_id = s.sample_id")
 def pseudo_labels(spark, sf):
-    """Pool, context, features, votes and majority, joined back to the pool."""
-    post = K.majority(matrix(spark, sf), FLAGS).select("sample_id", "p_label", "weight", F.col("label_hard").alias("label"))
-    return with_rounded(base(spark, sf)[1].drop("label").join(post, "sample_id").select("ticker", "asof_date", "setup", "p_label", "weight", "label"), "p_label", "weight")
+    """The pool of all liquid bars, contexts, features, votes and majority, joined back to the pool; written as Parquet and as
+    CSV, and the CSV read again."""
+    bar = S.bars(spark, sf)
+    pool = K.candidate_pool(bar, ("flag", "gap_go"), None, None, 2.0, 20000.0)
+    out = K.pseudo_labels(pool, S.sessions(bar), bar.withColumn("ticker", F.upper("ticker")), setup="flag", past=20, future=5, combine="majority")
+    folder = shared_dir(spark)
+    R.write_table(out, f"{folder}/pseudo_labels.parquet")
+    cols = ["ticker", F.col("asof_date").alias("date"), "setup", "label", "p_label", "weight", "label_def_version", "lf_config_hash"]
+    R.write_table(spark.read.parquet(f"{folder}/pseudo_labels.parquet").select(*cols), f"{folder}/pseudo_labels.csv")
+    back = L.normalized(L.read_csv(spark, f"{folder}/pseudo_labels.csv")).drop("sample_id")
+    back = back.withColumns({c: F.col(c).cast("double") for c in ("p_label", "weight")})
+    return with_rounded(back, "p_label", "weight")
 
 
 # ------------------------------------------------------------------ metrics
@@ -158,20 +178,30 @@ def auprc(spark, sf):
 
 
 @query(with_("preds") + """, k AS (SELECT *, row_number() OVER (ORDER BY score DESC, sample_id) AS rank FROM preds), n AS (SELECT count(*) AS n, count(*) FILTER (y_true = 1) AS p FROM preds)
-SELECT k, CAST(least(k, n) AS INTEGER) AS k_eff, round(tp / least(k, n)::DOUBLE, 6) + 0.0 AS precision_at_k, round(coalesce(tp / nullif(p, 0)::DOUBLE, 0), 6) + 0.0 AS recall_at_k FROM (SELECT g.k, count(*) FILTER (y_true = 1) AS tp FROM (SELECT unnest([25, 50, 100]) AS k) g JOIN k ON rank <= g.k GROUP BY 1) CROSS JOIN n""")
+SELECT k, CAST(least(k, n) AS INTEGER) AS k_eff, round(tp / least(k, n)::DOUBLE, 6) + 0.0 AS precision_at_k, round(tp / nullif(p, 0)::DOUBLE, 6) + 0.0 AS recall_at_k FROM (SELECT g.k, count(*) FILTER (y_true = 1) AS tp FROM (SELECT unnest([25, 50, 100]) AS k) g JOIN k ON rank <= g.k GROUP BY 1) CROSS JOIN n""")
 def at_k(spark, sf):
     return with_rounded(M.at_k(preds(spark, sf)), "precision_at_k", "recall_at_k")
 
 
 REP = "pr AS (SELECT * FROM preds UNION ALL SELECT sample_id, 'all' AS setup, y_true, score FROM preds), bs AS (SELECT setup, count(*) AS n, count(*) FILTER (y_true = 1) AS n_pos, avg(score) AS mean_score, stddev_pop(score) AS std_score FROM pr GROUP BY 1), " + _auroc_sql("setup") + ", " + _auprc_sql("setup") + f", cc AS (SELECT setup, {CONF} FROM pr GROUP BY 1), pc AS (SELECT *, {PRF} FROM cc)"
-REP_COLS = ("mean_score", "std_score", "auroc", "auprc", "precision", "recall")
+REP += ", rk AS (SELECT *, row_number() OVER (PARTITION BY setup ORDER BY score DESC, sample_id) AS rank, count(*) OVER (PARTITION BY setup) AS n_s, count(*) FILTER (y_true = 1) OVER (PARTITION BY setup) AS p_s FROM pr), kk AS (SELECT setup, " + ", ".join(f"count(*) FILTER (y_true = 1 AND rank <= {k}) / max(least({k}, n_s))::DOUBLE AS precision_at_{k}, count(*) FILTER (y_true = 1 AND rank <= {k}) / nullif(max(p_s), 0)::DOUBLE AS recall_at_{k}" for k in (25, 50, 100)) + " FROM rk GROUP BY 1)"
+REP_COLS = ("mean_score", "std_score", "auroc", "auprc", "precision", "recall", *(f"{c}_at_{k}" for k in (25, 50, 100) for c in ("precision", "recall")))
+REP_SQL = f"SELECT bs.setup, n, n_pos, {rs(*REP_COLS)}, round(coalesce(2 * pc.precision * pc.recall / nullif(pc.precision + pc.recall, 0), 0), 6) + 0.0 AS f1 FROM bs JOIN ro ON ro.setup = bs.setup JOIN ap ON ap.setup = bs.setup JOIN pc ON pc.setup = bs.setup JOIN kk ON kk.setup = bs.setup"
 
 
-@query(with_("preds", more=REP) + f"SELECT bs.setup, n, n_pos, {rs(*REP_COLS)}, round(coalesce(2 * pc.precision * pc.recall / nullif(pc.precision + pc.recall, 0), 0), 6) + 0.0 AS f1 FROM bs JOIN ro ON ro.setup = bs.setup JOIN ap ON ap.setup = bs.setup JOIN pc ON pc.setup = bs.setup")
+@query(with_("preds", more=REP) + REP_SQL)
 def score_report(spark, sf):
     return with_rounded(M.report(preds(spark, sf)), *REP_COLS, "f1")
 
 
+@query(with_("preds", more=REP) + REP_SQL + " WHERE bs.setup <> 'all'")
+def score_files(spark, sf):
+    """The report's files, and the one by setup read again."""
+    folder = shared_dir(spark)
+    M.write_report(preds(spark, sf), folder)
+    return with_rounded(spark.read.parquet(f"{folder}/metrics_by_setup.parquet"), *REP_COLS, "f1")
+
+
 @query(with_("preds") + "SELECT setup, count(*) AS n, count(*) FILTER (y_true = 1) AS n_pos, round(avg(score), 6) + 0.0 AS mean_score, round(coalesce(stddev_pop(score), 0), 6) + 0.0 AS std_score FROM preds GROUP BY GROUPING SETS ((), (setup))")
 def score_by_setup(spark, sf):
     """Additive metrics over all and by setup, in one pass of grouping sets."""
