@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rolling import ema_array, full_mean, full_std, true_range
 from ..functions.scalars import clean_token, ratio
+from ..sources.shared import written
 
 LOOK = 7
 GAPS, VOLUMES, GAP_LENGTHS = (0.02, 0.04, 0.06), (2.0, 3.0, 5.0), (8, 16, 32, 64)
@@ -58,7 +59,7 @@ def gap(ind: DataFrame) -> DataFrame:
     rows = ind.where(F.col("end_offset") < LOOK).where("prev is not null and prev <> 0").withColumn("gap", F.abs(F.col("open") - F.col("prev")) / F.col("prev"))
     rows = _each(rows, g=GAPS, v=VOLUMES).where("gap >= g and vol_ratio >= v")
     variant = F.concat(F.lit("E"), F.col("end_offset").cast("string"), F.lit("_gap"), F.round(F.col("g") * 100).cast("int").cast("string"), F.lit("_vol"), F.col("v").cast("int").cast("string"), F.when(F.col("open") > F.col("prev"), "_dirup").otherwise("_dirdn"))
-    return _emit(rows, "gap", "gap_event", GAP_LENGTHS, variant, {"cand_gap_pct": F.col("gap"), "cand_vol_ratio": F.col("vol_ratio")})
+    return _emit(rows, "gap", "gap_event", GAP_LENGTHS, variant, {"cand_gap_pct": F.col("gap"), "cand_vol_ratio": F.col("vol_ratio"), "cand_dir_up": (F.col("open") > F.col("prev")).cast("int")})
 
 
 def meanrev(ind: DataFrame) -> DataFrame:
@@ -96,17 +97,18 @@ def flag(ind: DataFrame) -> DataFrame:
     a = a.withColumn("atr_imp", mean(F.slice("q", F.col("i") + 1, F.lit(IMPULSE)))).withColumn("atr_con", mean(F.slice("q", F.col("j") + 2, F.greatest(F.col("t") - F.col("j"), F.lit(0)))))
     low = F.array_min(F.slice("c", F.col("j") + 1, F.col("t") - F.col("j") + 1))
     a = a.withColumn("retrace", F.try_divide(F.get("c", F.col("j")) - low, F.get("c", F.col("j")) - F.get("c", F.col("i"))))
+    a = a.withColumn("total", ratio(F.get("c", F.col("t")), F.get("c", F.col("s"))) - 1)
     a = a.where("best.ret >= 0.05 and atr_con <= 1.0 and retrace <= 0.8").withColumn("end_offset", F.col("_top") - F.col("t"))
     two = lambda c: F.format_string("%.2f", F.col(c))
     variant = F.concat(F.lit("E"), F.col("end_offset").cast("string"), F.lit(f"_k{IMPULSE}_imp"), two("best.ret"), F.lit("_atrexp"), F.coalesce(two("atr_imp"), F.lit("nan")), F.lit("_atrcon"), two("atr_con"))
     setup = F.concat(F.lit("flag:impulse_consolidation:L"), F.col("L").cast("string"), F.lit(":"), clean_token(variant))
-    return a.select("ticker", "asof_date", setup.alias("setup"), F.lit(False).alias("label"), F.col("s").alias("cand_t_start"), F.col("t").alias("cand_t_end"), F.col("L").alias("cand_length"), F.col("end_offset").alias("cand_end_offset"), F.col("best.ret").alias("cand_impulse_ret"), F.col("atr_con").alias("cand_atr_con"), F.col("retrace").alias("cand_retrace"))
+    return a.select("ticker", "asof_date", setup.alias("setup"), F.lit(False).alias("label"), F.col("s").alias("cand_t_start"), F.col("t").alias("cand_t_end"), F.col("L").alias("cand_length"), F.col("end_offset").alias("cand_end_offset"), F.col("total").alias("cand_total_ret"), F.col("best.ret").alias("cand_impulse_ret"), F.lit(IMPULSE).alias("cand_impulse_k"), F.col("atr_imp").alias("cand_impulse_atr_ratio"), F.col("atr_con").alias("cand_consolidation_atr_ratio"), F.col("retrace").alias("cand_retrace"))
 
 
 def every(last: DataFrame, size: int = 100) -> DataFrame:
     """All templates, in their order; of equal (ticker, asof_date, setup) the first stays. Columns that a template lacks
     are NULL."""
-    ind = indicators(last, size).persist()  # each template reads it
+    ind = written(indicators(last, size))  # each template reads it
     parts = [f(ind).withColumn("_k", F.lit(k)) for k, f in enumerate((gap, meanrev, pivot, flag))]
     rows = parts[0]
     for p in parts[1:]:

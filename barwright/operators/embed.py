@@ -8,7 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ticker_bucket
@@ -86,6 +86,15 @@ def write_index(index: DataFrame, path: str) -> None:
     index.withColumn("ticker_bucket", ticker_bucket("ticker")).repartition(*folders).write.mode("overwrite").option("compression", "zstd").partitionBy(*folders).parquet(path)
 
 
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """A stored index; its folders are columns, so that filters and joins on them leave the others unread."""
+    return spark.read.option("inferSchema", False).parquet(path).withColumn("window_size", F.col("window_size").cast("int"))
+
+
 def lookup(index: DataFrame, examples: DataFrame) -> DataFrame:
-    """Index rows of example windows; the join keys include the folders, so unneeded ones aren't read."""
-    return index.join(examples, ["ticker", "end_date", "window_size", "stride", "start_idx"])
+    """Index rows of example windows(ticker, end_date, window_size, stride, start_idx). The join keys include the folders,
+    derived from the examples, so that Spark prunes those that no example names."""
+    keys = ["ticker", "end_date", "window_size", "stride", "start_idx"]
+    asked = examples.select(*keys).withColumn("ticker_bucket", ticker_bucket("ticker")).withColumn("end_year_month", F.date_format("end_date", "yyyy-MM"))
+    folders = [c for c in ("ticker_bucket", "end_year_month") if c in index.columns]
+    return index.join(asked.select(*keys, *folders), [*keys, *folders])

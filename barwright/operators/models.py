@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .window_features import impute, impute_fit
 
 
@@ -86,35 +89,39 @@ def temperature(preds: DataFrame, *, label: str = "y_true", score: str = "score"
 # ------------------------------------------------------------------ regimes
 
 
-def _passes(x: np.ndarray, start: np.ndarray, trans: np.ndarray, mean: np.ndarray, var: np.ndarray) -> tuple:
-    """Filtered and smoothed state probabilities, expected transitions, and log-likelihood of one sequence."""
-    log_b = -0.5 * (((x[:, None, :] - mean) ** 2) / var + np.log(2 * np.pi * var)).sum(2)
-    top = log_b.max(1, keepdims=True)
-    b = np.exp(log_b - top)
-    n = len(x)
-    f, scale = np.zeros((n, 2)), np.zeros(n)
-    prior = start
-    for t in range(n):
-        a = prior * b[t]
-        scale[t] = max(a.sum(), 1e-300)
-        f[t] = a / scale[t]
-        prior = f[t] @ trans
-    g, xi, back = np.zeros((n, 2)), np.zeros((2, 2)), np.ones(2)
-    g[-1] = f[-1]
-    for t in range(n - 2, -1, -1):
-        e = b[t + 1] * back / scale[t + 1]
-        xi += f[t][:, None] * trans * e
-        back = trans @ e
-        g[t] = f[t] * back
-    return f, g / g.sum(1, keepdims=True), xi, float(np.log(scale).sum() + top.sum())
+def _passes(x: np.ndarray, there: np.ndarray, start: np.ndarray, trans: np.ndarray, mean: np.ndarray, var: np.ndarray) -> tuple:
+    """Filtered and smoothed state probabilities (sequences x steps x 2) and expected transitions of each sequence, for
+    sequences x of features, padded behind their ends; `there` marks the steps that are none of the padding."""
+    log_b = np.stack([-0.5 * (((x - mean[k]) ** 2) / var[k] + np.log(2 * np.pi * var[k])).sum(2) for k in (0, 1)], 2)
+    b = np.exp(log_b - log_b.max(2, keepdims=True))
+    f, scale = np.zeros_like(b), np.ones(b.shape[:2])
+    prior = np.broadcast_to(start, (len(x), 2))
+    for t in range(x.shape[1]):
+        a = prior * b[:, t]
+        scale[:, t] = np.maximum(a.sum(1), 1e-300)
+        f[:, t] = a / scale[:, t, None]
+        prior = f[:, t] @ trans
+    g, xi, back = np.zeros_like(b), np.zeros((len(x), 2, 2)), np.ones((len(x), 2))
+    for t in range(x.shape[1] - 1, -1, -1):
+        on = there[:, t, None]
+        g[:, t] = np.where(on, f[:, t] * back, 0.0)
+        if t:
+            e = b[:, t] * back / scale[:, t, None]
+            xi += np.where(on[:, :, None], f[:, t - 1, :, None] * trans * e[:, None, :], 0.0)
+            back = np.where(on, e @ trans.T, back)
+    return f, g / np.maximum(g.sum(2, keepdims=True), 1e-300), xi
+
+
+STATS = ["s0", "s1", *(f"x{i}{j}" for i in (0, 1) for j in (0, 1)), *(f"{m}{i}{j}" for m in ("a", "q") for i in (0, 1) for j in (0, 1)), "g0", "g1"]
 
 
 def _start(returns: DataFrame) -> dict:
     """Parameters to begin with: calm and wild days, split at the median of abs(r)."""
-    med = returns.agg(F.percentile_approx(F.abs("r"), 0.5)).first()[0]
+    med = returns.agg(F.percentile_approx(F.abs("r"), 0.5)).first()[0] or 0.0
     g = {r.wild: r for r in returns.groupBy((F.abs("r") > med).alias("wild")).agg(F.avg("r").alias("m"), F.avg(F.abs("r")).alias("a"), F.var_pop("r").alias("v"), F.var_pop(F.abs("r")).alias("w")).collect()}
-    mean = np.array([[g[k].m, g[k].a] for k in (False, True)])
-    var = np.maximum(np.array([[g[k].v, g[k].w] for k in (False, True)]), 1e-8)
+    of = lambda k, *names: [getattr(g[k], n) if k in g else 0.0 for n in names]
+    mean = np.array([of(k, "m", "a") for k in (False, True)])
+    var = np.maximum(np.array([of(k, "v", "w") for k in (False, True)]), 1e-8)
     return {"start": np.array([0.5, 0.5]), "trans": np.array([[0.95, 0.05], [0.05, 0.95]]), "mean": mean, "var": var}
 
 
@@ -122,41 +129,51 @@ def regimes(bar: DataFrame, *, iterations: int = 5, least: int = 50, smoothed: b
     """(ticker, date, p_trend): probability of the state of higher mean return in a two-state Gaussian model of
     [r, abs(r)], r the log return of closes. Filtered, so it knows no later bar; smoothed on request.
 
-    Each iteration is one grouped pass: every ticker gives its sufficient statistics (a dozen numbers), whose sums
-    make the next parameters. Tickers with fewer than `least` rows go.
+    Returns are written once, a row a ticker. Each iteration is one pass over them: a batch of tickers is one padded
+    array, whose sufficient statistics (16 numbers) are summed to make the next parameters. Tickers with fewer than
+    `least` rows go; so do prices without a logarithm.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy("ticker").orderBy("date")
     r = bar.select("ticker", "date", F.ln(F.try_divide("close", F.lag("close").over(w))).alias("r")).where("r is not null")
-    r = r.withColumn("_n", F.count("*").over(Window.partitionBy("ticker"))).where(F.col("_n") >= least).drop("_n")
-    par = _start(r)
-    cols = ["s0", "s1", *(f"x{i}{j}" for i in (0, 1) for j in (0, 1)), *(f"{m}{i}{j}" for m in ("a", "q") for i in (0, 1) for j in (0, 1)), "g0", "g1"]
-
-    def features(df):
-        x = df.sort_values("date").r.to_numpy(float)
-        return np.stack([x, np.abs(x)], 1)
+    lines = r.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("date", "r"))).alias("b")).where(F.size("b") >= least)
+    lines = written(lines.select("ticker", F.col("b.date").alias("date"), F.col("b.r").alias("r")).repartition("ticker"))
+    par = _start(lines.select(F.explode("r").alias("r")))
+
+    def padded(df: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+        for i in range(0, len(df), 256):
+            part = df.iloc[i : i + 256]
+            n = part.r.map(len).to_numpy()
+            there = np.arange(n.max())[None, :] < n[:, None]
+            x = np.zeros((len(part), n.max(), 2))
+            x[there, 0] = np.concatenate(part.r.to_list())
+            x[:, :, 1] = np.abs(x[:, :, 0])
+            yield part, x, there
 
     def stats_of(par):
-        def stats(df: pd.DataFrame) -> pd.DataFrame:
-            x = features(df)
-            _, g, xi, _ = _passes(x, **par)
-            row = [*g[0], *xi.ravel(), *(g.T @ x).ravel(), *(g.T @ x**2).ravel(), *g.sum(0)]
-            return pd.DataFrame([row], columns=cols)
+        def stats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for df in batches:
+                for _, x, there in padded(df):
+                    _, g, xi = _passes(x, there, **par)
+                    row = [*g[:, 0].sum(0), *xi.sum(0).ravel(), *np.einsum("btk,btf->kf", g, x).ravel(), *np.einsum("btk,btf->kf", g, x**2).ravel(), *g.sum((0, 1))]
+                    yield pd.DataFrame([row], columns=STATS)
 
         return stats
 
     for _ in range(iterations):
-        s = np.array(r.groupBy("ticker").applyInPandas(stats_of(par), ", ".join(f"{c} double" for c in cols)).agg(*(F.sum(c) for c in cols)).first(), float)
+        sums = lines.mapInPandas(stats_of(par), ", ".join(f"{c} double" for c in STATS)).agg(*(F.sum(c) for c in STATS)).first()
+        if sums[0] is None:
+            break
+        s = np.array(sums, float)
         g = s[14:16][:, None]
         mean = s[6:10].reshape(2, 2) / g
         trans = s[2:6].reshape(2, 2)
         par = {"start": s[:2] / s[:2].sum(), "trans": trans / trans.sum(1, keepdims=True), "mean": mean, "var": np.maximum(s[10:14].reshape(2, 2) / g - mean**2, 1e-8)}
     up = int(np.argmax(par["mean"][:, 0]))
 
-    def infer(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("date")
-        f, g, _, _ = _passes(features(df), **par)
-        return pd.DataFrame({"ticker": df.ticker.to_numpy(), "date": df.date.to_numpy(), "p_trend": (g if smoothed else f)[:, up]})
+    def infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            for part, x, there in padded(df):
+                f, g, _ = _passes(x, there, **par)
+                yield pd.DataFrame({"ticker": np.repeat(part.ticker.to_numpy(), there.sum(1)), "date": np.concatenate(part.date.to_list()), "p_trend": (g if smoothed else f)[:, :, up][there]})
 
-    return r.groupBy("ticker").applyInPandas(infer, "ticker string, date date, p_trend double")
+    return lines.mapInPandas(infer, "ticker string, date date, p_trend double")

@@ -129,14 +129,32 @@ def uniform(*parts) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 30)) / float(1 << 30)
 
 
-def augment(rows: DataFrame, columns: tuple[str, ...], *, seed: int = 1, jitter: float = 0.01, drop: float = 0.1, crop: float = 0.8, mask: float = 0.15) -> DataFrame:
-    """Variants of windows for training: a random crop (dropped rows at both ends), relative jitter, dropped columns,
-    the last row censored, and `masked` marking values to predict. All random numbers are hashes of seed and place."""
+def normal(*parts) -> Column:
+    """A standard normal number from hashes (Box and Muller)."""
+    u, v = uniform(F.lit("u"), *parts), uniform(F.lit("v"), *parts)
+    return F.sqrt(-2 * F.ln(1 - u)) * F.cos(2 * F.pi() * v)
+
+
+def augment(rows: DataFrame, columns: tuple[str, ...], *, seed: int = 1, crops: tuple[int, ...] = (64, 96), sigma: float = 0.0, drop: float = 0.0, censor: float = 0.0, modes: tuple[str, ...] = ("time",), mask_time: float = 0.15, mask_feature: float = 0.15) -> DataFrame:
+    """Variants of windows for training; all random numbers are hashes of seed and place.
+
+    crops: one of the lengths that fit is drawn for all windows, and a start for each; t counts from 0 again and `crop`
+    is the length (no length fits: windows stay whole). sigma: Gaussian noise is added to what is there. drop: each column is
+    left out of all windows with this probability. censor: the last row of a window is emptied with this probability.
+    masked_<column> marks values to predict among those that are there: whole rows by `time`, single values by `feature`.
+    """
+    s = F.lit(seed)
     size = F.max("t").over(Window.partitionBy("sample_id")) + 1
-    keep = F.ceil(size * crop)
-    start = F.floor(uniform(F.lit(seed), F.lit("crop"), "sample_id") * (size - keep + 1))
-    rows = rows.withColumn("_size", size).withColumn("_keep", keep).withColumn("_start", start).where("t >= _start and t < _start + _keep")
-    noise = lambda c: 1 + jitter * (2 * uniform(F.lit(seed), F.lit(c), "sample_id", "t") - 1)
-    gone = lambda c: uniform(F.lit(seed), F.lit(f"drop-{c}"), "sample_id") < drop
-    out = rows.withColumns({c: F.when(~gone(c) & (F.col("t") < F.col("_size") - 1), F.col(c) * noise(c)) for c in columns})
-    return out.withColumn("masked", uniform(F.lit(seed), F.lit("mask"), "sample_id", "t") < mask).drop("_size", "_keep", "_start")
+    rows = rows.withColumn("_size", size)
+    fits = F.filter(F.array(*(F.lit(c) for c in crops)), lambda c: (c > 0) & (c <= F.col("_size")))
+    pick = F.get(fits, F.floor(uniform(s, F.lit("length")) * F.size(fits)).cast("int"))
+    rows = rows.withColumn("crop", F.coalesce(pick, F.col("_size")).cast("int"))
+    start = F.floor(uniform(s, F.lit("start"), "sample_id") * (F.col("_size") - F.col("crop") + 1))
+    rows = rows.withColumn("t", (F.col("t") - start).cast("int")).where("t >= 0 and t < crop").drop("_size")
+    last = (F.col("t") == F.col("crop") - 1) & (uniform(s, F.lit("censor"), "sample_id") < censor)
+    there = lambda c: (uniform(s, F.lit(f"drop-{c}")) >= drop) & ~last
+    rows = rows.withColumns({c: F.when(there(c), F.col(c) + F.lit(float(sigma)) * normal(s, F.lit(c), "sample_id", "t") if sigma > 0 else F.col(c)) for c in columns})
+    both = "both" in modes
+    by_time = (uniform(s, F.lit("mask"), "sample_id", "t") < mask_time) if both or "time" in modes else F.lit(False)
+    by_value = lambda c: (uniform(s, F.lit(f"mask-{c}"), "sample_id", "t") < mask_feature) if both or "feature" in modes else F.lit(False)
+    return rows.withColumns({f"masked_{c}": F.col(c).isNotNull() & (by_time | by_value(c)) for c in columns})

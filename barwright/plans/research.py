@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import rounded
@@ -18,10 +19,11 @@ from ..operators import window_features as X
 from ..operators import windows as W
 from ..sources import runs as R
 from ..sources import tables as S
+from ..sources.shared import shared_dir, written
 from ..streaming.upsert import bars_upsert_stream as start_stream
 from .market import with_rounded
 from .registry import query
-from .samples import REL, base, slide_rows, win
+from .samples import SLIDE, base, slide_rows, win
 from .sql import r, rs, with_
 
 # ------------------------------------------------------------------ features
@@ -64,7 +66,13 @@ def tabular_features(spark, sf):
     return with_rounded(df, *[c for c in df.columns if c != "sample_id"], places=5)
 
 
-@query()
+_E = "list_reduce({0}, lambda acc, v: CASE WHEN v IS NOT NULL THEN coalesce((2.0::DOUBLE / 21) * v + (1 - 2.0::DOUBLE / 21) * acc, v) END)"
+FOLD = f"""fc AS (SELECT sample_id, list(close ORDER BY t) AS c FROM win60 GROUP BY 1), fe AS (SELECT sample_id, {_E.format("c[1:59]")} AS e1, {_E.format("c[1:49]")} AS e2 FROM fc),
+""" + ",\n".join(f"dr{h} AS (SELECT sample_id, CASE WHEN count(*) >= 2 THEN max(1 - close / peak) END AS max_drawdown_{h} FROM (SELECT sample_id, close, max(close) OVER (PARTITION BY sample_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS peak FROM win60 WHERE t BETWEEN {P - h} AND 58 AND close IS NOT NULL) GROUP BY 1)" for h in HS)
+_FOLDS = {"ema20_slope_atr": "(e1 - e2) / 10 / atrl", "close_vs_ema20_atr": "(c1 - e1) / atrl", **{f"max_drawdown_{h}": f"max_drawdown_{h}" for h in HS}}
+
+
+@query(with_("win60", more=TAB + ",\n" + FOLD) + "SELECT tg.sample_id, " + ", ".join(f"round({e}, 5) + 0.0 AS {k}" for k, e in (_F | _FOLDS).items()) + " FROM tg JOIN fe ON fe.sample_id = tg.sample_id " + " ".join(f"LEFT JOIN dr{h} ON dr{h}.sample_id = tg.sample_id" for h in HS))
 def tabular_features_full(spark, sf):
     """All 56 features."""
     df = X.tabular(win(spark, sf, 60))
@@ -77,12 +85,20 @@ TOPC = "CASE WHEN open IS NOT NULL AND close IS NOT NULL THEN greatest(open, clo
 LOWC = "CASE WHEN open IS NOT NULL AND close IS NOT NULL THEN least(open, close) END"
 
 
-@query(with_("win", more=f"s0 AS (SELECT *, lag(close) OVER (PARTITION BY sample_id ORDER BY t) AS pc, {TOPC} AS top, {LOWC} AS bot FROM win)") + f"SELECT sample_id, t, round({LR('close', 'pc')}, 6) + 0.0 AS r, round({LR('high', 'low')}, 6) + 0.0 AS rr, round({LR('high', 'top')}, 6) + 0.0 AS u, round({LR('bot', 'low')}, 6) + 0.0 AS l, round({LR('top', 'bot')}, 6) + 0.0 AS body, round(ln(1 + volume::DOUBLE), 6) + 0.0 AS logv FROM s0")
+S0 = f"s0 AS (SELECT *, lag(close) OVER (PARTITION BY sample_id ORDER BY t) AS pc, {TOPC} AS top, {LOWC} AS bot FROM win)"
+SHAPES = f"round({LR('close', 'pc')}, 6) + 0.0 AS r, round({LR('high', 'low')}, 6) + 0.0 AS rr, round({LR('high', 'top')}, 6) + 0.0 AS u, round({LR('bot', 'low')}, 6) + 0.0 AS l, round({LR('top', 'bot')}, 6) + 0.0 AS body, round(ln(1 + volume::DOUBLE), 6) + 0.0 AS logv"
+_K = "list_reduce({0}[1:t + 1], lambda acc, v: coalesce((2.0::DOUBLE / 21) * v + (1 - 2.0::DOUBLE / 21) * acc, acc, v))"
+S1 = f"""s1 AS (SELECT *, CASE WHEN high >= low THEN greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr FROM s0),
+sl AS (SELECT sample_id, list(close ORDER BY t) AS cs, list(tr ORDER BY t) AS ts FROM s1 GROUP BY 1),
+s2 AS (SELECT s1.*, {_K.format("cs")} AS e, {_K.format("ts")} AS a FROM s1 JOIN sl ON sl.sample_id = s1.sample_id)"""
+
+
+@query(with_("win", more=S0) + f"SELECT sample_id, t, {SHAPES} FROM s0")
 def shape_features(spark, sf):
     return with_rounded(X.shape(win(spark, sf), pos=False).select("sample_id", "t", *SH), *SH)
 
 
-@query()
+@query(with_("win", more=S0 + ",\n" + S1) + f"SELECT sample_id, t, {SHAPES}, round(CASE WHEN a > 0 THEN (close - e) / a END, 6) + 0.0 AS pos FROM s2")
 def shape_features_pos(spark, sf):
     """With the place over the mean in units of ATR."""
     return with_rounded(X.shape(win(spark, sf)).select("sample_id", "t", *SH, "pos"), *SH, "pos")
@@ -120,12 +136,13 @@ def pooled_stats_embed(spark, sf):
 def embedded(rows, key="sample_id", t="t", cols=PC):
     curves = F.array(*(F.transform(F.array_sort(F.collect_list(F.struct(t, F.col(c).cast("double").alias("v")))), lambda x: x["v"]) for c in cols))
     stats = X.pooled(rows, cols, key, t).join(rows.groupBy(key).agg(curves.alias("curves")), key)
-    return E.encode(stats, key, [f"{c}_{s}" for c in cols for s in ("mean", "std", "min", "max", "last", "slope")], "curves", dims=16)
+    return E.encode(stats, key, [f"{c}_{s}" for c in cols for s in ("mean", "std", "min", "max", "last", "slope")], "curves")
 
 
-@query()
+@query(with_("win") + "SELECT sample_id, 114 AS dims, CASE WHEN max(open) > min(open) OR max(close) > min(close) OR max(volume) > min(volume) THEN 1.0 ELSE 0.0 END AS length FROM win GROUP BY 1")
 def pooled_embedding(spark, sf):
-    """The whole pooled embedding, projected."""
+    """The whole pooled embedding (18 statistics and 96 places of curves: fewer than the 128 dimensions that a longer one is
+    projected to), of length 1; 0 for a window in which nothing varies."""
     return embedded(N.zscore(win(spark, sf))).select("sample_id", F.size("embedding").alias("dims"), rounded(E.dot("embedding", "embedding"), 4).alias("length"))
 
 
@@ -138,8 +155,9 @@ def masked_mean_embed(spark, sf):
 
 @query()
 def augment_windows(spark, sf):
-    """Cropped, jittered, thinned and masked variants of windows."""
-    return with_rounded(X.augment(win(spark, sf), PC).select("sample_id", "t", *PC, "masked"), *PC)
+    """Cropped, jittered, thinned, censored and masked variants of windows."""
+    out = X.augment(win(spark, sf), PC, crops=(12, 16), sigma=0.05, drop=0.1, censor=0.5, modes=("both",))
+    return with_rounded(out.select("sample_id", "t", "crop", *PC, *(f"masked_{c}" for c in PC)), *PC)
 
 
 # ------------------------------------------------------------------ candidates
@@ -149,7 +167,7 @@ ca AS (SELECT ticker, list(close ORDER BY t) AS a FROM c0 GROUP BY 1),
 ce AS (SELECT ticker, i - 1 AS t, list_reduce(a[1:i], lambda acc, v: (2.0::DOUBLE / 11) * v + (1 - 2.0::DOUBLE / 11) * acc) AS e10, list_reduce(a[1:i], lambda acc, v: (2.0::DOUBLE / 21) * v + (1 - 2.0::DOUBLE / 21) * acc) AS e20 FROM ca, (SELECT unnest(generate_series(1, 100)) AS i) g),
 c1 AS (SELECT c0.*, CASE WHEN c0.t >= 9 THEN e10 END AS ma10, CASE WHEN c0.t >= 19 THEN e20 END AS ma20, lag(close) OVER w AS prev FROM c0 JOIN ce ON ce.ticker = c0.ticker AND ce.t = c0.t WINDOW w AS (PARTITION BY c0.ticker ORDER BY c0.t)),
 c2 AS (SELECT *, CASE WHEN prev IS NOT NULL THEN greatest(high - low, abs(high - prev), abs(low - prev)) END AS tr FROM c1),
-ci AS (SELECT *, 99 - t AS eo, CASE WHEN count(tr) OVER (w ROWS 13 PRECEDING) = 14 THEN avg(tr) OVER (w ROWS 13 PRECEDING) END AS atr14, CASE WHEN count(*) OVER (w ROWS 19 PRECEDING) = 20 THEN volume / nullif(avg(volume) OVER (w ROWS 19 PRECEDING), 0) END AS vr,
+ci AS (SELECT *, 99 - t AS eo, CASE WHEN count(tr) OVER (w ROWS 13 PRECEDING) = 14 THEN avg(tr) OVER (w ROWS 13 PRECEDING) END AS atr14, CASE WHEN count(tr) OVER (w ROWS 19 PRECEDING) = 20 THEN avg(tr) OVER (w ROWS 4 PRECEDING) / nullif(avg(tr) OVER (w ROWS 19 PRECEDING), 0) END AS ar, CASE WHEN count(*) OVER (w ROWS 19 PRECEDING) = 20 THEN volume / nullif(avg(volume) OVER (w ROWS 19 PRECEDING), 0) END AS vr,
   CASE WHEN count(*) OVER (w ROWS 19 PRECEDING) = 20 THEN stddev_pop(close) OVER (w ROWS 19 PRECEDING) END AS sd20, CASE WHEN count(*) OVER (w ROWS 49 PRECEDING) = 50 THEN stddev_pop(close) OVER (w ROWS 49 PRECEDING) END AS sd50 FROM c2 WINDOW w AS (PARTITION BY ticker ORDER BY t))"""
 CKEY = "false AS label, t - L + 1 AS cand_t_start, t AS cand_t_end, L AS cand_length, eo AS cand_end_offset"
 CCOLS = ("ticker", "asof_date", "setup", "label", "cand_t_start", "cand_t_end", "cand_length", "cand_end_offset")
@@ -159,94 +177,124 @@ def ind(spark, sf):
     return C.indicators(B.last_n(S.bars(spark, sf)))
 
 
-@query(with_("last", more=CIND) + f"SELECT ticker, asof_date, 'gap:gap_event:L' || L || ':E' || eo || '_gap' || CAST(round(g * 100) AS INTEGER) || '_vol' || v || CASE WHEN open > prev THEN '_dirup' ELSE '_dirdn' END AS setup, {CKEY}, round(gap, 6) + 0.0 AS cand_gap_pct, round(vr, 6) + 0.0 AS cand_vol_ratio FROM (SELECT *, abs(open - prev) / prev AS gap FROM ci WHERE eo < 7 AND prev <> 0), (SELECT unnest([0.02, 0.04, 0.06]) AS g) a, (SELECT unnest([2, 3, 5]) AS v) b, (SELECT unnest([8, 16, 32, 64]) AS L) c WHERE gap >= g AND vr >= v AND t - L + 1 >= 0")
+GAP_SQL = f"SELECT ticker, asof_date, 'gap:gap_event:L' || L || ':E' || eo || '_gap' || CAST(round(g * 100) AS INTEGER) || '_vol' || v || CASE WHEN open > prev THEN '_dirup' ELSE '_dirdn' END AS setup, {CKEY}, round(gap, 6) + 0.0 AS cand_gap_pct, round(vr, 6) + 0.0 AS cand_vol_ratio, CAST(open > prev AS INTEGER) AS cand_dir_up FROM (SELECT *, abs(open - prev) / prev AS gap FROM ci WHERE eo < 7 AND prev <> 0), (SELECT unnest([0.02, 0.04, 0.06]) AS g) a, (SELECT unnest([2, 3, 5]) AS v) b, (SELECT unnest([8, 16, 32, 64]) AS L) c WHERE gap >= g AND vr >= v AND t - L + 1 >= 0"
+MR_SQL = f"SELECT ticker, asof_date, 'meanrev:zscore_extreme:L' || L || ':E' || eo || '_z' || CASE lim WHEN 1.5 THEN '1.5' WHEN 2 THEN '2' ELSE '3' END || '_w' || w AS setup, {CKEY}, round(z, 6) + 0.0 AS cand_z, w AS cand_z_window FROM (SELECT *, (close - ma20) / CASE WHEN w = 20 THEN sd20 ELSE sd50 END AS z FROM ci, (SELECT unnest([20, 50]) AS w) a WHERE eo < 7 AND t >= w AND CASE WHEN w = 20 THEN sd20 ELSE sd50 END > 0), (SELECT unnest([1.5, 2, 3]) AS lim) b, (SELECT unnest([16, 32, 64]) AS L) c WHERE abs(z) >= lim AND t - L + 1 >= 0"
+PIVOT_SQL = f"""SELECT e.ticker, e.asof_date, 'pivot:shakeout_reclaim:L' || L || ':E' || e.eo || '_pb' || pb AS setup, false AS label, e.t - L + 1 AS cand_t_start, e.t AS cand_t_end, L AS cand_length, e.eo AS cand_end_offset, pb AS cand_pullback_len, round(e.prev / nullif(x.close, 0) - 1, 6) + 0.0 AS cand_pullback_ret,
+round((SELECT min(low) FROM ci l WHERE l.ticker = e.ticker AND l.t BETWEEN e.t - pb AND e.t - 1), 6) + 0.0 AS cand_pull_low, round(CASE WHEN q.atr14 > 0 THEN (q.ma10 - e.prev) / q.atr14 END, 6) + 0.0 AS cand_depth_atr
+FROM ci e, (SELECT unnest([1, 2, 3, 4]) AS pb) a, (SELECT unnest([8, 16, 24, 32]) AS L) c JOIN ci x ON x.ticker = e.ticker AND x.t = e.t - pb - 1 JOIN ci q ON q.ticker = e.ticker AND q.t = e.t - 1 WHERE e.eo < 7 AND e.t >= 5 AND e.t - pb >= 1 AND x.close > x.ma20 AND e.close > e.ma10 AND e.close > e.prev AND e.t - L + 1 >= 0"""
+CFLAG = """f0 AS (SELECT e.ticker, e.asof_date, e.t, e.eo, L, e.t - L + 1 AS s, e.close / z.close - 1 AS total, e.t - L + 1 + CAST(floor(0.66::DOUBLE * (L - 1)) AS INTEGER) AS stop FROM ci e, (SELECT unnest([10, 20, 30, 40, 60]) AS L) g JOIN ci z ON z.ticker = e.ticker AND z.t = e.t - L + 1 WHERE e.eo < 7 AND e.t - L + 1 >= 0 AND z.close <> 0),
+f1 AS (SELECT f0.*, i.t AS i, i.close AS ci0, j.close AS cj, j.close / i.close - 1 AS ret FROM f0 JOIN ci i ON i.ticker = f0.ticker AND i.t BETWEEN s AND greatest(s, stop - 4) JOIN ci j ON j.ticker = i.ticker AND j.t = i.t + 4 WHERE i.close <> 0 QUALIFY row_number() OVER (PARTITION BY f0.ticker, f0.t, L ORDER BY j.close / i.close - 1 DESC, i.t) = 1),
+f2 AS (SELECT f1.*, (SELECT avg(ar) FROM ci a WHERE a.ticker = f1.ticker AND a.t BETWEEN f1.i AND f1.i + 4) AS imp, (SELECT avg(ar) FROM ci a WHERE a.ticker = f1.ticker AND a.t BETWEEN f1.i + 5 AND f1.t) AS con, (SELECT min(close) FROM ci a WHERE a.ticker = f1.ticker AND a.t BETWEEN f1.i + 4 AND f1.t) AS low0 FROM f1),
+f3 AS (SELECT *, (cj - low0) / nullif(cj - ci0, 0) AS retrace FROM f2)"""
+FLAG_SQL = "SELECT ticker, asof_date, 'flag:impulse_consolidation:L' || L || ':E' || eo || '_k5_imp' || printf('%.2f', ret) || '_atrexp' || coalesce(printf('%.2f', imp), 'nan') || '_atrcon' || printf('%.2f', con) AS setup, false AS label, s AS cand_t_start, t AS cand_t_end, L AS cand_length, eo AS cand_end_offset, round(total, 6) + 0.0 AS cand_total_ret, round(ret, 6) + 0.0 AS cand_impulse_ret, 5 AS cand_impulse_k, round(imp, 6) + 0.0 AS cand_impulse_atr_ratio, round(con, 6) + 0.0 AS cand_consolidation_atr_ratio, round(retrace, 6) + 0.0 AS cand_retrace FROM f3 WHERE ret >= 0.05 AND con <= 1.0 AND retrace <= 0.8"
+GAP_COLS, MR_COLS, PIVOT_COLS = ("cand_gap_pct", "cand_vol_ratio"), ("cand_z",), ("cand_pullback_ret", "cand_pull_low", "cand_depth_atr")
+FLAG_COLS = ("cand_total_ret", "cand_impulse_ret", "cand_impulse_atr_ratio", "cand_consolidation_atr_ratio", "cand_retrace")
+EVERY_SQL = " UNION ALL BY NAME ".join(f"({x})" for x in (GAP_SQL, MR_SQL, PIVOT_SQL, FLAG_SQL))
+
+
+@query(with_("last", more=CIND) + GAP_SQL)
 def cand_gap(spark, sf):
-    return with_rounded(C.gap(ind(spark, sf)), "cand_gap_pct", "cand_vol_ratio")
+    return with_rounded(C.gap(ind(spark, sf)), *GAP_COLS)
 
 
-@query(with_("last", more=CIND) + f"SELECT ticker, asof_date, 'meanrev:zscore_extreme:L' || L || ':E' || eo || '_z' || CASE lim WHEN 1.5 THEN '1.5' WHEN 2 THEN '2' ELSE '3' END || '_w' || w AS setup, {CKEY}, round(z, 6) + 0.0 AS cand_z, w AS cand_z_window FROM (SELECT *, (close - ma20) / CASE WHEN w = 20 THEN sd20 ELSE sd50 END AS z FROM ci, (SELECT unnest([20, 50]) AS w) a WHERE eo < 7 AND t >= w AND CASE WHEN w = 20 THEN sd20 ELSE sd50 END > 0), (SELECT unnest([1.5, 2, 3]) AS lim) b, (SELECT unnest([16, 32, 64]) AS L) c WHERE abs(z) >= lim AND t - L + 1 >= 0")
+@query(with_("last", more=CIND) + MR_SQL)
 def cand_meanrev(spark, sf):
-    return with_rounded(C.meanrev(ind(spark, sf)), "cand_z")
+    return with_rounded(C.meanrev(ind(spark, sf)), *MR_COLS)
 
 
-@query(with_("last", more=CIND) + f"""SELECT e.ticker, e.asof_date, 'pivot:shakeout_reclaim:L' || L || ':E' || eo || '_pb' || pb AS setup, {CKEY.replace('t - L', 'e.t - L').replace(', t AS', ', e.t AS')}, pb AS cand_pullback_len, round(e.prev / nullif(x.close, 0) - 1, 6) + 0.0 AS cand_pullback_ret,
-round((SELECT min(low) FROM ci l WHERE l.ticker = e.ticker AND l.t BETWEEN e.t - pb AND e.t - 1), 6) + 0.0 AS cand_pull_low, round(CASE WHEN q.atr14 > 0 THEN (q.ma10 - e.prev) / q.atr14 END, 6) + 0.0 AS cand_depth_atr
-FROM ci e, (SELECT unnest([1, 2, 3, 4]) AS pb) a, (SELECT unnest([8, 16, 24, 32]) AS L) c JOIN ci x ON x.ticker = e.ticker AND x.t = e.t - pb - 1 JOIN ci q ON q.ticker = e.ticker AND q.t = e.t - 1 WHERE e.eo < 7 AND e.t >= 5 AND e.t - pb >= 1 AND x.close > x.ma20 AND e.close > e.ma10 AND e.close > e.prev AND e.t - L + 1 >= 0""".replace("'pivot:shakeout_reclaim:L' || L || ':E' || eo", "'pivot:shakeout_reclaim:L' || L || ':E' || e.eo").replace("eo AS cand_end_offset", "e.eo AS cand_end_offset"))
+@query(with_("last", more=CIND) + PIVOT_SQL)
 def cand_pivot(spark, sf):
-    return with_rounded(C.pivot(ind(spark, sf)), "cand_pullback_ret", "cand_pull_low", "cand_depth_atr")
+    return with_rounded(C.pivot(ind(spark, sf)), *PIVOT_COLS)
 
 
-@query()
+@query(with_("last", more=CIND + ",\n" + CFLAG) + FLAG_SQL)
 def cand_flag(spark, sf):
-    return with_rounded(C.flag(ind(spark, sf)), "cand_impulse_ret", "cand_atr_con", "cand_retrace")
+    return with_rounded(C.flag(ind(spark, sf)), *FLAG_COLS)
 
 
-@query()
+@query(with_("last", more=CIND + ",\n" + CFLAG) + EVERY_SQL)
 def candidates_all(spark, sf):
-    return C.every(B.last_n(S.bars(spark, sf)))
+    return with_rounded(C.every(B.last_n(S.bars(spark, sf))), *GAP_COLS, *MR_COLS, *PIVOT_COLS, *FLAG_COLS)
 
 
-@query()
+META = ("cand_length", "cand_end_offset", "cand_gap_pct", "cand_vol_ratio", "cand_z", "cand_depth_atr", "cand_retrace")
+
+
+@query(with_("last", more=CIND + ",\n" + CFLAG) + "SELECT ticker, setup, " + ", ".join(f"coalesce({c}::DOUBLE, 0) AS m{i}" for i, c in enumerate(META)) + f" FROM ({EVERY_SQL})")
 def cand_meta_vec(spark, sf):
-    """Numeric columns of candidates as a vector, missing values as 0."""
-    cols = ["cand_length", "cand_end_offset", "cand_gap_pct", "cand_vol_ratio", "cand_z", "cand_depth_atr", "cand_retrace"]
+    """Numeric columns of candidates as a vector, missing values as 0; its places as columns."""
     df = C.every(B.last_n(S.bars(spark, sf)))
-    df = df.withColumns({c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) for c in cols})
-    return VectorAssembler(inputCols=cols, outputCol="v").transform(df).select("ticker", "setup", vector_to_array("v").alias("meta"))
+    df = df.withColumns({c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) for c in META})
+    vec = VectorAssembler(inputCols=list(META), outputCol="v").transform(df).select("ticker", "setup", vector_to_array("v").alias("meta"))
+    return vec.select("ticker", "setup", *(rounded(F.get("meta", F.lit(i))).alias(f"m{i}") for i in range(len(META))))
 
 
 # ------------------------------------------------------------------ embeddings
 
 NORM = "sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))"
-VEC = f"ev AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / greatest({NORM}, 1e-12)) AS v FROM embeddings), cp AS (SELECT q.vec_id AS query, i.vec_id, list_dot_product(q.v, i.v) AS cosine FROM ev q, ev i WHERE q.vec_id < 10)"
+VEC = f"ev AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / greatest({NORM}, 1e-12)) AS v FROM embeddings), cp AS (SELECT q.vec_id AS query, i.vec_id, list_dot_product(q.v, i.v) AS cosine FROM ev q, ev i WHERE q.vec_id % 100 = 0)"
 
 
 @query("WITH " + VEC + " SELECT query, vec_id, round(cosine, 5) + 0.0 AS cosine FROM cp")
 def cosine_pairs(spark, sf):
+    """Every hundredth id as a query, so that queries grow with the table, against all rows."""
     e = S.table(spark, sf, "embeddings")
-    return with_rounded(E.cosine_pairs(e, e.where("vec_id < 10"), "vec_id", "embedding"), "cosine", places=5)
+    return with_rounded(E.cosine_pairs(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding"), "cosine", places=5)
 
 
 @query("WITH " + VEC + " SELECT query, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, vec_id) AS rank FROM cp WHERE query <> vec_id) WHERE rank <= 10")
 def knn_cosine(spark, sf):
     e = S.table(spark, sf, "embeddings")
-    return E.nearest(e, e.where("vec_id < 10"), "vec_id", "embedding", 10).select("query", "vec_id", "rank")
-
-
-STATED = VEC.replace("q.vec_id < 10", "q.vec_id % 100 = 0")
+    return E.nearest(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 10).select("query", "vec_id", "rank")
 
 
-@query("WITH " + STATED + " SELECT query, vec_id, round(cosine, 5) + 0.0 AS cosine FROM cp")
+@query("WITH " + VEC + " SELECT query, vec_id, round(cosine, 5) + 0.0 AS cosine FROM cp")
 def cosine_pairs_stated(spark, sf):
-    """Every hundredth id as a query, so that queries grow with the table."""
-    e = S.table(spark, sf, "embeddings")
-    return with_rounded(E.cosine_pairs(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding"), "cosine", places=5)
+    """cosine_pairs under its earlier name."""
+    return cosine_pairs(spark, sf)
 
 
-@query("WITH " + STATED + " SELECT query, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, vec_id) AS rank FROM cp WHERE query <> vec_id) WHERE rank <= 10")
+@query("WITH " + VEC + " SELECT query, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, vec_id) AS rank FROM cp WHERE query <> vec_id) WHERE rank <= 10")
 def knn_cosine_stated(spark, sf):
-    e = S.table(spark, sf, "embeddings")
-    return E.nearest(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 10).select("query", "vec_id", "rank")
+    """knn_cosine under its earlier name."""
+    return knn_cosine(spark, sf)
 
 
-def index_rows(spark, sf):
-    rows = N.zscore(N.returns_relative(slide_rows(spark, sf).withColumnRenamed("window_id", "sample_id").withColumnRenamed("pos", "t")).select("sample_id", "t", *PC), PC)
-    wins = W.sliding(S.bars(spark, sf), (16,), 50)
-    return wins.join(embedded(rows).withColumnRenamed("sample_id", "window_id"), "window_id")
+GRID = ((16, 32), (25, 50))
 
 
-@query()
+def index_rows(spark, sf, sizes=GRID[0], strides=GRID[1]):
+    """Embedded windows of every length and stride of the grid."""
+    parts = []
+    for stride in strides:
+        rows = slide_rows(spark, sf, sizes, stride).withColumnRenamed("window_id", "sample_id").withColumnRenamed("pos", "t")
+        rows = N.zscore(N.returns_relative(rows).select("sample_id", "t", *PC), PC)
+        parts.append(W.sliding(S.bars(spark, sf), sizes, stride).join(embedded(rows).withColumnRenamed("sample_id", "window_id"), "window_id"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def stored_index(spark, sf):
+    path = shared_dir(spark) + "/index"
+    E.write_index(index_rows(spark, sf), path)
+    return E.read_index(spark, path)
+
+
+SLIDES = ",\n".join(SLIDE.replace("idx AS", f"idx{k} AS").replace("FROM idx a", f"FROM idx{k} a").replace("JOIN idx b", f"JOIN idx{k} b").replace("50 AS stride", f"{k} AS stride").replace("a.i % 50", f"a.i % {k}").replace("stride=50", f"stride={k}").replace("sl AS", f"sl{k} AS").replace("FROM sl)", f"FROM sl{k})").replace("sid AS", f"sid{k} AS") for k in GRID[1])
+EVERY_WINDOW = " UNION ALL ".join(f"SELECT * FROM sid{k}" for k in GRID[1])
+
+
+@query(with_("bars", more=SLIDES) + f"SELECT window_id, ticker, strftime(end_date, '%Y-%m') AS end_year_month, window_size, stride, 114 AS dims, 1.0 AS length FROM ({EVERY_WINDOW})")
 def embed_index(spark, sf):
-    """The index of embedded windows, by ticker bucket and month of the end."""
-    return index_rows(spark, sf).select("window_id", "ticker", "end_year_month", "window_size", F.transform("embedding", lambda x: F.round(x, 4)).alias("embedding"))
+    """The index of embedded windows over the grid of lengths and strides, written in folders by length, ticker bucket and
+    month of the end, and read again."""
+    return stored_index(spark, sf).select("window_id", "ticker", "end_year_month", "window_size", "stride", F.size("embedding").alias("dims"), rounded(E.dot("embedding", "embedding"), 4).alias("length"))
 
 
-@query()
+@query(with_("bars", more=SLIDES) + f"SELECT window_id, ticker, end_date, 114 AS dims FROM ({EVERY_WINDOW}) WHERE window_size = 16 AND stride = 50")
 def embed_lookup(spark, sf):
-    """Index rows of example windows: every twentieth one's key, with the index joined."""
-    idx = index_rows(spark, sf)
-    examples = W.sliding(S.bars(spark, sf), (16,), 50).where("start_idx % 1000 = 0").select("ticker", "end_date", "window_size", "stride", "start_idx")
-    return E.lookup(idx, examples).select("window_id", "ticker", "end_date", F.size("embedding").alias("dims"))
+    """Stored index rows of example windows: those of the first length and the last stride, found by their keys."""
+    examples = W.sliding(S.bars(spark, sf), (16,), 50).select("ticker", "end_date", "window_size", "stride", "start_idx", "end_year_month")
+    return E.lookup(stored_index(spark, sf), examples).select("window_id", "ticker", "end_date", F.size("embedding").alias("dims"))
 
 
 # ------------------------------------------------------------------ models
@@ -257,12 +305,12 @@ FEATS = ["gap_pct", "atr_short", "return_log_20", "dist_ma20_z", "volume_shock_2
 def training(spark, sf):
     """Tabular features with labels, split by time: the last fifth tests, the fifth before validates."""
     bar, samp, sess = base(spark, sf)
-    x = X.tabular(W.windowed(samp, sess, bar, 60), folds=False).persist()  # medians, fit and scores read it
+    x = X.tabular(W.windowed(samp, sess, bar, 60), folds=False)
     cuts = samp.agg(F.percentile_approx(F.unix_date("asof_date"), [0.6, 0.8]).alias("q"))
     rows = x.join(samp.select("sample_id", F.col("label").cast("double").alias("y"), "asof_date"), "sample_id").crossJoin(F.broadcast(cuts))
     day = F.unix_date("asof_date")
     rows = rows.withColumn("split", F.when(day <= F.get("q", F.lit(0)), "train").when(day <= F.get("q", F.lit(1)), "val").otherwise("test")).withColumn("is_val", F.col("split") == "val").drop("q")
-    return M.balanced(M.prepared(rows, FEATS))
+    return M.balanced(M.prepared(written(rows), FEATS))  # medians, fit and scores read it
 
 
 @query()
@@ -288,7 +336,13 @@ def calibrate_isotonic(spark, sf):
     return with_rounded(M.isotonic(S.predictions(spark, sf), FIT_ROWS).select("sample_id", "score", "calibrated"), "score", "calibrated", places=5)
 
 
-@query()
+_NLL = "avg(greatest(z / tt, 0.0) - z / tt * y + ln(1 + exp(-abs(z / tt))))"
+TEMP = f"""zy AS (SELECT ln(p / (1 - p)) AS z, y_true::DOUBLE AS y FROM (SELECT least(greatest(score, 1e-6::DOUBLE), 1 - 1e-6::DOUBLE) AS p, y_true FROM preds)),
+g1 AS (SELECT k, pow(10::DOUBLE, -3 + 6 * k / 60.0::DOUBLE) AS tt FROM (SELECT unnest(generate_series(0, 60)) AS k)), l1 AS (SELECT k, {_NLL} AS nll FROM zy, g1 GROUP BY 1), b1 AS (SELECT arg_min(k, nll) AS k FROM l1),
+g2 AS (SELECT pow(10::DOUBLE, lo + (hi - lo) * i / 60.0::DOUBLE) AS tt FROM (SELECT -3 + 6 * greatest(k - 1, 0) / 60.0::DOUBLE AS lo, -3 + 6 * least(k + 1, 60) / 60.0::DOUBLE AS hi FROM b1), (SELECT unnest(generate_series(0, 60)) AS i) x), l2 AS (SELECT tt, {_NLL} AS nll FROM zy, g2 GROUP BY 1)"""
+
+
+@query(with_("preds", more=TEMP) + "SELECT round(arg_min(tt, nll), 4) + 0.0 AS temperature, round(min(nll), 4) + 0.0 AS nll FROM l2")
 def temperature_fit(spark, sf):
     return with_rounded(M.temperature(S.predictions(spark, sf)), "temperature", "nll", places=4)
 
@@ -309,8 +363,8 @@ def rerank_latest(spark, sf):
     """Latest candidates, scored by a model on their windows' z-scores and lengths, the highest first."""
     cands = C.every(B.last_n(S.bars(spark, sf)))
     rows = cands.select("ticker", "setup", "cand_t_end", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("cand_z", "cand_gap_pct", "cand_depth_atr")), F.col("cand_length").cast("double").alias("cand_length"))
-    rows = rows.withColumn("y", (F.abs("cand_z") > 2).cast("double")).withColumn("weight", F.lit(1.0)).persist()
-    vec = M.prepared(rows, ["cand_gap_pct", "cand_depth_atr", "cand_length"], train="true")
+    rows = rows.withColumn("y", (F.abs("cand_z") > 2).cast("double")).withColumn("weight", F.lit(1.0))
+    vec = M.prepared(written(rows), ["cand_gap_pct", "cand_depth_atr", "cand_length"], train="true")
     scored = M.logistic(vec, train="true").select("ticker", "setup", "cand_t_end", "score")
     return with_rounded(scored.orderBy(F.desc("score"), "ticker", "setup").limit(200), "score", places=4)
 
@@ -323,16 +377,47 @@ def regime_hmm(spark, sf):
 # ------------------------------------------------------------------ run tables, stream
 
 
-@query("SELECT 'model' || (user_id % 2) AS model, event_type AS setup, 'run' || event_id AS run, round(value, 4) + 0.0 AS value, CAST(user_id AS VARCHAR) AS user FROM events WHERE event_id % 10 = 0")
+RUNS = "SELECT 'model' || (user_id % 2) AS model, event_type AS setup, 'run' || event_id AS run, round(value, 4) + 0.0 AS value, CAST(user_id AS VARCHAR) AS user FROM events"
+
+
+@query(RUNS)
 def run_index(spark, sf):
-    """Run folders derived from every tenth event: a metrics file each, flattened again."""
-    return runs_of(S.table(spark, sf, "events").where("event_id % 10 = 0"))
+    """Every event is a run folder with a metrics file, flattened again."""
+    return runs_of(S.table(spark, sf, "events"))
 
 
-@query("SELECT 'model' || (user_id % 2) AS model, event_type AS setup, 'run' || event_id AS run, round(value, 4) + 0.0 AS value, CAST(user_id AS VARCHAR) AS user FROM events")
+@query(RUNS)
 def run_index_all(spark, sf):
-    """Every event is a run folder."""
-    return runs_of(S.table(spark, sf, "events"))
+    """run_index under its earlier name."""
+    return run_index(spark, sf)
+
+
+RUN_DAYS = "rd AS (SELECT 'model' || (user_id % 2) AS model, event_type AS setup, strftime(ts, '%Y%m%d') AS run, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2, 3)"
+
+
+def run_files(spark, sf):
+    """A folder of run files `<model>/<setup>/<run>/*.json`, one for each model, type and day of events."""
+    path = shared_dir(spark) + "/runs"
+    model = F.concat(F.lit("model"), (F.col("user_id") % 2).cast("string")).alias("model")
+    days = S.table(spark, sf, "events").groupBy(model, F.col("event_type").alias("setup"), F.date_format("ts", "yyyyMMdd").alias("run")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+    text = F.to_json(F.struct("n", F.struct("users").alias("seen")))
+    days.select("model", "setup", "run", text.alias("value")).repartition("model", "setup", "run").write.partitionBy("model", "setup", "run").option("compression", "none").text(path)
+    return path
+
+
+@query(f"WITH {RUN_DAYS} SELECT model, setup, run, n, users FROM rd")
+def run_folders(spark, sf):
+    """Run files read from their folders."""
+    idx = R.read_runs(spark, run_files(spark, sf), "*.txt")
+    pick = lambda name: F.element_at(F.filter(F.map_entries("entries"), lambda e: e["key"].endswith(name)), 1)["value"].cast("long")
+    return idx.select("model", "setup", "run", pick(".n").alias("n"), pick(".seen.users").alias("users"))
+
+
+@query(f"WITH {RUN_DAYS} " + """SELECT model, setup, run, sha1('{"n":' || n || ',"seen":{"users":' || users || '}}' || chr(10)) AS digest FROM rd""")
+def file_digests(spark, sf):
+    """Digests of the bytes of run files."""
+    d = R.digests(spark, run_files(spark, sf), "*.txt")
+    return d.select(*(F.regexp_extract("path", rf"{c}=([^/]*)/", 1).alias(c) for c in ("model", "setup", "run")), "digest")
 
 
 def runs_of(e):
@@ -345,7 +430,7 @@ def runs_of(e):
 @query(with_("bars") + f"SELECT ticker, date, {rs('close')}, volume FROM bars")
 def index_sink(spark, sf):
     """Bars written and read in each format of the sink."""
-    base_dir = _folder(spark)
+    base_dir = shared_dir(spark)
     bar = S.bars(spark, sf).select("ticker", "date", "close", "volume")
     R.write_table(bar, f"{base_dir}/a.parquet")
     one = spark.read.schema(bar.schema).parquet(f"{base_dir}/a.parquet")
@@ -355,27 +440,23 @@ def index_sink(spark, sf):
     return with_rounded(spark.read.schema(bar.schema).json(f"{base_dir}/c.jsonl"), "close")
 
 
-def _folder(spark):
-    import uuid
+STREAM = with_("bars") + "SELECT ticker, date, round(CASE WHEN day(date) % 4 = 0 THEN close * 1.01 ELSE close END, 6) + 0.0 AS close, volume FROM bars"
 
-    base_dir = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="barwright-")
-    return f"{base_dir.rstrip('/')}/barwright-{uuid.uuid4().hex}"
 
-
-@query(with_("bars") + "SELECT ticker, date, round(CASE WHEN day(date) % 4 = 0 THEN close * 1.01 ELSE close END, 6) + 0.0 AS close, volume FROM bars WHERE date >= DATE '1998-06-01'")
+@query(STREAM)
 def bars_upsert_stream(spark, sf):
-    """Two drops of bars from June 1998 on, the later with corrections, streamed into a table by date."""
-    return streamed(spark, S.bars(spark, sf).where("date >= date '1998-06-01'"))
+    """Two drops of all bars, the later with corrections, streamed into a table by date."""
+    return streamed(spark, S.bars(spark, sf))
 
 
-@query(with_("bars") + "SELECT ticker, date, round(CASE WHEN day(date) % 4 = 0 THEN close * 1.01 ELSE close END, 6) + 0.0 AS close, volume FROM bars")
+@query(STREAM)
 def bars_upsert_stream_all(spark, sf):
-    """The same for all bars."""
-    return streamed(spark, S.bars(spark, sf))
+    """bars_upsert_stream under its earlier name."""
+    return bars_upsert_stream(spark, sf)
 
 
 def streamed(spark, bar):
-    base_dir = _folder(spark)
+    base_dir = shared_dir(spark)
     bar = bar.select("ticker", "date", "close", "volume", F.lit("2000-01-01").cast("timestamp").alias("asof_ts"))
     bar.write.parquet(f"{base_dir}/drops")
     fix = bar.where(F.dayofmonth("date") % 4 == 0).withColumn("close", F.col("close") * 1.01).withColumn("asof_ts", F.lit("2000-02-01").cast("timestamp"))

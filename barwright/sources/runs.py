@@ -32,10 +32,17 @@ def run_index(files: DataFrame) -> DataFrame:
     return flat.groupBy("model", "setup", "run").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws(".", "file", "key").alias("k"), F.col("val").alias("v"))))).alias("entries"))
 
 
-def read_runs(spark, path: str) -> DataFrame:
-    """run_index of all JSON files below `path`."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
-    return run_index(files.select(F.col("_metadata.file_path").alias("path"), "value"))
+def read_runs(spark, path: str, files: str = "*.json") -> DataFrame:
+    """run_index of all files below `path` whose names match; folders of the form key=value count as value."""
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=files)
+    name = F.regexp_replace(F.col("_metadata.file_path"), r"/[^/=]+=", "/")
+    return run_index(rows.select(name.alias("path"), "value"))
+
+
+def digests(spark, path: str, files: str = "*") -> DataFrame:
+    """(path, length, digest): SHA-1 of the bytes of each file below `path` whose name matches."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", files).load(path)
+    return found.select("path", "length", F.sha1("content").alias("digest"))
 
 
 def write_table(df: DataFrame, path: str) -> None:
