@@ -9,7 +9,11 @@ from ..functions.scalars import ratio, rounded, vendor_symbol
 from ..operators import bars as B
 from ..operators import calendar as C
 from ..operators import universe as U
+from ..operators import labels as L
+from ..sources import runs as R
 from ..sources import tables as S
+from ..sources.shared import shared_dir
+from . import registry
 from .registry import query
 from .sql import r, rs, with_
 
@@ -122,6 +126,32 @@ def scan_recent_partitions(spark, sf):
     return with_rounded(df.select("ticker", "date", *PX, "volume"), *PX)
 
 
+STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_bars(spark, sf):
+    """The folder of the stored bars, written once in an application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in STORED:
+        path = shared_dir(spark) + "/bars"
+        S.write_bars(S.bars(spark, sf), path)
+        STORED[key] = path
+    return STORED[key]
+
+
+@query(with_("bars") + f"SELECT ticker, date, {rs(*PX)}, volume FROM bars WHERE date BETWEEN DATE '1995-01-01' AND DATE '1995-12-31'")
+def bars_by_partition(spark, sf):
+    """Bars written with one folder a date, and a span of them read again: other folders aren't opened."""
+    path = stored_bars(spark, sf)
+    return with_rounded(S.read_bars(spark, path, "1995-01-01", "1995-12-31").select("ticker", "date", *PX, "volume"), *PX)
+
+
+@query(with_("bars") + "SELECT DISTINCT date, 1 AS n_files FROM bars")
+def partition_files(spark, sf):
+    """Dates of the folders of stored bars, by names alone; a folder of another name is none."""
+    return S.partition_inventory(spark, stored_bars(spark, sf)).select("date", "n_files")
+
+
 @query(with_("bars") + """, a AS (SELECT DISTINCT date FROM bars WHERE day(date) <= 10), b AS (SELECT DISTINCT date FROM bars WHERE day(date) >= 5)
 SELECT 'union' AS op, date FROM (SELECT date FROM a UNION SELECT date FROM b) UNION ALL SELECT 'intersect', date FROM (SELECT date FROM a INTERSECT SELECT date FROM b) UNION ALL SELECT 'minus', date FROM (SELECT date FROM a EXCEPT SELECT date FROM b)""")
 def date_set_ops(spark, sf):
@@ -207,8 +237,19 @@ def zscore_ema(spark, sf):
 
 @query("""SELECT ticker, name, s_suppkey AS seq FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY s_suppkey) AS k FROM (SELECT upper(trim('  ' || CASE WHEN s_suppkey % 10 = 0 THEN 'na' WHEN s_suppkey % 13 = 0 THEN '' ELSE s_name END || ' ')) AS ticker, s_name AS name, s_suppkey FROM supplier)) WHERE k = 1 AND ticker <> ''""")
 def universe_load(spark, sf):
-    raw = S.table(spark, sf, "supplier").select(F.concat(F.lit("  "), F.when(F.col("s_suppkey") % 10 == 0, "na").when(F.col("s_suppkey") % 13 == 0, "").otherwise(F.col("s_name")), F.lit(" ")).alias("ticker"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("seq"))
-    return U.load(raw)
+    return U.load(raw_universe(spark, sf))
+
+
+def raw_universe(spark, sf):
+    return S.table(spark, sf, "supplier").select(F.concat(F.lit("  "), F.when(F.col("s_suppkey") % 10 == 0, "na").when(F.col("s_suppkey") % 13 == 0, "").otherwise(F.col("s_name")), F.lit(" ")).alias("ticker"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("seq"))
+
+
+@query(registry.ORACLES["universe_load"])
+def universe_csv(spark, sf):
+    """Listings written as CSV and read as text: a ticker NA stays one."""
+    path = shared_dir(spark) + "/universe.csv"
+    R.write_table(raw_universe(spark, sf), path)
+    return U.load(L.read_csv(spark, path).withColumn("seq", F.col("seq").cast("long")))
 
 
 @query("""SELECT s_name AS ticker, CASE substr(c, 1, 1) WHEN 'A' THEN 'AMEX' WHEN 'N' THEN 'NYSE' WHEN 'P' THEN 'NYSEARCA' WHEN 'Z' THEN 'BATS' WHEN 'V' THEN 'IEXG' ELSE 'OTHER' END AS exchange FROM (SELECT s_name, upper(substr('anpzvq', CAST(s_suppkey % 6 + 1 AS INTEGER), 1)) AS c FROM supplier)""")

@@ -10,7 +10,9 @@ from ..operators import bars as B
 from ..operators import labels as L
 from ..operators import normalize as N
 from ..operators import windows as W
+from ..sources import runs as R
 from ..sources import tables as S
+from ..sources.shared import shared_dir
 from .market import PX, with_rounded
 from .registry import query
 from .sql import r, rs, with_
@@ -59,6 +61,24 @@ def labels_bool_attrs(spark, sf):
     return raw.limit(1).select(F.explode(F.array(*(F.lit(c) for c in found))).alias("attribute"))
 
 
+@query("WITH " + RAW + " SELECT ticker, asof_date, setup, label, o_orderkey FROM lab")
+def labels_csv(spark, sf):
+    """Labels written as CSV, read as text and normalised."""
+    folder = shared_dir(spark)
+    R.write_table(raw_labels(spark, sf), f"{folder}/labels.csv")
+    return L.normalized(L.read_csv(spark, f"{folder}/labels.csv")).select(F.coalesce("ticker", F.lit("")).alias("ticker"), "asof_date", "setup", "label", F.col("o_orderkey").cast("long").alias("o_orderkey"))
+
+
+@query("WITH " + RAW + ", one AS (SELECT DISTINCT ticker, asof_date, setup FROM lab) SELECT setup, count(*) AS n, (SELECT count(*) FROM one) AS n_stored FROM one GROUP BY 1")
+def labels_store(spark, sf):
+    """Labels without duplicates, written as a store and read again, with the number of rows of its sidecar."""
+    path = shared_dir(spark) + "/labels.parquet"
+    lab = L.normalized(raw_labels(spark, sf))
+    L.write_store(L.deduped(lab, ["ticker", "asof_date", "setup"], "o_orderkey"), path, "orders")
+    stored = spark.read.schema("source string, rows bigint, columns array<string>, key_columns array<string>").json(f"{path}.meta.json").select(F.col("rows").alias("n_stored"))
+    return L.read_store(spark, path).groupBy("setup").agg(F.count("*").alias("n")).crossJoin(F.broadcast(stored))
+
+
 @query("WITH " + RAW + """, hit AS (SELECT ticker || '|' || coalesce(CAST(asof_date AS VARCHAR), '') || '|' || o_orderkey AS example, unnest(list_filter([CASE WHEN asof_date IS NULL THEN 'bad_date' END, CASE WHEN label IS NULL THEN 'bad_label' END, CASE WHEN ticker = '' THEN 'empty_ticker' END], lambda x: x IS NOT NULL)) AS rule FROM lab)
 SELECT rule, n, example, rn FROM (SELECT rule, example, count(*) OVER (PARTITION BY rule) AS n, row_number() OVER (PARTITION BY rule ORDER BY example) AS rn FROM hit) WHERE rn <= 10""")
 def dq_violations(spark, sf):
@@ -151,9 +171,10 @@ def sample_arrays(spark, sf):
     return d.select("sample_id", F.size("bars").alias("n"), valid.alias("valid"), F.when(valid > 0, rounded(weighted, 4)).alias("weighted"), "label")
 
 
-@query(with_("win") + f"SELECT sample_id, t, {rs('close')} FROM win WHERE sample_id IN (SELECT sample_id FROM samp WHERE substr(sample_id, 1, 1) = 'a')")
+@query(with_("win") + f"SELECT sample_id, t, {rs('close')} FROM win WHERE sample_id IN (SELECT sample_id FROM samp WHERE label)")
 def windowed_semi(spark, sf):
-    ids = base(spark, sf)[1].where(F.substring("sample_id", 1, 1) == "a").select("sample_id")
+    """Windows of a list of samples: those with a positive label."""
+    ids = base(spark, sf)[1].where("label").select("sample_id")
     return with_rounded(win(spark, sf).join(ids, "sample_id", "left_semi").select("sample_id", "t", "close"), "close")
 
 
@@ -249,7 +270,7 @@ def global_zscore_fit(spark, sf):
     return with_rounded(N.fit_global(win(spark, sf)), *FITS, places=4)
 
 
-@query(with_("win", more=FIT) + "SELECT sample_id, t, " + ", ".join(f"round(({c} - mean_{c}) / std_{c}, 4) + 0.0 AS {c}" for c in NC) + " FROM win CROSS JOIN fit")
+@query(with_("win", more=FIT).replace("win AS (", "win AS MATERIALIZED (").replace("fit AS (", "fit AS MATERIALIZED (") + "SELECT sample_id, t, " + ", ".join(f"round(({c} - mean_{c}) / std_{c}, 4) + 0.0 AS {c}" for c in NC) + " FROM win CROSS JOIN fit")
 def norm_global(spark, sf):
     rows = win(spark, sf)
     return with_rounded(N.apply_global(rows, N.fit_global(rows)).select("sample_id", "t", *NC), *NC, places=4)

@@ -50,10 +50,25 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ outside formats
 
 
-def read_bars(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
-    """Bars of a Parquet folder with one folder a date; a start date prunes folders."""
-    df = spark.read.parquet(path)
-    return df.where(F.col("date") >= F.lit(since).cast("date")) if since else df
+def write_bars(bar: DataFrame, path: str) -> None:
+    """Bars as Parquet with one folder a date; a date's rows go to one task first, so that each folder has one file."""
+    bar.repartition("date").write.mode("overwrite").option("compression", "zstd").partitionBy("date").parquet(path)
+
+
+def read_bars(spark: SparkSession, path: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Bars of a Parquet folder with one folder a date; a span (inclusive) prunes folders."""
+    df = spark.read.schema("ticker string, open double, high double, low double, close double, volume bigint, date date").parquet(path)
+    if since:
+        df = df.where(F.col("date") >= F.lit(since).cast("date"))
+    return df.where(F.col("date") <= F.lit(until).cast("date")) if until else df
+
+
+def partition_inventory(spark: SparkSession, path: str) -> DataFrame:
+    """(date, n_files, bytes) of a folder of bars: names and sizes of files, whose contents aren't read. Folders that name
+    no date go."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path).select("path", "length")
+    date = F.try_to_date(F.regexp_extract("path", r"/date=(\d{4}-\d{2}-\d{2})/[^/]*$", 1), "yyyy-MM-dd")
+    return files.select(date.alias("date"), "length").where("date is not null").groupBy("date").agg(F.count("*").cast("int").alias("n_files"), F.sum("length").alias("bytes"))
 
 
 def bars_from_json(payloads: DataFrame) -> DataFrame:
