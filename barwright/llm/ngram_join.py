@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACED, Heavy, blocks, contains, heavy_keys, long_array, mix, run_hash, small_batches, small_side, word_hashes, word_spans, written
+from .common import LOWER, SPACED, Heavy, blocks, contains, free_names, heavy_keys, long_array, mix, run_hash, small_batches, small_side, word_hashes, word_spans, written
 from .graph import connected_components
 
 WORDS = 5
@@ -409,12 +409,13 @@ def _across(members: DataFrame, large: DataFrame, signatures: DataFrame, comps:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each component, that of the smallest id (rows without an id last, ties by the text's hash); all columns
-    stay. Rows are linked by their texts, also those that repeat an id or have none. Of rows without shingles those stay
-    that don't repeat the id and text of another, and all without an id."""
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    found = ngram_join(rows, "_row").select(F.col("doc_id").alias("_row"), "n_shingles", "component_id")
-    key = rows.select("_row", "doc_id", F.xxhash64("text").alias("h"))
+    stay, whatever their names. Rows are linked by their texts, also those that repeat an id or have none. Of rows without
+    shingles those stay that don't repeat the id and text of another, and all without an id. No rows give no rows."""
+    row = free_names(docs.columns, "_row")[0]
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = ngram_join(rows, row).select(F.col("doc_id").alias("r"), "n_shingles", "component_id")
+    key = rows.select(F.col(row).alias("r"), "doc_id", F.xxhash64("text").alias("h"))
     alone = F.col("n_shingles") == 0
     group = [F.when(~alone | F.col("doc_id").isNull(), F.col("component_id")).alias("c"), F.when(alone, F.col("doc_id")).alias("d"), F.when(alone, F.col("h")).alias("t")]
-    keep = found.join(key, "_row").groupBy(*group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h", "_row")).alias("best")).select("best._row")
-    return rows.join(keep.hint("shuffle_hash"), "_row", "left_semi").select(docs.columns)
+    keep = found.join(key, "r").groupBy(*group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h", "r")).alias("best")).select(F.col("best.r").alias(row))
+    return rows.join(keep.hint("shuffle_hash"), row, "left_semi").select(docs.columns)
