@@ -56,11 +56,15 @@ def write_bars(bar: DataFrame, path: str) -> None:
 
 
 def read_bars(spark: SparkSession, path: str, since: str | None = None, until: str | None = None) -> DataFrame:
-    """Bars of a Parquet folder with one folder a date; a span (inclusive) prunes folders."""
-    df = spark.read.schema("ticker string, open double, high double, low double, close double, volume bigint, date date").parquet(path)
+    """Bars of a Parquet folder with one folder a date; a span (inclusive) prunes folders, whose names sort as dates do.
+    Folders that name no date are left out."""
+    df = spark.read.schema("ticker string, open double, high double, low double, close double, volume bigint, date string").parquet(path)
+    df = df.where(F.try_to_date("date", "yyyy-MM-dd").isNotNull())
     if since:
-        df = df.where(F.col("date") >= F.lit(since).cast("date"))
-    return df.where(F.col("date") <= F.lit(until).cast("date")) if until else df
+        df = df.where(F.col("date") >= since)
+    if until:
+        df = df.where(F.col("date") <= until)
+    return df.withColumn("date", F.try_to_date("date", "yyyy-MM-dd"))
 
 
 def partition_inventory(spark: SparkSession, path: str) -> DataFrame:
