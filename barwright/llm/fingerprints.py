@@ -85,7 +85,8 @@ def with_next(df: DataFrame, key: str, columns: list[str], range_bytes: int = RA
     before = F.pmod(F.col(own) - 1, F.lit(len(firsts)))
     rows = df.withColumn(at, place).withColumn(own, place_in(firsts[1:], F.col(at)))
     rows = rows.withColumn(to, F.explode(F.when(F.col(at) == first, F.array(goes(F.col(own), False), goes(before, True))).otherwise(F.array(goes(F.col(own), False)))))
-    line = Window.partitionBy(F.col(f"{to}.b")).orderBy(F.col(f"{to}.ghost"), at, *columns)
+    rows = rows.withColumn(own, F.col(f"{to}.b")).repartition(4 * len(firsts), own)  # tasks follow the ranges at every size, few hold two
+    line = Window.partitionBy(own).orderBy(F.col(f"{to}.ghost"), at, *columns)
     rows = rows.select("*", *(F.lead(c).over(line).alias(f"next_{c}") for c in columns))
     return rows.where(~F.col(f"{to}.ghost")).drop(own, at, to)
 
