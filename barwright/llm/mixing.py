@@ -1,7 +1,8 @@
 """Mixing sources to target weights (operator 4): DataFrame functions only.
 
 Words are summed per source, targets follow from the weights, and a document of a source with repetition rate r is
-taken floor(r) times and once more if its hash-seeded uniform number is below r - floor(r).
+taken floor(r) times and once more if its hash-seeded uniform number is below r - floor(r). Numbers lie on a circle, and
+each source counts them from one of 64 places: from the one at which its taken words come nearest its target.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from .common import free_names, small_side, written
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
+STARTS = 64  # places on the circle of numbers that a source may count from
 
 
 def n_words(text) -> F.Column:
@@ -49,15 +51,41 @@ def source_targets(sizes: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, sh
     return s.select("source", "source_size", F.least("limit", F.coalesce(F.col("level") * F.col("w"), "limit")).alias("target"))
 
 
+def counted_from(number, start) -> F.Column:
+    """The number in [0, 1) counted from place `start` of the circle; exact, as both are multiples of 2^-48."""
+    ahead = number - start / float(STARTS)
+    return F.when(ahead < 0, ahead + 1).otherwise(ahead)
+
+
+def starts(sized: DataFrame, rates: DataFrame) -> DataFrame:
+    """rates(source, source_size, target, rate) with `start` for sized(source, size, number): the place to count from at
+    which the words taken from the source are nearest its target, the first of several.
+
+    Numbers are grouped into the arcs between places, each cut where an extra copy ends for the starts (all at one offset
+    within their arc): 128 sums a source, made before the shuffle, tell the words that each start takes exactly.
+    """
+    part = F.col("rate") - F.floor("rate")
+    arc = F.floor(F.col("number") * STARTS)
+    below = (F.col("number") * STARTS - arc < part * STARTS - F.floor(part * STARTS)).cast("int")
+    joined = sized.join(small_side(rates).withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
+    sums = joined.groupBy("source", "source_size", "target", "rate", arc.alias("arc"), below.alias("below")).agg(F.sum("size").alias("n"))
+    each = sums.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1))))
+    hit = F.pmod(F.col("arc") - F.col("start"), F.lit(STARTS)) < F.floor(part * STARTS) + F.col("below")
+    each = each.groupBy("source", "source_size", "target", "rate", "start").agg(F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("extra"))
+    off = F.abs(F.floor("rate") * F.col("source_size") + F.col("extra") - F.col("target"))
+    return each.groupBy("source", "source_size", "target", "rate").agg(F.min(F.struct(off.alias("off"), "start"))["start"].alias("start"))
+
+
 def _rated(docs: DataFrame, size: str, source_size: str, target: str, copies: str, *, seed: str = "mix", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """docs with four more columns under the given names, which clash with none of docs."""
-    sized = docs.withColumn(size, n_words(F.col("text")))
-    of, total, goal = free_names(sized.columns, "_source", "_total", "_goal")
-    targets = source_targets(sized.select("source", F.col(size).alias("size")), weights=weights, share=share, most=most)
-    targets = written(targets.select(F.col("source").alias(of), F.col("source_size").alias(total), F.col("target").alias(goal)))
-    rate = F.coalesce(F.try_divide(goal, total), F.lit(0.0))
-    extra = (uniform(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
-    joined = sized.join(small_side(targets), F.col("source").eqNullSafe(F.col(of)))
+    number, of, total, goal, rate, start = free_names([*docs.columns, size, source_size, target, copies], "_number", "_source", "_total", "_goal", "_rate", "_start")
+    sized = docs.withColumn(size, n_words(F.col("text"))).withColumn(number, uniform(F.col("doc_id"), seed))
+    narrow = sized.select("source", F.col(size).alias("size"), F.col(number).alias("number"))
+    targets = source_targets(narrow, weights=weights, share=share, most=most)
+    rates = written(targets.withColumn("rate", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))))
+    chosen = written(starts(narrow, rates).toDF(of, total, goal, rate, start))
+    joined = sized.join(small_side(chosen), F.col("source").eqNullSafe(F.col(of)))
+    extra = (counted_from(F.col(number), F.col(start)) < F.col(rate) - F.floor(rate)).cast("long")
     taken = F.least(F.floor(rate) + extra, F.lit(most).cast("long"))
     return joined.select(*docs.columns, size, F.col(total).alias(source_size), F.col(goal).alias(target), taken.alias(copies))
 
@@ -68,8 +96,9 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
     A null text has 0 words, a null source is a source of its own, a source without words has target 0 and is taken
     not at all. Rows that repeat an id share its number, so they are taken alike; so are rows without an id. No rows give
-    no rows. The sums are aggregated before the shuffle, and the joined table has one row a source, broadcast after a
-    count: a source with a third of all rows is no hot group.
+    no rows. All sums are aggregated before the shuffle, and the joined tables have one row a source, broadcast after a
+    count: a source with a third of all rows is no hot group. A source of one document takes it whole or not, so it may
+    be as far from its target as half its size.
     """
     own = ("size", "source_size", "target", "copies")
     return _rated(docs.drop(*own), *own, **options)
@@ -99,7 +128,10 @@ o AS (SELECT *, 2.0::DOUBLE * source_size AS cap,
 lv AS (SELECT arg_min(lt / lw, cap / w) AS level FROM o WHERE lt / lw < cap / w),
 t AS (SELECT source, source_size, least(cap, coalesce(level * w, cap)) AS target FROM o CROSS JOIN lv),
 j AS (SELECT doc_id, size, source_size, target, coalesce(target / nullif(source_size, 0), 0.0::DOUBLE) AS rate,
-  CAST(('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12)) AS BIGINT) / 281474976710656.0::DOUBLE AS u
-  FROM sized JOIN t ON sized.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(size * least(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END, 2) AS BIGINT) AS taken FROM j
+  CAST(('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12)) AS BIGINT) / 281474976710656.0::DOUBLE AS u, sized.source
+  FROM sized JOIN t ON sized.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, u - k / 64.0::DOUBLE + CASE WHEN u < k / 64.0::DOUBLE THEN 1 ELSE 0 END AS v FROM j, (SELECT unnest(generate_series(0, 63)) AS k) g),
+e AS (SELECT source, k, abs(any_value(floor(rate) * source_size) + coalesce(sum(size) FILTER (v < rate - floor(rate)), 0) - any_value(target)) AS off FROM c GROUP BY 1, 2),
+b AS (SELECT source, k FROM e QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, k) = 1)
+SELECT doc_id, size, source_size, target, CAST(size * least(floor(rate) + CASE WHEN v < rate - floor(rate) THEN 1 ELSE 0 END, 2) AS BIGINT) AS taken FROM c JOIN b ON c.k = b.k AND c.source IS NOT DISTINCT FROM b.source
 """

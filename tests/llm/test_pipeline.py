@@ -66,12 +66,14 @@ def brute_copies(rows):
     for r, n in zip(rows, size, strict=True):
         sums[r.source] = sums.get(r.source, 0) + n
     target = brute_targets(sums)
-    out = []
-    for r in rows:
-        rate = target[r.source] / sums[r.source] if sums[r.source] else 0.0
-        u = int(hashlib.md5(f"mix|{'' if r.doc_id is None else r.doc_id}".encode()).hexdigest()[:12], 16) / (1 << 48)
-        out.append(min(int(rate) + (u < rate - int(rate)), 2))
-    return out
+    rate = {s: target[s] / sums[s] if sums[s] else 0.0 for s in sums}
+    number = lambda r: int(hashlib.md5(f"mix|{'' if r.doc_id is None else r.doc_id}".encode()).hexdigest()[:12], 16) / (1 << 48)
+    every = [[int(rate[r.source]) + ((number(r) - k / 64) % 1 < rate[r.source] % 1) for k in range(64)] for r in rows]
+    best = {}
+    for s in sums:
+        own = [(c, n) for r, c, n in zip(rows, every, size, strict=True) if r.source == s]
+        best[s] = min(range(64), key=lambda k: (abs(sum(c[k] * n for c, n in own) - target[s]), k))
+    return [min(c[best[r.source]], 2) for r, c in zip(rows, every, strict=True)]
 
 
 def test_stages_against_brute_force(spark, sf_dir):
