@@ -97,8 +97,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     A null text has 0 words, a null source is a source of its own, a source without words has target 0 and is taken
     not at all. Rows that repeat an id share its number, so they are taken alike; so are rows without an id. No rows give
     no rows. All sums are aggregated before the shuffle, and the joined tables have one row a source, broadcast after a
-    count: a source with a third of all rows is no hot group. A source of one document takes it whole or not, so it may
-    be as far from its target as half its size.
+    count: a source with a third of all rows is no hot group. Documents are taken whole: a source of one
+    document may be as far from its target as its size.
     """
     own = ("size", "source_size", "target", "copies")
     return _rated(docs.drop(*own), *own, **options)
