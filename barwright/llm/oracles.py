@@ -46,4 +46,28 @@ s AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN s ON s.doc_id = d.doc_id
 """
 
-ORACLES = {"op1_ngram_join": OP1, "op4_mixing": mixing.ORACLE, "op6_chat": OP6, "op7_substring_dedup": OP7, "op9_decontaminate": OP9}
+OP12 = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(coalesce({_LOW}, ''), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) o WHERE len(w) >= k) GROUP BY 1, 2, 3 HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+u AS (SELECT lang, phrase, a, j, array_to_string(w[1:j], ' ') AS x, array_to_string(w[j + 1:k], ' ') AS y FROM (SELECT *, unnest(generate_series(1, k - 1)) AS j FROM c)),
+s AS (SELECT u.lang, u.phrase, u.j, l.a AS l, r.a AS r, CAST(2000000 * CAST(u.a AS HUGEINT) // (l.a + r.a) AS BIGINT) AS score FROM u JOIN f l ON l.lang = u.lang AND l.phrase = u.x JOIN f r ON r.lang = u.lang AND r.phrase = u.y),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS q FROM s) WHERE q = 1),
+i AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT *, unnest(generate_series(1, k - m + 1)) AS i FROM c, (SELECT unnest([2, 3]) AS m) o WHERE m < k) GROUP BY 1, 2),
+z AS (SELECT c.lang, c.phrase, c.a, b.l, b.r, b.score, row_number() OVER (PARTITION BY c.lang ORDER BY b.score DESC, c.a DESC, c.phrase) AS rank FROM c JOIN b USING (lang, phrase) LEFT JOIN i USING (lang, phrase) WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * CAST(c.a AS HUGEINT))
+SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, a, l, r, n, score FROM z JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+OP13 = rf"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+l AS (SELECT doc_id, unnest(x) AS line, unnest(generate_series(1, len(x))) AS i FROM d),
+k AS (SELECT doc_id, line, i, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM l),
+c AS (SELECT key FROM k WHERE key <> '' GROUP BY 1 HAVING count(DISTINCT doc_id) >= 10),
+g AS (SELECT doc_id, count(*) AS n_dropped FROM k WHERE key IN (SELECT key FROM c) GROUP BY 1),
+s AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS kept FROM k WHERE key NOT IN (SELECT key FROM c) GROUP BY 1)
+SELECT d.doc_id, CAST(len(x) AS BIGINT) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g ON g.doc_id = d.doc_id LEFT JOIN s ON s.doc_id = d.doc_id
+"""
+
+ORACLES = {"op1_ngram_join": OP1, "op4_mixing": mixing.ORACLE, "op6_chat": OP6, "op7_substring_dedup": OP7, "op9_decontaminate": OP9, "op12_collocations": OP12, "op13_line_dedup": OP13}

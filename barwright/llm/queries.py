@@ -8,8 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprints, language, mixing, oracles, quality, sharding, token_files
+from . import chat, decontaminate, fingerprints, language, mixing, oracles, quality, sharding, token_files, whitening
+from .collocations import collocations
 from .common import table
+from .line_dedup import dedup_lines
 from .ngram_join import ngram_join
 from .substring_dedup import substring_dedup
 
@@ -89,6 +91,23 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (bucket_of_id(4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 16 components of every embedding, whitened; a deviation that isn't a long is null."""
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"), most=16)
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest collocations of each language."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents, without those that ten documents have."""
+    rows = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py, one after the other."""
     import corpus_pipeline
@@ -97,7 +116,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_ngram_join, op2_token_files, op3_quality, op4_mixing, op5_fingerprints, op6_chat, op7_substring_dedup, op8_sharding, op9_decontaminate, op10_language, pipeline)
+    every = (op1_ngram_join, op2_token_files, op3_quality, op4_mixing, op5_fingerprints, op6_chat, op7_substring_dedup, op8_sharding, op9_decontaminate, op10_language, op11_whitening, op12_collocations, op13_line_dedup, pipeline)
     return {f.__name__: f for f in every}
 
 
