@@ -95,18 +95,25 @@ class LineRuns:
             self.levels.append([])
         self.levels[level].append(name)
         if len(self.levels[level]) == 2:
-            a, b = (self.spark.table(x) for x in self.levels[level])
-            n = F.coalesce("a.n", F.lit(0)) + F.coalesce("b.n", F.lit(0))
-            merged = a.alias("a").join(b.alias("b").hint("merge"), "key", "full").select("key", n.alias("n"))
+            first, second = self.levels[level]
             self.levels[level] = []
-            self._push(level + 1, self._stored(merged))
+            self._push(level + 1, self._merged(first, second))
+
+    def _merged(self, first: str, second: str) -> str:
+        """Both runs as one: a merge join of their sorted buckets."""
+        a, b = self.spark.table(first).alias("a"), self.spark.table(second).alias("b").hint("merge")
+        n = F.coalesce("a.n", F.lit(0)) + F.coalesce("b.n", F.lit(0))
+        return self._stored(a.join(b, "key", "full").select("key", n.alias("n")))
 
     def common(self) -> DataFrame:
-        """Keys (key) that at least `least` documents have."""
-        runs = self.runs()
-        if not runs:
+        """Keys (key) that at least `least` documents have: all runs are merged into one, the youngest first. (A union of
+        them isn't grouped: Spark 4.1 takes a union of bucketed tables for dealt by key, which it isn't.)"""
+        names = [name for level in self.levels for name in level]
+        if not names:
             return self.spark.createDataFrame([], "key binary")
-        return reduce(DataFrame.unionByName, runs).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= self.least).select("key")
+        self.levels = [[] for _ in self.levels]
+        self.levels[-1] = [reduce(self._merged, names)]
+        return self.spark.table(self.levels[-1][0]).where(F.col("n") >= self.least).select("key")
 
     def close(self) -> None:
         for name in self.made:
