@@ -24,7 +24,8 @@ from .common import LOWER, blocks, long_array, mix, small_batches, word_hashes,
 SUPPORT, INSIDE, TOP = 30, 80, 2000
 LONGEST = 4
 SHARD_BYTES = 16 << 20  # of text in a shard, about
-FILTER_BITS = 27  # 16 MB
+LEAST_BITS, MOST_BITS = 20, 27  # of a filter: 128 KB to 16 MB
+OUT_ROWS = 1 << 16  # in a batch that a shard gives out
 LANGUAGES = 10_000  # whose sizes lower the support; others are mined at a support of 1
 
 _BYTES = np.arange(256)
@@ -37,26 +38,32 @@ class Filter:
     """A set of hashes as bits, two for each: never says no to a member."""
 
     def __init__(self, words: np.ndarray):
-        self.words = words
+        self.words, self.mask = words, np.uint64(64 * len(words) - 1)
 
     def has(self, h: np.ndarray) -> np.ndarray:
         return self._bit(h) & self._bit(h >> np.uint64(32))
 
     def _bit(self, x: np.ndarray) -> np.ndarray:
-        bit = x & np.uint64((1 << FILTER_BITS) - 1)
+        bit = x & self.mask
         return ((self.words[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
 def filter_of(keys: DataFrame) -> np.ndarray:
-    """The bits of keys(key: long): 16 MB on the driver, whatever the number of keys."""
-    bit = F.explode(F.array(*(F.shiftrightunsigned("key", s).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) for s in (0, 32))))
+    """The bits of keys(key: long), a written table: about 16 for a key, 16 MB at most, whatever the number of keys."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * keys.count()).bit_length()))
+    bit = F.explode(F.array(*(F.shiftrightunsigned("key", s).bitwiseAND(F.lit((1 << bits) - 1)) for s in (0, 32))))
     one = F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")
-    rows = keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(one).alias("bits")).toPandas()
-    words = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    rows = keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    words[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return words
 
 
+def _sliced(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for k in range(0, rows.num_rows, OUT_ROWS):
+        yield rows.slice(k, OUT_ROWS)
+
+
 # ------------------------------------------------------------------ words of a block
 
 
@@ -150,7 +157,7 @@ def _mined(docs: DataFrame, pick: Callable[[Words], list[tuple[int, np.ndarray]]
             totals = (hidden if sizes else n)[seen]
             code = pa.DictionaryArray.from_arrays(pa.array(np.concatenate([of[keep], seen]), pa.int32()), pa.array(names, pa.string())).dictionary_decode()
             key = pa.concat_arrays([long_array(keys[keep]), pa.nulls(len(seen), pa.int64())])
-            yield pa.RecordBatch.from_arrays([code, key, pa.array(np.concatenate([gain[keep], totals]).astype(np.int64))], ["lang", "key", "gain"])
+            yield from _sliced(pa.RecordBatch.from_arrays([code, key, pa.array(np.concatenate([gain[keep], totals]).astype(np.int64))], ["lang", "key", "gain"]))
             hashes, langs, words = [], [], []
 
     rows = docs.mapInArrow(run, "lang string, key long, gain long")
@@ -197,7 +204,7 @@ def _counted_exactly(docs: DataFrame, bits, longest: int, shard_bytes: int) -> D
             order = np.argsort(np.array(facts["key"], np.uint64))
             names = np.array(shards.names(), object)
             take = lambda c, kind: pa.array([facts[c][i] for i in order], kind)  # noqa: B023,E731
-            yield pa.RecordBatch.from_arrays([long_array(keys), pa.array(names[of_lang], pa.string()), take("words", pa.int32()), pa.array(counts.astype(np.int64)), take("phrase", pa.string()), *(take(c, pa.list_(pa.int64())) for c in ("firsts", "rests", "inner"))], ["key", "lang", "words", "n", "phrase", "firsts", "rests", "inner"])
+            yield from _sliced(pa.RecordBatch.from_arrays([long_array(keys), pa.array(names[of_lang], pa.string()), take("words", pa.int32()), pa.array(counts.astype(np.int64)), take("phrase", pa.string()), *(take(c, pa.list_(pa.int64())) for c in ("firsts", "rests", "inner"))], ["key", "lang", "words", "n", "phrase", "firsts", "rests", "inner"]))
             hashes, langs = [], []
             seen.clear()
             for x in facts.values():
