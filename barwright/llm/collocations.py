@@ -23,7 +23,8 @@ from .common import LOWER, blocks, long_array, mix, small_batches, word_hashes,
 
 SUPPORT, INSIDE, TOP = 30, 80, 2000
 LONGEST = 4
-SHARD_BYTES = 16 << 20  # of text in a shard, about
+SHARD_BYTES = 8 << 20  # of text in a shard, about
+BLOCK = 1 << 20  # of text whose words are found at once
 LEAST_BITS, MOST_BITS = 20, 27  # of a filter: 128 KB to 16 MB
 OUT_ROWS = 1 << 16  # in a batch that a shard gives out
 LANGUAGES = 10_000  # whose sizes lower the support; others are mined at a support of 1
@@ -70,7 +71,7 @@ def _sliced(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 class Words:
     """Words of a block of texts: spans, hashes of word, language and phrases, and where words follow one another."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, lang: np.ndarray, salts: np.ndarray):
+    def __init__(self, data: np.ndarray, off: np.ndarray, lang: np.ndarray, salts: np.ndarray, longest: int):
         self.data = data
         self.starts, self.ends, first = word_spans(data, off, IS_WORD)
         doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
@@ -79,7 +80,7 @@ class Words:
         breaks = np.cumsum(IS_BREAK[data])[self.starts] if len(doc) else np.zeros(0, np.int64)
         follows = (breaks[1:] == breaks[:-1]) & (doc[1:] == doc[:-1])
         self.hashes, self.whole = {1: one}, {1: np.ones(len(one), bool)}
-        for k in range(2, LONGEST + 1):
+        for k in range(2, longest + 1):
             h, ok = self.hashes[k - 1], self.whole[k - 1]
             n = max(0, len(one) - k + 1)
             self.hashes[k] = mix(h[:n] * _STEP ^ one[k - 1 : k - 1 + n])
@@ -94,15 +95,16 @@ def _salt(lang: str) -> int:
 
 
 class _Shards:
-    """Blocks of words of a task with their language codes, in shards of about `most` bytes."""
+    """Blocks of words of a task with their language codes and phrases of up to `longest` words, in shards of about `most`
+    bytes."""
 
-    def __init__(self, most: int):
-        self.most, self.langs, self.salts = most, {}, np.zeros(0, np.uint64)
+    def __init__(self, most: int, longest: int):
+        self.most, self.longest, self.langs, self.salts = most, longest, {}, np.zeros(0, np.uint64)
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, bool]]:
         """Words of each block, and whether its shard ends with it."""
         held, last = 0, None
-        for rows, data, off in blocks(batches):
+        for rows, data, off in blocks(batches, most=BLOCK):
             names = rows.column(rows.schema.get_field_index("lang")).to_pylist()
             for x in names:
                 if x not in self.langs:
@@ -111,7 +113,7 @@ class _Shards:
             if last is not None:
                 yield last, held >= self.most
                 held = 0 if held >= self.most else held
-            last = Words(data, off, np.array([self.langs[x] for x in names], np.int64), self.salts)
+            last = Words(data, off, np.array([self.langs[x] for x in names], np.int32), self.salts, self.longest)
             held += len(data)
         if last is not None:
             yield last, True
@@ -122,7 +124,7 @@ class _Shards:
 
 def _counted(hashes: list[np.ndarray], langs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashes, their counts and language codes."""
-    h, lang = np.concatenate(hashes), np.concatenate(langs)
+    h, lang = np.concatenate([*hashes, np.zeros(0, np.uint64)]), np.concatenate([*langs, np.zeros(0, np.int32)])
     order = np.argsort(h)
     h = h[order]
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
@@ -132,14 +134,14 @@ def _counted(hashes: list[np.ndarray], langs: list[np.ndarray]) -> tuple[np.ndar
 # ------------------------------------------------------------------ mining
 
 
-def _mined(docs: DataFrame, pick: Callable[[Words], list[tuple[int, np.ndarray]]], sizes: dict[str, int], support: int, shard_bytes: int) -> DataFrame:
+def _mined(docs: DataFrame, pick: Callable[[Words], list[tuple[int, np.ndarray]]], longest: int, sizes: dict[str, int], support: int, shard_bytes: int) -> DataFrame:
     """(lang, key, gain) of docs(lang, text): for each language and shard a row of key null whose gain is what the shard
     may hide of any phrase (its lowered support less 1), and for each phrase with that support in the shard its count less what is
     hidden. pick gives (k, places) of the phrases that are looked at; sizes are words of languages (empty: nothing is
     hidden, and the rows of null count words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards, hashes, langs, words = _Shards(shard_bytes), [], [], []
+        shards, hashes, langs, words = _Shards(shard_bytes, longest), [], [], []
         for block, ends in shards(batches):
             words.append(np.bincount(block.lang, minlength=len(shards.langs)))
             for k, at in pick(block):
@@ -150,7 +152,8 @@ def _mined(docs: DataFrame, pick: Callable[[Words], list[tuple[int, np.ndarray]]
             names = np.array(shards.names(), object)
             n = sum((np.pad(x, (0, len(names) - len(x))) for x in words), np.zeros(len(names), np.int64))
             hidden = np.array([-(-support * int(w) // sizes[x]) - 1 if w and x in sizes else 0 for w, x in zip(n, names, strict=True)], np.int64)
-            keys, counts, of = _counted(hashes, langs) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            keys, counts, of = _counted(hashes, langs)
+            hashes, langs, words = [], [], []
             gain = counts - hidden[of]
             keep = gain > 0
             seen = np.flatnonzero(n)
@@ -158,7 +161,7 @@ def _mined(docs: DataFrame, pick: Callable[[Words], list[tuple[int, np.ndarray]]
             code = pa.DictionaryArray.from_arrays(pa.array(np.concatenate([of[keep], seen]), pa.int32()), pa.array(names, pa.string())).dictionary_decode()
             key = pa.concat_arrays([long_array(keys[keep]), pa.nulls(len(seen), pa.int64())])
             yield from _sliced(pa.RecordBatch.from_arrays([code, key, pa.array(np.concatenate([gain[keep], totals]).astype(np.int64))], ["lang", "key", "gain"]))
-            hashes, langs, words = [], [], []
+            pa.default_memory_pool().release_unused()
 
     rows = docs.mapInArrow(run, "lang string, key long, gain long")
     return rows.groupBy("lang", "key").agg(F.sum("gain").alias("gain"))
@@ -178,7 +181,7 @@ def _counted_exactly(docs: DataFrame, bits, longest: int, shard_bytes: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Filter(bits.value)
-        shards, hashes, langs, seen, facts = _Shards(shard_bytes), [], [], set(), {"key": [], "words": [], "phrase": [], "firsts": [], "rests": [], "inner": []}
+        shards, hashes, langs, seen, facts = _Shards(shard_bytes, longest), [], [], set(), {"key": [], "words": [], "phrase": [], "firsts": [], "rests": [], "inner": []}
         for block, ends in shards(batches):
             for k in range(2, longest + 1):
                 at = np.flatnonzero(block.whole[k])
@@ -224,8 +227,8 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", *,
     small_batches(spark)
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     send = spark.sparkContext.broadcast
-    mined = lambda pick, sizes: _mined(texts, pick, sizes, support, shard_bytes)
-    words = written(mined(lambda b: [(1, np.arange(len(b.lang)))], {}).where((F.col("gain") >= support) | F.col("key").isNull()))
+    mined = lambda pick, k, sizes: _mined(texts, pick, k, sizes, support, shard_bytes)
+    words = written(mined(lambda b: [(1, np.arange(len(b.lang)))], 1, {}).where((F.col("gain") >= support) | F.col("key").isNull()))
     totals = words.where("key is null").select("lang", F.col("gain").alias("n"))
     frequent = words.where("key is not null").select("key", F.col("gain").alias("a"))
     sizes = {r.lang: r.n for r in totals.where("n > 0").orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
@@ -236,7 +239,7 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", *,
         ok = Filter(one.value).has(b.hashes[1])
         return [(2, np.flatnonzero(b.whole[2] & ok[:-1] & ok[1:]) if len(ok) else np.zeros(0, np.int64))]
 
-    two = _may_reach(mined(pairs, sizes), support)
+    two = _may_reach(mined(pairs, 2, sizes), support)
     kept = [written(two)]
     if longest > 2:
         both = send(filter_of(kept[0]))
@@ -251,7 +254,7 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", *,
                 out.append((k, np.flatnonzero(every)))
             return out
 
-        kept.append(written(_may_reach(mined(longer, sizes), support)))
+        kept.append(written(_may_reach(mined(longer, longest, sizes), support)))
     candidates = kept[0] if len(kept) == 1 else kept[0].unionByName(kept[1])
     counted = _counted_exactly(texts, send(filter_of(candidates)), longest, shard_bytes)
     return written(counted.where(F.col("a") >= support)), frequent, totals
