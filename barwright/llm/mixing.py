@@ -76,18 +76,30 @@ def starts(sized: DataFrame, rates: DataFrame) -> DataFrame:
     return each.groupBy("source", "source_size", "target", "rate").agg(F.min(F.struct(off.alias("off"), "start"))["start"].alias("start"))
 
 
-def _rated(docs: DataFrame, size: str, source_size: str, target: str, copies: str, *, seed: str = "mix", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """docs with four more columns under the given names, which clash with none of docs."""
-    number, of, total, goal, rate, start = free_names([*docs.columns, size, source_size, target, copies], "_number", "_source", "_total", "_goal", "_rate", "_start")
-    sized = docs.withColumn(size, n_words(F.col("text"))).withColumn(number, uniform(F.col("doc_id"), seed))
-    narrow = sized.select("source", F.col(size).alias("size"), F.col(number).alias("number"))
+def _sized(docs: DataFrame, size: str, number: str, seed: str) -> DataFrame:
+    return docs.withColumn(size, n_words(F.col("text"))).withColumn(number, uniform(F.col("doc_id"), seed))
+
+
+def _rated(sized: DataFrame, narrow: DataFrame, size: str, number: str, source_size: str, target: str, copies: str, *, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """sized, which has a size and a number, with three more columns under the given names. narrow(source, size, number)
+    are the same rows as a written table, so that the words of texts aren't counted again for the sums."""
+    of, total, goal, rate, start = free_names([*sized.columns, source_size, target, copies], "_source", "_total", "_goal", "_rate", "_start")
     targets = source_targets(narrow, weights=weights, share=share, most=most)
     rates = written(targets.withColumn("rate", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))))
     chosen = written(starts(narrow, rates).toDF(of, total, goal, rate, start))
     joined = sized.join(small_side(chosen), F.col("source").eqNullSafe(F.col(of)))
     extra = (counted_from(F.col(number), F.col(start)) < F.col(rate) - F.floor(rate)).cast("long")
     taken = F.least(F.floor(rate) + extra, F.lit(most).cast("long"))
-    return joined.select(*docs.columns, size, F.col(total).alias(source_size), F.col(goal).alias(target), taken.alias(copies))
+    return joined.select(*sized.columns, F.col(total).alias(source_size), F.col(goal).alias(target), taken.alias(copies))
+
+
+def _mixed(docs: DataFrame, size: str, source_size: str, target: str, copies: str, *, seed: str = "mix", **options) -> DataFrame:
+    """docs with four more columns under the given names, which clash with none of docs. Words are counted twice: once for
+    the sums, once beside the texts that go on."""
+    number = free_names([*docs.columns, size, source_size, target, copies], "_number")[0]
+    sized = _sized(docs, size, number, seed)
+    narrow = written(sized.select("source", F.col(size).alias("size"), F.col(number).alias("number")))
+    return _rated(sized, narrow, size, number, source_size, target, copies, **options).drop(number)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -101,21 +113,24 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     document may be as far from its target as its size.
     """
     own = ("size", "source_size", "target", "copies")
-    return _rated(docs.drop(*own), *own, **options)
+    return _mixed(docs.drop(*own), *own, **options)
 
 
 def emit(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the columns of docs as they are, whatever their names, each row as often as it is taken. Nulls and
     repeated rows as in mix()."""
     own = free_names(docs.columns, "_size", "_source_size", "_target", "_copies")
-    mixed = _rated(docs, *own, **options)
+    mixed = _mixed(docs, *own, **options)
     copy = free_names(mixed.columns, "_copy")[0]
     return mixed.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(own[3]).cast("int")))).select(docs.columns)
 
 
-def report(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of each row of docs."""
-    return mix(docs.select("doc_id", "text", "source"), **options).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+def report(docs: DataFrame, *, seed: str = "mix", **options) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of each row of docs. Words are counted once, into a narrow table that all
+    sums and the result read."""
+    narrow = written(_sized(docs.select("doc_id", "source", "text"), "size", "number", seed).drop("text"))
+    mixed = _rated(narrow, narrow.select("source", "size", "number"), "size", "number", "source_size", "target", "copies", **options)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 ORACLE = r"""
