@@ -13,7 +13,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ALNUM, LOWER, blocks, buffer_of, contains, free_names, small_batches, word_hashes, word_spans, written
@@ -203,60 +203,104 @@ def build(items: list[tuple[int, str | None]], window: int = WINDOW) -> tuple[Su
 
 
 def _scan(shared, every: bool):
-    """(doc_id, n_words, spans, items, bytes): rows with hits, or every row. bytes: the spans as byte positions."""
+    """(doc_id, n_words, spans, items, bytes): rows with hits, or every row. bytes: the spans as byte positions. shared is a
+    list of automata with their vocabularies; a block's words are found and hashed once for all of them."""
     shape = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
-        automaton, vocabulary = shared.value
-        scan, least = automaton.scanner(), automaton.least
+        automata = [(x, v, x.scanner()) for x, v in shared.value]
         for rows, data, off in blocks(batches):
             starts, ends, first = word_spans(data, off, ALNUM)
             hashes = word_hashes(data, starts, ends, LOWER)
-            known = contains(vocabulary, hashes)
-            # Runs of at least `least` words of the benchmark's vocabulary within a document; others hold no window.
-            cut = known[:-1] & known[1:]
-            inner = first[(first > 0) & (first < len(known))]
-            cut[inner - 1] = False
-            lo = np.flatnonzero(known & np.concatenate([[True], ~cut])) if len(known) else np.zeros(0, np.int64)
-            hi = np.flatnonzero(known & np.concatenate([~cut, [True]])) + 1 if len(known) else lo
-            keep = hi - lo >= least
-            spans: list[list] = [[] for _ in range(rows.num_rows)]
-            where: list[list] = [[] for _ in range(rows.num_rows)]
+            found: list[list] = [[] for _ in range(rows.num_rows)]
             items: list[set] = [set() for _ in range(rows.num_rows)]
-            owner = np.searchsorted(first, lo, side="right") - 1
-            for a, b, d in zip(lo[keep].tolist(), hi[keep].tolist(), owner[keep].tolist(), strict=True):
-                hit, seen = scan(np.searchsorted(vocabulary, hashes[a:b]).tolist())
-                base, at = int(first[d]), int(off[d])
-                spans[d] += [{"start": a + x - base, "end": a + y - base} for x, y in hit]
-                where[d] += [{"start": int(starts[a + x]) - at, "end": int(ends[a + y - 1]) - at} for x, y in hit]
-                items[d] |= seen
-            out = pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(first)), pa.array(spans, shape), pa.array([automaton.items_of(x) for x in items], pa.list_(pa.int64())), pa.array(where, shape)], ["doc_id", "n_words", "spans", "items", "bytes"])
+            for automaton, vocabulary, scan in automata:
+                known = contains(vocabulary, hashes)
+                # Runs of at least `least` words of the benchmark's vocabulary within a document; others hold no window.
+                cut = known[:-1] & known[1:]
+                inner = first[(first > 0) & (first < len(known))]
+                cut[inner - 1] = False
+                lo = np.flatnonzero(known & np.concatenate([[True], ~cut])) if len(known) else np.zeros(0, np.int64)
+                hi = np.flatnonzero(known & np.concatenate([~cut, [True]])) + 1 if len(known) else lo
+                keep = hi - lo >= automaton.least
+                owner = np.searchsorted(first, lo, side="right") - 1
+                for a, b, d in zip(lo[keep].tolist(), hi[keep].tolist(), owner[keep].tolist(), strict=True):
+                    hit, seen = scan(np.searchsorted(vocabulary, hashes[a:b]).tolist())
+                    found[d] += [(a + x, a + y) for x, y in hit]
+                    items[d].update(automaton.items_of(seen))
+            if len(automata) > 1:
+                found = [_joined(x) for x in found]
+            of = lambda d, x, y: {"start": x - int(first[d]), "end": y - int(first[d])}  # noqa: B023,E731
+            at = lambda d, x, y: {"start": int(starts[x]) - int(off[d]), "end": int(ends[y - 1]) - int(off[d])}  # noqa: B023,E731
+            spans = [[of(d, x, y) for x, y in own] for d, own in enumerate(found)]
+            where = [[at(d, x, y) for x, y in own] for d, own in enumerate(found)]
+            out = pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(first)), pa.array(spans, shape), pa.array([sorted(x) for x in items], pa.list_(pa.int64())), pa.array(where, shape)], ["doc_id", "n_words", "spans", "items", "bytes"])
             yield out if every else out.filter(pa.array([bool(x) for x in spans], pa.bool_()))
 
     return run
 
 
-def _parts(benchmark: DataFrame, most: int) -> list[list[int]]:
-    """item_ids in parts of at most `most` bytes of text (one item at least)."""
-    sizes = benchmark.select("item_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("n")).orderBy("item_id")
-    parts, room = [], 0
-    for r in sizes.toLocalIterator():
-        if not parts or room < r.n:
-            parts.append([])
-            room = most
-        parts[-1].append(r.item_id)
-        room -= r.n
-    return parts
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that meet as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _pieces(bench: DataFrame, window: int, most: int) -> DataFrame:
+    """(item_id, piece, text, size): items of more than `most` bytes cut at words into pieces of at most so many (2 * window
+    words at least), each beginning with the last window - 1 words of the one before, so that no window is lost."""
+
+    def run(batches):
+        for rows, data, off in blocks(batches):
+            starts, ends, first = word_spans(data, off, ALNUM)
+            ids, numbers, texts = [], [], []
+            for k, item in enumerate(rows.column(0).to_pylist()):
+                i, stop = int(first[k]), int(first[k + 1])
+                cuts = [(int(off[k]), int(off[k + 1]))] if off[k + 1] - off[k] <= most or i == stop else []
+                while not cuts or (j := cuts[-1][2] if len(cuts[-1]) > 2 else stop) < stop:
+                    i = i if not cuts else j - (window - 1)
+                    j = min(stop, max(int(np.searchsorted(ends, starts[i] + most, side="right")), i + 2 * window))
+                    cuts.append((int(starts[i]), int(ends[j - 1]), j))
+                for n, (a, b, *_) in enumerate(cuts):
+                    ids.append(item)
+                    numbers.append(n)
+                    texts.append(data[a:b].tobytes().decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], ["item_id", "piece", "text"])
+
+    cut = bench.mapInArrow(run, "item_id long, piece int, text string")
+    return cut.withColumn("size", F.octet_length("text").cast("long"))
+
+
+AUTOMATA = 4  # in a task at once
+
+
+def _dealt(bench: DataFrame, window: int, most: int) -> DataFrame:
+    """The pieces of a benchmark with the (lane, part) that each is in: of a part, whose pieces make one automaton, the texts
+    are at most `most` bytes (or one piece). Lanes hold some 64 parts; sizes are summed up along each. Written."""
+    pieces = _pieces(bench, window, max(1, most // 4))
+    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    lane = F.pmod(F.xxhash64("item_id", "piece"), F.lit(1 + total // (64 * most)))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("lane").orderBy("item_id", "piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return written(pieces.withColumn("lane", lane).withColumn("part", F.floor(before / max(1, most - most // 4)).cast("int")))
 
 
 def _merged_hits(text: DataFrame, bench: DataFrame, window: int, most: int) -> DataFrame:
-    """(doc_id, n_words, spans, items, bytes) for each doc_id of text with hits, found part by part on the same text.
-    doc_id must be a key of text's rows, and fixed."""
+    """(doc_id, n_words, spans, items, bytes) for each doc_id of text with hits, found by AUTOMATA parts at a time on the same
+    text. doc_id must be a key of text's rows, and fixed."""
     spark, kind = text.sparkSession, f"doc_id {text.schema['doc_id'].dataType.simpleString()}, {SHAPE}"
-    found = None
-    for part in _parts(bench, most):
-        own = bench.where(F.col("item_id").between(part[0], part[-1]))
-        shared = spark.sparkContext.broadcast(build([(r.item_id, r.text) for r in own.orderBy("item_id").collect()], window))
+    dealt, found = _dealt(bench, window, most), None
+    parts = [(r.lane, r.part) for r in dealt.select("lane", "part").distinct().orderBy("lane", "part").collect()]
+    for k in range(0, len(parts), AUTOMATA):
+        built = []
+        for lane, part in parts[k : k + AUTOMATA]:
+            own = dealt.where((F.col("lane") == lane) & (F.col("part") == part)).orderBy("item_id", "piece").collect()
+            built.append(build([(r.item_id, r.text) for r in own], window))
+        shared = spark.sparkContext.broadcast(built)
         hits = written(text.mapInArrow(_scan(shared, False), kind))
         shared.unpersist()
         found = hits if found is None else found.unionByName(hits)
@@ -274,7 +318,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, benc
     (A-Z) runs of letters and digits, all bytes from 0x80 counting as letters. Item ids must be integers; items with
     a null id are left out, rows that repeat an id are items of one id. Documents without an id or with one that repeats
     are rows like others; extra columns of either table aren't read, and no rows give no rows. A benchmark of more than `benchmark_bytes` is
-    worked through in parts, one pass over the texts each; their hits meet by row, so that repeated ids stay apart.
+    worked through in parts, four to a pass over the texts; an item larger than a quarter of that is cut into pieces that share
+    window - 1 words. Hits meet by row, so that repeated ids stay apart.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -282,11 +327,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, benc
     bench = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), "text")
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size <= benchmark_bytes:
-        shared = spark.sparkContext.broadcast(build([(r.item_id, r.text) for r in bench.orderBy("item_id").collect()], window))
+        shared = spark.sparkContext.broadcast([build([(r.item_id, r.text) for r in bench.orderBy("item_id").collect()], window)])
         return text.mapInArrow(_scan(shared, True), f"doc_id long, {SHAPE}")
     rows = written(text.withColumn("_row", F.monotonically_increasing_id()))
     found = _merged_hits(rows.select(F.col("_row").alias("doc_id"), "text"), bench, window, benchmark_bytes)
-    none = spark.sparkContext.broadcast(build([], window))
+    none = spark.sparkContext.broadcast([build([], window)])
     every = rows.select(F.struct("_row", F.col("doc_id").alias("id")).alias("doc_id"), "text").mapInArrow(_scan(none, True), f"doc_id struct<_row:long,id:long>, {SHAPE}").select("doc_id.*", "n_words")
     joined = every.join(found.drop("n_words").withColumnRenamed("doc_id", "_row"), "_row", "left")
     return joined.select(F.col("id").alias("doc_id"), "n_words", *(F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c) for c in ("spans", "items", "bytes")))
@@ -368,7 +413,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDO
     gone, row, words, spans, where = free_names(docs.columns, "_gone", "_row", "_n_words", "_spans", "_bytes")
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{gone}` boolean"
     if size <= benchmark_bytes:
-        shared = spark.sparkContext.broadcast(build([(r.item_id, r.text) for r in bench.orderBy("item_id").collect()], window))
+        shared = spark.sparkContext.broadcast([build([(r.item_id, r.text) for r in bench.orderBy("item_id").collect()], window)])
         return docs.mapInArrow(_without(shared, gone, most_words, most_share), kind).where(~F.col(gone)).drop(gone)
     rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
     hits = written(_merged_hits(rows.select(F.col(row).alias("doc_id"), "text"), bench, window, benchmark_bytes))
