@@ -9,6 +9,14 @@ TRUE_WORDS = ("true", "t", "yes", "y", "1")
 FALSE_WORDS = ("false", "f", "no", "n", "0")
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """The name, with as many underscores behind as it takes to clash with no column."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -22,15 +30,34 @@ def clean_key(c: str | Column) -> Column:
     return F.upper(F.trim(col(c)))
 
 
+#: Exchange codes of the listing files.
+EXCHANGES = {
+    "A": "AMEX",
+    "N": "NYSE",
+    "P": "NYSEARCA",
+    "Z": "BATS",
+    "V": "IEXG",
+}
+
+
+def exchange_of(code: str | Column) -> Column:
+    """The exchange of a code, `OTHER` for one that isn't known or is missing."""
+    lookup = F.create_map(*(F.lit(x) for kv in EXCHANGES.items() for x in kv))
+    return F.coalesce(F.try_element_at(lookup, F.upper(F.trim(col(code)))), F.lit("OTHER"))
+
+
 def to_bool(c: str | Column) -> Column:
-    """Words and 1/0 to booleans; anything else is NULL."""
-    word = F.lower(F.trim(col(c).cast("string")))
-    return F.when(word.isin(*TRUE_WORDS), F.lit(True)).when(word.isin(*FALSE_WORDS), F.lit(False))
+    """Words and 1/0 to booleans; anything else is NULL. Fractions of a numeric column are cut off, so 1.0 is true."""
+    c = col(c)
+    word = F.lower(F.trim(c.cast("string")))
+    word = F.when(F.typeof(c).rlike("^(double|float|decimal)"), F.regexp_replace(word, r"^(-?\d+)\.\d*$", "$1")).otherwise(word)
+    return F.when(word.isin(*TRUE_WORDS), F.lit(True)).when(word.isin(*FALSE_WORDS, "-0"), F.lit(False))
 
 
 def sample_key(ticker: str | Column, date: str | Column, setup: str | Column) -> Column:
-    """16 hex digits that name a (ticker, date, setup)."""
-    return F.substring(F.sha1(F.concat_ws("|", F.upper(col(ticker)), col(date).cast("string"), col(setup)).cast("binary")), 1, 16)
+    """16 hex digits that name a (ticker, date, setup); NULL if one of them is."""
+    bar = F.lit("|")
+    return F.substring(F.sha1(F.concat(F.upper(col(ticker)), bar, col(date).cast("string"), bar, col(setup)).cast("binary")), 1, 16)
 
 
 def no_nan(c: str | Column) -> Column:

@@ -42,11 +42,13 @@ def merge_status(universe: DataFrame, old: DataFrame, merged_bars: DataFrame, ne
     return rows.select("ticker", status.alias("status"), F.coalesce("rows_written", F.lit(0)).alias("rows_written"), "last_date")
 
 
-def incremental_plan(tickers: DataFrame, bar: DataFrame, start, end) -> DataFrame:
-    """(ticker, start, end) still to fetch: the day after each ticker's last bar, `start` without bars; done ones go."""
+def incremental_plan(tickers: DataFrame, bar: DataFrame, start, end: DataFrame | None = None) -> DataFrame:
+    """(ticker, start, end) still to fetch: the day after each ticker's last bar, `start` without bars; done ones go. end: one
+    row (end), the newest date with bars by default."""
     last = bar.groupBy("ticker").agg(F.max("date").alias("last_date"))
+    end = bar.agg(F.max("date").alias("end")) if end is None else end
     first = F.coalesce(F.date_add("last_date", 1), F.lit(start).cast("date"))
-    return tickers.join(last, "ticker", "left").select("ticker", first.alias("start"), F.lit(end).cast("date").alias("end")).where("start <= end")
+    return tickers.join(last, "ticker", "left").crossJoin(F.broadcast(end)).select("ticker", first.alias("start"), "end").where("start <= end")
 
 
 def top(last: DataFrame, by, n: int, where=None) -> DataFrame:

@@ -30,10 +30,33 @@ def planned(samples: DataFrame, sessions: DataFrame, past: int, future: int = 0)
     return rows.join(sessions.select("session_no", F.col("date").alias("bar_date")), "session_no").drop("_s", "_last", "session_no")
 
 
-def ingest_plan(sessions: DataFrame, existing: DataFrame, n: int) -> DataFrame:
-    """(date, phase, step): which of the last n sessions to fetch, in order: the latest, then missing ones from the
-    newest on, then ones that exist already, to catch late corrections."""
-    last = sessions.orderBy(F.desc("date")).limit(n).select("date")
+def last_complete(sessions: DataFrame, today, now=None) -> DataFrame:
+    """One row (end): the last session on or before `today` (a date). If that is today itself and `now` (a timestamp in UTC)
+    is before 20:00 in New York, its bars aren't out yet and it is the session before, if one lies within ten days."""
+    day = F.lit(today).cast("date")
+    found = sessions.where(F.col("date") <= day)
+    out = found.agg(F.max("date").alias("last"), F.max(F.when((F.col("date") < day) & (F.col("date") >= F.date_sub(day, 10)), F.col("date"))).alias("before"))
+    if now is None:
+        return out.select(F.col("last").alias("end"))
+    early = (F.col("last") == day) & (F.hour(F.from_utc_timestamp(F.lit(now).cast("timestamp"), "America/New_York")) < 20)
+    return out.select(F.when(early, F.coalesce("before", "last")).otherwise(F.col("last")).alias("end"))
+
+
+def ingest_plan(sessions: DataFrame, existing: DataFrame, n: int | None = None, *, today=None, now=None, years: int | None = None) -> DataFrame:
+    """(date, phase, step): which sessions to fetch, in order: the latest (phase 0), then missing ones from the newest on (1),
+    then ones that exist already, to catch late corrections (2).
+
+    Sessions end with the last complete one (last_complete) if `today` is given, and go back `years` (29 February becomes the
+    28th) or `n` sessions.
+    """
+    if today is not None:
+        end = last_complete(sessions, today, now)
+        sessions = sessions.crossJoin(F.broadcast(end)).where(F.col("date") <= F.col("end"))  # one row
+        if years is not None:
+            sessions = sessions.where(F.col("date") >= F.add_months("end", -12 * years))
+    last = sessions.select("date")
+    if n is not None:
+        last = last.orderBy(F.desc("date")).limit(n)
     newest = last.agg(F.max("date").alias("newest"))
     have = existing.select("date").distinct().withColumn("_have", F.lit(True))
     rows = last.join(have, "date", "left").crossJoin(F.broadcast(newest))

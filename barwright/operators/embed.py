@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ticker_bucket
+from .window_features import pooled
 
 EPS = 1e-12
 QUERY_ROWS = 10_000  # queries that are broadcast at once
@@ -80,6 +81,16 @@ def encode(stats: DataFrame, key: str, stat_columns: list[str], curves: str, *,
     return stats.select(key, *stat_columns, curves).mapInPandas(run, f"{key} {kind}, embedding array<float>")
 
 
+STATISTICS = ("mean", "std", "min", "max", "last", "slope")
+
+
+def window_embeddings(rows: DataFrame, key: str, t: str, columns: tuple[str, ...], *, length: int = 32, dims: int = 128, seed: int = 1337) -> DataFrame:
+    """(key, embedding) of windows in long form: pooled statistics and curves of the columns, encoded."""
+    curves = F.array(*(F.transform(F.array_sort(F.collect_list(F.struct(t, F.col(c).cast("double").alias("v")))), lambda x: x["v"]) for c in columns))
+    stats = pooled(rows, columns, key, t).join(rows.groupBy(key).agg(curves.alias("curves")), key)
+    return encode(stats, key, [f"{c}_{s}" for c in columns for s in STATISTICS], "curves", length=length, dims=dims, seed=seed)
+
+
 def write_index(index: DataFrame, path: str) -> None:
     """Folders window_size / ticker_bucket / end_year_month; one file in each, since rows are dealt by folder first."""
     folders = ["window_size", "ticker_bucket", "end_year_month"]

@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clean_key
-
-#: Exchange codes of the listing files.
-EXCHANGES = {"A": "AMEX", "N": "NYSE", "P": "NYSEARCA", "V": "IEXG", "Z": "BATS"}
-
+from ..functions.scalars import clean_key, exchange_of  # noqa: F401  (also taken from here)
 
 def load(rows: DataFrame) -> DataFrame:
     """rows(ticker, ..., seq): tickers trimmed and upper-cased, blank ones dropped, the first of each by seq kept. `NA` is
@@ -23,11 +19,6 @@ def _first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_r")).select(*keys, *(F.col(f"_r.{c}").alias(c) for c in rest))
 
 
-def exchange_of(code) -> F.Column:
-    lookup = F.create_map(*(F.lit(x) for kv in EXCHANGES.items() for x in kv))
-    return F.coalesce(F.try_element_at(lookup, F.upper(F.trim(code))), F.lit("OTHER"))
-
-
 def prefer_source(rows: DataFrame) -> DataFrame:
     """Of each ticker the row of the lowest source_rank."""
     rn = F.row_number().over(Window.partitionBy("ticker").orderBy("source_rank", "name"))

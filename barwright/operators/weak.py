@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rolling import true_range
 from ..functions.scalars import ratio, sample_key
+from ..sources.shared import written
 from .windows import context
 
 # ------------------------------------------------------------------ features
@@ -130,36 +131,93 @@ def summary(matrix: DataFrame, names: list[str]) -> DataFrame:
     return g.select("*", (F.col("n") - F.col("pos") - F.col("neg")).alias("abstain"), ((F.col("pos") + F.col("neg")) / F.col("n")).alias("coverage"), ratio("pos", F.col("pos") + F.col("neg")).alias("pos_rate"))
 
 
-def label_model(matrix: DataFrame, names: list[str], *, iterations: int = 50, tolerance: float = 1e-6, prior: float = 0.2) -> tuple[DataFrame, dict]:
+MASK_BITS = 60  # functions in a pair of masks
+
+
+def _masks(names: list[str]) -> dict[str, Column]:
+    """Votes packed in bit masks: `p0`, `n0`, `p1` ... have a bit for each positive and negative vote."""
+    out = {}
+    for k in range(0, len(names), MASK_BITS):
+        for kind, sign in (("p", 1), ("n", -1)):
+            out[f"{kind}{k // MASK_BITS}"] = _sum([F.when(F.col(c) == sign, F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for i, c in enumerate(names[k : k + MASK_BITS])])
+    return out
+
+
+def _vote(j: int) -> Column:
+    """The vote of function j: 1, -1 or 0."""
+    bit = lambda kind: F.shiftright(F.col(f"{kind}{j // MASK_BITS}"), j % MASK_BITS).bitwiseAND(F.lit(1).cast("bigint"))
+    return (bit("p") - bit("n")).cast("double")
+
+
+def _log_odds(votes: list[Column], pi: float, acc: np.ndarray) -> Column:
+    """Log odds of the label: every vote adds or takes the log odds of its function's accuracy."""
+    w = np.log(acc) - np.log(1 - acc)
+    return _sum([F.lit(float(np.log(pi) - np.log(1 - pi))), *(v * float(x) for v, x in zip(votes, w, strict=True))])
+
+
+def _posterior(z: Column) -> Column:
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+
+
+COLLECTED_PATTERNS = 4_096
+
+
+def label_model(matrix: DataFrame, names: list[str], *, iterations: int = 50, tolerance: float = 1e-6, prior: float = 0.2, collected: int = COLLECTED_PATTERNS) -> tuple[DataFrame, dict]:
     """matrix with p_label, label_hard, weight (the larger of p and 1 - p; 0 without votes) and emitted, by a model with
     independent functions, fitted by EM, and its parameters: prior, accuracy and coverage.
 
-    Rows with the same votes have the same posterior, so EM runs on the counts of distinct vote rows (3^m at most),
-    which one aggregation gives; the posteriors are joined back by the votes.
+    Rows with the same votes have the same posterior, so EM runs on patterns: votes packed in bit masks and counted by one
+    aggregation. Up to `collected` patterns, by their count, are fitted on the driver; more are written, and each
+    iteration is one aggregation over them that gives two sums and one for each function. Posteriors need no join: they
+    are an expression of a row's own votes and the parameters. Any number of functions can vote.
     """
-    counts = matrix.groupBy(*names).agg(F.count("*").alias("n")).collect()
-    v, n = np.array([[r[c] for c in names] for r in counts], float).reshape(-1, len(names)), np.array([r.n for r in counts], float)
-    pi, acc, last = float(np.clip(prior, 1e-3, 1 - 1e-3)), np.full(len(names), 0.7), None
-    emitted, ever = v != 0, (v != 0).any(0)
-    post = np.full(len(n), pi)
-    for _ in range(iterations if len(n) else 0):
-        hit = np.where(v == 1, np.log(acc), np.where(v == -1, np.log(1 - acc), 0.0)).sum(1) + np.log(pi)
-        miss = np.where(v == 1, np.log(1 - acc), np.where(v == -1, np.log(acc), 0.0)).sum(1) + np.log(1 - pi)
-        top = np.maximum(hit, miss)
-        total = top + np.log(np.exp(hit - top) + np.exp(miss - top))
-        post = np.exp(hit - total)
-        loss = float((n * total).sum())
+    if not names:
+        raise ValueError("no labelling functions")
+    masks = _masks(names)
+    patterns = written(matrix.select(*(v.alias(k) for k, v in masks.items())).groupBy(*masks).agg(F.count("*").alias("n")))
+    few = patterns.count() <= collected
+    m = len(names)
+    if few:
+        rows = patterns.select("n", *(_vote(j).alias(f"v{j}") for j in range(m))).collect()
+        v = np.array([[r[f"v{j}"] for j in range(m)] for r in rows], float).reshape(-1, m)
+        n = np.array([r.n for r in rows], float)
+
+        def sums(pi: float, acc: np.ndarray) -> tuple[float, float, np.ndarray]:
+            z = np.log(pi) - np.log(1 - pi) + v @ (np.log(acc) - np.log(1 - acc))
+            miss = np.log(1 - pi) + np.where(v == 1, np.log(1 - acc), np.where(v == -1, np.log(acc), 0.0)).sum(1)
+            post = 1 / (1 + np.exp(-z))
+            return float((n * (miss + np.logaddexp(0, z))).sum()), float((n * post).sum()), (n[:, None] * np.where(v == 1, post[:, None], np.where(v == -1, 1 - post[:, None], 0.0))).sum(0)
+
+        total, emitted = float(n.sum()), (n[:, None] * (v != 0)).sum(0)
+    else:
+        votes = [_vote(j) for j in range(m)]
+        first = patterns.agg(F.sum("n").alias("n"), *(F.sum(F.col("n") * F.abs(x)).alias(f"e{j}") for j, x in enumerate(votes))).first()
+        total, emitted = float(first.n), np.array([first[f"e{j}"] for j in range(m)], float)
+
+        def sums(pi: float, acc: np.ndarray) -> tuple[float, float, np.ndarray]:
+            up, down = np.log(acc), np.log(1 - acc)
+            z = _log_odds(votes, pi, acc)
+            miss = _sum([F.lit(float(np.log(1 - pi))), *(F.when(x == 1, float(down[j])).when(x == -1, float(up[j])).otherwise(0.0) for j, x in enumerate(votes))])
+            fit = patterns.withColumns({"z": z, "miss": miss}).withColumn("post", _posterior(F.col("z")))
+            loss = F.col("miss") + F.greatest("z", F.lit(0.0)) + F.log1p(F.exp(-F.abs("z")))
+            right = [F.sum(F.col("n") * F.when(x == 1, F.col("post")).when(x == -1, 1 - F.col("post")).otherwise(0.0)).alias(f"r{j}") for j, x in enumerate(votes)]
+            got = fit.agg(F.sum(F.col("n") * loss).alias("loss"), F.sum(F.col("n") * F.col("post")).alias("post"), *right).first()
+            return float(got.loss), float(got.post), np.array([got[f"r{j}"] for j in range(m)], float)
+
+    pi, acc, last = float(np.clip(prior, 1e-3, 1 - 1e-3)), np.full(m, 0.7), None
+    used = (pi, acc)  # what posteriors come from: the parameters of the last pass that was measured
+    for _ in range(iterations if total else 0):
+        used = (pi, acc)
+        loss, positive, right = sums(pi, acc)
         if last is not None and abs(loss - last) < tolerance:
             break
         last = loss
-        pi = float(np.clip((n * post).sum() / n.sum(), 1e-3, 1 - 1e-3))
-        right = (n[:, None] * np.where(v == 1, post[:, None], np.where(v == -1, 1 - post[:, None], 0.0))).sum(0)
-        acc = np.where(ever, np.clip(right / np.maximum((n[:, None] * emitted).sum(0), 1.0), 0.55, 0.95), 0.5)
-    kind = ", ".join(f"`{c}` int" for c in names) + ", p_label double"
-    table = matrix.sparkSession.createDataFrame([(*map(int, r), float(p)) for r, p in zip(v, post, strict=True)], kind)
-    cover = (n[:, None] * emitted).sum(0) / max(n.sum(), 1.0)
-    out = matrix.join(F.broadcast(table), names).withColumn("label_hard", F.col("p_label") >= 0.5).withColumn("emitted", _sum([(F.col(c) != 0).cast("int") for c in names]))
+        pi = float(np.clip(positive / total, 1e-3, 1 - 1e-3))
+        acc = np.where(emitted > 0, np.clip(right / np.maximum(emitted, 1.0), 0.55, 0.95), 0.5)
+    out = matrix.withColumn("p_label", _posterior(_log_odds([F.col(c).cast("double") for c in names], *used)))
+    out = out.withColumn("label_hard", F.col("p_label") >= 0.5).withColumn("emitted", _sum([(F.col(c) != 0).cast("int") for c in names]))
     out = out.withColumn("weight", F.when(F.col("emitted") > 0, F.greatest(F.col("p_label"), 1 - F.col("p_label"))).otherwise(0.0))
+    cover = emitted / max(total, 1.0)
     return out, {"prior": pi, "accuracy": dict(zip(names, acc.tolist(), strict=True)), "coverage": dict(zip(names, cover.tolist(), strict=True))}
 
 

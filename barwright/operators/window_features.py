@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rolling import drawdown, ema_array, true_range
 from ..functions.scalars import log_ratio, no_nan, ratio
+from .quantiles import quantiles
 
 def by_t():
     return Window.partitionBy("sample_id").orderBy("t")
@@ -113,8 +114,9 @@ def pooled(rows: DataFrame, columns: tuple[str, ...], key: str = "sample_id", t:
 
 
 def impute_fit(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row with the median of each column; 0 for a column without values."""
-    return df.agg(*(F.coalesce(F.percentile(no_nan(c), 0.5), F.lit(0.0)).alias(c) for c in columns))
+    """One row with the exact median of each column; 0 for a column without values. No task holds a column (quantiles)."""
+    found = quantiles(df, columns, [0.5])
+    return df.sparkSession.createDataFrame([tuple(found[c][0] if found[c][0] is not None else 0.0 for c in columns)], ", ".join(f"`{c}` double" for c in columns))
 
 
 def impute(df: DataFrame, fit: DataFrame, columns: list[str]) -> DataFrame:

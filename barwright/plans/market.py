@@ -102,10 +102,7 @@ def incremental_plan(spark, sf):
     bar = S.bars(spark, sf)
     tickers = S.table(spark, sf, "part").select(F.col("p_brand").alias("ticker")).distinct()
     tickers = tickers.unionByName(tickers.limit(1).select(F.lit("NONE").alias("ticker")))
-    last = bar.groupBy("ticker").agg(F.max("date").alias("last_date"))
-    end = bar.agg(F.max("date").alias("end"))
-    first = F.coalesce(F.date_add("last_date", 1), F.lit("1990-01-01").cast("date")).alias("start")
-    return tickers.join(last, "ticker", "left").crossJoin(F.broadcast(end)).select("ticker", first, "end").where("start <= end")
+    return B.incremental_plan(tickers, bar, "1990-01-01")
 
 
 @query(with_("bars", "sess") + """, lastd AS (SELECT date FROM sess ORDER BY date DESC LIMIT 40), have AS (SELECT DISTINCT date FROM bars WHERE day(date) % 3 = 0)
@@ -126,17 +123,11 @@ def scan_recent_partitions(spark, sf):
     return with_rounded(df.select("ticker", "date", *PX, "volume"), *PX)
 
 
-STORED: dict[tuple[str, str], str] = {}
-
-
 def stored_bars(spark, sf):
-    """The folder of the stored bars, written once in an application."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in STORED:
-        path = shared_dir(spark) + "/bars"
-        S.write_bars(S.bars(spark, sf), path)
-        STORED[key] = path
-    return STORED[key]
+    """A new folder of stored bars."""
+    path = shared_dir(spark) + "/bars"
+    S.write_bars(S.bars(spark, sf), path)
+    return path
 
 
 @query(with_("bars") + f"SELECT ticker, date, {rs(*PX)}, volume FROM bars WHERE date BETWEEN DATE '1995-01-01' AND DATE '1995-12-31'")
@@ -289,17 +280,27 @@ def bars_from_json(spark, sf):
 
 @query(with_("bars") + f"SELECT upper(ticker) AS ticker, date, {rs(*PX)}, volume FROM bars WHERE date >= DATE '1995-01-01'")
 def bars_from_csv(spark, sf):
-    """Bars written as vendor CSV lines with headers, and parsed again."""
+    """Bars written as vendor answers, one text a ticker with a header, and parsed again."""
     line = F.concat_ws(",", F.col("date").cast("string"), *(F.col(c).cast("string") for c in (*PX, "volume")))
-    lines = S.bars(spark, sf).select("ticker", F.explode(F.array(F.struct(F.lit("Date,Open,High,Low,Close,Volume").alias("value"), F.lit(0).alias("pos")), F.struct(line.alias("value"), F.lit(1).alias("pos")))).alias("x")).select("ticker", "x.value", "x.pos")
-    return with_rounded(S.bars_from_csv(lines, start="1995-01-01").select("ticker", "date", *PX, "volume"), *PX)
+    texts = S.bars(spark, sf).groupBy("ticker").agg(F.concat_ws("\n", F.lit(S.CSV_HEADER), F.array_sort(F.collect_list(line))).alias("value"))
+    return with_rounded(S.bars_from_csv(texts, start="1995-01-01").select("ticker", "date", *PX, "volume"), *PX)
+
+
+CODE = "upper(substr('anpzvq', CAST(s_suppkey % 6 + 1 AS INTEGER), 1))"
 
 
-@query(with_("univ") + "SELECT upper(ticker) AS ticker, name, CASE upper(left(exchange, 1)) WHEN 'A' THEN 'AMEX' ELSE 'OTHER' END AS exchange, is_etf, is_test_issue FROM univ")
+@query(with_("univ") + f"""SELECT upper(ticker) AS ticker, name, CASE WHEN s_suppkey % 3 = 0 THEN 'NASDAQ' ELSE CASE {CODE} WHEN 'A' THEN 'AMEX' WHEN 'N' THEN 'NYSE' WHEN 'P' THEN 'NYSEARCA' WHEN 'Z' THEN 'BATS' WHEN 'V' THEN 'IEXG' ELSE 'OTHER' END END AS exchange, is_etf, is_test_issue,
+CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE 1 END AS source_rank FROM univ""")
 def symdir_parse(spark, sf):
-    """Listings written as a pipe-separated directory with header and footer, and parsed again."""
+    """Listings written as files of both layouts, one of them with its columns in another order, and parsed again."""
     flag = lambda c: F.when(F.col(c), "Y").otherwise("N")
+    code = F.upper(F.substring(F.lit("anpzvq"), (F.col("s_suppkey") % 6 + 1).cast("int"), F.lit(1)))
+    first = {"Symbol": "ticker", "Security Name": "name", "Market Category": F.lit("Q"), "Test Issue": flag("is_test_issue"), "Financial Status": F.lit("N"), "Round Lot Size": F.lit("100"), "ETF": flag("is_etf"), "NextShares": F.lit("N")}
+    other = {"ACT Symbol": "ticker", "Security Name": "name", "Exchange": code, "CQS Symbol": F.lit("Y"), "ETF": flag("is_etf"), "Round Lot Size": F.lit("100"), "Test Issue": flag("is_test_issue"), "NASDAQ Symbol": F.lit("N")}
+    folder = shared_dir(spark) + "/listings"
     u = S.universe(spark, sf)
-    lines = u.select(F.concat(F.concat_ws("|", "ticker", "name", F.substring("exchange", 1, 1), flag("is_etf"), flag("is_test_issue")), F.lit("|")).alias("value"))
-    ends = u.limit(1).select(F.explode(F.array(F.lit("Symbol|Name|Code|ETF|Test|"), F.lit("File Creation Time: 0101|||||"))).alias("value"))
-    return S.symbol_directory(lines.unionByName(ends)).select("ticker", "name", U.exchange_of(F.col("code")).alias("exchange"), "is_etf", "is_test_issue")
+    for columns, where in ((first, "s_suppkey % 3 = 0"), (other, "s_suppkey % 3 = 1"), (dict(reversed(other.items())), "s_suppkey % 3 = 2")):
+        rows = u.where(where).select(F.concat_ws("|", *columns.values()).alias("value"))
+        ends = spark.createDataFrame([("|".join(columns),), ("File Creation Time: 0202202521:30|||||||",)], "value string")
+        ends.unionByName(rows).coalesce(1).write.mode("append").text(folder)
+    return S.read_symbol_directory(spark, folder).drop("file")

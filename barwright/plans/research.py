@@ -13,13 +13,18 @@ from ..functions.scalars import rounded
 from ..operators import bars as B
 from ..operators import candidates as C
 from ..operators import embed as E
+from ..operators import jobs as J
 from ..operators import models as M
 from ..operators import normalize as N
+from ..operators import stages as T
+from ..operators import vector_index as V
 from ..operators import window_features as X
 from ..operators import windows as W
+from ..operators.scan import ema_scan
 from ..sources import runs as R
 from ..sources import tables as S
 from ..sources.shared import shared_dir, written
+from ..streaming import latest
 from ..streaming.upsert import bars_upsert_stream as start_stream
 from .market import with_rounded
 from .registry import query
@@ -133,17 +138,14 @@ def pooled_stats_embed(spark, sf):
     return with_rounded(X.pooled(win(spark, sf), PC), *ST, places=7)
 
 
-def embedded(rows, key="sample_id", t="t", cols=PC):
-    curves = F.array(*(F.transform(F.array_sort(F.collect_list(F.struct(t, F.col(c).cast("double").alias("v")))), lambda x: x["v"]) for c in cols))
-    stats = X.pooled(rows, cols, key, t).join(rows.groupBy(key).agg(curves.alias("curves")), key)
-    return E.encode(stats, key, [f"{c}_{s}" for c in cols for s in ("mean", "std", "min", "max", "last", "slope")], "curves")
+FIVE = ("open", "high", "low", "close", "volume")
 
 
-@query(with_("win") + "SELECT sample_id, 114 AS dims, CASE WHEN max(open) > min(open) OR max(close) > min(close) OR max(volume) > min(volume) THEN 1.0 ELSE 0.0 END AS length FROM win GROUP BY 1")
+@query(with_("win") + "SELECT sample_id, 128 AS dims, CASE WHEN max(open) > min(open) OR max(high) > min(high) OR max(low) > min(low) OR max(close) > min(close) OR max(volume) > min(volume) THEN 1.0 ELSE 0.0 END AS length FROM win GROUP BY 1")
 def pooled_embedding(spark, sf):
-    """The whole pooled embedding (18 statistics and 96 places of curves: fewer than the 128 dimensions that a longer one is
-    projected to), of length 1; 0 for a window in which nothing varies."""
-    return embedded(N.zscore(win(spark, sf))).select("sample_id", F.size("embedding").alias("dims"), rounded(E.dot("embedding", "embedding"), 4).alias("length"))
+    """The whole pooled embedding of five columns (30 statistics and 160 places of curves, projected to 128 dimensions), of
+    length 1; 0 for a window in which nothing varies. Its values are held against numpy in a test."""
+    return J.embedded_windows(win(spark, sf)).select("sample_id", F.size("embedding").alias("dims"), rounded(E.dot("embedding", "embedding"), 4).alias("length"))
 
 
 @query(with_("win") + "SELECT sample_id, round(avg(open), 6) + 0.0 AS e0, round(avg(close), 6) + 0.0 AS e1, round(avg(volume), 6) + 0.0 AS e2, bool_or(open IS NOT NULL) AS any_bar FROM win GROUP BY 1")
@@ -248,18 +250,6 @@ def knn_cosine(spark, sf):
     return E.nearest(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 10).select("query", "vec_id", "rank")
 
 
-@query("WITH " + VEC + " SELECT query, vec_id, round(cosine, 5) + 0.0 AS cosine FROM cp")
-def cosine_pairs_stated(spark, sf):
-    """cosine_pairs under its earlier name."""
-    return cosine_pairs(spark, sf)
-
-
-@query("WITH " + VEC + " SELECT query, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, vec_id) AS rank FROM cp WHERE query <> vec_id) WHERE rank <= 10")
-def knn_cosine_stated(spark, sf):
-    """knn_cosine under its earlier name."""
-    return knn_cosine(spark, sf)
-
-
 GRID = ((16, 32), (25, 50))
 
 
@@ -269,7 +259,7 @@ def index_rows(spark, sf, sizes=GRID[0], strides=GRID[1]):
     for stride in strides:
         rows = slide_rows(spark, sf, sizes, stride).withColumnRenamed("window_id", "sample_id").withColumnRenamed("pos", "t")
         rows = N.zscore(N.returns_relative(rows).select("sample_id", "t", *PC), PC)
-        parts.append(W.sliding(S.bars(spark, sf), sizes, stride).join(embedded(rows).withColumnRenamed("sample_id", "window_id"), "window_id"))
+        parts.append(W.sliding(S.bars(spark, sf), sizes, stride).join(E.window_embeddings(rows, "sample_id", "t", PC, dims=256).withColumnRenamed("sample_id", "window_id"), "window_id"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -283,44 +273,109 @@ SLIDES = ",\n".join(SLIDE.replace("idx AS", f"idx{k} AS").replace("FROM idx a",
 EVERY_WINDOW = " UNION ALL ".join(f"SELECT * FROM sid{k}" for k in GRID[1])
 
 
-@query(with_("bars", more=SLIDES) + f"SELECT window_id, ticker, strftime(end_date, '%Y-%m') AS end_year_month, window_size, stride, 114 AS dims, 1.0 AS length FROM ({EVERY_WINDOW})")
+# The first place of an embedding is the mean of the first column over the length of the whole vector; ratios of statistics
+# don't depend on that length, so they show that each window got its own values.
+def _stats_sql(k):
+    x = f"""SELECT s.window_id, s.ticker, s.end_date, s.end_year_month, s.window_size, s.stride, i.i - start_idx AS t, open, close, ln(1 + volume::DOUBLE) AS v, lag(close) OVER (PARTITION BY s.window_id ORDER BY i.i) AS pc FROM sid{k} s JOIN idx{k} i ON i.ticker = s.ticker AND i.i BETWEEN start_idx AND end_idx"""
+    return f"""SELECT window_id, ticker, end_date, end_year_month, window_size, stride, round(max(zo) / nullif(max(zc), 0), 3) + 0.0 AS max_open_over_close, round(min(zo) / nullif(max(zv), 0), 3) + 0.0 AS min_open_over_volume FROM (SELECT *, (ro - avg(ro) OVER w) / CASE WHEN coalesce(stddev_pop(ro) OVER w, 0) = 0 THEN 1 ELSE stddev_pop(ro) OVER w END AS zo,
+(rc - avg(rc) OVER w) / CASE WHEN coalesce(stddev_pop(rc) OVER w, 0) = 0 THEN 1 ELSE stddev_pop(rc) OVER w END AS zc, (v - avg(v) OVER w) / CASE WHEN coalesce(stddev_pop(v) OVER w, 0) = 0 THEN 1 ELSE stddev_pop(v) OVER w END AS zv
+FROM (SELECT *, open / nullif(pc, 0) - 1 AS ro, close / nullif(pc, 0) - 1 AS rc FROM ({x})) WINDOW w AS (PARTITION BY window_id)) GROUP BY ALL"""
+
+
+INDEX_STATS = " UNION ALL ".join(f"({_stats_sql(k)})" for k in GRID[1])
+MAX_OPEN, MIN_OPEN, MAX_CLOSE, MAX_VOLUME = 3, 2, 9, 15  # places of statistics: 6 of a column, in the order of STATISTICS
+
+
+def index_values():
+    at = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    share = lambda a, b: rounded(F.when(F.abs(at(b)) > 1e-12, at(a) / at(b)), 3)
+    return share(MAX_OPEN, MAX_CLOSE).alias("max_open_over_close"), share(MIN_OPEN, MAX_VOLUME).alias("min_open_over_volume")
+
+
+@query(with_("bars", more=SLIDES) + f"SELECT window_id, ticker, end_year_month, window_size, stride, max_open_over_close, min_open_over_volume FROM ({INDEX_STATS})")
 def embed_index(spark, sf):
     """The index of embedded windows over the grid of lengths and strides, written in folders by length, ticker bucket and
     month of the end, and read again."""
-    return stored_index(spark, sf).select("window_id", "ticker", "end_year_month", "window_size", "stride", F.size("embedding").alias("dims"), rounded(E.dot("embedding", "embedding"), 4).alias("length"))
+    return stored_index(spark, sf).select("window_id", "ticker", "end_year_month", "window_size", "stride", *index_values())
 
 
-@query(with_("bars", more=SLIDES) + f"SELECT window_id, ticker, end_date, 114 AS dims FROM ({EVERY_WINDOW}) WHERE window_size = 16 AND stride = 50")
+@query(with_("bars", more=SLIDES) + f"SELECT window_id, ticker, end_date, max_open_over_close, min_open_over_volume FROM ({INDEX_STATS}) WHERE window_size = 16 AND stride = 50")
 def embed_lookup(spark, sf):
     """Stored index rows of example windows: those of the first length and the last stride, found by their keys."""
     examples = W.sliding(S.bars(spark, sf), (16,), 50).select("ticker", "end_date", "window_size", "stride", "start_idx", "end_year_month")
-    return E.lookup(stored_index(spark, sf), examples).select("window_id", "ticker", "end_date", F.size("embedding").alias("dims"))
+    return E.lookup(stored_index(spark, sf), examples).select("window_id", "ticker", "end_date", *index_values())
+
+
+@query()
+def knn_index(spark, sf):
+    """The ten nearest rows of every hundredth id, found in a few cells of a stored index: as many as hold 95 % of the
+    neighbours of a sample of other rows (ids that leave 50 when divided by 200)."""
+    e = S.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    index = V.build_index(e, shared_dir(spark) + "/vectors", "vec_id", "embedding")
+    probes = V.probes_for(index, e.where("vec_id % 200 = 50"), 10, 0.95)
+    return V.search(index, e.where("vec_id % 100 = 0"), 10, probes=probes).select("query", "vec_id", "rank")
+
+
+@query("SELECT count(*) AS n_queries, TRUE AS found_nine_tenths FROM embeddings WHERE vec_id % 100 = 0")
+def knn_index_recall(spark, sf):
+    """Whether the index found at least nine tenths of the exact ten nearest rows of every hundredth id."""
+    e = S.table(spark, sf, "embeddings")
+    found = written(knn_index(spark, sf))
+    share = V.recall(found, E.nearest(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 10), "vec_id")
+    return e.where("vec_id % 100 = 0").agg(F.count("*").alias("n_queries")).withColumn("found_nine_tenths", F.lit(share >= 0.9))
 
 
 # ------------------------------------------------------------------ models
 
-FEATS = ["gap_pct", "atr_short", "return_log_20", "dist_ma20_z", "volume_shock_20"]
+REFITS = tuple(f"{y}-01-01" for y in range(1993, 1999))  # the regime model is fitted anew each year on all bars before
+
+
+def regime_rows(bar):
+    return M.regimes(bar, cutoffs=list(REFITS))
 
 
 def training(spark, sf):
-    """Tabular features with labels, split by time: the last fifth tests, the fifth before validates."""
+    """All 57 features with labels, split by time: the last fifth tests, the fifth before validates."""
+    bar, samp, sess = base(spark, sf)
+    return J.training_table(samp, sess, bar, regime=regime_rows(bar))
+
+
+def _trained(spark, sf, kind):
+    rows, names = training(spark, sf)
+    return rows, T.train(rows, names, kind=kind)
+
+
+@query()
+def features_57(spark, sf):
+    """All features of each sample: 56 of its window, and the regime probability of the bar before."""
     bar, samp, sess = base(spark, sf)
-    x = X.tabular(W.windowed(samp, sess, bar, 60), folds=False)
-    cuts = samp.agg(F.percentile_approx(F.unix_date("asof_date"), [0.6, 0.8]).alias("q"))
-    rows = x.join(samp.select("sample_id", F.col("label").cast("double").alias("y"), "asof_date"), "sample_id").crossJoin(F.broadcast(cuts))
-    day = F.unix_date("asof_date")
-    rows = rows.withColumn("split", F.when(day <= F.get("q", F.lit(0)), "train").when(day <= F.get("q", F.lit(1)), "val").otherwise("test")).withColumn("is_val", F.col("split") == "val").drop("q")
-    return M.balanced(M.prepared(written(rows), FEATS))  # medians, fit and scores read it
+    rows, names = J.feature_table(samp, sess, bar, regime=regime_rows(bar))
+    return with_rounded(rows, *names)
 
 
 @query()
 def logreg_scores(spark, sf):
-    return with_rounded(M.logistic(training(spark, sf)).select("sample_id", "split", "y", "score"), "score", places=4)
+    """Calibrated logistic regression on all features."""
+    rows, model = _trained(spark, sf, "logistic")
+    return with_rounded(T.scored(model, rows, ["sample_id", "split", "y"]), "score", "calibrated", places=4)
 
 
 @query()
 def gbt_scores(spark, sf):
-    return with_rounded(M.boosted(training(spark, sf)).select("sample_id", "split", "y", "score"), "score", places=4)
+    """Calibrated boosted trees on all features."""
+    rows, model = _trained(spark, sf, "boosted")
+    return with_rounded(T.scored(model, rows, ["sample_id", "split", "y"]), "score", "calibrated", places=4)
+
+
+@query()
+def scan_model(spark, sf):
+    """Every ticker at the latest session, scored by a model that was trained, stored and read again, the highest first."""
+    bar, samp, sess = base(spark, sf)
+    regime = regime_rows(bar)
+    rows, names = J.training_table(samp, sess, bar, regime=regime)
+    path = shared_dir(spark) + "/model"
+    T.train(rows, names).write().save(path)
+    return with_rounded(J.scan(bar.select("ticker"), sess, bar, T.load(path), regime=regime), "score", "calibrated", places=4)
 
 
 FIT_ROWS = "pmod(xxhash64(sample_id), 2) = 0"
@@ -349,29 +404,40 @@ def temperature_fit(spark, sf):
 
 @query()
 def head_scores(spark, sf):
-    """A head on the given embeddings with soft labels."""
-    e = S.table(spark, sf, "embeddings").select("vec_id", F.col("label"), F.transform("embedding", lambda x: x.cast("double")).alias("a"))
+    """A head on the given embeddings with soft labels, fitted on one half of the rows and used on all."""
+    e = S.table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
     p = F.when(F.col("label") % 2 == 0, 0.8).otherwise(0.1)
-    d = e.select(F.size("a").alias("d")).first().d
-    vec = VectorAssembler(inputCols=[f"e{i}" for i in range(d)], outputCol="features").transform(e.select("vec_id", p.alias("p"), *(F.get("a", F.lit(i)).alias(f"e{i}") for i in range(d))))
-    soft = M.soft_rows(vec.select("vec_id", "p", "features"), "p")
-    return with_rounded(M.logistic(soft, train="true").groupBy("vec_id").agg(F.first("score").alias("score")), "score", places=4)
+    head = T.train_head(e.withColumn("p", p).where("pmod(xxhash64(vec_id), 2) = 0"))
+    return with_rounded(head.transform(e).select("vec_id", "score"), "score", places=4)
+
+
+CANDW = """cq AS (SELECT DISTINCT ticker, asof_date, setup, cand_length, cand_end_offset FROM (SELECT ticker, asof_date, setup, cand_length, cand_end_offset FROM (%s))),
+cw AS (SELECT substr(sha1(upper(cq.ticker) || '|' || CAST(asof_date AS VARCHAR) || '|' || setup), 1, 16) AS sample_id, d.session_no - (a.session_no - 99) AS t, 99 - cand_end_offset AS e, cand_length, b.open, CASE WHEN d.date <> asof_date THEN b.close END AS close
+  FROM cq JOIN sess a ON a.date = asof_date JOIN sess d ON d.session_no BETWEEN a.session_no - 99 AND a.session_no LEFT JOIN bars b ON b.ticker = cq.ticker AND b.date = d.date WHERE a.session_no >= 99)"""
+
+
+@query(with_("last", "sess", more=CIND + ",\n" + CFLAG + ",\n" + CANDW % EVERY_SQL) + "SELECT sample_id, count(*) AS n, count(close) AS valid, count(*) FILTER (t BETWEEN e - cand_length + 1 AND e) AS n_inside, round(sum(open * (t + 1)) FILTER (t BETWEEN e - cand_length + 1 AND e), 3) + 0.0 AS weighted FROM cw GROUP BY 1")
+def candidate_windows(spark, sf):
+    """Windows of the latest candidates: their rows, valid ones, and those of the candidate itself."""
+    bar = written(S.bars(spark, sf))
+    _, rows = J.candidate_windows(C.every(B.last_n(bar)), S.sessions(bar), bar, 100)
+    inside = F.when(F.col("inside"), F.col("open") * (F.col("t") + 1))
+    return rows.groupBy("sample_id").agg(F.count("*").alias("n"), F.count("close").alias("valid"), F.count_if("inside").alias("n_inside"), rounded(F.sum(inside), 3).alias("weighted"))
 
 
 @query()
 def rerank_latest(spark, sf):
-    """Latest candidates, scored by a model on their windows' z-scores and lengths, the highest first."""
-    cands = C.every(B.last_n(S.bars(spark, sf)))
-    rows = cands.select("ticker", "setup", "cand_t_end", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("cand_z", "cand_gap_pct", "cand_depth_atr")), F.col("cand_length").cast("double").alias("cand_length"))
-    rows = rows.withColumn("y", (F.abs("cand_z") > 2).cast("double")).withColumn("weight", F.lit(1.0))
-    vec = M.prepared(written(rows), ["cand_gap_pct", "cand_depth_atr", "cand_length"], train="true")
-    scored = M.logistic(vec, train="true").select("ticker", "setup", "cand_t_end", "score")
-    return with_rounded(scored.orderBy(F.desc("score"), "ticker", "setup").limit(200), "score", places=4)
+    """Latest candidates, scored by a head that was fitted on the embedded windows of labelled samples, the highest 200."""
+    bar, samp, sess = base(spark, sf)
+    head = J.reranker(samp, sess, bar, size=100)
+    out = J.rerank(C.every(B.last_n(bar)), sess, bar, head, size=100)
+    return with_rounded(out.where(F.col("rank") <= 200).select("sample_id", "ticker", "setup", "cand_t_end", "score", "rank"), "score", places=4)
 
 
 @query()
 def regime_hmm(spark, sf):
-    return with_rounded(M.regimes(S.bars(spark, sf)), "p_trend", places=4)
+    """Regime probabilities with yearly refits, which know no bar from their own year on."""
+    return with_rounded(regime_rows(S.bars(spark, sf)), "p_trend", places=4)
 
 
 # ------------------------------------------------------------------ run tables, stream
@@ -386,12 +452,6 @@ def run_index(spark, sf):
     return runs_of(S.table(spark, sf, "events"))
 
 
-@query(RUNS)
-def run_index_all(spark, sf):
-    """run_index under its earlier name."""
-    return run_index(spark, sf)
-
-
 RUN_DAYS = "rd AS (SELECT 'model' || (user_id % 2) AS model, event_type AS setup, strftime(ts, '%Y%m%d') AS run, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2, 3)"
 
 
@@ -413,7 +473,7 @@ def run_folders(spark, sf):
     return idx.select("model", "setup", "run", pick(".n").alias("n"), pick(".seen.users").alias("users"))
 
 
-@query(f"WITH {RUN_DAYS} " + """SELECT model, setup, run, sha1('{"n":' || n || ',"seen":{"users":' || users || '}}' || chr(10)) AS digest FROM rd""")
+@query(f"WITH {RUN_DAYS} " + """SELECT model, setup, run, sha256('{"n":' || n || ',"seen":{"users":' || users || '}}' || chr(10)) AS digest FROM rd""")
 def file_digests(spark, sf):
     """Digests of the bytes of run files."""
     d = R.digests(spark, run_files(spark, sf), "*.txt")
@@ -449,12 +509,6 @@ def bars_upsert_stream(spark, sf):
     return streamed(spark, S.bars(spark, sf))
 
 
-@query(STREAM)
-def bars_upsert_stream_all(spark, sf):
-    """bars_upsert_stream under its earlier name."""
-    return bars_upsert_stream(spark, sf)
-
-
 def streamed(spark, bar):
     base_dir = shared_dir(spark)
     bar = bar.select("ticker", "date", "close", "volume", F.lit("2000-01-01").cast("timestamp").alias("asof_ts"))
@@ -465,3 +519,25 @@ def streamed(spark, bar):
             rows.write.mode("append").parquet(f"{base_dir}/drops")
         start_stream(spark, f"{base_dir}/drops", bar.schema, f"{base_dir}/table", f"{base_dir}/state").awaitTermination()
     return with_rounded(spark.read.schema(bar.schema).parquet(f"{base_dir}/table").select("ticker", "date", "close", "volume"), "close")
+
+
+@query(with_("last") + f"SELECT ticker, date, {rs('close', 'ret_1d', 'ret_5d', 'ret_21d', 'vol_avg_20', 'dollar_vol_avg_20', 'range_pct', places=4)}, rn FROM last")
+def last_bars_stream(spark, sf):
+    """The last 100 bars and their features, kept up by a stream over three drops in no order, the last with corrections."""
+    base_dir = shared_dir(spark)
+    bar = S.bars(spark, sf).withColumn("asof_ts", F.lit("2000-01-02").cast("timestamp"))
+    part = F.pmod(F.xxhash64("ticker", "date"), F.lit(3))
+    wrong = bar.where(part == 1).withColumn("close", F.col("close") * 2).withColumn("asof_ts", F.lit("2000-01-01").cast("timestamp"))
+    for rows in (bar.where(part == 0), wrong, bar.where(part > 0)):
+        rows.write.mode("append").parquet(f"{base_dir}/drops")
+        latest.last_bars_stream(spark, f"{base_dir}/drops", f"{base_dir}/table", f"{base_dir}/state").awaitTermination()
+    names = ("close", "ret_1d", "ret_5d", "ret_21d", "vol_avg_20", "dollar_vol_avg_20", "range_pct")
+    return with_rounded(latest.read_last(spark, f"{base_dir}/table").select("ticker", "date", *names, "rn"), *names, places=4)
+
+
+@query((with_("bars") + """, x AS (SELECT ticker, date, close, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i FROM bars), e AS (SELECT ticker, i, close AS y FROM x WHERE i = 1 UNION ALL SELECT x.ticker, x.i, 2.0::DOUBLE / 21 * close + (1 - 2.0::DOUBLE / 21) * y FROM e JOIN x ON x.ticker = e.ticker AND x.i = e.i + 1)
+SELECT ticker, date, round(y, 6) + 0.0 AS ema_20 FROM e JOIN x USING (ticker, i)""").replace("WITH ", "WITH RECURSIVE ", 1))
+def ema_history(spark, sf):
+    """Exponential means over whole histories, each line cut to chunks."""
+    df = ema_scan(S.bars(spark, sf).select("ticker", "date", "close"), ["ticker"], "date", "close", 20, out="ema_20")
+    return df.select("ticker", "date", rounded("ema_20").alias("ema_20"))

@@ -12,7 +12,7 @@ from ..operators import normalize as N
 from ..operators import windows as W
 from ..sources import runs as R
 from ..sources import tables as S
-from ..sources.shared import shared_dir
+from ..sources.shared import shared_dir, written
 from .market import PX, with_rounded
 from .registry import query
 from .sql import r, rs, with_
@@ -21,7 +21,8 @@ T = 20
 
 
 def base(spark, sf):
-    bar = S.bars(spark, sf)
+    """Bars, written once since samples, sessions and windows read them each, samples and sessions."""
+    bar = written(S.bars(spark, sf))
     return bar, S.samples(bar), S.sessions(bar)
 
 
@@ -87,6 +88,36 @@ def dq_violations(spark, sf):
     return L.violations(lab, rules, ["ticker", "asof_date", "o_orderkey"])
 
 
+CLEAN = """clean AS (SELECT ' ' || lower(o_orderpriority) || ' ' AS ticker, CAST(o_orderdate AS DATE) AS d, o_orderstatus AS setup, o_orderkey % 5 IN (0, 2, 4) AS label, o_orderkey % 2 = 0 AS is_gap, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_custkey END AS weight, o_orderkey FROM orders)"""
+
+
+def clean_labels(spark, sf):
+    """Labels as text, all of which can be read."""
+    raw = raw_labels(spark, sf).select("setup", "is_gap", "seq", "o_orderkey")
+    o = S.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")
+    k = F.col("o_orderkey")
+    words = F.element_at(F.array(*(F.lit(x) for x in ("Yes", "no", "TRUE", "0", " t "))), (k % 5 + 1).cast("int"))
+    rows = raw.join(o, "o_orderkey")
+    return rows.select(F.concat(F.lit(" "), F.lower("o_orderpriority"), F.lit(" ")).alias("ticker"), F.col("o_orderdate").cast("date").cast("string").alias("date"), "setup", words.alias("label"), "is_gap", F.when(k % 4 == 0, "n/a").otherwise(F.col("seq").cast("string")).alias("weight"), "o_orderkey")
+
+
+@query(with_("sess", more=CLEAN + """, at AS (SELECT upper(trim(ticker)) AS ticker, (SELECT min(date) FROM sess WHERE date BETWEEN d AND d + 10) AS asof_date, setup, label, is_gap, weight, o_orderkey FROM clean)""") + """SELECT substr(sha1(ticker || '|' || CAST(asof_date AS VARCHAR) || '|' || setup), 1, 16) AS sample_id, asof_date, label, is_gap, CAST(weight AS DOUBLE) AS weight FROM at QUALIFY row_number() OVER (PARTITION BY ticker, asof_date, setup ORDER BY o_orderkey) = 1""")
+def labels_load(spark, sf):
+    """Labels loaded as one job: dates become the next session, of repeated keys the first row stays."""
+    sess = S.sessions(written(S.bars(spark, sf)))
+    return L.load(clean_labels(spark, sf), sess, resolve="next", dedupe="keep_first", order="o_orderkey").select("sample_id", "asof_date", "label", "is_gap", "weight")
+
+
+@query(with_("sess") + "," + RAW + """, hit AS (SELECT 'duplicate_key' AS rule, 1 AS n, ticker || '|' || coalesce(CAST(asof_date AS VARCHAR), '') || '|' || setup AS example FROM lab GROUP BY ticker, asof_date, setup HAVING count(*) > 1
+UNION ALL SELECT 'not_a_session', count(*), coalesce(CAST(asof_date AS VARCHAR), '') FROM lab WHERE asof_date IS NULL OR asof_date NOT IN (SELECT date FROM sess) GROUP BY asof_date
+UNION ALL SELECT 'wrong_row_count', 1, ticker FROM lab GROUP BY ticker HAVING count(*) <> 100)
+SELECT rule, CAST(n AS BIGINT) AS n, example, rn FROM (SELECT rule, example, sum(n) OVER (PARTITION BY rule) AS n, row_number() OVER (PARTITION BY rule ORDER BY example) AS rn FROM hit) WHERE rn <= 10""")
+def dq_keyed(spark, sf):
+    """Repeated keys, dates that are no sessions, and tickers that haven't a hundred rows."""
+    lab = L.normalized(raw_labels(spark, sf))
+    return L.keyed_violations(lab, unique=["ticker", "asof_date", "setup"], date="asof_date", sessions=S.sessions(S.bars(spark, sf)), rows_of="ticker", n_rows=100)
+
+
 def _dedupe_sql(order):
     return "WITH " + RAW + f" SELECT ticker, asof_date, setup, label, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY ticker, asof_date, setup ORDER BY o_orderkey {order}) AS k FROM lab) WHERE k = 1"
 
@@ -203,10 +234,34 @@ def warm_counts(spark, sf):
     return per.groupBy("setup").agg(F.count("*").alias("samples"), F.sum("n").alias("time_steps")).withColumn("score", F.lit(0.0))
 
 
-@query(with_("bars", "sess") + "SELECT ticker, date FROM (SELECT ticker, date FROM (SELECT DISTINCT ticker FROM bars) CROSS JOIN sess ORDER BY sha1('11|' || ticker || '|' || CAST(date AS VARCHAR)) LIMIT 500)")
+def _round(k, of):
+    return f"SELECT *, r{k} AS l{k + 1}, xor(l{k}, CAST('0x' || substr(sha1('11|{k}|' || r{k}), 1, 8) AS BIGINT) & (h - 1)) AS r{k + 1} FROM ({of})"
+
+
+FEISTEL = "SELECT i, n, s, h, i // h AS l0, i % h AS r0 FROM dom, (SELECT unnest(range(0, (SELECT CAST(h * h AS BIGINT) FROM dom))) AS i) x"
+for _k in range(4):
+    FEISTEL = _round(_k, FEISTEL)
+PAIRS = f"""tk AS (SELECT ticker, row_number() OVER (ORDER BY sha1(ticker)) - 1 AS t FROM (SELECT DISTINCT ticker FROM bars)), dom AS (SELECT n, s, CAST(1 << ((length(bin(n - 1)) + 1) // 2) AS BIGINT) AS h FROM (SELECT (SELECT count(*) FROM tk) * (SELECT count(*) FROM sess) AS n, (SELECT count(*) FROM sess) AS s)),
+pk AS (SELECT p // s AS t, p % s AS d FROM (SELECT i, n, s, l4 * h + r4 AS p FROM ({FEISTEL})) WHERE p < n ORDER BY i LIMIT 500), pairs AS (SELECT ticker, date FROM pk JOIN tk ON tk.t = pk.t JOIN sess ON session_no = d)"""
+
+
+@query(with_("bars", "sess", more=PAIRS) + "SELECT ticker, date FROM pairs")
 def sample_pairs(spark, sf):
     bar, _, sess = base(spark, sf)
-    return W.sampled_pairs(bar, sess, 500, 11).select("ticker", "date")
+    return W.sampled_pairs(bar, sess, 500, 11)
+
+
+def _digit_sum(k):
+    return f"CAST(sum(CAST('0x' || substr(sha1(ticker || '|' || CAST(date AS VARCHAR)), {k}, 15) AS HUGEINT)) AS VARCHAR)"
+
+
+@query(with_("bars", "sess", more=PAIRS) + f"SELECT count(*) AS n, sha1(count(*) || '|' || {_digit_sum(1)} || '|' || {_digit_sum(16)}) AS digest FROM pairs")
+def sample_fingerprint(spark, sf):
+    """The fingerprint that is stored with sampled pairs."""
+    bar, _, sess = base(spark, sf)
+    path = shared_dir(spark) + "/pairs.parquet"
+    W.write_sample(W.sampled_pairs(bar, sess, 500, 11), path)
+    return spark.read.schema("n bigint, digest string").json(f"{path}.meta.json")
 
 
 SLIDE = """idx AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS i FROM bars),
@@ -222,10 +277,7 @@ def sliding_windows(spark, sf):
 def slide_rows(spark, sf, sizes=(16,), stride=50):
     """Rows of sliding windows: (window_id, pos, values)."""
     bar = S.bars(spark, sf)
-    w = W.Window.partitionBy("ticker").orderBy("date")
-    idx = bar.withColumn("idx", F.row_number().over(w) - 1)
-    wins = W.sliding(bar, sizes, stride).select("window_id", "ticker", "window_size", F.explode(F.sequence("start_idx", "end_idx")).alias("idx"), "start_idx")
-    return wins.join(idx, ["ticker", "idx"]).withColumn("pos", F.col("idx") - F.col("start_idx"))
+    return W.window_rows(bar, W.sliding(bar, sizes, stride))
 
 
 @query(with_("bars", more=SLIDE) + """SELECT window_id, x.i - start_idx AS pos, round(x.open, 6) + 0.0 AS open, CASE WHEN x.i < end_idx THEN round(x.close, 6) + 0.0 END AS close FROM sid JOIN idx x ON x.ticker = sid.ticker AND x.i BETWEEN start_idx AND end_idx WHERE window_size = 16""")
@@ -270,7 +322,11 @@ def global_zscore_fit(spark, sf):
     return with_rounded(N.fit_global(win(spark, sf)), *FITS, places=4)
 
 
-@query(with_("win", more=FIT).replace("win AS (", "win AS MATERIALIZED (").replace("fit AS (", "fit AS MATERIALIZED (") + "SELECT sample_id, t, " + ", ".join(f"round(({c} - mean_{c}) / std_{c}, 4) + 0.0 AS {c}" for c in NC) + " FROM win CROSS JOIN fit")
+def _over_all(c):
+    return f"round(({c} - avg({c}::DOUBLE) OVER ()) / sqrt(greatest(avg({c}::DOUBLE * {c}) OVER () - avg({c}::DOUBLE) OVER () * avg({c}::DOUBLE) OVER (), 1e-12)), 4) + 0.0 AS {c}"
+
+
+@query(with_("win") + f"SELECT sample_id, t, {', '.join(map(_over_all, NC))} FROM win")
 def norm_global(spark, sf):
     rows = win(spark, sf)
     return with_rounded(N.apply_global(rows, N.fit_global(rows)).select("sample_id", "t", *NC), *NC, places=4)

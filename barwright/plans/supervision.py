@@ -8,10 +8,12 @@ import json
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio, rounded
+from ..operators import bars as B
 from ..operators import labels as L
 from ..operators import metrics as M
 from ..operators import weak as K
 from ..operators import windows as W
+from ..operators.asof import asof_join
 from ..sources import runs as R
 from ..sources import tables as S
 from ..sources.shared import shared_dir
@@ -268,12 +270,17 @@ def weights_clean(spark, sf):
 @query(with_("bars", "samp") + """, ob AS (SELECT ticker, date, 1 / (1 + exp(-((high - low) / nullif(close, 0)))) AS p FROM bars WHERE day(date) % 5 = 0)
 SELECT s.sample_id, round(p, 6) + 0.0 AS p_regime FROM samp s ASOF LEFT JOIN ob ON ob.ticker = s.ticker AND s.asof_date > ob.date""")
 def asof_regime(spark, sf):
-    """The last observation strictly before each sample: one ordered line a ticker, probes before equal dates."""
-    from pyspark.sql import Window
+    """The last observation strictly before each sample."""
+    bar, samp, _ = base(spark, sf)
+    obs = bar.where(F.dayofmonth("date") % 5 == 0).select("ticker", "date", (1 / (1 + F.exp(-ratio(F.col("high") - F.col("low"), "close")))).alias("p_regime"))
+    return asof_join(samp.select("sample_id", "ticker", "asof_date"), obs, ["ticker"], "asof_date", "date", ["p_regime"]).select("sample_id", rounded("p_regime").alias("p_regime"))
+
 
+@query(with_("samp", "feat") + """SELECT sample_id, f.date, round(range_pct, 6) + 0.0 AS range_pct FROM samp s LEFT JOIN (SELECT * FROM feat WHERE day(date) % 5 = 0) f ON f.ticker = s.ticker AND f.date >= s.asof_date AND f.date <= s.asof_date + 3
+QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY f.date) = 1""")
+def asof_forward(spark, sf):
+    """The next observation at or after each sample, three days away at most."""
     bar, samp, _ = base(spark, sf)
-    obs = bar.where(F.dayofmonth("date") % 5 == 0).select("ticker", "date", (1 / (1 + F.exp(-ratio(F.col("high") - F.col("low"), "close")))).alias("p"), F.lit(None).cast("string").alias("sample_id"), F.lit(1).alias("side"))
-    probes = samp.select("ticker", F.col("asof_date").alias("date"), F.lit(None).cast("double").alias("p"), "sample_id", F.lit(0).alias("side"))
-    w = Window.partitionBy("ticker").orderBy("date", "side").rowsBetween(Window.unboundedPreceding, -1)
-    rows = obs.unionByName(probes).withColumn("p_regime", F.last("p", ignorenulls=True).over(w))
-    return rows.where("side = 0").select("sample_id", rounded("p_regime").alias("p_regime"))
+    obs = B.features(bar).where(F.dayofmonth("date") % 5 == 0).select("ticker", "date", "range_pct")
+    out = asof_join(samp.select("sample_id", "ticker", "asof_date"), obs, ["ticker"], "asof_date", "date", ["date", "range_pct"], strict=False, forward=True, tolerance=3)
+    return out.select("sample_id", "date", rounded("range_pct").alias("range_pct"))

@@ -40,9 +40,9 @@ def read_runs(spark, path: str, files: str = "*.json") -> DataFrame:
 
 
 def digests(spark, path: str, files: str = "*") -> DataFrame:
-    """(path, length, digest): SHA-1 of the bytes of each file below `path` whose name matches."""
+    """(path, length, digest): SHA-256 of the bytes of each file below `path` whose name matches."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", files).load(path)
-    return found.select("path", "length", F.sha1("content").alias("digest"))
+    return found.select("path", "length", F.sha2("content", 256).alias("digest"))
 
 
 def write_table(df: DataFrame, path: str) -> None:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clean_key, sample_key
+from ..functions.scalars import clean_key, exchange_of, no_nan, sample_key
 
 BAR_SCHEMA = "ticker string, date date, open double, high double, low double, close double, volume bigint, adj_close double, source string, asof_ts timestamp"
 
@@ -87,11 +89,27 @@ def bars_from_json(payloads: DataFrame) -> DataFrame:
     return last_of(rows, ["ticker", "date"], "pos").drop("pos")
 
 
-def bars_from_csv(lines: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Bars of vendor lines(ticker, value: `Date,Open,High,Low,Close,Volume`, pos): headers and lines that don't parse go, the
-    span [start, end] is inclusive, the last of each (ticker, date) stays."""
-    r = lines.select("ticker", "pos", F.from_csv("value", "Date string, Open string, High string, Low string, Close string, Volume string", {"mode": "PERMISSIVE"}).alias("r"))
-    num = lambda c: F.col(f"r.{c}").try_cast("double")
+#: Fixed value: the first line of a vendor's answer with bars.
+CSV_HEADER = "Date,Open,High,Low,Close,Volume"
+#: What a vendor's answer without bars says.
+NO_DATA = ("no data", "brak danych")
+
+
+def bars_from_csv(answers: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Bars of vendor answers(ticker, value: the whole text), whose first line must be CSV_HEADER. A null or blank answer and
+    one that says that there is no data give no rows; any other first line fails the job with the answer's start.
+
+    Lines without a date or close go, other values that aren't numbers are NULL, a missing volume is 0, the span [start,
+    end] is inclusive, the last line of each (ticker, date) stays.
+    """
+    lines = F.split(F.btrim(F.regexp_replace(F.coalesce("value", F.lit("")), "\r", ""), F.lit(" \n\t")), "\n")
+    first = F.trim(F.get(lines, F.lit(0)))
+    nothing = (first == "") | F.lower(first).rlike("|".join(NO_DATA))
+    odd = F.raise_error(F.concat(F.lit("an answer isn't bars: "), F.coalesce("ticker", F.lit("?")), F.lit(": "), F.substring("value", 1, 200)))
+    rest = F.when(first == CSV_HEADER, F.slice(lines, F.lit(2), F.size(lines))).when(nothing, F.array().cast("array<string>")).otherwise(odd.cast("array<string>"))
+    r = answers.select("ticker", F.posexplode(rest).alias("pos", "line"))
+    r = r.select("ticker", "pos", F.from_csv("line", "Date string, Open string, High string, Low string, Close string, Volume string", {"mode": "PERMISSIVE"}).alias("r"))
+    num = lambda c: no_nan(F.col(f"r.{c}").try_cast("double"))
     rows = r.select(clean_key("ticker").alias("ticker"), F.try_to_date("r.Date", "yyyy-MM-dd").alias("date"), num("Open").alias("open"), num("High").alias("high"), num("Low").alias("low"), num("Close").alias("close"), F.coalesce(num("Volume"), F.lit(0.0)).cast("bigint").alias("volume"), "pos")
     rows = rows.where("date is not null and close is not null")
     if start:
@@ -101,12 +119,56 @@ def bars_from_csv(lines: DataFrame, start: str | None = None, end: str | None =
     return last_of(rows, ["ticker", "date"], "pos").drop("pos")
 
 
+@dataclass(frozen=True)
+class Listing:
+    """Names of a listing file's columns; `exchange` is a column of codes, `market` the exchange of a file without one."""
+
+    ticker: str
+    exchange: str | None
+    market: str | None
+    rank: int
+    name: str = "Security Name"
+    etf: str = "ETF"
+    test: str = "Test Issue"
+
+    def needed(self) -> list[str]:
+        return [c for c in (self.ticker, self.name, self.exchange, self.etf, self.test) if c]
+
+
+#: Layouts of the two listing files. A ticker of both is taken from the one of the lower rank.
+LISTINGS = (Listing("Symbol", None, "NASDAQ", 0), Listing("ACT Symbol", "Exchange", None, 1))
+
+
 def symbol_directory(lines: DataFrame) -> DataFrame:
-    """Listings of pipe-separated lines(value): symbol, name, exchange code, etf Y/N, test Y/N; the footer goes."""
-    part = F.split(F.regexp_replace("value", r"\|\s*$", ""), r"\|")
-    rows = lines.where(~F.col("value").startswith("File Creation Time:")).where(F.size(part) >= 5)
-    get = lambda i: F.trim(F.get(part, F.lit(i)))
-    return rows.select(F.upper(get(0)).alias("ticker"), get(1).alias("name"), get(2).alias("code"), (get(3) == "Y").alias("is_etf"), (get(4) == "Y").alias("is_test_issue")).where("ticker not in ('', 'SYMBOL')")
+    """(ticker, name, exchange, is_etf, is_test_issue, source_rank, file) of pipe-separated lines(file, value).
+
+    A file's header is its line with a field `Security Name`; it tells the layout (LISTINGS) and where each column is, so
+    columns may stand in any order and others between them. A file without a header, of no known layout or without a
+    column that its layout needs fails the job. Blank lines, the footer and rows without a ticker go.
+    """
+    part = F.transform(F.split(F.trim("value"), r"\|"), lambda x: F.trim(x))
+    rows = lines.where((F.trim("value") != "") & ~F.trim("value").startswith("File Creation Time:")).select("file", part.alias("part"))
+    is_header = F.array_contains("part", F.lit("Security Name"))
+    headers = rows.where(is_header).groupBy("file").agg(F.first("part").alias("header"))  # a row a file
+    rows = rows.where(~is_header).join(F.broadcast(headers), "file", "left")
+    has = lambda c: F.array_contains("header", F.lit(c))
+    stop = lambda what: F.raise_error(F.concat(F.col("file"), F.lit(what))).cast("int")
+    layout = F.when(F.col("header").isNull(), stop(": no header"))
+    for k, x in enumerate(LISTINGS):
+        whole = F.forall(F.array(*(F.lit(c) for c in x.needed())), lambda c: F.array_contains("header", c))
+        layout = layout.when(has(x.ticker), F.when(whole, F.lit(k)).otherwise(stop(f": one of {', '.join(x.needed())} is missing")))
+    rows = rows.withColumn("layout", layout.otherwise(stop(": no known layout")))
+    at = lambda c: F.get("part", (F.array_position("header", F.lit(c)) - 1).cast("int"))
+    by_layout = lambda of: F.coalesce(*(F.when(F.col("layout") == k, of(x)) for k, x in enumerate(LISTINGS)))
+    flag = lambda name: F.coalesce(by_layout(lambda x: F.upper(at(getattr(x, name))) == "Y"), F.lit(False))
+    exchange = by_layout(lambda x: exchange_of(at(x.exchange)) if x.exchange else F.lit(x.market))
+    out = rows.select(F.upper(by_layout(lambda x: at(x.ticker))).alias("ticker"), by_layout(lambda x: at(x.name)).alias("name"), exchange.alias("exchange"), flag("etf").alias("is_etf"), flag("test").alias("is_test_issue"), by_layout(lambda x: F.lit(x.rank)).alias("source_rank"), "file")
+    return out.where("ticker <> ''")
+
+
+def read_symbol_directory(spark: SparkSession, path: str) -> DataFrame:
+    """Listings of all files of a folder."""
+    return symbol_directory(spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), "value"))
 
 
 def last_of(df: DataFrame, keys: list[str], order: str) -> DataFrame:

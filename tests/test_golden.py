@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import math
 
 import pytest
@@ -50,12 +51,13 @@ def test_returns_count_rows(bar):
 
 
 def test_merge_keeps_the_new_row(spark):
+    """New rows win over old ones of their date whatever their times; among themselves the later one does."""
     kind = "ticker string, date date, close double, asof_ts timestamp"
-    t0, t1 = dt.datetime(2025, 1, 1), dt.datetime(2025, 1, 2)
-    old = spark.createDataFrame([("A", day(i), 10.0 + i, t1) for i in range(3)], kind)
-    new = spark.createDataFrame([("A", day(2), 99.0, t0), ("A", day(3), 13.0, t0)], kind)
-    got = {r.date: r.close for r in bars.merged(old, new).collect()}
-    assert len(got) == 4 and got[day(2)] == 99.0
+    early, late = dt.datetime(2032, 7, 1, 8), dt.datetime(2032, 7, 1, 19)
+    old = spark.createDataFrame([("WREN", day(40), 31.25, late), ("WREN", day(47), 30.5, early), ("TEAL", day(40), 8.75, early)], kind)
+    new = spark.createDataFrame([("WREN", day(40), 29.0, early), ("TEAL", day(61), 9.5, early), ("TEAL", day(61), 9.125, late)], kind)
+    got = {(r.ticker, r.date): r.close for r in bars.merged(old, new).collect()}
+    assert got == {("WREN", day(40)): 29.0, ("WREN", day(47)): 30.5, ("TEAL", day(40)): 8.75, ("TEAL", day(61)): 9.125}
 
 
 def sessions_of(spark, n):
@@ -84,10 +86,25 @@ def test_dense_wants_whole_windows(spark, bar):
 
 
 def test_ingest_order(spark):
-    cal = sessions_of(spark, 10)
-    have = spark.createDataFrame([(day(i - 1),) for i in (2, 4, 9, 10)], "date date")
-    got = [r.date for r in calendar.ingest_plan(cal, have, 10).orderBy("step").collect()]
-    assert got == [day(i - 1) for i in (10, 8, 7, 6, 5, 3, 1, 9, 4, 2)]
+    """Sessions on every third day; of the newest six, the second and fourth newest are held, as is one that is no session."""
+    cal = spark.createDataFrame([(day(3 * i), i) for i in range(14)], "date date, session_no int")
+    have = spark.createDataFrame([(day(36),), (day(30),), (day(31),), (day(3),)], "date date")
+    plan = calendar.ingest_plan(cal, have, 6).orderBy("step").collect()
+    assert [(r.date, r.phase) for r in plan] == [(day(39), 0), (day(33), 1), (day(27), 1), (day(24), 1), (day(36), 2), (day(30), 2)]
+
+
+def test_ingest_waits_for_the_evening(spark):
+    """Until 20:00 in New York today's bars aren't out. In winter that is 01:00 UTC of the next day, in summer midnight."""
+    days = [dt.date(2033, 1, 5), dt.date(2035, 1, 4), dt.date(2035, 1, 5), dt.date(2035, 1, 8)]
+    cal = spark.createDataFrame([(d, i) for i, d in enumerate(days)], "date date, session_no int")
+    last = lambda today, now=None: calendar.last_complete(cal, today, now).first().end
+    assert last("2035-01-08") == days[3]
+    assert last("2035-01-08", dt.datetime(2035, 1, 9, 0, 59)) == days[2] and last("2035-01-08", dt.datetime(2035, 1, 9, 1, 0)) == days[3]
+    assert last("2035-01-07", dt.datetime(2035, 1, 7, 3, 0)) == days[2]  # a Sunday: the Friday is complete at any time
+    assert last("2033-01-05", dt.datetime(2033, 1, 5, 15, 0)) == days[0]  # none before it within ten days
+    got = calendar.ingest_plan(cal, cal.limit(0), today="2035-01-08", now=dt.datetime(2035, 1, 8, 15, 0), years=2).orderBy("step").collect()
+    assert [r.date for r in got] == [days[2], days[1], days[0]]
+    assert [r.date for r in calendar.ingest_plan(cal, cal.limit(0), today="2035-01-08", years=1).orderBy("step").collect()] == [days[3], days[2], days[1]]
 
 
 def test_sessions_of_february_29(spark):
@@ -100,30 +117,115 @@ def test_universe_keeps_na(spark):
     assert [(r.ticker, r.name) for r in universe.load(rows).collect()] == [("NA", "x")]
 
 
+NASDAQ_HEADER = "Symbol|Security Name|Market Category|Test Issue|Financial Status|Round Lot Size|ETF|NextShares"
+OTHER_HEADER = "ACT Symbol|Security Name|Exchange|CQS Symbol|ETF|Round Lot Size|Test Issue|NASDAQ Symbol"
+FIRST = [NASDAQ_HEADER, "wren|Wren Feeds Plc|S|N|D|40|N|N", "ZZQT|Pilot Listing|G|Y|N|100|N|N", "", "MOSS|Moss Index Fund|Q|N|N|100|Y|N", "|No Symbol|Q|N|N|100|N|N", "File Creation Time: 1103203118:02|||||||"]
+SECOND = [OTHER_HEADER, "TEAL|Teal Shipping|N|TEAL|N|100|N|TEAL", "MOSS|Moss by Another Name|P|MOSS|N|100|N|MOSS", "KELP|Kelp Bond Fund|Z|KELP|Y|10|N|KELP", "OAT.T|Oat Trial|V|OAT.T|N|100|Y|OAT.T", "FERN|Fern Mines|Q|FERN|N|100|N|FERN|"]
+
+
+def listed(spark, **files):
+    return tables.symbol_directory(spark.createDataFrame([(f, x) for f, lines in files.items() for x in lines], "file string, value string"))
+
+
+def reordered(lines):
+    """The same file with its columns turned round and one more between them."""
+    rows = [(x.split("|") + [""] * 8)[:8] for x in lines if x and not x.startswith("File")]
+    return ["|".join([*reversed(r[4:]), "Extra" if k == 0 else "Y", *reversed(r[:4])]) for k, r in enumerate(rows)]
+
+
 def test_symbol_directory(spark):
-    lines = ["Symbol|Name|Code|ETF|Test|", "IBM|Int|N|N|N|", "QQQ|Trust|P|Y|N|", "TST|Test|A|N|Y|", "File Creation Time: 0101|||||"]
-    df = tables.symbol_directory(spark.createDataFrame([(x,) for x in lines], "value string"))
-    got = {r.ticker: r.x for r in df.select("ticker", universe.exchange_of(F.col("code")).alias("x")).collect()}
-    assert got == {"IBM": "NYSE", "QQQ": "NYSEARCA", "TST": "AMEX"}
+    """Both layouts: flags stand in columns of different order, only one has exchange codes."""
+    want = {
+        ("WREN", "NASDAQ", False, False, 0), ("ZZQT", "NASDAQ", False, True, 0), ("MOSS", "NASDAQ", True, False, 0),
+        ("TEAL", "NYSE", False, False, 1), ("MOSS", "NYSEARCA", False, False, 1), ("KELP", "BATS", True, False, 1), ("OAT.T", "IEXG", False, True, 1), ("FERN", "OTHER", False, False, 1),
+    }
+    for a, b in ((FIRST, SECOND), (reordered(FIRST), reordered(SECOND))):
+        rows = listed(spark, a=a, b=b)
+        assert {(r.ticker, r.exchange, r.is_etf, r.is_test_issue, r.source_rank) for r in rows.collect()} == want
+        kept = universe.filtered(universe.prefer_source(rows), ("NASDAQ", "NYSE", "OTHER"))
+        assert {(r.ticker, r.name) for r in kept.collect()} == {("WREN", "Wren Feeds Plc"), ("TEAL", "Teal Shipping"), ("FERN", "Fern Mines")}
+    assert listed(spark, a=[NASDAQ_HEADER]).count() == 0
+    for lines, why in ((FIRST[1:], "no header"), ([NASDAQ_HEADER.replace("ETF", "Fund"), *FIRST[1:]], "is missing"), ([OTHER_HEADER.replace("|Exchange", "|Venue"), *SECOND[1:]], "is missing"), (["Ticker|Security Name|ETF|Test Issue", "A|B|N|N"], "no known layout")):
+        with pytest.raises(Exception, match=why):
+            listed(spark, a=lines).collect()
+
+
+def test_vendor_answers(spark):
+    head = tables.CSV_HEADER
+    answers = [
+        ("wren ", f"{head}\r\n2032-07-01,5.5,6.25,5.25,6,1200\r\n2032-07-02,6,6.5,N/A,6.25,\r\nnot a day,1,1,1,1,1\r\n2032-07-05,6,6,6,,50\r\n2032-07-02,6,6.75,5.75,6.5,900\r\n"),
+        ("NONE", "No data for this symbol"), ("LEER", "Brak danych"), ("BLANK", " \n"), ("NULL", None), ("BARE", f"\n{head}\n"),
+    ]
+    df = spark.createDataFrame(answers, "ticker string, value string")
+    got = [tuple(r) for r in tables.bars_from_csv(df).orderBy("date").collect()]
+    assert got == [("WREN", dt.date(2032, 7, 1), 5.5, 6.25, 5.25, 6.0, 1200), ("WREN", dt.date(2032, 7, 2), 6.0, 6.75, 5.75, 6.5, 900)]
+    assert [r.date.day for r in tables.bars_from_csv(df, start="2032-07-02", end="2032-07-02").collect()] == [2]
+    for text in ("Date,Close,Open,High,Low,Volume\n2032-07-01,6,5,7,4,1", "<html>Too many requests</html>", "2032-07-01,5,6,4,5,1"):
+        with pytest.raises(Exception, match="isn't bars: BAD"):
+            tables.bars_from_csv(spark.createDataFrame([("BAD", text)], "ticker string, value string")).collect()
 
 
 def test_grouped_json(spark):
-    text = '{"status":"OK","results":[{"T":"aapl","o":1,"h":2,"l":0.5,"c":"1.5","v":null,"t":5},{"T":"msft","o":1,"h":1,"l":1,"c":null},{"T":"AAPL","o":3,"h":3,"l":3,"c":3,"v":7}]}'
-    got = tables.bars_from_json(spark.createDataFrame([(D0, text)], "date date, value string")).collect()
-    assert [(r.ticker, r.close, r.volume) for r in got] == [("AAPL", 3.0, 7)]
+    """Lower-case and repeated tickers, numbers as text, a missing volume, rows without a close or a ticker."""
+    texts = [
+        (day(5), '{"status":"OK","adjusted":true,"results":[{"T":"teal","o":"8.5","h":9.25,"l":8.25,"c":9,"v":310.0,"vw":8.8,"n":12},{"T":"wren","o":30,"h":31,"l":29,"c":"30.75"},{"T":"kelp","o":2,"h":2,"l":2,"v":5},{"o":1,"c":1},{"T":"TEAL","o":8.5,"h":9.5,"l":8.25,"c":9.375,"v":"440"}]}'),
+        (day(6), '{"status":"OK","results":[]}'), (day(7), "not json"), (day(8), None),
+    ]
+    got = tables.bars_from_json(spark.createDataFrame(texts, "date date, value string")).orderBy("ticker").collect()
+    assert [(r.ticker, r.date, r.open, r.high, r.close, r.volume) for r in got] == [("TEAL", day(5), 8.5, 9.5, 9.375, 440), ("WREN", day(5), 30.0, 31.0, 30.75, 0)]
 
 
 def test_labels(spark):
-    raw = spark.createDataFrame([("aapl ", "2025-03-06", "flag", "Yes"), ("B", "x", "flag", "?")], "ticker string, date string, setup string, label string")
+    raw = spark.createDataFrame([(" kelp", "2032-11-30", "gap_go", " no ", "7"), ("Moss", "30/11/2032", "flag", "perhaps", "8")], "ticker string, date string, setup string, label string, note string")
     a, b = labels.normalized(raw).orderBy("ticker").collect()
-    assert (a.ticker, a.asof_date, a.label) == ("AAPL", dt.date(2025, 3, 6), True) and b.asof_date is None and b.label is None
-    assert a.sample_id == "c51bed616ff57528"
+    assert (a.ticker, a.asof_date, a.setup, a.label, a.note) == ("KELP", dt.date(2032, 11, 30), "gap_go", False, "7")
+    assert a.sample_id == hashlib.sha1(b"KELP|2032-11-30|gap_go").hexdigest()[:16]
+    assert (b.ticker, b.asof_date, b.label, b.sample_id) == ("MOSS", None, None, None)  # without a date there is no id to share
     with pytest.raises(Exception, match="duplicate"):
         labels.deduped(raw.unionByName(raw), ["ticker", "date", "setup"], "label", keep="error").collect()
     with pytest.raises(ValueError, match="missing"):
         labels.normalized(raw.drop("label"))
 
 
+def test_numbers_as_booleans(spark):
+    df = spark.createDataFrame([(1.0, "1.0", 1, True), (0.0, "0", 0, False), (-0.4, "f", 2, None), (2.5, " Y ", None, None), (None, None, 1, True), (float("nan"), "maybe", 0, False)], "a double, b string, c int, d boolean")
+    got = [tuple(r) for r in df.select(*(to_bool(c) for c in "abcd")).collect()]
+    assert got == [(True, None, True, True), (False, False, False, False), (False, False, None, None), (None, True, None, None), (None, None, True, True), (None, None, False, False)]
+
+
+RAW_KIND = "ticker string, date string, setup string, label string, fold string, p_label string, split string, is_new string, notes string"
+
+
+def raw_labels(spark, *rows):
+    return spark.createDataFrame([(*r, "3", "0.25", " VAL", "y", "yes") for r in rows], RAW_KIND).coalesce(1)
+
+
+def test_label_load(spark):
+    """Sessions on days 0, 3, 6 ...; day 8 lies between two of them."""
+    cal = spark.createDataFrame([(day(3 * i), i) for i in range(9)], "date date, session_no int")
+    iso = lambda i: day(i).isoformat()
+    raw = raw_labels(spark, (" wren", iso(8), "flag", "T"), ("teal", iso(6), " gap_go ", "no"))
+    with pytest.raises(ValueError, match=f"not_a_session: 1 .{iso(8)}"):
+        labels.load(raw, cal)
+    for resolve, at in (("previous", 6), ("next", 9)):
+        got = {r.ticker: r for r in labels.load(raw, cal, resolve=resolve).collect()}
+        w = got["WREN"]
+        assert (w.asof_date, w.label, w.fold, w.p_label, w.split, w.is_new, w.notes) == (day(at), True, 3, 0.25, "val", True, "yes")
+        assert w.sample_id == hashlib.sha1(f"WREN|{iso(at)}|flag".encode()).hexdigest()[:16] and got["TEAL"].setup == "gap_go"
+    twice = raw_labels(spark, ("WREN", iso(6), "flag", "1"), ("wren ", iso(8), "flag", "0"), ("WREN", iso(9), "flag", "0"))
+    with pytest.raises(ValueError, match="duplicate_key: 1"):
+        labels.load(twice, cal, resolve="previous")
+    kept = lambda how: {r.asof_date: r.label for r in labels.load(twice, cal, resolve="previous", dedupe=how).collect()}
+    assert kept("keep_first") == {day(6): True, day(9): False} and kept("keep_last") == {day(6): False, day(9): False}
+    for bad, why in (((" ", iso(6), "flag", "1"), "no_ticker"), (("A", "soon", "flag", "1"), "bad_date"), (("A", iso(6), "", "1"), "no_setup"), (("A", iso(6), "flag", "?"), "bad_label")):
+        with pytest.raises(ValueError, match=why):
+            labels.load(raw_labels(spark, ("B", iso(3), "flag", "0"), bad), cal)
+    with pytest.raises(ValueError, match="no labels"):
+        labels.load(raw.limit(0), cal)
+    with pytest.raises(ValueError, match="not_a_session"):
+        labels.load(raw_labels(spark, ("B", "1999-01-01", "flag", "0")), cal, resolve="next")
+
+
 def test_time_split(spark):
     rows = spark.createDataFrame([(f"s{i}", "A", day(i), "flag") for i in range(20)], "sample_id string, ticker string, asof_date date, setup string")
     got = [r.split for r in labels.split_time(rows).orderBy("asof_date").collect()]
@@ -132,8 +234,8 @@ def test_time_split(spark):
 
 def test_scalars(spark):
     one = spark.range(1)
-    got = one.select(to_bool(F.lit(" T ")).alias("a"), clean_token(F.lit("_a b/:c_")).alias("b"), ticker_bucket(F.lit("")).alias("c"), vendor_symbol(F.lit("BRK-B"), "us_lower").alias("d"), vendor_symbol(F.lit("BRK.B"), "dashed").alias("e"), sample_key(F.lit("aapl"), F.lit("2025-03-06"), F.lit("flag")).alias("f")).first()
-    assert tuple(got) == (True, "a_b__c", "_", "brk.b.us", "BRK-B", "c51bed616ff57528")
+    got = one.select(to_bool(F.lit(" T ")).alias("a"), clean_token(F.lit("__x y/:z-")).alias("b"), ticker_bucket(F.lit("")).alias("c"), vendor_symbol(F.lit(" Oat-T "), "us_lower").alias("d"), vendor_symbol(F.lit("oat.t"), "dashed").alias("e"), sample_key(F.lit("teal"), F.lit("2032-07-01"), F.lit("flag")).alias("f"), sample_key(F.lit("teal"), F.lit(None), F.lit("flag")).alias("g")).first()
+    assert tuple(got) == (True, "x_y__z-", "_", "oat.t.us", "OAT-T", hashlib.sha1(b"TEAL|2032-07-01|flag").hexdigest()[:16], None)
 
 
 def test_folds(spark):
@@ -264,7 +366,7 @@ def test_every_event_is_a_run(spark, sf_dir):
     from barwright.plans import research
 
     ids = {f"run{r.event_id}" for r in spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id").collect()}
-    got = [r.run for r in research.run_index_all(spark, sf_dir).collect()]
+    got = [r.run for r in research.run_index(spark, sf_dir).collect()]
     assert len(got) == len(ids) and set(got) == ids
 
 

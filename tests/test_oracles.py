@@ -13,9 +13,7 @@ import pytest
 
 from barwright.plans import market, registry, research, samples, supervision  # noqa: F401
 
-#: Earlier names of queries that are tested under their own.
-ALIASES = {"run_index_all", "bars_upsert_stream_all", "knn_cosine_stated", "cosine_pairs_stated"}
-NAMES = sorted(set(registry.QUERIES) - ALIASES)
+NAMES = sorted(registry.QUERIES)
 
 
 @pytest.fixture(scope="module")
