@@ -11,6 +11,7 @@ Phrases go by a 64-bit hash of their language and words; two that collide count
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, long_array, mix, small_batches, word_hashes, word_spans, written
+from .common import LOWER, blocks, contains, long_array, mix, small_batches, word_hashes, word_spans, written
 
 SUPPORT, INSIDE, TOP = 30, 80, 2000
 LONGEST = 4
@@ -73,8 +74,8 @@ class Words:
 
     def __init__(self, data: np.ndarray, off: np.ndarray, lang: np.ndarray, salts: np.ndarray, longest: int):
         self.data = data
-        self.starts, self.ends, first = word_spans(data, off, IS_WORD)
-        doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
+        self.starts, self.ends, self.first = word_spans(data, off, IS_WORD)
+        doc = np.repeat(np.arange(len(off) - 1), np.diff(self.first))
         self.lang = lang[doc]
         one = mix(word_hashes(data, self.starts, self.ends, LOWER) ^ salts[self.lang]) if len(doc) else np.zeros(0, np.uint64)
         breaks = np.cumsum(IS_BREAK[data])[self.starts] if len(doc) else np.zeros(0, np.int64)
@@ -86,8 +87,32 @@ class Words:
             self.hashes[k] = mix(h[:n] * _STEP ^ one[k - 1 : k - 1 + n])
             self.whole[k] = ok[:n] & follows[k - 2 : k - 2 + n]
 
-    def phrase(self, i: int, k: int) -> str:
-        return b" ".join(self.data[self.starts[j] : self.ends[j]].tobytes() for j in range(i, i + k)).lower().decode("utf-8", "replace")
+    def parts(self, k: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the phrases of k words at the given places: hashes of what is before each cut, of what is behind it, and of the
+        shorter phrases of two words or more inside; a row for each phrase."""
+        part = lambda a, b: self.hashes[b - a][at + a]
+        inner = [part(a, b) for a in range(k) for b in range(a + 2, k + 1) if b - a < k]
+        stacked = lambda columns: np.stack(columns, 1) if columns else np.zeros((len(at), 0), np.uint64)
+        return stacked([part(0, j) for j in range(1, k)]), stacked([part(j, k) for j in range(1, k)]), stacked(inner)
+
+    @functools.cached_property
+    def _joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """All words, A-Z lower-cased, joined by a space, and where each begins in it."""
+        size = self.ends - self.starts
+        begin = np.cumsum(size + 1) - (size + 1)
+        source = np.repeat(self.starts - begin, size + 1) + np.arange(int((size + 1).sum()))
+        joined = LOWER[self.data[np.minimum(source, len(self.data) - 1)]]
+        joined[begin + size] = 0x20
+        return joined, begin
+
+    def texts(self, k: int, at: np.ndarray) -> pa.Array:
+        """The phrases of k words at the given places, their words joined by a space."""
+        joined, begin = self._joined
+        last = at + k - 1
+        length = begin[last] + self.ends[last] - self.starts[last] - begin[at]
+        off = np.concatenate([[0], np.cumsum(length)])
+        out = joined[np.repeat(begin[at] - off[:-1], length) + np.arange(off[-1])]
+        return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(off.astype(np.int64)), pa.py_buffer(out.tobytes())).cast(pa.string())
 
 
 def _salt(lang: str) -> int:
@@ -175,13 +200,22 @@ def _may_reach(mined: DataFrame, support: int) -> DataFrame:
     return found.where(F.col("gain") + F.coalesce("hidden", F.lit(0)) >= support).select("lang", "key")
 
 
+HELD_KEYS = 1 << 19  # phrases that a task counts before it gives them out
+
+
 def _counted_exactly(docs: DataFrame, bits, longest: int, shard_bytes: int) -> DataFrame:
-    """(key, lang, words, a, phrase, firsts, rests, inner): phrases of 2 to `longest` words that the filter lets through, their
-    exact counts, and the keys of what is before and behind each cut and of the phrases inside."""
+    """(key, lang, words, phrase, a): phrases of 2 to `longest` words that the filter lets through, and their exact counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Filter(bits.value)
-        shards, hashes, langs, seen, facts = _Shards(shard_bytes, longest), [], [], set(), {"key": [], "words": [], "phrase": [], "firsts": [], "rests": [], "inner": []}
+        shards, hashes, langs, found = _Shards(shard_bytes, longest), [], [], []
+        # What the task holds, in order of keys: key, language, words and count; and the phrases.
+        held, phrases = [np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64)], pa.array([], pa.string())
+
+        def out() -> Iterator[pa.RecordBatch]:
+            names = pa.array(shards.names(), pa.string())
+            yield from _sliced(pa.RecordBatch.from_arrays([long_array(held[0]), names.take(pa.array(held[1])), pa.array(held[2]), phrases, pa.array(held[3])], ["key", "lang", "words", "phrase", "n"]))
+
         for block, ends in shards(batches):
             for k in range(2, longest + 1):
                 at = np.flatnonzero(block.whole[k])
@@ -189,32 +223,52 @@ def _counted_exactly(docs: DataFrame, bits, longest: int, shard_bytes: int) -> D
                 hashes.append(block.hashes[k][at])
                 langs.append(block.lang[at])
                 keys, first = np.unique(hashes[-1], return_index=True)
-                part = {(a, b): block.hashes[b - a] for a in range(k) for b in range(a + 1, k + 1) if b - a < k}
-                for key, i in zip(keys.tolist(), at[first].tolist(), strict=True):
-                    if key in seen:
-                        continue
-                    seen.add(key)
-                    of = lambda a, b, i=i: int(part[a, b][i + a].view(np.int64))  # noqa: B023,E731
-                    facts["key"].append(key)
-                    facts["words"].append(k)
-                    facts["phrase"].append(block.phrase(i, k))
-                    facts["firsts"].append([of(0, j) for j in range(1, k)])
-                    facts["rests"].append([of(j, k) for j in range(1, k)])
-                    facts["inner"].append([of(a, b) for a, b in part if b - a > 1])
+                new = ~contains(held[0], keys)
+                if new.any():
+                    found.append((keys[new], np.full(int(new.sum()), k, np.int32), block.texts(k, at[first[new]])))
             if not ends:
                 continue
-            keys, counts, of_lang = _counted(hashes, langs)
-            order = np.argsort(np.array(facts["key"], np.uint64))
-            names = np.array(shards.names(), object)
-            take = lambda c, kind: pa.array([facts[c][i] for i in order], kind)  # noqa: B023,E731
-            yield from _sliced(pa.RecordBatch.from_arrays([long_array(keys), pa.array(names[of_lang], pa.string()), take("words", pa.int32()), pa.array(counts.astype(np.int64)), take("phrase", pa.string()), *(take(c, pa.list_(pa.int64())) for c in ("firsts", "rests", "inner"))], ["key", "lang", "words", "n", "phrase", "firsts", "rests", "inner"]))
-            hashes, langs = [], []
-            seen.clear()
-            for x in facts.values():
-                x.clear()
+            keys, counts, of = _counted(hashes, langs)
+            known = contains(held[0], keys)
+            held[3][np.searchsorted(held[0], keys[known])] += counts[known]
+            if found:
+                each, once = np.unique(np.concatenate([f[0] for f in found]), return_index=True)  # those that aren't held yet
+                words = np.concatenate([f[1] for f in found])[once]
+                texts = pa.concat_arrays([f[2] for f in found]).take(pa.array(once))
+                order = np.argsort(np.concatenate([held[0], each]), kind="stable")
+                new = (each, of[~known], words, counts[~known])
+                held = [np.concatenate([x, y])[order] for x, y in zip(held, new, strict=True)]
+                phrases = pa.concat_arrays([phrases, texts]).take(pa.array(order))
+            hashes, langs, found = [], [], []
+            if len(held[0]) >= HELD_KEYS:
+                yield from out()
+                held, phrases = [x[:0] for x in held], phrases.slice(0, 0)
+            pa.default_memory_pool().release_unused()
+        yield from out()
+
+    rows = docs.mapInArrow(run, "key long, lang string, words int, phrase string, n long")
+    return rows.groupBy("key", "lang", "words", "phrase").agg(F.sum("n").alias("a"))
+
+
+def _with_parts(found: DataFrame) -> DataFrame:
+    """found(key, lang, words, phrase, a) with the keys of what is before each cut (firsts), behind it (rests), and of the
+    shorter phrases of two words or more inside (inner)."""
+
+    def lists(rows: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array((np.arange(len(rows) + 1) * rows.shape[1]).astype(np.int32)), long_array(rows.ravel()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, off in blocks(batches, "phrase", BLOCK):
+            codes = rows.column(rows.schema.get_field_index("lang")).dictionary_encode()
+            salts = np.array([_salt(x) for x in codes.dictionary.to_pylist()], np.uint64)
+            block = Words(data, off, codes.indices.to_numpy(), salts, LONGEST)
+            words = rows.column(rows.schema.get_field_index("words")).to_numpy()
+            for k in np.unique(words).tolist():
+                own = np.flatnonzero(words == k)
+                parts = block.parts(k, block.first[own])
+                yield pa.RecordBatch.from_arrays([*rows.take(pa.array(own)).columns, *map(lists, parts)], [*rows.schema.names, "firsts", "rests", "inner"])
 
-    rows = docs.mapInArrow(run, "key long, lang string, words int, n long, phrase string, firsts array<long>, rests array<long>, inner array<long>")
-    return rows.groupBy("key").agg(F.sum("n").alias("a"), *(F.first(c).alias(c) for c in ("lang", "words", "phrase", "firsts", "rests", "inner")))
+    return found.mapInArrow(run, "key long, lang string, words int, phrase string, a long, firsts array<long>, rests array<long>, inner array<long>")
 
 
 # ------------------------------------------------------------------ the operator
@@ -257,7 +311,7 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", *,
         kept.append(written(_may_reach(mined(longer, longest, sizes), support)))
     candidates = kept[0] if len(kept) == 1 else kept[0].unionByName(kept[1])
     counted = _counted_exactly(texts, send(filter_of(candidates)), longest, shard_bytes)
-    return written(counted.where(F.col("a") >= support)), frequent, totals
+    return written(_with_parts(counted.where(F.col("a") >= support))), frequent, totals
 
 
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", *, support: int = SUPPORT, inside: int = INSIDE, top: int = TOP, longest: int = LONGEST, shard_bytes: int = SHARD_BYTES) -> DataFrame:
