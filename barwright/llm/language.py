@@ -89,18 +89,23 @@ def _fit(x: np.ndarray, y: np.ndarray, names: list[str], ridge: float = 3e-3) ->
 
 def fit_language(docs: DataFrame, *, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> LanguageModel:
     """A model from docs(doc_id, text, lang): at most `sample` documents, as many of each language, chosen by a hash of
-    the id. Rows with a null or empty text or a null lang aren't fitted on; rows that repeat an id are taken together.
+    the id among those of up to sample_bytes; of a language that has none of these its 8 shortest. Rows with a null or
+    empty text or a null lang aren't fitted on; rows that repeat an id are taken together.
     Other columns aren't read. Without any row every text is `und`. A sample must have 8 documents a language: more
     languages than that (250 by default) are an error that says so."""
-    known = docs.where(f"lang is not null and text is not null and octet_length(text) between 1 and {int(sample_bytes)}")
-    names = sorted(r.lang for r in known.select("lang").distinct().limit(1 + sample // 8).collect())
+    known = docs.where("lang is not null and octet_length(text) > 0").withColumn("_n", F.octet_length("text"))
+    sizes = known.groupBy("lang").agg(F.min("_n").alias("least")).limit(1 + sample // 8).collect()
+    names = sorted(r.lang for r in sizes)
     if len(names) > sample // 8:
         raise ValueError(f"more than {sample // 8} languages: they need a larger `sample`, of 8 documents each")
     if not names:
         return LanguageModel([], np.zeros((0, 1)), np.zeros((BINS + 1, 1)), np.ones(1))
+    large = F.col("lang").isin([r.lang for r in sizes if r.least > sample_bytes])
+    known = known.where(large | (F.col("_n") <= sample_bytes))
     # Salted: of each language 64 parts are cut to the limit before the rest meets, so a frequent one is no hot group.
-    own = known.select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("long")).alias("h")).withColumn("salt", F.pmod("h", F.lit(64)))
-    first = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id")) <= sample // len(names)
+    own = known.select("doc_id", "lang", F.when(large, F.col("_n")).otherwise(0).alias("size"), F.xxhash64(F.col("doc_id").cast("long")).alias("h")).withColumn("salt", F.pmod("h", F.lit(64)))
+    most = F.when(large, 8).otherwise(sample // len(names))
+    first = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("size", "h", "doc_id")) <= most
     own = own.withColumn("ok", first("lang", "salt")).where("ok").withColumn("ok", first("lang")).where("ok")
     picked = own.select("doc_id", "lang").distinct()
     rows = sorted(known.select("doc_id", "text", "lang").join(F.broadcast(picked), ["doc_id", "lang"]).collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.lang, r.text))
@@ -115,7 +120,8 @@ def fit_language(docs: DataFrame, *, sample: int = SAMPLE, sample_bytes: int = S
 
 def identify_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """(doc_id, lang_pred, score, ambiguous) of docs(doc_id, text): `und` with score 0 for a null text or one without
-    a letter. Ambiguous: the best codeword has less than 0.6 of the likelihood. Every row gives a row, whether its id is
+    a letter. Of languages whose codewords are equally near the first by name is taken. Ambiguous: the best codeword has
+    less than 0.6 of the likelihood. Every row gives a row, whether its id is
     null or repeated; equal texts are predicted alike; other columns aren't read."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
