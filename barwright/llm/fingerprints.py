@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranges import place_in
-from .common import free_names
+from .common import free_names, small_side, written
 
 ANCHORS = 64
 _SPACE = " \t\n\x0b\f\r"
@@ -65,12 +65,12 @@ def with_next(df: DataFrame, key: str, columns: list[str], range_bytes: int = RA
     65,536, so that their list stays small; beyond 1 TB of text they hold more.
     """
     place = F.coalesce(F.col(key), F.lit(-(1 << 63)))
-    size = F.octet_length(columns[0]) + 8
-    total = df.agg(F.sum(size)).first()[0] or 0
+    narrow = written(df.select(place.alias("k"), (F.octet_length(columns[0]) + 8).cast("long").alias("n")))  # texts are read once for it
+    total = narrow.agg(F.sum("n")).first()[0] or 0
     range_bytes = max(range_bytes, total >> 16)
     fine = min(1 << 18, 4 * (1 + total // range_bytes))
-    cuts = sorted(set(df.agg(F.percentile_approx(place, [i / fine for i in range(1, fine)] or [0.5], F.lit(max(10_000, 10 * fine)))).first()[0] or [])) if fine > 1 else []
-    weighed = sorted((r.b, r.k, r.n) for r in df.groupBy(place_in(cuts, place).alias("b")).agg(F.min(place).alias("k"), F.sum(size).alias("n")).collect())
+    cuts = sorted(set(narrow.agg(F.percentile_approx("k", [i / fine for i in range(1, fine)] or [0.5], F.lit(max(10_000, 10 * fine)))).first()[0] or [])) if fine > 1 else []
+    weighed = sorted((r.b, r.k, r.n) for r in narrow.groupBy(place_in(cuts, F.col("k")).alias("b")).agg(F.min("k").alias("k"), F.sum("n").alias("n")).collect())
     if not weighed:
         return df.select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
     firsts, held = [weighed[0][1]], 0
@@ -98,6 +98,34 @@ def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select("doc_id", F.posexplode(closed).alias("word", "anchor")).where("anchor is not null")
 
 
+HOT_ROWS = 10_000  # occurrences of an anchor from which on it is dealt out
+HOT_ANCHORS = 65_536  # of these at most are known beforehand; others have fewer occurrences than all of them
+SALTS = 64
+
+
+def positional_matches(queries: DataFrame, docs: DataFrame, *, least: int = 2) -> DataFrame:
+    """(query, doc_id, shift, n_anchors, first_word, last_word): passages that texts of a stated query set share with docs, as
+    runs of equal anchors at one distance. shift is the place in the document less that in the query text; first_word and
+    last_word are places in the query text of the first anchor's first word and the last one's last. Passages of fewer than
+    `least` anchors are left out, and so are a query's with rows of its own id.
+
+    Anchors depend on nothing around them, so a passage has the same ones wherever it stands; those of both sides meet by
+    their hash and are grouped by (query, doc_id, shift). Anchors that occur HOT_ROWS times in docs are dealt to SALTS
+    parts by document, the query's side being copied to each, so that a common passage is no hot key. Null ids match
+    nothing; rows that repeat an id are taken together.
+    """
+    a = anchors(queries).where("doc_id is not null").distinct().select(F.col("doc_id").alias("query"), F.col("word").alias("at"), "anchor")
+    b = written(anchors(docs).where("doc_id is not null").distinct())
+    counts = b.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_ROWS)
+    hot = written(counts.orderBy(F.desc("n"), "anchor").limit(HOT_ANCHORS).select("anchor", F.lit(True).alias("hot")))
+    salted = lambda df, salt: df.join(small_side(hot), "anchor", "left").withColumn("salt", F.when(F.col("hot"), salt).otherwise(F.array(F.lit(0)))).withColumn("salt", F.explode("salt")).drop("hot")
+    left = salted(a, F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    right = salted(b, F.array(F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")))
+    met = left.join(right, ["anchor", "salt"]).where("query <> doc_id").select("query", "doc_id", (F.col("word") - F.col("at")).alias("shift"), "at")
+    found = met.groupBy("query", "doc_id", "shift").agg(F.count("*").alias("n_anchors"), F.min("at").alias("first_word"), (F.max("at") + 3).alias("last_word"))
+    return found.where(F.col("n_anchors") >= least)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, anchors: int = ANCHORS) -> DataFrame:
     """(doc_id, fingerprint) of each row of docs."""
     return with_anchors(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t")), "_t", "_a", anchors).select("doc_id", as_string("_a").alias("fingerprint"))
