@@ -43,7 +43,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality scores of documents, learned from the labels outside the held-out fold."""
+    """Quality scores of documents, learned from the labels outside the held-out fold; held_out is null for a null id."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     model = quality.fit_quality(docs, labels.where(bucket_of_id(5) != 0))
     scored = quality.score_quality(docs, model)
@@ -84,7 +84,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Languages of documents, learned from documents outside the held-out fold."""
+    """Languages of documents, learned from documents outside the held-out fold; held_out is null for a null id."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.fit_language(docs.where(bucket_of_id(4) != 2))
     found = language.identify_language(docs, model)

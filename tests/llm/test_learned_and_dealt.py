@@ -111,8 +111,13 @@ def test_shards(docs_of, group_share):
         slots.setdefault(r.shard, []).append(r.slot)
         total += r.size
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    normal = [s for s in sizes if s < 60_000]
-    assert len(normal) >= 22 and sharding.shard(docs_of({})).count() == 0
+    # The text of 70,000 bytes is larger than a shard: it fills one, the others are near equal but for a group of copies.
+    holder = next(r.shard for r in rows if r.doc_id == 7)
+    rest = [s for k, s in enumerate(sizes) if k != holder]
+    mean, group = sum(rest) / 23, max(group_share * total / 24, max(len(t or "") for i, t in texts.items() if i != 7)) + 8
+    copies = 1500 * 19 if group_share else 0  # equal texts stay together up to the longest text
+    assert all(abs(s - mean) <= max(0.2 * mean, 2 * group, copies) for s in rest), sorted(rest)
+    assert sharding.shard(docs_of({})).count() == 0
 
 
 def test_repeated_rows_have_slots_of_their_own(docs_of):
@@ -198,3 +203,16 @@ def test_sql(spark, sf_dir, name):
     assert cols == sorted(want.columns)
     a, b = (df[cols].sort_values(key).reset_index(drop=True).astype(str) for df in (got, want))
     assert a.equals(b)
+
+
+def test_a_language_of_long_texts_is_learned(spark):
+    """French has no text of up to 16 KB: its shortest ones are taken."""
+    from barwright.llm import language
+
+    fr, en = "le chat est dans la maison avec une souris ", "the cat is in the house with a mouse and "
+    rows = [(i, fr * (500 + i), "fr") for i in range(12)] + [(100 + i, en * (3 + i), "en") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit_language(docs)
+    assert model.names == ["en", "fr"]
+    asked = spark.createDataFrame([(1, "la souris est dans la maison"), (2, "the mouse is in a house")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language.identify_language(asked, model).collect()} == {1: "fr", 2: "en"}

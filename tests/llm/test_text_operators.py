@@ -45,6 +45,21 @@ def test_token_files_round_trip(spark, docs_of, tmp_path):
     assert tail[1].sum() == (parts[0]["n_tokens"] - 1) % 16 + 1
 
 
+def test_token_files_of_odd_rows(spark, docs_of, tmp_path):
+    """Null and repeated ids, null and empty texts, and a text of two megabytes, against the tokenizer."""
+    rng = random.Random(12)
+    long = " ".join("".join(rng.choices("abcdefgh\u00e9", k=rng.randrange(1, 9))) for _ in range(400_000))
+    rows = [(5, "b b"), (None, "null id"), (5, "a"), (3, None), (4, ""), (None, "an other"), (5, "b b"), (9, long), (10, "after it")]
+    path = tokenizer_file("word_bpe_49k.json")
+    parts = token_files.write_token_files(docs_of(rows).repartition(3), path, f"file://{tmp_path}/odd", end_id=2, by_word=True)
+    got = token_files.read_token_files(spark, parts).orderBy("start").collect()
+    tokenizer, start = Tokenizer.from_file(path), 0
+    for r, (i, text) in zip(got, sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")), strict=True):
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 def test_token_files_of_whole_texts_and_of_nothing(spark, docs_of, tmp_path):
     path = tokenizer_file("byte_bpe_50k.json")
     parts = token_files.write_token_files(docs_of({1: "a b", 2: None}), path, f"file://{tmp_path}/g", end_id=50256)
@@ -259,3 +274,52 @@ def test_decontamination_in_parts_is_that_of_one(spark, docs_of, short):
     assert one == many and 300 not in {r.doc_id for r in decontaminate.decontaminated(docs, bench, benchmark_bytes=60).collect()}
     one, many = (sorted(map(key, decontaminate.matches(docs, bench, benchmark_bytes=most).collect())) for most in (1 << 20, 60))
     assert one == many
+
+
+# ------------------------------------------------------------------ 5, by place
+
+
+def test_positional_matches_against_brute_force(spark, docs_of, monkeypatch):
+    """Shared passages at other places come out with their shift; a common passage is dealt out by salts."""
+    from barwright.llm import fingerprints
+
+    rng = random.Random(17)
+    word = lambda: f"w{rng.randrange(4000)}"
+    passage, common = [word() for _ in range(40)], [word() for _ in range(25)]
+    texts = {i: " ".join([*(word() for _ in range(rng.randrange(30))), *common, *(word() for _ in range(9))]) for i in range(40)}
+    texts[50] = " ".join([*(word() for _ in range(13)), *passage, *(word() for _ in range(5))])
+    texts[51] = " ".join([*(word() for _ in range(70)), *passage])
+    texts[52] = " ".join(passage[:3])
+    texts[53], texts[54] = None, ""
+    docs = docs_of(list(texts.items()) + [(None, texts[50]), (51, texts[51])])
+    queries = docs.where("doc_id in (50, 0, 53)")
+    own = {}
+    for r in fingerprints.anchors(docs).where("doc_id is not null").collect():
+        own.setdefault(r.doc_id, set()).add((r.word, r.anchor))
+    want = {}
+    for q in (50, 0):
+        for d, anchors in own.items():
+            for x, h in own[q]:
+                for y, g in anchors:
+                    if d != q and g == h:
+                        want.setdefault((q, d, y - x), []).append(x)
+    want = {k: (len(v), min(v), max(v) + 3) for k, v in want.items() if len(v) >= 2}
+    for hot in (10_000, 5):
+        monkeypatch.setattr(fingerprints, "HOT_ROWS", hot)
+        got = {(r["query"], r.doc_id, r["shift"]): (r.n_anchors, r.first_word, r.last_word) for r in fingerprints.positional_matches(queries, docs).collect()}
+        assert got == want
+    n, first, last = got[50, 51, 57]
+    assert n >= 10 and 13 <= first < 20 and 45 < last <= 52
+
+
+def test_edit_report_of_odd_rows(docs_of):
+    """Null ids come first, repeated ones follow one another by text, and the last row's next is the first."""
+    rows = [(2, "delta echo foxtrot golf"), (None, "alpha bravo"), (1, "hotel india"), (1, None), (3, "x" * 50_001), (2, "charlie")]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    want = []
+    for k, (i, text) in enumerate(order):
+        own, following = text or "", order[(k + 1) % len(order)][1] or ""
+        half = len(own) // 2
+        want.append((i, len(own), hashlib.sha256((own[: len(own) - half] + following[:half]).encode()).hexdigest()))
+    got = [(r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprints.edit_report(docs_of(rows)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
