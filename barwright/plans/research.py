@@ -19,6 +19,7 @@ from ..operators import normalize as N
 from ..operators import stages as T
 from ..operators import vector_index as V
 from ..operators import window_features as X
+from ..operators import window_index as I
 from ..operators import windows as W
 from ..operators.scan import ema_scan
 from ..sources import runs as R
@@ -306,6 +307,26 @@ def embed_lookup(spark, sf):
     return E.lookup(stored_index(spark, sf), examples).select("window_id", "ticker", "end_date", *index_values())
 
 
+def updated_index(spark, sf):
+    """The folder of an index that was made of bars before 1997 and brought up to date with all of them."""
+    path, bar = shared_dir(spark) + "/kept", S.bars(spark, sf)
+    for rows in (bar.where("date < date '1997-01-01'"), bar):
+        I.update_index(spark, path, rows, *GRID, I.Encoder(columns=PC, dims=256))
+    return path
+
+
+@query(with_("bars", more=SLIDES) + f"SELECT window_id, ticker, end_year_month, window_size, stride, max_open_over_close, min_open_over_volume FROM ({INDEX_STATS})")
+def index_updated(spark, sf):
+    """The index in two drops, of which the second embeds new windows only: the rows of an index made at once."""
+    return I.open_index(spark, updated_index(spark, sf)).select("window_id", "ticker", "end_year_month", "window_size", "stride", *index_values())
+
+
+@query(with_("bars", more=SLIDES) + f"SELECT ticker, window_size, stride, max(end_date) AS last_date, count(*) AS n_windows FROM ({EVERY_WINDOW}) GROUP BY ALL")
+def index_manifest(spark, sf):
+    """What the kept index knows of itself: the newest window of each ticker, length and stride."""
+    return I.manifest(spark, updated_index(spark, sf))
+
+
 @query()
 def knn_index(spark, sf):
     """The ten nearest rows of every hundredth id, found in a few cells of a stored index: as many as hold 95 % of the
