@@ -16,6 +16,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,33 +38,46 @@ _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class Filter:
-    """A set of hashes as bits, two for each: never says no to a member."""
+    """A set of keys as bits, two for each: never says no to a member. Keys are the upper 64 - shift bits of hashes."""
 
-    def __init__(self, words: np.ndarray):
-        self.words, self.mask = words, np.uint64(64 * len(words) - 1)
+    def __init__(self, words: np.ndarray, shift: int = 0):
+        self.words, self.shift = words, np.uint64(shift)
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        return self._bit(h) & self._bit(h >> np.uint64(32))
+        first, second = _places(h >> self.shift, len(self.words))
+        return self._bit(first) & self._bit(second)
 
-    def _bit(self, x: np.ndarray) -> np.ndarray:
-        bit = x & self.mask
+    def _bit(self, bit: np.ndarray) -> np.ndarray:
         return ((self.words[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
+def _places(keys: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each key."""
+    m, mask = mix(keys), np.uint64(64 * n_words - 1)
+    return m & mask, (m >> np.uint64(32)) & mask
+
+
 def filter_of(keys: DataFrame) -> np.ndarray:
     """The bits of keys(key: long), a written table: about 16 for a key, 16 MB at most, whatever the number of keys."""
-    bits = min(MOST_BITS, max(LEAST_BITS, (16 * keys.count()).bit_length()))
-    bit = F.explode(F.array(*(F.shiftrightunsigned("key", s).bitwiseAND(F.lit((1 << bits) - 1)) for s in (0, 32))))
-    one = F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")
-    rows = keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
-    words = np.zeros(1 << (bits - 6), np.uint64)
+    n = 1 << (min(MOST_BITS, max(LEAST_BITS, (16 * keys.count()).bit_length())) - 6)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.zeros(n, np.uint64)
+        for batch in batches:
+            for bit in _places(batch.column(0).to_numpy().view(np.uint64), n):
+                np.bitwise_or.at(words, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+        used = np.flatnonzero(words)
+        yield from _sliced(pa.RecordBatch.from_arrays([pa.array(used), long_array(words[used])], ["word", "bits"]))
+
+    rows = keys.select("key").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(n, np.uint64)
     words[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return words
 
 
-def _sliced(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for k in range(0, rows.num_rows, OUT_ROWS):
-        yield rows.slice(k, OUT_ROWS)
+def _sliced(rows: pa.RecordBatch, most: int = OUT_ROWS) -> Iterator[pa.RecordBatch]:
+    for k in range(0, rows.num_rows, most):
+        yield rows.slice(k, most)
 
 
 # ------------------------------------------------------------------ words of a block
@@ -159,11 +173,11 @@ def _counted(hashes: list[np.ndarray], langs: list[np.ndarray]) -> tuple[np.ndar
 # ------------------------------------------------------------------ mining
 
 
-def _mined(docs: DataFrame, pick: Callable[[Words], list[tuple[int, np.ndarray]]], longest: int, sizes: dict[str, int], support: int, shard_bytes: int) -> DataFrame:
-    """(lang, key, gain) of docs(lang, text): for each language and shard a row of key null whose gain is what the shard
-    may hide of any phrase (its lowered support less 1), and for each phrase with that support in the shard its count less what is
-    hidden. pick gives (k, places) of the phrases that are looked at; sizes are words of languages (empty: nothing is
-    hidden, and the rows of null count words)."""
+def _found(docs: DataFrame, pick: Callable[[Words], list[tuple[int, np.ndarray]]], longest: int, sizes: dict[str, int], support: int, shard_bytes: int, give, schema: str) -> DataFrame:
+    """What give(names, keys, gains, codes, languages, totals) makes of each shard: sorted keys of phrases whose count in it
+    is at least the lowered support, their counts less what is hidden of any phrase (that support less 1), and their
+    languages' codes; and for each language of the shard the hidden count, or without sizes the words. pick gives (k,
+    places) of the phrases that are looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards, hashes, langs, words = _Shards(shard_bytes, longest), [], [], []
@@ -174,40 +188,107 @@ def _mined(docs: DataFrame, pick: Callable[[Words], list[tuple[int, np.ndarray]]
                 langs.append(block.lang[at])
             if not ends:
                 continue
-            names = np.array(shards.names(), object)
+            names = shards.names()
             n = sum((np.pad(x, (0, len(names) - len(x))) for x in words), np.zeros(len(names), np.int64))
             hidden = np.array([-(-support * int(w) // sizes[x]) - 1 if w and x in sizes else 0 for w, x in zip(n, names, strict=True)], np.int64)
             keys, counts, of = _counted(hashes, langs)
             hashes, langs, words = [], [], []
             gain = counts - hidden[of]
-            keep = gain > 0
-            seen = np.flatnonzero(n)
-            totals = (hidden if sizes else n)[seen]
-            code = pa.DictionaryArray.from_arrays(pa.array(np.concatenate([of[keep], seen]), pa.int32()), pa.array(names, pa.string())).dictionary_decode()
-            key = pa.concat_arrays([long_array(keys[keep]), pa.nulls(len(seen), pa.int64())])
-            yield from _sliced(pa.RecordBatch.from_arrays([code, key, pa.array(np.concatenate([gain[keep], totals]).astype(np.int64))], ["lang", "key", "gain"]))
+            keep, seen = gain > 0, np.flatnonzero(n)
+            yield from give(names, keys[keep], gain[keep], of[keep], seen, (hidden if sizes else n)[seen])
             pa.default_memory_pool().release_unused()
 
-    rows = docs.mapInArrow(run, "lang string, key long, gain long")
-    return rows.groupBy("lang", "key").agg(F.sum("gain").alias("gain"))
+    return docs.mapInArrow(run, schema)
+
+
+def _words_of(docs: DataFrame, support: int, shard_bytes: int) -> DataFrame:
+    """(lang, key, gain): words of at least `support` occurrences, and for each language a row of key null with all its words.
+    Written."""
+
+    def give(names, keys, gain, of, seen, totals) -> Iterator[pa.RecordBatch]:
+        lang = pa.array(names, pa.string()).take(pa.array(np.concatenate([of, seen])))
+        key = pa.concat_arrays([long_array(keys), pa.nulls(len(seen), pa.int64())])
+        yield from _sliced(pa.RecordBatch.from_arrays([lang, key, pa.array(np.concatenate([gain, totals]).astype(np.int64))], ["lang", "key", "gain"]))
+
+    rows = _found(docs, lambda b: [(1, np.arange(len(b.lang)))], 1, {}, support, shard_bytes, give, "lang string, key long, gain long")
+    rows = rows.groupBy("lang", "key").agg(F.sum("gain").alias("gain"))
+    return written(rows.where((F.col("gain") >= support) | F.col("key").isNull()))
 
 
-def _may_reach(mined: DataFrame, support: int) -> DataFrame:
-    """Keys (lang, key) of phrases whose counts can reach the support: found ones, plus all that shards may hide."""
-    mined = written(mined)
-    hidden = mined.where("key is null and gain > 0").select("lang", F.col("gain").alias("hidden"))  # LANGUAGES rows at most
-    found = mined.where("key is not null").join(F.broadcast(hidden), "lang", "left")
-    return found.where(F.col("gain") + F.coalesce("hidden", F.lit(0)) >= support).select("lang", "key")
+PACK_ROWS = 1 << 22  # phrases of all shards in a range of keys, about
+MOST_RANGES = 1 << 16
+GAIN_BYTES = 4
+
+
+def _packed(keys: np.ndarray, gain: np.ndarray, width: int) -> bytes:
+    """Sorted keys as differences of `width` bytes and their gains, byte by byte, compressed."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    gains = np.minimum(gain, (1 << 32) - 1).astype("<u4").view(np.uint8).reshape(-1, GAIN_BYTES)
+    return pa.compress(np.concatenate([steps.T.ravel(), gains.T.ravel()]).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(pa.decompress(blob, n * (width + GAIN_BYTES), codec="zstd", asbytes=True), np.uint8)
+    steps, gains = np.zeros((n, 8), np.uint8), raw[n * width :].reshape(GAIN_BYTES, n).T
+    steps[:, :width] = raw[: n * width].reshape(width, n).T
+    return np.cumsum(steps.view("<u8").ravel()), np.ascontiguousarray(gains).view("<u4").ravel().astype(np.int64)
+
+
+def _may_reach(docs: DataFrame, pick: Callable[[Words], list[tuple[int, np.ndarray]]], longest: int, sizes: dict[str, int], support: int, shard_bytes: int) -> tuple[DataFrame, int]:
+    """Keys (key) of phrases whose counts can reach the support, counting what shards found and all that they may hide, and
+    the bits that keys are shorter than hashes. Written.
+
+    Keys have some 8 bits more than the number of words has; two phrases of one key count together here, which makes
+    candidates more, never fewer. A shard gives its sorted keys out in ranges, packed to 3 bytes a phrase or so; each range
+    of a language is added up in one group of some PACK_ROWS phrases (beyond 2^38 words ranges are no longer split).
+    """
+    total = max(1, sum(sizes.values()))
+    bits = min(63, max(32, total.bit_length() + 8))
+    ranges = min(MOST_RANGES, 1 << max(3, (total // PACK_ROWS).bit_length()))
+    rest = bits - (ranges.bit_length() - 1)
+    width, shift = -(-rest // 8), 64 - bits
+
+    def give(names, keys, gain, of, seen, totals) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = [(names[k], None, None, int(t)) for k, t in zip(seen.tolist(), totals.tolist(), strict=True)]
+        short = keys >> np.uint64(shift)
+        for code in np.unique(of).tolist():
+            own = of == code
+            key, first = np.unique(short[own], return_index=True)
+            sums = np.add.reduceat(gain[own], first)
+            place = (key >> np.uint64(rest)).astype(np.int64)
+            cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+            inner = key & np.uint64((1 << rest) - 1)
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)], strict=True):
+                rows.append((names[code], int(place[a]), _packed(inner[a:b], sums[a:b], width), b - a))
+        columns = list(zip(*rows, strict=True))
+        yield from _sliced(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.binary(), pa.int64()), strict=True)], ["lang", "place", "blob", "n"]), 1 << 12)
+
+    found = written(_found(docs, pick, longest, sizes, support, shard_bytes, give, "lang string, place int, blob binary, n long"))
+    hidden = {r.lang: r.n for r in found.where("place is null and n > 0").groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # LANGUAGES at most
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [_unpacked(blob, n, width) for blob, n in zip(pdf["blob"], pdf["n"], strict=True)]
+        keys, gain = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(keys)
+        keys, gain = keys[order], gain[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        enough = np.add.reduceat(gain, first) + hidden.get(pdf["lang"].iloc[0], 0) >= support
+        base = np.uint64(int(pdf["place"].iloc[0]) << rest)
+        return pd.DataFrame({"key": (keys[first][enough] | base).view(np.int64)})
+
+    packs = found.where("place is not null").groupBy("lang", "place")
+    return written(packs.applyInPandas(added, "key long").distinct()), shift
 
 
 HELD_KEYS = 1 << 19  # phrases that a task counts before it gives them out
 
 
-def _counted_exactly(docs: DataFrame, bits, longest: int, shard_bytes: int) -> DataFrame:
-    """(key, lang, words, phrase, a): phrases of 2 to `longest` words that the filter lets through, and their exact counts."""
+def _counted_exactly(docs: DataFrame, filters, longest: int, shard_bytes: int) -> DataFrame:
+    """(key, lang, words, phrase, a): phrases of 2 to `longest` words that the filter of their length (a pair of bits and
+    shift) lets through, and their exact counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = Filter(bits.value)
+        look = {k: Filter(*f) for k, f in filters.value.items()}
         shards, hashes, langs, found = _Shards(shard_bytes, longest), [], [], []
         # What the task holds, in order of keys: key, language, words and count; and the phrases.
         held, phrases = [np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64)], pa.array([], pa.string())
@@ -219,7 +300,7 @@ def _counted_exactly(docs: DataFrame, bits, longest: int, shard_bytes: int) -> D
         for block, ends in shards(batches):
             for k in range(2, longest + 1):
                 at = np.flatnonzero(block.whole[k])
-                at = at[look.has(block.hashes[k][at])]
+                at = at[look[k].has(block.hashes[k][at])]
                 hashes.append(block.hashes[k][at])
                 langs.append(block.lang[at])
                 keys, first = np.unique(hashes[-1], return_index=True)
@@ -281,8 +362,7 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", *,
     small_batches(spark)
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     send = spark.sparkContext.broadcast
-    mined = lambda pick, k, sizes: _mined(texts, pick, k, sizes, support, shard_bytes)
-    words = written(mined(lambda b: [(1, np.arange(len(b.lang)))], 1, {}).where((F.col("gain") >= support) | F.col("key").isNull()))
+    words = _words_of(texts, support, shard_bytes)
     totals = words.where("key is null").select("lang", F.col("gain").alias("n"))
     frequent = words.where("key is not null").select("key", F.col("gain").alias("a"))
     sizes = {r.lang: r.n for r in totals.where("n > 0").orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
@@ -293,13 +373,14 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", *,
         ok = Filter(one.value).has(b.hashes[1])
         return [(2, np.flatnonzero(b.whole[2] & ok[:-1] & ok[1:]) if len(ok) else np.zeros(0, np.int64))]
 
-    two = _may_reach(mined(pairs, 2, sizes), support)
-    kept = [written(two)]
+    two, shift = _may_reach(texts, pairs, 2, sizes, support, shard_bytes)
+    bits = filter_of(two)
+    filters = {2: (bits, shift)}
     if longest > 2:
-        both = send(filter_of(kept[0]))
+        both = send(bits)
 
         def longer(b: Words) -> list[tuple[int, np.ndarray]]:
-            ok, out = Filter(both.value).has(b.hashes[2]) & b.whole[2], []
+            ok, out = Filter(both.value, shift).has(b.hashes[2]) & b.whole[2], []
             for k in range(3, longest + 1):
                 n = max(0, len(b.lang) - k + 1)
                 every = np.ones(n, bool)
@@ -308,9 +389,9 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", *,
                 out.append((k, np.flatnonzero(every)))
             return out
 
-        kept.append(written(_may_reach(mined(longer, longest, sizes), support)))
-    candidates = kept[0] if len(kept) == 1 else kept[0].unionByName(kept[1])
-    counted = _counted_exactly(texts, send(filter_of(candidates)), longest, shard_bytes)
+        more, shift_more = _may_reach(texts, longer, longest, sizes, support, shard_bytes)
+        filters |= dict.fromkeys(range(3, longest + 1), (filter_of(more), shift_more))
+    counted = _counted_exactly(texts, send(filters), longest, shard_bytes)
     return written(_with_parts(counted.where(F.col("a") >= support))), frequent, totals
 
 
