@@ -277,7 +277,7 @@ EVERY_WINDOW = " UNION ALL ".join(f"SELECT * FROM sid{k}" for k in GRID[1])
 # The first place of an embedding is the mean of the first column over the length of the whole vector; ratios of statistics
 # don't depend on that length, so they show that each window got its own values.
 def _stats_sql(k):
-    x = f"""SELECT s.window_id, s.ticker, s.end_date, s.end_year_month, s.window_size, s.stride, i.i - start_idx AS t, open, close, ln(1 + volume::DOUBLE) AS v, lag(close) OVER (PARTITION BY s.window_id ORDER BY i.i) AS pc FROM sid{k} s JOIN idx{k} i ON i.ticker = s.ticker AND i.i BETWEEN start_idx AND end_idx"""
+    x = f"""SELECT s.window_id, s.ticker, s.end_date, strftime(s.end_date, '%Y-%m') AS end_year_month, s.window_size, s.stride, i.i - start_idx AS t, open, close, ln(1 + volume::DOUBLE) AS v, lag(close) OVER (PARTITION BY s.window_id ORDER BY i.i) AS pc FROM sid{k} s JOIN idx{k} i ON i.ticker = s.ticker AND i.i BETWEEN start_idx AND end_idx"""
     return f"""SELECT window_id, ticker, end_date, end_year_month, window_size, stride, round(max(zo) / nullif(max(zc), 0), 3) + 0.0 AS max_open_over_close, round(min(zo) / nullif(max(zv), 0), 3) + 0.0 AS min_open_over_volume FROM (SELECT *, (ro - avg(ro) OVER w) / CASE WHEN coalesce(stddev_pop(ro) OVER w, 0) = 0 THEN 1 ELSE stddev_pop(ro) OVER w END AS zo,
 (rc - avg(rc) OVER w) / CASE WHEN coalesce(stddev_pop(rc) OVER w, 0) = 0 THEN 1 ELSE stddev_pop(rc) OVER w END AS zc, (v - avg(v) OVER w) / CASE WHEN coalesce(stddev_pop(v) OVER w, 0) = 0 THEN 1 ELSE stddev_pop(v) OVER w END AS zv
 FROM (SELECT *, open / nullif(pc, 0) - 1 AS ro, close / nullif(pc, 0) - 1 AS rc FROM ({x})) WINDOW w AS (PARTITION BY window_id)) GROUP BY ALL"""
@@ -329,11 +329,11 @@ def index_manifest(spark, sf):
 
 @query()
 def knn_index(spark, sf):
-    """The ten nearest rows of every hundredth id, found in a few cells of a stored index: as many as hold 95 % of the
-    neighbours of a sample of other rows (ids that leave 50 when divided by 200)."""
+    """The ten nearest rows of every hundredth id, found in a few cells of a stored index: as many as hold 97 % of the
+    neighbours of a sample of other rows (ids that leave 10 when divided by 20; 10,000 of them at most)."""
     e = S.table(spark, sf, "embeddings").select("vec_id", "embedding")
     index = V.build_index(e, shared_dir(spark) + "/vectors", "vec_id", "embedding")
-    probes = V.probes_for(index, e.where("vec_id % 200 = 50"), 10, 0.95)
+    probes = V.probes_for(index, e.where("vec_id % 20 = 10"), 10, 0.97)
     return V.search(index, e.where("vec_id % 100 = 0"), 10, probes=probes).select("query", "vec_id", "rank")
 
 
@@ -542,7 +542,7 @@ def streamed(spark, bar):
     return with_rounded(spark.read.schema(bar.schema).parquet(f"{base_dir}/table").select("ticker", "date", "close", "volume"), "close")
 
 
-@query(with_("last") + f"SELECT ticker, date, {rs('close', 'ret_1d', 'ret_5d', 'ret_21d', 'vol_avg_20', 'dollar_vol_avg_20', 'range_pct', places=4)}, rn FROM last")
+@query(with_("last") + f"SELECT ticker, date, {rs('close')}, {rs('ret_1d', 'ret_5d', 'ret_21d', 'vol_avg_20', 'dollar_vol_avg_20', 'range_pct', places=4)}, rn FROM last")
 def last_bars_stream(spark, sf):
     """The last 100 bars and their features, kept up by a stream over three drops in no order, the last with corrections."""
     base_dir = shared_dir(spark)
@@ -552,8 +552,8 @@ def last_bars_stream(spark, sf):
     for rows in (bar.where(part == 0), wrong, bar.where(part > 0)):
         rows.write.mode("append").parquet(f"{base_dir}/drops")
         latest.last_bars_stream(spark, f"{base_dir}/drops", f"{base_dir}/table", f"{base_dir}/state").awaitTermination()
-    names = ("close", "ret_1d", "ret_5d", "ret_21d", "vol_avg_20", "dollar_vol_avg_20", "range_pct")
-    return with_rounded(latest.read_last(spark, f"{base_dir}/table").select("ticker", "date", *names, "rn"), *names, places=4)
+    rows = latest.read_last(spark, f"{base_dir}/table").select("ticker", "date", "close", *B.FEATURES, "rn")
+    return with_rounded(with_rounded(rows, "close"), *B.FEATURES, places=4)
 
 
 @query((with_("bars") + """, x AS (SELECT ticker, date, close, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i FROM bars), e AS (SELECT ticker, i, close AS y FROM x WHERE i = 1 UNION ALL SELECT x.ticker, x.i, 2.0::DOUBLE / 21 * close + (1 - 2.0::DOUBLE / 21) * y FROM e JOIN x ON x.ticker = e.ticker AND x.i = e.i + 1)

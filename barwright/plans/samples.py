@@ -101,7 +101,7 @@ def clean_labels(spark, sf):
     return rows.select(F.concat(F.lit(" "), F.lower("o_orderpriority"), F.lit(" ")).alias("ticker"), F.col("o_orderdate").cast("date").cast("string").alias("date"), "setup", words.alias("label"), "is_gap", F.when(k % 4 == 0, "n/a").otherwise(F.col("seq").cast("string")).alias("weight"), "o_orderkey")
 
 
-@query(with_("sess", more=CLEAN + """, at AS (SELECT upper(trim(ticker)) AS ticker, (SELECT min(date) FROM sess WHERE date BETWEEN d AND d + 10) AS asof_date, setup, label, is_gap, weight, o_orderkey FROM clean)""") + """SELECT substr(sha1(ticker || '|' || CAST(asof_date AS VARCHAR) || '|' || setup), 1, 16) AS sample_id, asof_date, label, is_gap, CAST(weight AS DOUBLE) AS weight FROM at QUALIFY row_number() OVER (PARTITION BY ticker, asof_date, setup ORDER BY o_orderkey) = 1""")
+@query(with_("sess", more=CLEAN + """, lx AS (SELECT upper(trim(ticker)) AS ticker, (SELECT min(date) FROM sess WHERE date BETWEEN d AND d + 10) AS asof_date, setup, label, is_gap, weight, o_orderkey FROM clean)""") + """SELECT substr(sha1(ticker || '|' || CAST(asof_date AS VARCHAR) || '|' || setup), 1, 16) AS sample_id, asof_date, label, is_gap, CAST(weight AS DOUBLE) AS weight FROM lx QUALIFY row_number() OVER (PARTITION BY ticker, asof_date, setup ORDER BY o_orderkey) = 1""")
 def labels_load(spark, sf):
     """Labels loaded as one job: dates become the next session, of repeated keys the first row stays."""
     sess = S.sessions(written(S.bars(spark, sf)))
