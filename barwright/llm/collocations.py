@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -284,18 +285,19 @@ HELD_KEYS = 1 << 19  # phrases that a task counts before it gives them out
 
 
 def _counted_exactly(docs: DataFrame, filters, longest: int, shard_bytes: int) -> DataFrame:
-    """(key, lang, words, phrase, a): phrases of 2 to `longest` words that the filter of their length (a pair of bits and
-    shift) lets through, and their exact counts."""
+    """(lang, phrase, a): phrases of 2 to `longest` words that the filter of their length (a pair of bits and shift) lets
+    through, and their exact counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = {k: Filter(*f) for k, f in filters.value.items()}
         shards, hashes, langs, found = _Shards(shard_bytes, longest), [], [], []
-        # What the task holds, in order of keys: key, language, words and count; and the phrases.
-        held, phrases = [np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64)], pa.array([], pa.string())
+        # What the task holds, in order of keys: key, language and count; and the phrases.
+        held, phrases = [np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64)], pa.array([], pa.string())
 
         def out() -> Iterator[pa.RecordBatch]:
+            order = pc.sort_indices(phrases)  # equal beginnings side by side: a shuffle file is half as large
             names = pa.array(shards.names(), pa.string())
-            yield from _sliced(pa.RecordBatch.from_arrays([long_array(held[0]), names.take(pa.array(held[1])), pa.array(held[2]), phrases, pa.array(held[3])], ["key", "lang", "words", "phrase", "n"]))
+            yield from _sliced(pa.RecordBatch.from_arrays([names.take(pa.array(held[1]).take(order)), phrases.take(order), pa.array(held[2]).take(order)], ["lang", "phrase", "n"]))
 
         for block, ends in shards(batches):
             for k in range(2, longest + 1):
@@ -306,18 +308,17 @@ def _counted_exactly(docs: DataFrame, filters, longest: int, shard_bytes: int) -
                 keys, first = np.unique(hashes[-1], return_index=True)
                 new = ~contains(held[0], keys)
                 if new.any():
-                    found.append((keys[new], np.full(int(new.sum()), k, np.int32), block.texts(k, at[first[new]])))
+                    found.append((keys[new], block.texts(k, at[first[new]])))
             if not ends:
                 continue
             keys, counts, of = _counted(hashes, langs)
             known = contains(held[0], keys)
-            held[3][np.searchsorted(held[0], keys[known])] += counts[known]
+            held[2][np.searchsorted(held[0], keys[known])] += counts[known]
             if found:
                 each, once = np.unique(np.concatenate([f[0] for f in found]), return_index=True)  # those that aren't held yet
-                words = np.concatenate([f[1] for f in found])[once]
-                texts = pa.concat_arrays([f[2] for f in found]).take(pa.array(once))
+                texts = pa.concat_arrays([f[1] for f in found]).take(pa.array(once))
                 order = np.argsort(np.concatenate([held[0], each]), kind="stable")
-                new = (each, of[~known], words, counts[~known])
+                new = (each, of[~known], counts[~known])
                 held = [np.concatenate([x, y])[order] for x, y in zip(held, new, strict=True)]
                 phrases = pa.concat_arrays([phrases, texts]).take(pa.array(order))
             hashes, langs, found = [], [], []
@@ -327,13 +328,12 @@ def _counted_exactly(docs: DataFrame, filters, longest: int, shard_bytes: int) -
             pa.default_memory_pool().release_unused()
         yield from out()
 
-    rows = docs.mapInArrow(run, "key long, lang string, words int, phrase string, n long")
-    return rows.groupBy("key", "lang", "words", "phrase").agg(F.sum("n").alias("a"))
+    return docs.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
 
 
 def _with_parts(found: DataFrame) -> DataFrame:
-    """found(key, lang, words, phrase, a) with the keys of what is before each cut (firsts), behind it (rests), and of the
-    shorter phrases of two words or more inside (inner)."""
+    """found(lang, phrase, a) with the phrase's key, the keys of what is before each cut (firsts), behind it (rests), and of
+    the shorter phrases of two words or more inside (inner)."""
 
     def lists(rows: np.ndarray) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array((np.arange(len(rows) + 1) * rows.shape[1]).astype(np.int32)), long_array(rows.ravel()))
@@ -343,20 +343,20 @@ def _with_parts(found: DataFrame) -> DataFrame:
             codes = rows.column(rows.schema.get_field_index("lang")).dictionary_encode()
             salts = np.array([_salt(x) for x in codes.dictionary.to_pylist()], np.uint64)
             block = Words(data, off, codes.indices.to_numpy(), salts, LONGEST)
-            words = rows.column(rows.schema.get_field_index("words")).to_numpy()
+            words = np.diff(block.first)
             for k in np.unique(words).tolist():
                 own = np.flatnonzero(words == k)
-                parts = block.parts(k, block.first[own])
-                yield pa.RecordBatch.from_arrays([*rows.take(pa.array(own)).columns, *map(lists, parts)], [*rows.schema.names, "firsts", "rests", "inner"])
+                at = block.first[own]
+                yield pa.RecordBatch.from_arrays([*rows.take(pa.array(own)).columns, long_array(block.hashes[k][at]), *map(lists, block.parts(k, at))], ["lang", "phrase", "a", "key", "firsts", "rests", "inner"])
 
-    return found.mapInArrow(run, "key long, lang string, words int, phrase string, a long, firsts array<long>, rests array<long>, inner array<long>")
+    return found.select("lang", "phrase", "a").mapInArrow(run, "lang string, phrase string, a long, key long, firsts array<long>, rests array<long>, inner array<long>")
 
 
 # ------------------------------------------------------------------ the operator
 
 
 def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", *, support: int = SUPPORT, longest: int = LONGEST, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Frequent phrases of docs: (key, lang, words, a, phrase, firsts, rests, inner) of 2 to `longest` words, (key, a) of
+    """Frequent phrases of docs: (key, lang, a, phrase, firsts, rests, inner) of 2 to `longest` words, (key, a) of
     words, and (lang, n) with the words of each language. All are written tables."""
     spark = docs.sparkSession
     small_batches(spark)
