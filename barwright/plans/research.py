@@ -307,11 +307,11 @@ def embed_lookup(spark, sf):
     return E.lookup(stored_index(spark, sf), examples).select("window_id", "ticker", "end_date", *index_values())
 
 
-def updated_index(spark, sf):
+def updated_index(spark, sf, sizes=GRID[0], strides=GRID[1]):
     """The folder of an index that was made of bars before 1997 and brought up to date with all of them."""
-    path, bar = shared_dir(spark) + "/kept", S.bars(spark, sf)
+    path, bar = shared_dir(spark) + "/kept", written(S.bars(spark, sf))
     for rows in (bar.where("date < date '1997-01-01'"), bar):
-        I.update_index(spark, path, rows, *GRID, I.Encoder(columns=PC, dims=256))
+        I.update_index(spark, path, rows, sizes, strides, I.Encoder(columns=PC, dims=256))
     return path
 
 
@@ -321,10 +321,10 @@ def index_updated(spark, sf):
     return I.open_index(spark, updated_index(spark, sf)).select("window_id", "ticker", "end_year_month", "window_size", "stride", *index_values())
 
 
-@query(with_("bars", more=SLIDES) + f"SELECT ticker, window_size, stride, max(end_date) AS last_date, count(*) AS n_windows FROM ({EVERY_WINDOW}) GROUP BY ALL")
+@query(with_("bars", more=SLIDES) + f"SELECT ticker, window_size, stride, max(end_date) AS last_date, count(*) AS n_windows FROM sid50 WHERE window_size = 32 GROUP BY ALL")
 def index_manifest(spark, sf):
-    """What the kept index knows of itself: the newest window of each ticker, length and stride."""
-    return I.manifest(spark, updated_index(spark, sf))
+    """What an index of one length and stride knows of itself: the newest window of each ticker."""
+    return I.manifest(spark, updated_index(spark, sf, (32,), (50,)))
 
 
 @query()

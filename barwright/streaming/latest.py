@@ -6,11 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from .upsert import upsert
+from ..operators.bars import last_n
+from ..sources.shared import written
 
 BAR = "date date, open double, high double, low double, close double, volume bigint, asof_ts timestamp"
 FEATURES = "ret_1d double, ret_5d double, ret_21d double, vol_avg_20 double, dollar_vol_avg_20 double, range_pct double"
@@ -93,29 +96,52 @@ class LatestBars(StatefulProcessor):
         pass
 
 
+SCHEMA = f"ticker string, {BAR}, {FEATURES}, bucket int"
+BUCKETS = 16  # folders of the table; a micro-batch rewrites those of its tickers
+
+
+def put(spark: SparkSession, batch: DataFrame, path: str, n: int) -> None:
+    """Puts rows of (ticker, date) in the place of the table's or beside them, and leaves the last n of each ticker. A batch
+    that runs twice changes nothing."""
+    batch = batch.withColumn("bucket", F.pmod(F.xxhash64("ticker"), F.lit(BUCKETS)).cast("int")).persist()
+    try:
+        touched = [r.bucket for r in batch.select("bucket").distinct().collect()]
+        if not touched:
+            return
+        try:
+            old = spark.read.schema(SCHEMA).parquet(path).where(F.col("bucket").isin(touched))
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            old = batch.limit(0)
+        both = old.withColumn("_new", F.lit(0)).unionByName(batch.withColumn("_new", F.lit(1)))
+        rest = [c for c in batch.columns if c not in ("ticker", "date")]
+        rows = both.groupBy("ticker", "date").agg(F.max_by(F.struct(*rest), "_new").alias("_r")).select("ticker", "date", "_r.*")
+        rows = written(last_n(rows, n).drop("rn"))  # the folders that are rewritten were read
+        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    finally:
+        batch.unpersist()
+
+
 def last_bars_stream(spark: SparkSession, source: str, table_path: str, checkpoint: str, *, n: int = 100, ttl_ms: int | None = None) -> StreamingQuery:
-    """Reads bar files (ticker, BAR) as they arrive in `source` and keeps `table_path` (folders by date) at the last n bars of
-    each ticker with their features; older rows stay in the table as they were, read_last leaves them out.
+    """Reads bar files (ticker, BAR) as they arrive in `source` and keeps the table at the last n bars of each ticker with
+    their features.
 
     Of bars of one ticker and date the latest asof_ts counts, so any order and any split of the same files give the
     same rows. ttl_ms: a ticker that had no bar for so long is forgotten; it starts anew when one comes. Bars without a
     ticker or a date go. State is kept in RocksDB, whose provider is set while the query starts.
     """
-    if not spark.sparkContext.getCheckpointDir():  # folders that are rewritten are also read
-        spark.sparkContext.setCheckpointDir(f"{checkpoint}-rows")
     stream = spark.readStream.schema(f"ticker string, {BAR}").parquet(source).where("ticker is not null and date is not null")
     kept = stream.groupBy("ticker").transformWithStateInPandas(LatestBars(n, ttl_ms), f"ticker string, {BAR}, {FEATURES}", "Update", "ProcessingTime" if ttl_ms else "None")
     provider = "spark.sql.streaming.stateStore.providerClass"
     was = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return kept.writeStream.outputMode("update").foreachBatch(lambda df, _: upsert(df.sparkSession, df, table_path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        return kept.writeStream.outputMode("update").foreachBatch(lambda df, _: put(df.sparkSession, df, table_path, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
         spark.conf.set(provider, was)
 
 
 def read_last(spark: SparkSession, table_path: str, n: int = 100) -> DataFrame:
     """The last n bars of each ticker in the stream's table, rn 1 being the newest."""
-    from ..operators.bars import last_n
-
-    return last_n(spark.read.schema(f"ticker string, {BAR}, {FEATURES}").parquet(table_path), n)
+    return last_n(spark.read.schema(SCHEMA).parquet(table_path).drop("bucket"), n)
