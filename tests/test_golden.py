@@ -424,7 +424,7 @@ def test_run_files_and_digests(spark, tmp_path):
     got = {r.run: r.entries for r in runs.read_runs(spark, f"file://{tmp_path}/runs").collect()}
     assert got == {"r1": {"metrics.n": "3", "metrics.test.auroc": "0.5"}, "r2": {"metrics.n": "4", "metrics.test.auroc": "0.5"}}
     found = {r.path.rsplit("/", 2)[1]: r.digest for r in runs.digests(spark, f"file://{tmp_path}/runs", "*.json").collect()}
-    assert found["r1"] == hashlib.sha1(b'{"n": 3, "test": {"auroc": 0.5}}').hexdigest() != found["r2"]
+    assert found["r1"] == hashlib.sha256(b'{"n": 3, "test": {"auroc": 0.5}}').hexdigest() != found["r2"]
 
 
 def test_queries_in_blocks(spark):

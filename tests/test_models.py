@@ -125,7 +125,7 @@ def test_regimes_of_a_calm_rise_and_a_wild_fall(spark):
             wild = (i // 40) % 2 == (t == "UP")
             close *= math.exp(rng.normal(-0.01, 0.03) if wild else rng.normal(0.004, 0.004))
             rows.append((t, d + dt.timedelta(days=i), close, bool(wild)))
-    rows += [("SHORT", dt.date(2021, 3, 1), 1.0, False)] * 3
+    rows += [("SHORT", dt.date(2021, 3, 1 + i), 1.0, False) for i in range(3)]
     bar = spark.createDataFrame(rows, "ticker string, date date, close double, wild boolean")
     for smoothed, least in ((False, 0.88), (True, 0.95)):  # a filter knows a change only some days behind it
         got = models.regimes(bar, iterations=8, smoothed=smoothed).join(bar, ["ticker", "date"]).collect()
