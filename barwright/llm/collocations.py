@@ -261,6 +261,8 @@ def _may_reach(docs: DataFrame, pick: Callable[[Words], list[tuple[int, np.ndarr
             inner = key & np.uint64((1 << rest) - 1)
             for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)], strict=True):
                 rows.append((names[code], int(place[a]), _packed(inner[a:b], sums[a:b], width), b - a))
+        if not rows:  # a shard without words
+            return
         columns = list(zip(*rows, strict=True))
         yield from _sliced(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.binary(), pa.int64()), strict=True)], ["lang", "place", "blob", "n"]), 1 << 12)
 
