@@ -36,10 +36,11 @@ def free_names(columns: list[str], *names: str) -> list[str]:
 BROADCAST_ROWS = 1 << 18  # narrow rows (ids) that are broadcast at most: some MB
 
 
-def small_side(ids: DataFrame) -> DataFrame:
+def small_side(ids: DataFrame, size: int | None = None) -> DataFrame:
     """A written table of ids to join texts with: broadcast if it is counted to be small, so that texts stay where they
-    are; else texts are shuffled and the ids are the hashed side, so that texts aren't sorted."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids.hint("shuffle_hash")
+    are; else texts are shuffled and the ids are the hashed side, so that texts aren't sorted. `size`: the narrow rows that
+    it is made of, where its rows hold lists."""
+    return F.broadcast(ids) if (ids.count() if size is None else size) <= BROADCAST_ROWS else ids.hint("shuffle_hash")
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -131,15 +131,15 @@ def _firsts(hot: np.ndarray, leaders: np.ndarray, words: int, percent: int):
 
 
 def _tokens(words: int):
-    """(s1, node, tokens) of each node's text: the whole set as bytes; rows that repeat id and text once in a task."""
+    """(node, tokens, deals) of each node's text: the whole set as bytes; rows that repeat id and text once in a task."""
 
     def run(batches):
         seen = set()
         for rows, sets in shingle_sets(batches, words):
-            nodes = rows.column(3).to_pylist()
+            nodes = rows.column(2).to_pylist()
             new = [k for k, x in enumerate(nodes) if x not in seen and not seen.add(x)]
             picked = rows.take(pa.array(new, pa.int64()))
-            yield pa.RecordBatch.from_arrays([picked.column(2), picked.column(3), pa.array([sets[k].tobytes() for k in new], pa.binary())], ["s1", "node", "tokens"])
+            yield pa.RecordBatch.from_arrays([picked.column(2), pa.array([sets[k].tobytes() for k in new], pa.binary()), picked.column(3)], ["node", "tokens", "deals"])
 
     return run
 
@@ -148,8 +148,9 @@ def _tokens(words: int):
 
 
 def width_of(n: int) -> int:
-    """Bits of the bitmap of a set of n tokens: 2 to 4 a token, a power of two."""
-    return max(64, 1 << (2 * n - 1).bit_length())
+    """Bits of the bitmap of a set of n tokens: 1 to 2 a token, a power of two. Unrelated sets of n tokens in n bits have some
+    0.77 n as their largest possible overlap (shared bits and slack), well below the 0.89 n that a link takes."""
+    return max(64, 1 << max(0, n - 1).bit_length())
 
 
 def bitmap(u: np.ndarray) -> bytes:
@@ -285,7 +286,7 @@ def _rows(rows: Iterator[tuple], names: list[str], types: list, most: int = 4096
 
 
 def _possible(percent: int):
-    """(leader, part, sub, s1, comp): the sets of each part that can be linked to another one; `sub` names the ones
+    """(leader, part, sub, s1, n, comp): the sets of each part that can be linked to another one; `sub` names the ones
     that can be connected."""
 
     def found(batches):
@@ -297,10 +298,10 @@ def _possible(percent: int):
                     groups.join(a, b)
                     some |= {a, b}
             for k in sorted(some):
-                yield rows[k][0], rows[k][1], rows[groups.root(k)][2], rows[k][2], known[k]
+                yield rows[k][0], rows[k][1], rows[groups.root(k)][2], rows[k][2], rows[k][4], known[k]
 
     def run(batches):
-        yield from _rows(found(batches), ["leader", "part", "sub", "s1", "comp"], [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()])
+        yield from _rows(found(batches), ["leader", "part", "sub", "s1", "n", "comp"], [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()])
 
     return run
 
@@ -319,16 +320,41 @@ def _exact(percent: int):
     return run
 
 
-def walk_parts(parts: DataFrame, classes: DataFrame, signatures: DataFrame, text: DataFrame, percent: int, words: int) -> DataFrame:
-    """parts(leader, part, s1, comp): links (a, b) of nodes, found by the trees of all (leader, part). The whole sets
-    of those that bitmaps leave are read again, by id and text hash; texts are shuffled once, the small side is hashed."""
-    rows = parts.join(signatures.select("s1", "node", "n", "bits"), "s1").select("leader", "part", "s1", "comp", "n", "bits").repartition("leader", "part").sortWithinPartitions("leader", "part", "s1")
-    left = written(rows.mapInArrow(_possible(percent), "leader long, part string, sub long, s1 long, comp long"))
-    need = written(classes.join(left.select("s1").distinct(), "s1", "left_semi").select(F.col("best.doc_id").alias("of"), F.col("best.th").alias("th"), "s1", "node"))
-    found = text.withColumn("_th", F.xxhash64("text")).join(small_side(need), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("_th") == F.col("th")))
-    tokens = found.select("doc_id", "text", "s1", "node").mapInArrow(_tokens(words), "s1 long, node long, tokens binary")
+def of_like_size(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows (leader, part, n, more) whose size another row of their part comes near enough to for a link. The nearest
+    sizes are the neighbours in the order of sizes, so no pair that can be linked is lost."""
+    line = Window.partitionBy("leader", "part").orderBy("n")
+    n, before, after = F.col("n"), F.lag("n").over(line), F.lead("n").over(line)
+    return rows.withColumn("_near", F.coalesce(100 * before >= percent * n, F.lit(False)) | F.coalesce(100 * n >= percent * after, F.lit(False))).where("_near").drop("_near")
+
+
+def regrouped(left: DataFrame, block_docs: int, block_tokens: int) -> DataFrame:
+    """left(leader, part, sub, s1, n, comp): the groups (leader, part, sub, s1, comp) to check exactly. Near copies meet in
+    many blocks; groups that share a set become one, with each set once, where that is no larger than a block may be.
+    It holds every pair that its groups hold. Larger ones stay as they are."""
+    links = connected_components(left.select(F.col("sub").alias("a"), F.col("s1").alias("b")))
+    own = left.select("s1", "n", "comp").distinct().join(links.select(F.col("node").alias("s1"), F.col("comp").alias("to")), "s1", "left").withColumn("to", F.coalesce("to", "s1"))
+    size = own.groupBy("to").agg(F.count("*").alias("size"), F.sum("n").alias("tokens"))
+    fits = (F.col("size") <= block_docs) & (F.col("tokens") <= block_tokens)
+    own = written(own.join(size, "to").select("to", "s1", "comp", fits.alias("fits")).distinct())
+    whole = own.where("fits").select(F.col("to").alias("leader"), F.lit("").alias("part"), F.col("to").alias("sub"), "s1", "comp")
+    return whole.unionByName(left.join(own.where("not fits").select("s1").distinct(), "s1", "left_semi").select(whole.columns))
+
+
+def walk_parts(parts: DataFrame, classes: DataFrame, text: DataFrame, percent: int, words: int, block_docs: int, block_tokens: int) -> DataFrame:
+    """parts(leader, part, s1, comp): links (a, b) of nodes, found by the trees of all (leader, part). Only sets with others
+    of like size get their bitmaps. The whole sets of those that bitmaps leave are read again, by id and text hash, and
+    go to one group each wherever groups aren't too large. A text brings the groups of its set along, so whole sets move
+    once; texts move once if the sets are too many to be sent to them."""
+    sizes = of_like_size(parts.join(classes.select("s1", "node", "n"), "s1"), percent)
+    rows = sizes.join(classes.select("node", "bits"), "node").select("leader", "part", "s1", "comp", "n", "bits").repartition("leader", "part").sortWithinPartitions("leader", "part", "s1")
+    left = written(regrouped(written(rows.mapInArrow(_possible(percent), "leader long, part string, sub long, s1 long, n long, comp long")), block_docs, block_tokens))
+    deals = left.groupBy("s1").agg(F.collect_list(F.struct("leader", "part", "sub", "comp")).alias("deals"))
+    need = written(classes.join(deals, "s1").select(F.col("best.doc_id").alias("of"), F.col("best.th").alias("th"), "node", "deals"))
+    found = text.withColumn("_th", F.xxhash64("text")).join(small_side(need, left.count()), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("_th") == F.col("th")))
+    tokens = found.select("doc_id", "text", "node", "deals").mapInArrow(_tokens(words), "node long, tokens binary, deals array<struct<leader:long,part:string,sub:long,comp:long>>")
     # Two tasks can both have had the same row; a link of a node to itself is none.
-    rows = left.join(tokens, "s1").select("leader", "part", "sub", "node", "comp", "tokens").repartition("leader", "part", "sub").sortWithinPartitions("leader", "part", "sub", "node")
+    rows = tokens.select(F.explode("deals").alias("deal"), "node", "tokens").select("deal.leader", "deal.part", "deal.sub", "node", "deal.comp", "tokens").repartition("leader", "part", "sub").sortWithinPartitions("leader", "part", "sub", "node")
     return written(rows.mapInArrow(_exact(percent), "a long, b long").distinct())
 
 
@@ -348,9 +374,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = written(text.withColumn("th", F.xxhash64("text")).mapInArrow(_classes(words), "kind int, doc_id long, th long, n long, s1 long, s2 long, bits binary"))
     hot, leaders = heavy_keys(found.where("kind = 1").select(F.col("s1").alias("key"), "n", F.col("s2").alias("owner")), HOT_LIST)
     sets = found.where("kind = 0")
-    # Equal sets are a class: a number (the row's place in the written table), its smallest id, and one row to read it from.
+    # Equal sets are a class: a number (the row's place in the written table), its smallest id, its bitmap, and one row to
+    # read it from.
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("best")
-    classes = written(sets.where("n > 0").groupBy("s1", "s2", "n").agg(best, F.min("doc_id").alias("class_id")).withColumn("node", F.monotonically_increasing_id()))
+    classes = written(sets.where("n > 0").groupBy("s1", "s2", "n").agg(best, F.min("doc_id").alias("class_id"), F.first("bits", ignorenulls=True).alias("bits")).withColumn("node", F.monotonically_increasing_id()))
 
     # Blocks: the sets that share a first hash, named by their leader, the smallest key. One exchange by token and an
     # order in it give each row its leader; a token that isn't known as frequent has a small share of all rows.
@@ -361,21 +388,18 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     firsts = firsts.where(known | (F.col("s") != F.col("before")) & (F.col("s") != F.col("low"))).select(F.when(known, F.shiftrightunsigned("token", 16)).otherwise(F.col("low")).alias("leader"), F.col("s").alias("s1"))
     members = written(firsts.distinct().join(classes.groupBy("s1").agg(F.max("n").alias("n")), "s1"))
     sized = written(members.groupBy("leader").agg((F.count("*") + 1).alias("size"), F.sum("n").alias("tokens")))
-    named = members.select("s1").unionByName(sized.select(F.col("leader").alias("s1"))).distinct()
-    own = classes.join(named, "s1", "left_semi").select("s1", "s2", "n", "node")
-    signatures = written(sets.where("bits is not null").select("s1", "s2", "n", "bits").join(own, ["s1", "s2", "n"]).groupBy("s1", "node", "n").agg(F.first("bits").alias("bits")))
 
     parts = F.greatest(F.ceil(F.col("size") / block_docs), F.ceil(F.col("tokens") / block_tokens))
     rest = members.join(sized, "leader").select("leader", F.pmod(F.xxhash64("s1"), parts).cast("string").alias("part"), "s1")
     heads = sized.select("leader", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda x: x.cast("string"))).alias("part"), F.col("leader").alias("s1"))
-    links = walk_parts(rest.unionByName(heads).withColumn("comp", F.lit(None).cast("long")), classes, signatures, text, percent, words)
+    links = walk_parts(rest.unionByName(heads).withColumn("comp", F.lit(None).cast("long")), classes, text, percent, words, block_docs, block_tokens)
 
     # Blocks walked in parts: sets of different components meet, until all parts have met.
     large = sized.withColumn("parts", parts).where("parts > 1")
     if not large.isEmpty():
         block = members.select("leader", "s1").unionByName(large.select("leader", F.col("leader").alias("s1")))
-        across = _across(block, large, signatures, connected_components(links))
-        links = links.unionByName(walk_parts(across, classes, signatures, text, percent, words))
+        across = _across(block, large, classes, connected_components(links))
+        links = links.unionByName(walk_parts(across, classes, text, percent, words, block_docs, block_tokens))
 
     # A component is named by the smallest id of its rows; null if none of them has an id.
     linked = classes.select("s1", "s2", "n", "node", "class_id").join(connected_components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -386,11 +410,11 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
-def _across(members: DataFrame, large: DataFrame, signatures: DataFrame, comps: DataFrame) -> DataFrame:
+def _across(members: DataFrame, large: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
     """Parts for what the first walk of large blocks (leader, size, tokens, parts) hasn't compared. In a block with several
     components, the sets outside its largest component meet one another and those of the largest; a block of one
     component is done. A set is copied to as many parts as there are chunks of half a part's sets or tokens."""
-    known = signatures.select("s1", "node", "n").join(comps, "node", "left").select("s1", "n", F.coalesce("comp", "node").alias("comp"))
+    known = classes.select("s1", "node", "n").join(comps, "node", "left").select("s1", "n", F.coalesce("comp", "node").alias("comp"))
     rows = written(members.join(large.select("leader", "parts", "size", "tokens"), "leader").join(known, "s1"))
     sizes = rows.groupBy("leader", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("t"))
     main = sizes.groupBy("leader").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.max(F.struct("k", "comp", "t")).alias("top"), F.sum("k").alias("k_all"), F.sum("t").alias("t_all")).where("k_all > top.k")
@@ -411,11 +435,14 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each component, that of the smallest id (rows without an id last, ties by the text's hash); all columns
     stay, whatever their names. Rows are linked by their texts, also those that repeat an id or have none. Of rows without
     shingles those stay that don't repeat the id and text of another, and all without an id. No rows give no rows."""
-    row = free_names(docs.columns, "_row")[0]
-    rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    row, word, bits = free_names(docs.columns, "_row", "_word", "_bits")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), codec="zstd")
     found = ngram_join(rows, row).select(F.col("doc_id").alias("r"), "n_shingles", "component_id")
     key = rows.select(F.col(row).alias("r"), "doc_id", F.xxhash64("text").alias("h"))
     alone = F.col("n_shingles") == 0
     group = [F.when(~alone | F.col("doc_id").isNull(), F.col("component_id")).alias("c"), F.when(alone, F.col("doc_id")).alias("d"), F.when(alone, F.col("h")).alias("t")]
     keep = found.join(key, "r").groupBy(*group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h", "r")).alias("best")).select(F.col("best.r").alias(row))
-    return rows.join(keep.hint("shuffle_hash"), row, "left_semi").select(docs.columns)
+    # A bit for each row that stays, 64 to a word: few enough to be sent to texts, which then stay where they are.
+    place, bit = F.shiftright(row, 6), F.call_function("shiftleft", F.lit(1).cast("long"), F.col(row).bitwiseAND(63).cast("int"))
+    marks = written(keep.groupBy(place.alias(word)).agg(F.bit_or(bit).alias(bits)))
+    return rows.join(small_side(marks), place == F.col(word)).where(F.col(bits).bitwiseAND(bit) != 0).select(docs.columns)

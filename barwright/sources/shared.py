@@ -20,8 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/barwright-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, *, partitions: int | None = None) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
+def written(df: DataFrame, *, partitions: int | None = None, codec: str | None = None) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: cuts lineage, survives lost executors. codec: of the files,
+    where it isn't to be the session's."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession) + "/table"
-    (df.coalesce(partitions) if partitions else df).write.parquet(path)
+    (df.coalesce(partitions) if partitions else df).write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)

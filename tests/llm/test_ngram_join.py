@@ -122,3 +122,47 @@ def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(5, 5), (200, 201), (201, 200)]
     got = {r.node: r.comp for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, 200: 200, 201: 200}
+
+
+def test_texts_stay_where_they_are(docs_of):
+    """The rows that stay are told by bits that go to the texts: no exchange in the plan carries texts."""
+    plan = N.one_of_each(docs_of(texts(5, 30)))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning(_row" not in plan
+
+
+def test_each_row_has_its_own_bit(docs_of):
+    """More rows in a partition than a word has bits; of three copies each the first stays."""
+    t = {i: f"a{i // 3} b{i // 3} c{i // 3} d{i // 3} e{i // 3}" for i in range(600)}
+    assert {r.doc_id for r in N.one_of_each(docs_of(t).coalesce(1)).collect()} == set(range(0, 600, 3))
+
+
+def test_many_rows_to_send_are_shuffled(docs_of, monkeypatch):
+    from barwright.llm import common
+
+    t = texts(6, 40)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert {r.doc_id for r in N.one_of_each(docs_of(t)).collect()} == {d for d, (_, c) in brute(t).items() if c == d}
+
+
+def test_whole_sets_go_to_one_group(spark):
+    """Near copies that meet in three blocks are checked as one group; a group larger than a block stays as it was."""
+    rows = [(1, "0", 1, 1), (1, "0", 1, 2), (1, "0", 1, 3), (2, "0", 2, 2), (2, "0", 2, 3), (3, "1", 3, 3), (3, "1", 3, 4), (9, "0", 9, 9), (9, "0", 9, 10)]
+    left = spark.createDataFrame([(*r, 50, None) for r in rows], "leader long, part string, sub long, s1 long, n long, comp long")
+    groups = lambda *most: sorted(tuple(r) for r in N.regrouped(left, *most).select("leader", "part", "sub", "s1").collect())
+    assert groups(4, 1000) == [(1, "", 1, x) for x in (1, 2, 3, 4)] + [(9, "", 9, 9), (9, "", 9, 10)]
+    assert groups(3, 1000) == groups(4, 199) == sorted([*rows[:7], (9, "", 9, 9), (9, "", 9, 10)])
+
+
+def test_sets_of_no_like_size_get_no_bitmaps(spark):
+    rows = [(1, "0", 100), (1, "0", 80), (1, "0", 63), (1, "0", 51), (1, "0", 20), (2, "0", 20), (2, "0", 24), (3, "0", 7), (4, "0", 9), (4, "0", 9)]
+    got = N.of_like_size(spark.createDataFrame(rows, "leader long, part string, n long"), 80)
+    sizes = lambda k: [n for x, _, n in rows if x == k]
+    want = [r for r in rows if sum(100 * min(n, r[2]) >= 80 * max(n, r[2]) for n in sizes(r[0])) > 1]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_bitmaps_are_short_and_tell_unrelated_sets_apart():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (1, 64, 65, 512, 512, 600, 4096, 4000)]
+    assert [len(N.bitmap(u)) * 8 for u in sets] == [64, 64, 128, 512, 512, 1024, 4096, 4096]
+    assert not list(N.possible_pairs([len(u) for u in sets], [N.bitmap(u) for u in sets]))
