@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ticker_bucket
+from . import cosines
 from .window_features import pooled
 
 EPS = 1e-12
-QUERY_ROWS = 10_000  # queries that are broadcast at once
+QUERY_ROWS = 10_000  # queries that are sent at once
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -23,32 +24,44 @@ def dot(a: str | Column, b: str | Column) -> Column:
 
 
 def unit(a: str | Column) -> Column:
-    """The vector over its length (1e-12 at least)."""
+    """The vector over its length (1e-12 at least), which an array of one holds: in the lambda it would be summed up anew for
+    each entry."""
     n = F.greatest(F.sqrt(dot(a, a)), F.lit(EPS))
-    return F.transform(a, lambda x: x.cast("double") / n)
+    return F.get(F.transform(F.array(n), lambda m: F.transform(a, lambda x: x.cast("double") / m)), F.lit(0))
 
 
 def cosine_pairs(items: DataFrame, queries: DataFrame, key: str, vector: str, *, block: int = QUERY_ROWS) -> DataFrame:
-    """(query, key, cosine) of a stated query set against all items: the queries are broadcast after a count, so items
-    stay where they are; more than `block` go in blocks of about so many, one pass over the items each."""
-    return reduce(DataFrame.unionByName, _by_block(items, queries, key, vector, block))
+    """(query, key, cosine) of a stated query set against all items. The queries are counted and sent to the items' tasks;
+    more than `block` (or than 64 MB of them) go in blocks of about so many, one pass over the items each. The cosine is
+    null where a vector is missing, holds a null or is of another length than the query's."""
+    schema = f"query {dict(queries.dtypes)[key]}, `{key}` {dict(items.dtypes)[key]}, cosine double"
+    rows, blocks = _by_block(items, queries, key, vector, block)
+    return reduce(DataFrame.unionByName, [rows.mapInArrow(cosines.all_pairs(items.sparkSession, b), schema) for b in blocks])
 
 
-def _by_block(items: DataFrame, queries: DataFrame, key: str, vector: str, block: int) -> list[DataFrame]:
-    """The pairs of each block of queries; all rows of a query are in one block."""
-    n = max(1, math.ceil(queries.count() / block))
-    q = queries.select(F.col(key).alias("query"), unit(vector).alias("_q"))
-    own = [q] if n == 1 else [q.where(F.pmod(F.xxhash64("query"), F.lit(n)) == k) for k in range(n)]
-    v = items.select(key, unit(vector).alias("_v"))
-    return [v.crossJoin(F.broadcast(x)).select("query", key, dot("_q", "_v").alias("cosine")) for x in own]
+def _by_block(items: DataFrame, queries: DataFrame, key: str, vector: str, block: int) -> tuple[DataFrame, list[cosines.Block]]:
+    """The items, dealt to tasks, and blocks of queries; all rows of a query are in one block."""
+    n, most = cosines.block_rows(queries, vector, block)
+    blocks = max(1, math.ceil(n / most))
+    q = cosines.numbers(queries, key, vector)
+    own = [q] if blocks == 1 else [q.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == k) for k in range(blocks)]
+    return cosines.spread(cosines.numbers(items, key, vector), min(n, most)), [cosines.Block.of(x) for x in own]
 
 
 def nearest(items: DataFrame, queries: DataFrame, key: str, vector: str, k: int, *, block: int = QUERY_ROWS) -> DataFrame:
-    """The k nearest items of each query, itself left out, ties in order of key. Exact; the limit by group is applied
-    before the exchange, in each block of queries."""
+    """The k nearest items of each query, itself left out, ties in order of key, missing cosines last. Exact: each task finds
+    its k nearest of each query of a block, and those of all tasks are ranked."""
+    items, queries = (x.where(F.col(key).isNotNull()) for x in (items, queries))
+    schema = f"query {dict(queries.dtypes)[key]}, `{key}` {dict(items.dtypes)[key]}, cosine double"
+    rows, blocks = _by_block(items, queries, key, vector, block)
+    rows = rows.sortWithinPartitions(key)
+    return reduce(DataFrame.unionByName, [ranked(rows.mapInArrow(cosines.nearest(items.sparkSession, b, k), schema), key, k) for b in blocks])
+
+
+def ranked(pairs: DataFrame, key: str, k: int) -> DataFrame:
+    """The k nearest of each query, with their ranks."""
     w = Window.partitionBy("query").orderBy(F.desc("cosine"), key)
-    best = [p.where(F.col("query") != F.col(key)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) for p in _by_block(items, queries, key, vector, block)]
-    return reduce(DataFrame.unionByName, best)
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def _projection(d_in: int, d_out: int, seed: int) -> np.ndarray:

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .embed import dot, unit
+from . import cosines
+from .embed import ranked, unit
 
 SAMPLE = 50_000  # rows that cells are fitted on at most
 MOST_CELLS = 4_096
@@ -44,6 +45,8 @@ def _usable(df: DataFrame, key: str, vector: str) -> DataFrame:
 def _ranked(centres: np.ndarray, vectors: np.ndarray, n: int) -> np.ndarray:
     """The n nearest cells of each vector by cosine, the nearest first."""
     near = vectors @ centres.T
+    if n == 1:
+        return np.argmax(near, axis=1)[:, None]
     if n >= near.shape[1]:
         return np.argsort(-near, axis=1, kind="stable")
     some = np.argpartition(-near, n, axis=1)[:, :n]
@@ -81,6 +84,7 @@ def build_index(df: DataFrame, path: str, key: str, vector: str, *, cells: int |
     cells = max(1, min(MOST_CELLS, cells or round(math.sqrt(n)), n or 1))
     drawn = rows if n <= sample else rows.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * sample / n))
     if n:
+        drawn = drawn.repartition(df.sparkSession.sparkContext.defaultParallelism)  # a few files would be as few tasks
         fitted = KMeans(k=cells, seed=seed, maxIter=15, initSteps=2, featuresCol="f").fit(drawn.select(array_to_vector(vector).alias("f")))
         centres = np.array(fitted.clusterCenters())
         centres = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
@@ -107,32 +111,49 @@ def search(index: VectorIndex, queries: DataFrame, k: int, *, probes: int, block
     out, ties in order of key. Cosines are exact; what lies in other cells isn't found. With probes of all cells it is an
     exact search.
 
-    Queries are worked off in blocks. A block's queries are broadcast with their cells and meet only the folders of these
-    cells, which the scan prunes by name; the limit by group is applied before the exchange.
+    Queries are worked off in blocks of `block` (or of 64 MB). A block's queries go to every task once, with a bit for each
+    cell that they ask for; they meet only the folders of these cells, which the scan prunes by name. Each task finds its k
+    nearest of each query, and those of all tasks are ranked.
     """
     key, vector = index.key, index.vector
     spark = queries.sparkSession
     probes = min(probes, len(index.centres))
-    asked = _with_cells(_usable(queries, key, vector), vector, index.centres, probes).select(F.col(key).alias("query"), F.col(vector).alias("_q"), "cells")
-    n = max(1, -(-queries.count() // block))
+    asked = _usable(queries, key, vector).where(F.col(key).isNotNull())
+    count, most = cosines.block_rows(asked, vector, block)
+    n = max(1, -(-count // most))
     best = None
-    w = Window.partitionBy("query").orderBy(F.desc("cosine"), key)
     for i in range(n):
-        own = asked if n == 1 else asked.where(F.pmod(F.xxhash64("query"), F.lit(n)) == i)
-        cells = [r.c for r in own.select(F.explode("cells").alias("c")).distinct().collect()]  # at most MOST_CELLS
-        rows = index.rows(spark).where(F.col("cell").isin(cells))
-        pairs = rows.join(F.broadcast(own.withColumn("cell", F.explode("cells")).drop("cells")), "cell")
-        pairs = pairs.where(F.col(key) != F.col("query")).select("query", key, dot("_q", vector).alias("cosine"))
-        found = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        own = cosines.Block.of(asked if n == 1 else asked.where(F.pmod(F.xxhash64(key), F.lit(n)) == i))
+        own = replace(own, asked=_asked(index.centres, own, probes))
+        rows = index.rows(spark).where(F.col("cell").isin(np.flatnonzero(own.asked.any(axis=1)).tolist()))
+        found = ranked(_nearest(rows, queries, own, index, k, cells=True), key, k).drop("cell")
         best = found if best is None else best.unionByName(found)
     return best
 
 
+def _nearest(rows: DataFrame, queries: DataFrame, block: cosines.Block, index: VectorIndex, k: int, *, cells: bool) -> DataFrame:
+    """(query, key, cell, cosine): of each task's index rows the k nearest of each query."""
+    key = index.key
+    schema = f"query {dict(queries.dtypes)[key]}, `{key}` {dict(rows.dtypes)[key]}, cell int, cosine double"
+    rows = rows.where(F.col(key).isNotNull()).select(key, index.vector, "cell").sortWithinPartitions(key)
+    return rows.mapInArrow(cosines.nearest(rows.sparkSession, block, k, unit=True, cells=cells), schema)
+
+
+def _asked(centres: np.ndarray, block: cosines.Block, probes: int) -> np.ndarray:
+    """Bits by cell and query: the cells next to each query."""
+    x = block.vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(block.keys), centres.shape[1])
+    asked = np.zeros((len(centres), len(x)), bool)
+    for lo in range(0, len(x), 1_000):
+        near = _ranked(centres, x[lo : lo + 1_000], probes)
+        asked[near, lo + np.arange(len(near))[:, None]] = True
+    return np.packbits(asked, axis=1)
+
+
 def recall(found: DataFrame, exact: DataFrame, key: str) -> float:
     """Share of the exact (query, key) pairs that were found."""
-    pairs = exact.select("query", key).distinct()
-    n = pairs.count()
-    return pairs.join(found.select("query", key), ["query", key], "left_semi").count() / n if n else 1.0
+    pairs = exact.select("query", key).distinct().join(found.select("query", key, F.lit(1).alias("_found")).distinct(), ["query", key], "left")
+    r = pairs.agg(F.count("*").alias("n"), F.count("_found").alias("found")).first()
+    return r.found / r.n if r.n else 1.0
 
 
 def probes_for(index: VectorIndex, queries: DataFrame, k: int, target: float = 0.95) -> int:
@@ -141,11 +162,10 @@ def probes_for(index: VectorIndex, queries: DataFrame, k: int, target: float = 0
     key, vector = index.key, index.vector
     spark = queries.sparkSession
     cells = len(index.centres)
-    asked = _with_cells(_usable(queries, key, vector).limit(BLOCK), vector, index.centres, cells).select(F.col(key).alias("query"), F.col(vector).alias("_q"), "cells")
-    pairs = index.rows(spark).crossJoin(F.broadcast(asked)).where(F.col(key) != F.col("query"))  # a stated query set
-    pairs = pairs.select("query", key, dot("_q", vector).alias("cosine"), F.array_position("cells", F.col("cell")).alias("place"))
-    w = Window.partitionBy("query").orderBy(F.desc("cosine"), key)
-    top = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    asked = spark.createDataFrame(_usable(queries, key, vector).where(F.col(key).isNotNull()).limit(BLOCK).toArrow())
+    top = ranked(_nearest(index.rows(spark), queries, cosines.Block.of(asked), index, k, cells=False), key, k)
+    places = _with_cells(asked, vector, index.centres, cells).select(F.col(key).alias("query"), "cells")
+    top = top.join(places, "query").select(F.array_position("cells", F.col("cell")).alias("place"))
     counts = {r.place: r.n for r in top.groupBy("place").agg(F.count("*").alias("n")).collect()}
     total, seen = sum(counts.values()), 0
     for p in range(1, cells + 1):
