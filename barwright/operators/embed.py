@@ -30,6 +30,15 @@ def unit(a: str | Column) -> Column:
     return F.get(F.transform(F.array(n), lambda m: F.transform(a, lambda x: x.cast("double") / m)), F.lit(0))
 
 
+def rounded_cosine(c: str, places: int) -> Column:
+    """Rounded as SQL engines round doubles: halves of the scaled number away from zero, without a negative zero. Arithmetic
+    alone, as pairs are many; `F.round` goes by way of decimal texts."""
+    x, scale = F.col(c), F.lit(10.0**places)
+    t = F.abs(x) * scale
+    whole = F.floor(t) + F.when(t - F.floor(t) >= 0.5, 1).otherwise(0)
+    return F.when(F.isnan(x), x).otherwise(F.signum(x) * whole / scale + F.lit(0.0))
+
+
 def cosine_pairs(items: DataFrame, queries: DataFrame, key: str, vector: str, *, block: int = QUERY_ROWS) -> DataFrame:
     """(query, key, cosine) of a stated query set against all items. The queries are counted and sent to the items' tasks;
     more than `block` (or than 64 MB of them) go in blocks of about so many, one pass over the items each. The cosine is

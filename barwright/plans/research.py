@@ -242,7 +242,7 @@ VEC = f"ev AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / gr
 def cosine_pairs(spark, sf):
     """Every hundredth id as a query, so that queries grow with the table, against all rows."""
     e = S.table(spark, sf, "embeddings")
-    return with_rounded(E.cosine_pairs(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding"), "cosine", places=5)
+    return E.cosine_pairs(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding").withColumn("cosine", E.rounded_cosine("cosine", 5))
 
 
 @query("WITH " + VEC + " SELECT query, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, vec_id) AS rank FROM cp WHERE query <> vec_id) WHERE rank <= 10")

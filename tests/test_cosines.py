@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import time
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import Window
@@ -132,3 +133,18 @@ def test_index_search_on_copies(spark, tmp_path):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Join" not in plan  # a query's vector isn't copied for each of its cells
     assert vector_index.search(index, asked.where("id < 0"), 6, probes=4).count() == 0
+
+
+def test_rounding_is_that_of_sql(spark):
+    """Halves go as DuckDB has them, which scales first; `F.round`, used before, goes by the decimal text."""
+    halves = [(2 * k + 1) * 5e-6 for k in range(4_000)]
+    x = [0.0, -0.0, 1.0, -1.0, 1e-7, -1e-7, float("nan"), None, *halves, *(-h for h in halves), *(float(np.nextafter(h, 1)) for h in halves), *(float(np.nextafter(h, 0)) for h in halves)]
+    df = spark.createDataFrame(list(enumerate(x)), "id long, c double").coalesce(1)
+    got = df.select("id", embed.rounded_cosine("c", 5).alias("cosine"))
+    con = duckdb.connect()
+    con.register("t", df.toArrow())
+    want = dict(con.execute("SELECT id, round(c, 5) + 0.0 FROM t").fetchall())
+    bits = lambda x: str(x) if x is None or math.isnan(x) else x.hex()
+    assert {r.id: bits(r.cosine) for r in got.collect()} == {k: bits(v) for k, v in want.items()}
+    before = df.select("id", (F.round("c", 5) + 0.0).alias("cosine")).collect()
+    assert any(r.cosine is not None and bits(r.cosine) != bits(want[r.id]) for r in before)
